@@ -63,3 +63,45 @@ def op8(docs):
         rep = {j for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for j in range(k, k + 3)}
         out.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(rep), len(w) < 50 or 100 * len(rep) > 50 * len(w)))
     return out
+
+
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9(docs):
+    t = tokenizer()
+    n = [len(e.ids) for e in t.encode_batch([x or "" for _, x in docs], add_special_tokens=False)]
+    return [(i, len((x or "").encode()), k, k > 512) for (i, x), k in zip(docs, n, strict=True)]
+
+
+def check_op3(docs, got):
+    """Asserts that got's pieces are a gapless packing of docs; returns tokens per padded token."""
+    import zlib
+    from collections import defaultdict
+
+    import numpy as np
+
+    t = tokenizer()
+    left, packs = {}, defaultdict(list)
+    for i, x in docs:
+        left[i] = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+    seen = defaultdict(int)
+    for doc, start, length, crc, total, sequence, offset in sorted(got):
+        assert total == len(left[doc]) and seen[doc] == start and length > 0
+        assert zlib.crc32(np.array(left[doc][start : start + length], "<u4").tobytes()) == crc
+        seen[doc] += length
+        packs[sequence].append((offset, length))
+    assert all(seen[i] == len(x) for i, x in left.items())
+    padded = 0
+    for p in packs.values():
+        at = 0
+        for offset, length in sorted(p):
+            assert offset == at
+            at += length
+        assert at <= 1024
+        padded += at if at & (at - 1) == 0 else 1024
+    return sum(map(len, left.values())) / padded
