@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality, secrets, token_count
+from . import decontamination, jaccard, packing, quality, secrets, token_count
 from .common import documents
 
 
@@ -44,8 +44,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op4_benchmark_decontamination, op7_secret_scans, op8_quality_rules, op9_token_counts)}
+    return {f.__name__: f for f in (op3_packing, op4_benchmark_decontamination, op7_secret_scans, op8_quality_rules, op9_token_counts, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -105,3 +105,31 @@ def check_op3(docs, got):
         assert at <= 1024
         padded += at if at & (at - 1) == 0 else 1024
     return sum(map(len, left.values())) / padded
+
+
+def op10(docs):
+    sets = []
+    for _, x in docs:
+        w = WORD.findall(lower(x or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(docs)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    where = {}
+    for k, s in enumerate(sets):
+        near = {}
+        for g in s:
+            for j in where.setdefault(g, []):
+                near[j] = near.get(j, 0) + 1
+            where[g].append(k)
+        for j, both in near.items():
+            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                root[find(k)] = find(j)
+    least = {}
+    for k, (i, _) in enumerate(docs):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return [(i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(docs)]
