@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words: U+0020 and U+0009 to U+000D.
 SPACE = "[\\x20\\x09-\\x0D]"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,7 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/skyloom-{uuid.uuid4().hex}/{label}"
-    df.write.option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")  # the shuffles behind a written table aren't needed again
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

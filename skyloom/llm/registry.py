@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, packing, quality, secrets, token_count
+from . import decontamination, jaccard, packing, quality, secrets, substring, token_count
 from .common import documents
 
 
@@ -26,6 +26,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.repeated_passages(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.report(documents(spark, sf_dir))
     n = lambda k: secrets.count_kind(F.col("base"), k)
@@ -50,7 +55,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op4_benchmark_decontamination, op7_secret_scans, op8_quality_rules, op9_token_counts, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op3_packing, op4_benchmark_decontamination, op5_substring_dedup, op7_secret_scans, op8_quality_rules, op9_token_counts, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -133,3 +133,13 @@ def op10(docs):
     for k, (i, _) in enumerate(docs):
         least[find(k)] = min(i, least.get(find(k), i))
     return [(i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(docs)]
+
+
+def op5(docs, size=35):
+    split = [WORD.findall(x or "") for _, x in docs]
+    seen = Counter(tuple(w[k : k + size]) for w in split for k in range(len(w) - size + 1))
+    out = []
+    for (i, _), w in zip(docs, split, strict=True):
+        gone = {j for k in range(len(w) - size + 1) if seen[tuple(w[k : k + size])] > 1 for j in range(k, k + size)}
+        out.append((i, len(w), len(gone), hexed(" ".join(x for j, x in enumerate(w) if j not in gone))))
+    return out
