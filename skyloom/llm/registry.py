@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, packing, quality, secrets, substring, token_count, toxicity
+from . import decontamination, jaccard, packing, quality, secrets, substring, suffix_dedup, token_count, toxicity
 from .common import documents
 
 
@@ -15,6 +15,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_bytes(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return found.select(F.col("id").alias("doc_id"), (F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(3)) == 1).alias("held_out"), "score", "predicted")
@@ -60,7 +65,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_packing, op4_benchmark_decontamination, op5_substring_dedup, op7_secret_scans, op8_quality_rules, op9_token_counts, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_toxicity, op3_packing, op4_benchmark_decontamination, op5_substring_dedup, op7_secret_scans, op8_quality_rules, op9_token_counts, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -148,7 +148,9 @@ def fit(toxic: list[bytes], ordinary: list[bytes], toxic_held: list[bytes], ordi
     if 0 < y.sum() < len(y):
         seen = np.unique(x)
         cuts = np.append((seen[1:] + seen[:-1]) / 2, seen[-1] + 1)
-        model.at = float(cuts[int(np.argmin([((x > c) != y).sum() for c in cuts]))])
+        errors = np.array([((x > c) != y).sum() for c in cuts])
+        best = cuts[errors == errors.min()]
+        model.at = max(model.at, float(best[len(best) // 2]))  # less than the default is what parsing alone may gain
     return model
 
 

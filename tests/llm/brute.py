@@ -143,3 +143,21 @@ def op5(docs, size=35):
         gone = {j for k in range(len(w) - size + 1) if seen[tuple(w[k : k + size])] > 1 for j in range(k, k + size)}
         out.append((i, len(w), len(gone), hexed(" ".join(x for j, x in enumerate(w) if j not in gone))))
     return out
+
+
+def op1(docs, size=50):
+    least = {}
+    texts = [(i, (x or "").encode()) for i, x in docs]
+    for i, b in texts:
+        for k in range(len(b) - size + 1):
+            w = b[k : k + size]
+            least[w] = min(i, least.get(w, i))
+    out = []
+    for i, b in texts:
+        gone = bytearray(len(b))
+        for k in range(len(b) - size + 1):
+            if least[b[k : k + size]] < i:
+                gone[k : k + size] = b"\1" * size
+        spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
+        out.append((i, len(b), sum(gone), spans, hexed(bytes(c for c, g in zip(b, gone, strict=True) if not g))))
+    return out
