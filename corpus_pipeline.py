@@ -1,11 +1,63 @@
-"""A corpus pipeline of operators of skyloom.llm."""
+"""A corpus pipeline: quality rules, near duplicates, benchmark decontamination, secrets, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame; all
+but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skyloom.llm import decontamination, jaccard, packing, quality, secrets
+from skyloom.llm.common import without, written
+from skyloom.llm.registry import tokenizer_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents, and those of rejected hosts, go."""
+    return quality.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component, and of rows with one id and text, the document with the least id stays."""
+    found = written(jaccard.near_duplicates(docs).select("id", (F.col("id") != F.col("component")).alias("dropped")), "components")
+    dropped = written(found.where("dropped").select("id"), "dropped")
+    kept = without(docs, dropped, docs["doc_id"], dropped["id"])
+    repeats = not found.groupBy("id").count().where("count > 1").isEmpty()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dropped = written(found.where("contaminated").select("id").distinct(), "dropped")
+    return without(docs, dropped, docs["doc_id"], dropped["id"])
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every reported span is masked; no document goes."""
+    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all documents' pieces in sequences."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("packing", sequence_packing),
+]
+#: Tokenization by a byte-pair vocabulary has no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -66,3 +66,13 @@ def words(text: Column) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+#: Rows are dropped by a broadcast of their keys up to so many keys, and by a shuffle beyond.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(df: DataFrame, dropped: DataFrame, left: Column, right: Column) -> DataFrame:
+    """df's rows whose key is not in dropped, a written table; null is a key like others."""
+    few = dropped.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(dropped) if few else dropped, left.eqNullSafe(right), "left_anti")

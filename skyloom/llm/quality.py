@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words, written
+from .common import let, without, words, written
 
 SYMBOLS = "#*$%&|<>"
 #: A host whose shrunk failure rate of any rule is above this is rejected with all its documents.
@@ -40,20 +40,21 @@ def repeated_words(tokens: Column) -> Column:
     return F.when(n >= 4, let(F.sort_array(hashed), lambda s: let(starts(s), covered))).otherwise(F.lit(0)).cast("long")
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row for each row of docs: id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.  A null text has no words and no lines with words."""
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep: list[str] = ()) -> DataFrame:
+    """One row for each row of docs: the columns of docs in keep (whose names differ from the following), id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.  A null text has no words and no lines with words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text.alias("text"), words(F.col(text_col)).alias("words"))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    split = docs.select(*keep, F.col(id_col).alias("id"), F.col(host_col).alias("host"), text.alias("__text"), words(F.col(text_col)).alias("__words"))
+    lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     return split.select(
+        *keep,
         "id",
         "host",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
-    ).select("id", "host", "n_words", "word_chars", "n_symbols", F.col("lines.n").alias("n_lines"), F.col("lines.dup").alias("n_dup_lines"), "n_repeat_words")
+        F.size("__words").cast("long").alias("n_words"),
+        F.length(F.translate("__text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("__lines"),
+        repeated_words(F.col("__words")).alias("n_repeat_words"),
+    ).select(*keep, "id", "host", "n_words", "word_chars", "n_symbols", F.col("__lines.n").alias("n_lines"), F.col("__lines.dup").alias("n_dup_lines"), "n_repeat_words")
 
 
 def failures(m: DataFrame) -> DataFrame:
@@ -90,6 +91,14 @@ def host_verdicts(failed: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     return joined.select("host", "n_docs", rejected.alias("host_rejected"))
 
 
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows of docs, with its columns, that quality() keeps."""
+    checked = written(failures(measures(docs, id_col, text_col, host_col, docs.columns)), "measures")
+    rejected = written(host_verdicts(checked, limit).where("host_rejected").select("host"), "hosts")
+    passed = checked.where(~F.col("fail_short") & ~F.col("fail_repeats"))
+    return without(passed, rejected, passed["host"], rejected["host"]).select(*docs.columns)
+
+
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The measures of every row, base_failed, host_rejected and kept.
 
