@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, packing, quality, secrets, substring, suffix_dedup, token_count, toxicity
+from . import decontamination, jaccard, packing, quality, secrets, substring, suffix_dedup, suffix_tree_lm, token_count, toxicity
 from .common import documents
 
 
@@ -41,6 +41,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_tree_lm.lm_scores(documents(spark, sf_dir))
+    held_out = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) == 1
+    return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.report(documents(spark, sf_dir))
     n = lambda k: secrets.count_kind(F.col("base"), k)
@@ -65,7 +71,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_toxicity, op3_packing, op4_benchmark_decontamination, op5_substring_dedup, op7_secret_scans, op8_quality_rules, op9_token_counts, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_toxicity, op3_packing, op4_benchmark_decontamination, op5_substring_dedup, op6_lm_scoring, op7_secret_scans, op8_quality_rules, op9_token_counts, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

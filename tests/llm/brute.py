@@ -161,3 +161,13 @@ def op1(docs, size=50):
         spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
         out.append((i, len(b), sum(gone), spans, hexed(bytes(c for c, g in zip(b, gone, strict=True) if not g))))
     return out
+
+
+def op6_base(docs):
+    import math
+    import zlib
+
+    split = [(i, zlib.crc32(str(i).encode()) % 5 == 1, [*WORD.findall(lower(x or "")), None]) for i, x in docs]
+    c = Counter(w for _, held, t in split if not held for w in t)
+    n, v = sum(c.values()), len(c)
+    return [(i, held, len(t), sum(w in c for w in t), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) for i, held, t in split]
