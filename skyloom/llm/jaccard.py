@@ -2,8 +2,8 @@
 
 Documents with equal shingle sets are one node.  Shingles are ordered rarest first (by a sketch of bounded size
 of their frequencies; any order gives right results), and only a node's prefix is shuffled.  Nodes that share a prefix shingle
-first meet that shingle's least node only, so thousands of near copies make a star, not all pairs; then only pairs
-that still lie in different components are met.  Each pair passes length and positional filters, is made once,
+are linked through one partner each, then through each shingle's least node, then pairwise, and at each step only pairs
+that still lie in different components are met: thousands of near copies make a star, not all pairs.  Each pair passes length and positional filters, is made once,
 and is verified on the texts behind a suffix filter.
 """
 
@@ -189,6 +189,21 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, size: int, pe
     return written(with_both.mapInArrow(check, "a long, b long"), "links")
 
 
+def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """pairs with the roots ra and rb of their ends, written; those with one root are left out."""
+    of = lambda end: roots.select(F.col("u").alias(end), F.col("root").alias(f"r{end}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    return written(both.where("ra <> rb"), "pairs")
+
+
+def linked(pairs: DataFrame, roots: DataFrame, docs: DataFrame, owners: DataFrame, size: int, percent: int) -> DataFrame:
+    """roots, joined by those of pairs (see rooted) that are verified: old components enter as stars around their roots."""
+    if pairs.isEmpty():
+        return roots
+    links = verified(pairs.select("a", "b"), docs, owners, size, percent).join(pairs, ["a", "b"]).select(F.col("ra").alias("u"), F.col("rb").alias("v")).distinct()
+    return components(roots.where("u <> root").select("u", F.col("root").alias("v")).unionByName(links))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component of every row of docs: component is the least id that links reach, itself included.
 
@@ -210,17 +225,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     stars = met.where((F.col("node") != F.col("least.node")) & possible(F.col("n"), F.col("pos"), F.col("least.n"), F.col("least.pos"), percent))
     stars = written(stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = verified(stars, docs, owners, size, percent)
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # Each node meets one partner first, then those of its others that another component holds.
+    pairs = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    roots = components(verified(pairs, docs, owners, size, percent).toDF("u", "v"))
+    pairs = rooted(stars.join(pairs, ["a", "b"], "left_anti"), roots)
+    roots = linked(pairs, roots, docs, owners, size, percent)
     placed = met.join(roots, F.col("node") == F.col("u"), "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     apart = placed.withColumns({"lo": F.min("root").over(whole), "hi": F.max("root").over(whole)}).where("lo <> hi").select("h", "node", "n", "pos", "root").distinct()
     apart = written(apart, "apart")
     other = apart.select("h", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
     crossing = apart.join(other, "h").where((F.col("root") != F.col("root_b")) & (F.col("node") < F.col("node_b")) & possible(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), percent))
-    rest = written(crossing.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rest, docs, owners, size, percent))
-        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    pairs = rooted(crossing.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), roots)
+    roots = linked(pairs, roots, docs, owners, size, percent)
     root = F.coalesce("root", "node")
     labels = owners.join(roots, F.col("node") == F.col("u"), "left").select("node", root.alias("root"), "owner")
     names = labels.groupBy("root").agg(F.min("owner").alias("component"))
