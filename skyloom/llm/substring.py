@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import ship, written
 
 WINDOW, GRAM = 35, 8
-SLICE = 16 << 20
+SLICE = 4 << 20
 FIELDS = ("anchors", "owners", "starts", "sizes", "settled", "hashes", "factors")
 BLOCK_ROWS = "block int, anchors binary, owners binary, starts binary, sizes binary, settled binary, hashes binary, factors binary"
 
