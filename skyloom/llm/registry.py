@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, jaccard, packing, quality, secrets, substring, suffix_dedup, suffix_tree_lm, token_count, toxicity
@@ -15,6 +15,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def residue(column: str, n: int) -> Column:
+    """Whether crc32 of the id as text leaves 1; false for null."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)) == 1, F.lit(False))
+
+
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_bytes(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -22,7 +27,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return found.select(F.col("id").alias("doc_id"), (F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(3)) == 1).alias("held_out"), "score", "predicted")
+    return found.select(F.col("id").alias("doc_id"), residue("id", 3).alias("held_out"), "score", "predicted")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +48,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_tree_lm.lm_scores(documents(spark, sf_dir))
-    held_out = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) == 1
-    return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select(F.col("id").alias("doc_id"), residue("id", 5).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,8 +131,9 @@ def op10(docs):
                 root[find(k)] = find(j)
     least = {}
     for k, (i, _) in enumerate(docs):
-        least[find(k)] = min(i, least.get(find(k), i))
-    return [(i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(docs)]
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return [(i, len(sets[k]), least.get(find(k)) if sets[k] else i) for k, (i, _) in enumerate(docs)]
 
 
 def op5(docs, size=35):
@@ -147,7 +148,7 @@ def op5(docs, size=35):
 
 def op1(docs, size=50):
     least = {}
-    texts = [(i, (x or "").encode()) for i, x in docs]
+    texts = [(2**63 if i is None else i, (x or "").encode()) for i, x in docs]
     for i, b in texts:
         for k in range(len(b) - size + 1):
             w = b[k : k + size]
@@ -159,7 +160,7 @@ def op1(docs, size=50):
             if least[b[k : k + size]] < i:
                 gone[k : k + size] = b"\1" * size
         spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
-        out.append((i, len(b), sum(gone), spans, hexed(bytes(c for c, g in zip(b, gone, strict=True) if not g))))
+        out.append((None if i == 2**63 else i, len(b), sum(gone), spans, hexed(bytes(c for c, g in zip(b, gone, strict=True) if not g))))
     return out
 
 
@@ -167,7 +168,7 @@ def op6_base(docs):
     import math
     import zlib
 
-    split = [(i, zlib.crc32(str(i).encode()) % 5 == 1, [*WORD.findall(lower(x or "")), None]) for i, x in docs]
+    split = [(i, i is not None and zlib.crc32(str(i).encode()) % 5 == 1, [*WORD.findall(lower(x or "")), None]) for i, x in docs]
     c = Counter(w for _, held, t in split if not held for w in t)
     n, v = sum(c.values()), len(c)
     return [(i, held, len(t), sum(w in c for w in t), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) for i, held, t in split]
