@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, packing, quality, secrets, substring, suffix_dedup, suffix_tree_lm, token_count, toxicity
+from . import decontamination, jaccard, oracles, packing, quality, secrets, substring, suffix_dedup, suffix_tree_lm, token_count, toxicity
 from .common import documents
 
 
@@ -79,4 +79,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
