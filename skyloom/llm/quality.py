@@ -93,10 +93,11 @@ def host_verdicts(failed: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of docs, with its columns, that quality() keeps."""
-    checked = written(failures(measures(docs, id_col, text_col, host_col, docs.columns)), "measures")
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
+    checked = written(failures(measures(packed, "id", "text", "host", ["__row"])), "measures")
     rejected = written(host_verdicts(checked, limit).where("host_rejected").select("host"), "hosts")
     passed = checked.where(~F.col("fail_short") & ~F.col("fail_repeats"))
-    return without(passed, rejected, passed["host"], rejected["host"]).select(*docs.columns)
+    return without(passed, rejected, passed["host"], rejected["host"]).select("__row.*")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
