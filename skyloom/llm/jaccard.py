@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import sketch
 from .common import ship, written
 from .components import components
 
 SHINGLE = 5
 #: A link: PERCENT * union <= 100 * intersection.
 PERCENT = 80
-SKETCH_BITS, SKETCH_BLOCKS = 22, 64
 #: Needed texts are found by a broadcast of their ids up to so many ids, and by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -62,23 +62,19 @@ def nodes_and_sketch(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n, node of every document, and (block, counts) rows that sum to the sketch."""
 
     def run(batches):
-        import zstandard
-
         from .arrow import slices
 
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << sketch.BITS, np.int64)
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(1)):
                 hashes, at = shingle_sets(data, offsets, size)
-                counts += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                counts += sketch.counted(hashes)
                 names = set_names(hashes, at)
                 m = end - first
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, m), pa.array(np.diff(at)), pa.array(names), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", "n", "node", "block", "counts"])
         if counts.any():
-            squeeze = zstandard.ZstdCompressor(level=1)
-            blobs = [squeeze.compress(x.astype("<u4").tobytes()) for x in np.split(counts, SKETCH_BLOCKS)]
-            k = SKETCH_BLOCKS
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "n", "node", "block", "counts"])
+            k = sketch.BLOCKS
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(sketch.packed(counts), pa.binary())], ["doc_id", "n", "node", "block", "counts"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -87,31 +83,9 @@ def nodes_and_sketch(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def summed_sketch(blobs: DataFrame) -> np.ndarray:
-    """The logarithm of every bucket's count, one byte each: of fixed size, so it can go to the driver and the executors."""
-
-    def add(batches):
-        import zstandard
-
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zstandard.decompress(blob), "<u4").astype(np.int64)
-                total[block] = total[block] + part if block in total else part
-        if total:
-            logs = [np.round(8 * np.log2(1 + x)).clip(0, 255).astype(np.uint8).tobytes() for x in total.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(logs, pa.binary())], ["block", "logs"])
-
-    rows = blobs.select("block", "counts").repartition("block").mapInArrow(add, "block int, logs binary").collect()
-    out = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.uint8)
-    for r in rows:
-        out[r["block"]] = np.frombuffer(r["logs"], np.uint8)
-    return out.reshape(-1)
-
-
-def prefixes(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, frequencies: np.ndarray, size: int, percent: int) -> DataFrame:
     """h, node, n, pos: the rarest shingles of each node, as many as any set within the limit must share one of."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies)
 
     def run(batches):
         from .arrow import slices
@@ -124,7 +98,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> Da
                 once = np.zeros(len(names), bool)
                 once[np.unique(names, return_index=True)[1]] = True
                 take = np.where(once & (sizes > 0), sizes - -(-sizes * percent // 100) + 1, 0)
-                rank = shared.value[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                rank = shared.value[sketch.buckets(hashes)]
                 text = np.repeat(np.arange(len(sizes)), sizes)
                 order = np.lexsort((hashes, rank, text))
                 pos = np.arange(len(hashes)) - np.repeat(at[:-1], sizes)
@@ -217,8 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = written(nodes_and_sketch(docs, size), "nodes")
     nodes = first.where("block is null").select("doc_id", "n", "node")
     owners = written(nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("owner")), "owners")
-    sketch = summed_sketch(first.where("block is not null"))
-    rows = prefixes(docs, sketch, size, percent)
+    frequencies = sketch.summed(first.where("block is not null"), lambda x: np.round(8 * np.log2(1 + x)).clip(0, 255))
+    rows = prefixes(docs, frequencies, size, percent)
     whole = Window.partitionBy("h")
     met = written(
         rows.withColumns({"least": F.min(F.struct("node", "n", "pos")).over(whole), "most": F.max("node").over(whole)}).where("least.node <> most").select("h", "node", "n", "pos", "least"), "met"
