@@ -87,6 +87,14 @@ def six_line_answer(q: Dialect, cast: str, kin: str) -> str:
     return f"SELECT id, wanted, {integer('n')} AS n, {said} AS state, {q.at(V.RELATION_TEXTS, E.rel(q, E.branch_element(q, 'own'), E.branch_element(q, 'other')))} AS answer FROM ({agg})"
 
 
+def six_line_suggestions(q: Dialect, cast: str, kin: str) -> str:
+    """id, suggestions: by the number of moving lines, the significator's strength, and two common ones."""
+    answer, reading = six_line_answer(q, cast, kin), six_line_reading(q, cast)
+    of_state = chain([(f"a.state = {text(k)}", text(v)) for k, v in V.STRENGTH_SUGGESTIONS.items()], "CAST(NULL AS VARCHAR(9))" if not q.spark else "CAST(NULL AS STRING)")
+    moving = q.at(V.MOVING_SUGGESTIONS, "least(r.n_moving, 2)")
+    return f"SELECT r.id AS id, concat_ws('；', {moving}, {of_state}, {', '.join(map(text, V.COMMON_SUGGESTIONS))}) AS suggestions FROM ({reading}) r JOIN ({answer}) a ON r.id = a.id"
+
+
 # -- plum blossom ----------------------------------------------------------------------------------------------------
 def plum(q: Dialect, src: str, upper: str, lower: str, moving: str) -> str:
     """id, name, moving, body, use, relation, verdict, suggestion, changed, mutual (constant) from three numbers."""
@@ -193,18 +201,26 @@ def nine_reading(q: Dialect, src: str) -> str:
     deity = lambda i: q.at(V.DEITIES, _cell(q, str(i))["deity"])
     key = "CAST(id AS STRING)"
     pattern = chain([(f"{star(1)} = '天蓬星' AND {star(9)} = '天英星'", "'水火激战'"), (f"{deity(5)} = '值符'", "'值符居中'"), (f"{door(1)} = '开门' OR {door(6)} = '开门'", "'开门得地'")], q.at(V.PATTERNS, q.pick("pattern", key, 6)))
-    aspect = lambda good, bad: chain([(good, "'好'"), (bad, "'差'")], "'平'")
+    def aspect(name: str, good: str, bad: str) -> str:
+        texts = V.ASPECT_TEXTS[name]
+        return chain([(good, text(texts[0])), (bad, text(texts[1]))], text(texts[2]))
+
     is_in = lambda x, *names: f"{x} IN ({', '.join(map(text, names))})"
     aspects = {
-        "career": aspect(is_in(star(6), "天心星", "天辅星"), is_in(star(6), "天冲星", "天柱星")),
-        "wealth": aspect(f"{star(2)} = '天任星' OR {door(8)} = '生门'", f"{star(2)} = '天蓬星' OR {door(8)} = '死门'"),
-        "love": aspect(f"{deity(4)} = '六合' OR {door(7)} = '开门'", f"{star(4)} = '天冲星' OR {door(7)} = '伤门'"),
-        "health": aspect(f"{star(3)} = '天心星' OR {door(6)} = '生门'", f"{star(3)} = '天英星' OR {door(6)} = '伤门'"),
-        "study": aspect(f"{star(4)} = '天辅星' OR {door(9)} = '景门'", f"{star(4)} = '天冲星' OR {door(9)} = '杜门'"),
+        "career": aspect("career", is_in(star(6), "天心星", "天辅星"), is_in(star(6), "天冲星", "天柱星")),
+        "wealth": aspect("wealth", f"{star(2)} = '天任星' OR {door(8)} = '生门'", f"{star(2)} = '天蓬星' OR {door(8)} = '死门'"),
+        "love": aspect("love", f"{deity(4)} = '六合' OR {door(7)} = '开门'", f"{star(4)} = '天冲星' OR {door(7)} = '伤门'"),
+        "health": aspect("health", f"{star(3)} = '天心星' OR {door(6)} = '生门'", f"{star(3)} = '天英星' OR {door(6)} = '伤门'"),
+        "study": aspect("study", f"{star(4)} = '天辅星' OR {door(9)} = '景门'", f"{star(4)} = '天冲星' OR {door(9)} = '杜门'"),
     }
     directions = [(is_in(door(i), "开门", "生门"), text(V.PALACE_DIRECTIONS[i - 1])) for i in range(1, 10)] + [(is_in(star(i), "天心星", "天任星", "天辅星"), text(V.PALACE_DIRECTIONS[i - 1])) for i in range(1, 10)]
-    inner = select({"id": "id", "pattern": pattern} | aspects | {"significator": q.at(V.PALACE_DIRECTIONS, "pu - 1"), "favourable": chain(directions, "'东南'")}, f"({nine_parameters(q, src)})")
-    return f"SELECT *, {chain([(f'pattern = {text(p)}', text(lv)) for p, lv in zip(V.PATTERNS, V.PATTERN_LEVELS, strict=True)], chr(39) + '未定' + chr(39))} AS level FROM ({inner})"
+    inner = select({"id": "id", "pattern": pattern} | aspects | {"significator": q.at(V.PALACE_DIRECTIONS, "pu - 1"), "favourable": chain(directions, "'东南'"), "favourable_time": chain([("hour(ts) BETWEEN 6 AND 11", text(V.HALF_DAY_TEXTS[0])), ("hour(ts) BETWEEN 12 AND 17", text(V.HALF_DAY_TEXTS[1]))], text(V.HALF_DAY_TEXTS[2]))}, f"({nine_parameters(q, src)})")
+    of_pattern = lambda values, other: chain([(f"pattern = {text(p)}", text(v)) for p, v in zip(V.PATTERNS, values, strict=True)], text(other))
+    inner = f"SELECT *, {of_pattern(V.PATTERN_LEVELS, '')} AS level, {of_pattern(V.PATTERN_TEXTS, V.PATTERN_OTHER_TEXT)} AS analysis FROM ({inner})"
+    luck = chain([(f"level = {text(lv)}", text(t)) for lv, t in zip(V.LEVELS, V.LUCK_TEXTS, strict=True)], text(V.LUCK_OTHER_TEXT))
+    advice = {k: "；".join(v) + "；" for k, v in V.PALACE_SUGGESTIONS.items()}
+    first = chain([("level IN ('大吉', '吉')", text(advice["吉"])), ("level IN ('凶', '大凶')", text(advice["凶"])), ("level = '平'", text(advice["平"]))], "''")
+    return f"SELECT *, {luck} AS luck, ({first} || '用神在' || significator || '方，该方位为当前重要方位') AS suggestions FROM ({inner})"
 
 
 # -- twelve branches -------------------------------------------------------------------------------------------------
@@ -224,10 +240,17 @@ def twelve_lessons(q: Dialect, src: str) -> str:
     kind = f"CASE WHEN ds = 0 THEN {q.pick('lesson', 'CAST(id AS STRING)', 6)} ELSE 1 END"
     inner = select(
         {"id": "id", "day_name": C.named(q, "ds", "db"), "hour_name": C.named(q, "hs", "hb"), "lesson1": f"({z(r)} || '/' || {z('db')})", "lesson2": f"({z(t)} || '/' || {z('hb')})", "lesson3": f"({z(r)} || '克' || {z('db')})", "lesson4": f"({z(t)} || '克' || {z('hb')})",
-         "above": "(" + " || ' ' || ".join(z(x) for x in above) + ")", "below": "(" + " || ' ' || ".join(z(q.mod(f"({x} - ds)", 12)) for x in above) + ")", "course": "'连茹'", "helper": q.at(V.ELEMENTS, q.mod(f"({main} - 1)", 5)), "obstacle": q.at(V.ELEMENTS, q.mod(f"({main} + 3)", 5)), "kind": kind},
+         "above": "(" + " || ' ' || ".join(z(x) for x in above) + ")", "below": "(" + " || ' ' || ".join(z(q.mod(f"({x} - ds)", 12)) for x in above) + ")", "course": "'连茹'", "helper": q.at(V.ELEMENTS, q.mod(f"({main} - 1)", 5)), "obstacle": q.at(V.ELEMENTS, q.mod(f"({main} + 3)", 5)), "kind": kind,
+         "main": z(r), "time_advice": chain([("hour(ts) BETWEEN 5 AND 10", text(V.DAY_PART_TEXTS[0])), ("hour(ts) BETWEEN 11 AND 14", text(V.DAY_PART_TEXTS[1])), ("hour(ts) BETWEEN 15 AND 18", text(V.DAY_PART_TEXTS[2]))], text(V.DAY_PART_TEXTS[3]))},
         f"({_lessons(q, src)})",
     )
-    return f"SELECT id, day_name, hour_name, lesson1, lesson2, lesson3, lesson4, above, below, course, helper, obstacle, {q.at(V.LESSON_TYPES, 'kind')} AS lesson_type, {q.at(V.LESSON_LEVELS, 'kind')} AS level FROM ({inner})"
+    luck = q.at([V.LESSON_LUCK[lv] for lv in V.LESSON_LEVELS], "kind")
+    columns = {c: c for c in "id day_name hour_name lesson1 lesson2 lesson3 lesson4 above below course helper obstacle".split()} | {
+        "lesson_type": q.at(V.LESSON_TYPES, "kind"), "level": q.at(V.LESSON_LEVELS, "kind"), "overall": f"('课体为' || {q.at(V.LESSON_TYPES, 'kind')} || '，' || {q.at(V.LESSON_TEXTS, 'kind')} || '。' || {luck})",
+        "on_main": "('用神为' || main || '，主事之神，代表所占之事的核心。')", "on_helper": "('原神为' || helper || '，生助用神，为有利因素。')", "on_obstacle": "('忌神为' || obstacle || '，克制用神，为不利因素。')",
+        "on_course": "('初传' || substr(above, 1, 1) || '，中传' || substr(above, 3, 1) || '，末传' || substr(above, 5, 1) || '，显示事情发展过程。')", "forecast": "('根据用神' || main || '的情况，事情发展趋势总体向好。')", "time_advice": "time_advice",
+    }
+    return select(columns, f"({inner})")
 
 
 def twelve_plates(q: Dialect, src: str) -> str:
@@ -320,7 +343,7 @@ def drawn_lists(q: Dialect, src: str) -> str:
     joined = f"(SELECT suitable.d, {', '.join(f'{n}.items AS {n}, {n}.k AS n_{n}' for n in lists)} FROM {lists['suitable']} suitable " + " ".join(f"JOIN {s} {n} ON suitable.d = {n}.d" for n, s in list(lists.items())[1:]) + ")"
     score = "(2 * n_suitable - n_taboo + n_good - n_bad)"
     level = chain([(f"{score} >= 15", "5"), (f"{score} >= 10", "4"), (f"{score} >= 5", "3"), (f"{score} >= 0", "2")], "1")
-    return f"SELECT {day} AS day, suitable, taboo, good, bad, {integer(level)} AS level, {q.at(V.LUCK_LEVELS, f'{level} - 1')} AS level_text, {integer(q.pick('number', day, 99) + ' + 1')} AS lucky_number FROM {joined}"
+    return f"SELECT {day} AS day, suitable, taboo, good, bad, {integer(level)} AS level, {q.at(V.LUCK_LEVELS, f'{level} - 1')} AS level_text, {integer(q.pick('number', day, 99) + ' + 1')} AS lucky_number, {q.at(V.LOVE_ADVICE, q.pick('love', day, 4))} AS love, {q.at(V.CAREER_ADVICE, q.pick('career', day, 4))} AS career, {q.at(V.WEALTH_ADVICE, q.pick('wealth', day, 4))} AS wealth, {q.at(V.HEALTH_ADVICE, q.pick('health', day, 4))} AS health FROM {joined}"
 
 
 def activity_advice(q: Dialect, src: str) -> str:

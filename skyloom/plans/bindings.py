@@ -46,6 +46,10 @@ def answered(q: Dialect, src: str) -> str:
     return H.six_line_answer(q, H.six_line_time(q, src), kin)
 
 
+def suggested(q: Dialect, src: str) -> str:
+    return H.six_line_suggestions(q, H.six_line_time(q, src), H.significator(q, "'今年事业如何'"))
+
+
 def flagship(q: Dialect, src: str) -> str:
     """Orders by the pillar of their day and its melodic element."""
     return f"SELECT day_pillar, melodic, count(*) AS n FROM ({C.calendar(q, src)}) GROUP BY day_pillar, melodic"
@@ -67,6 +71,7 @@ FORMULAS: dict[str, tuple[tuple[str, str], Callable[[Dialect, str], str]]] = {
     "six_line_coins": (EVENTS, H.six_line_coins),
     "six_line_questions": (ORDERS, questions),
     "six_line_answers": (EVENTS, answered),
+    "six_line_suggestions": (EVENTS, suggested),
     "plum_time": (EVENTS, H.plum_time),
     "plum_numbers": (NUMBERS, H.plum_numbers),
     "plum_sound": (SOUNDS, H.plum_sound),

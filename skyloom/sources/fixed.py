@@ -89,11 +89,45 @@ DEITIES = ["值符", "腾蛇", "太阴", "六合", "勾陈", "朱雀", "九地",
 PATTERNS = ["青龙返首", "白虎猖狂", "朱雀投江", "玄武当道", "勾陈得位", "腾蛇夭矫"]
 PATTERN_LEVELS = ["大吉", "大凶", "凶", "凶", "平", "凶"]
 
+PATTERN_TEXTS = ["青龙返首，贵人提携，大利求财求官", "白虎猖狂，血光之灾，宜退守避凶", "朱雀投江，口舌是非，文书不利", "玄武当道，盗贼暗害，出行不利", "勾陈得位，田土有关，宜守不宜攻", "腾蛇夭矫，虚惊怪异，精神不安"]
+PATTERN_OTHER_TEXT = "当前格局较为平稳，宜根据九星八门的具体配置进行详细分析。"
+LEVELS = ["大吉", "吉", "平", "凶", "大凶"]
+LUCK_TEXTS = ["当前运势极佳，正是大展身手的好时机。各方面都有很好的发展机会，宜积极主动。", "当前运势较好，多数事情能够顺利进行。只要把握好时机，就能获得不错的成果。", "当前运势平稳，无大起大落。宜保持现状，稳扎稳打，不宜冒进。", "当前运势不佳，容易遇到阻碍和困难。宜低调行事，避免重大决策。", "当前运势极差，诸事不宜。应暂缓重要计划，注意防范风险。"]
+LUCK_OTHER_TEXT = "当前运势处于变化之中，宜静观其变，适时而动。"
+ASPECT_TEXTS = {  # good, bad, else
+    "career": ("事业运势较好，有贵人相助，适合求职升迁。", "事业上可能遇到阻碍，需要谨慎处理人际关系。", "事业运势平稳，宜稳步发展，不宜急功近利。"),
+    "wealth": ("财运不错，有获利机会，适合投资理财。", "财运欠佳，容易破财，需要节制开支。", "财运一般，收支基本平衡，宜量入为出。"),
+    "love": ("感情运势良好，有望遇到心仪对象或关系更进一步。", "感情上可能有波折，需要多沟通理解。", "感情运势平稳，宜真诚相待，自然发展。"),
+    "health": ("身体状况良好，精力充沛，适合锻炼养生。", "需要注意身体健康，避免过度劳累，预防意外。", "健康状况一般，宜注意作息规律，适度运动。"),
+    "study": ("学业运势很好，思维敏捷，考试运佳。", "学习上可能遇到困难，需要加倍努力。", "学业运势一般，宜踏实学习，循序渐进。"),
+}
+PALACE_SUGGESTIONS = {  # by level; the first for both good levels, the second for both bad ones
+    "吉": ("抓住当前的良好机会，积极行动", "可以考虑开展新的计划或项目", "与人交往宜主动，容易得到帮助"),
+    "凶": ("暂缓重大决策，等待时机改善", "避免冲突和争执，以和为贵", "多做准备工作，厚积薄发"),
+    "平": ("保持平和心态，顺应自然发展", "观察形势变化，适时调整策略", "注重内在修养，提升自身能力"),
+}
+HALF_DAY_TEXTS = ["上午时段较为有利，宜早起行动", "下午时段运势平稳，适合处理日常事务", "晚上时段宜休息静养，明日重新开始"]
+
 # fixed values: twelve branches
 GENERALS = ["贵人", "腾蛇", "朱雀", "六合", "勾陈", "青龙", "天空", "白虎", "太常", "玄武", "太阴", "天后"]
 LESSON_TYPES = ["涉害", "遥克", "昴星", "重审", "元首", "知一"]
 LESSON_LEVELS = ["凶", "凶", "吉", "平", "大吉", "吉"]
 
+LESSON_TEXTS = ["涉足险地，多有损害", "远距离冲克，事多不顺", "昴宿照命，文昌发达", "事需重新审议，不可急进", "为众人之首，大权在握", "知机识变，处事明智"]
+LESSON_LUCK = {"大吉": "此课大吉，诸事皆宜，是难得的好卦象。", "吉": "此课较吉，多数事情能够顺利进行。", "平": "此课平稳，宜守成，不宜冒进。", "凶": "此课有凶象，需要谨慎行事。"}
+DAY_PART_TEXTS = ["当前为上午时段，阳气上升，适合开始新的计划。", "当前为中午时段，阳气最盛，宜处理重要事务。", "当前为下午时段，宜收尾整理，准备休息。", "当前为夜间时段，阴气较重，宜静思反省，不宜行动。"]
+
+# fixed values: daily fortune
+LOVE_ADVICE = ["今日桃花运佳，单身者有机会遇到心仪对象", "情侣间感情稳定，适合深入交流", "已婚者要多关心伴侣，避免冷战", "今日感情运一般，保持平常心"]
+CAREER_ADVICE = ["工作运势不错，努力会有回报", "适合开展新项目，把握机会", "同事关系和谐，团队合作顺利", "今日不宜做重大决定，稳中求进"]
+WEALTH_ADVICE = ["财运亨通，投资理财有收获", "正财运佳，工作收入稳定", "偏财运一般，不宜投机", "花费较多，注意节制开支"]
+HEALTH_ADVICE = ["身体状况良好，精力充沛", "注意休息，避免过度劳累", "饮食要节制，多吃蔬菜水果", "适量运动，保持身体活力"]
+
+# fixed values: six-line suggestions and defaults
+MOVING_SUGGESTIONS = ["无动爻，事态稳定，维持现状即可", "一爻独动，变化明确，可以采取行动", "多爻齐动，情况复杂，需要谨慎考虑"]
+STRENGTH_SUGGESTIONS = {"旺相": "用神旺相，所求之事有利", "休囚": "用神休囚，需要等待时机或寻求帮助"}
+COMMON_SUGGESTIONS = ["保持积极心态，顺应自然规律", "多做善事，广结善缘"]
+
 # fixed values: purple star
 HOUSES = ["命宫", "兄弟", "夫妻", "子女", "财帛", "疾厄", "迁移", "交友", "官禄", "田宅", "福德", "父母"]
 BUREAUS = ["水二局", "木三局", "金四局", "土五局", "火六局"]
