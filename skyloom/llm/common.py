@@ -38,6 +38,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def blocks_for(df: DataFrame, each: int = 8 << 20) -> int:
+    """A number of hash blocks: two for each shuffle partition, and more where the planner expects over `each` bytes of input a block."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size if size < 1 << 50 else 0  # more than that is the planner's word for unknown
+    return min(1 << 19, max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each)))
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once, for clusters whose workers cannot import it."""
     sc = spark.sparkContext

@@ -57,3 +57,11 @@ def repeated(*keys: np.ndarray) -> np.ndarray:
     out[order[1:]] |= same
     out[order[:-1]] |= same
     return out
+
+
+def groups(sorted_keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """(key, first, end) of each stretch of equal keys."""
+    if not len(sorted_keys):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    return list(zip(sorted_keys[first].tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_keys)], strict=True))

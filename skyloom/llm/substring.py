@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, written
+from .common import blocks_for, ship, written
 
 WINDOW, GRAM = 35, 8
 SLICE = 4 << 20
@@ -31,7 +31,7 @@ def index_rows(source: DataFrame, window: int, gram: int, blocks: int) -> DataFr
 
     def run(batches):
         from .arrow import slices
-        from .runs import U, expanded, repeated, runs_of, sliding_min
+        from .runs import U, expanded, groups, repeated, runs_of, sliding_min
         from .wordhash import Words
 
         for batch in batches:
@@ -65,14 +65,13 @@ def index_rows(source: DataFrame, window: int, gram: int, blocks: int) -> DataFr
                 block = (key % U(blocks)).astype(np.int64)
                 idx = np.flatnonzero(send)
                 idx = idx[np.argsort(block[idx], kind="stable")]
-                cut = np.searchsorted(block[idx], np.arange(blocks + 1))
+                found = groups(block[idx])
                 # Settled factors only pass through: any block will do.
-                share = np.linspace(0, len(factors), blocks + 1).astype(int)
+                share = np.linspace(0, len(factors), len(found) + 1).astype(int)
                 rows = []
-                for b in range(blocks):
-                    own, f = idx[cut[b] : cut[b + 1]], factors[share[b] : share[b + 1]]
-                    if len(own) or len(f):
-                        rows.append((b, key[own].tobytes(), owner[own].tobytes(), start[own].tobytes(), size[own].astype(np.uint8).tobytes(), twice[own].tobytes(), hashes[expanded(begin[own], size[own])].tobytes(), f.tobytes()))
+                for k, (b, x, y) in enumerate(found):
+                    own = idx[x:y]
+                    rows.append((b, key[own].tobytes(), owner[own].tobytes(), start[own].tobytes(), size[own].astype(np.uint8).tobytes(), twice[own].tobytes(), hashes[expanded(begin[own], size[own])].tobytes(), factors[share[k] : share[k + 1]].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 0 else pa.binary()) for k, x in enumerate(zip(*rows, strict=True))], ["block", *FIELDS])
 
     return source.mapInArrow(run, BLOCK_ROWS)
@@ -153,7 +152,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ship(spark)
     owner = F.xxhash64(F.col(id_col), F.col(text_col))
     source = docs.select(owner.alias("owner"), F.col(text_col).cast("binary").alias("text"))
-    blocks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks_for(source)
     factors = written(factored(index_rows(source, window, gram, blocks), window), "factors")
     by_owner = factors.groupBy("owner").agg(F.collect_list(F.struct("start", "end")).alias("factors"))
     whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), owner.alias("of_owner"))

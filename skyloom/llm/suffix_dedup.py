@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, written
+from .common import blocks_for, ship, written
 
 WINDOW, GRAM = 50, 16
 #: A shard of the suffix sort has about so many bytes.
@@ -51,7 +51,7 @@ def run_rows(source: DataFrame, window: int, gram: int, blocks: int) -> DataFram
 
     def run(batches):
         from .arrow import slices
-        from .runs import U, runs_of, sliding_min
+        from .runs import U, groups, runs_of, sliding_min
 
         for batch in batches:
             docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -88,16 +88,15 @@ def run_rows(source: DataFrame, window: int, gram: int, blocks: int) -> DataFram
                 block = (key[idx] % U(blocks)).astype(np.int64)
                 turn = np.argsort(block, kind="stable")
                 idx, block = idx[turn], block[turn]
-                cut = np.searchsorted(block, np.arange(blocks + 1))
-                share = np.linspace(0, len(spans), blocks + 1).astype(int)
                 runs = np.rec.fromarrays([(key[idx] >> U(32)).astype(np.uint32), (name[idx] >> U(32)).astype(np.uint32), start[idx], size[idx].astype(np.uint8)], dtype=RUN)
+                found = groups(block)
+                # Settled spans only pass through: any block will do.
+                share = np.linspace(0, len(spans), len(found) + 1).astype(int)
                 rows = []
-                for b in range(blocks):
-                    own, s = idx[cut[b] : cut[b + 1]], spans[share[b] : share[b + 1]]
-                    if len(own) or len(s):
-                        who, heads = np.unique(owner[own], return_index=True)
-                        table = np.rec.fromarrays([docs[first:end][who], tags[first:end][who], np.diff(np.append(heads, len(own)))], dtype=DOC)
-                        rows.append((b, runs[cut[b] : cut[b + 1]].tobytes(), table.tobytes(), s.tobytes()))
+                for k, (b, x, y) in enumerate(found):
+                    who, heads = np.unique(owner[idx[x:y]], return_index=True)
+                    table = np.rec.fromarrays([docs[first:end][who], tags[first:end][who], np.diff(np.append(heads, y - x))], dtype=DOC)
+                    rows.append((b, runs[x:y].tobytes(), table.tobytes(), spans[share[k] : share[k + 1]].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 0 else pa.binary()) for k, x in enumerate(zip(*rows, strict=True))], ["block", "runs", "docs", "spans"])
 
     return source.mapInArrow(run, "block int, runs binary, docs binary, spans binary")
@@ -222,9 +221,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     tag = F.hash(text_col)
     text = F.col(text_col).cast("binary")
-    blocks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(doc.alias("doc"), tag.alias("tag"), text.alias("text"))
-    found = written(compared(run_rows(source, window, gram, blocks), window), "found")
+    found = written(compared(run_rows(source, window, gram, blocks_for(source)), window), "found")
     rest = found.where("anchor is not null")
     size = rest.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
     spans = found.where("anchor is null").select("doc", "tag", "start", "end")
