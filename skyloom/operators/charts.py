@@ -317,7 +317,42 @@ def purple_reading(q: Dialect, src: str) -> str:
     lucky = " OR ".join(here(x) for x in ("文昌", "文曲", "左辅", "右弼", "天魁", "天钺"))
     score = f"(2 * {count(0)} + CASE WHEN {lucky} THEN 3 ELSE 0 END + 2 * {count(8)} + 2 * {count(4)})"
     inner = select({"id": "id", "pattern": pattern, "score": integer(score)}, f"({purple_base(q, src)})")
-    return f"SELECT *, {integer(chain([('score >= 15', '3'), ('score >= 10', '2'), ('score >= 5', '1')], '0'))} AS tier FROM ({inner})"
+    return f"SELECT *, {integer(chain([('score >= 15', '3'), ('score >= 10', '2'), ('score >= 5', '1')], '0'))} AS tier, {chain([('score >= 15', text(V.LIFE_TIERS[3])), ('score >= 10', text(V.LIFE_TIERS[2])), ('score >= 5', text(V.LIFE_TIERS[1]))], text(V.LIFE_TIERS[0]))} AS tier_text FROM ({inner})"
+
+
+def purple_texts(q: Dialect, src: str) -> str:
+    """id and the texts on life, office, money, spouse and illness, the tier's text, advantages, challenges and suggestions; src has gender."""
+    places = _stars(q)
+    main = [*V.PURPLE_GROUP, *V.TREASURY_GROUP]
+    changed = {c: chain([(f"ys = {g}", places[row.split()[k]]) for g, row in enumerate(V.CHANGED_STARS[:-1])], places[V.CHANGED_STARS[-1].split()[k]]) for k, c in enumerate(V.CHANGES)}
+    house = {h: k for k, h in enumerate(V.HOUSES)}
+
+    def inside(star: str, h: str) -> str:
+        return f"({q.mod(f'({places.get(star) or changed[star]} - life)', 12)} = {house[h]})"
+
+    def said(pairs: list[tuple[str, str]], sep: str = "") -> str:
+        """The texts whose conditions hold, in order."""
+        return f"concat_ws({text(sep)}, {', '.join(f'CASE WHEN {c} THEN {text(t)} END' for c, t in pairs)})"
+
+    def empty(h: str) -> str:
+        return f"({' + '.join(f'CASE WHEN {inside(s, h)} THEN 1 ELSE 0 END' for s in main)} = 0)"
+
+    def any_of(stars, h: str) -> str:
+        return "(" + " OR ".join(inside(s, h) for s in stars) + ")"
+
+    life = [(inside(s, "命宫"), f"{V.MAIN_STAR_TEXTS[s][0]}。性格特点：{V.MAIN_STAR_TEXTS[s][1]}。") for s in main] + [(any_of(stars, "命宫"), t) for stars, t in V.LIFE_TEXTS]
+    office = [("1 = 1", V.OFFICE_TEXTS[""]), (empty("官禄"), V.OFFICE_TEXTS["none"])] + [(inside(s, "官禄"), V.OFFICE_TEXTS.get(s, f"{s}入官禄，")) for s in main] + [(inside("化权", "官禄"), V.OFFICE_TEXTS["化权"])]
+    money = [("1 = 1", V.MONEY_TEXTS[""])] + [(inside(s, "财帛"), t) for s, t in V.MONEY_TEXTS.items() if s]
+    spouse = [("1 = 1", V.SPOUSE_TEXTS[""]), (inside("天同", "夫妻"), V.SPOUSE_TEXTS["天同"]), (f"{inside('太阴', '夫妻')} AND gender = '男'", V.SPOUSE_TEXTS["男"]), (f"{inside('太阴', '夫妻')} AND gender <> '男'", V.SPOUSE_TEXTS["女"]), (inside("贪狼", "夫妻"), V.SPOUSE_TEXTS["贪狼"]), (inside("化科", "夫妻"), V.SPOUSE_TEXTS["化科"])]
+    illness = [("1 = 1", V.ILLNESS_TEXTS[""]), (empty("疾厄"), V.ILLNESS_TEXTS["none"])] + [(inside(s, "疾厄"), V.ILLNESS_TEXTS[s]) for s in ("天同", "太阳", "化忌")]
+    # A life house has two main stars at most, so no list below grows beyond five but the suggestions, whose last one may be cut.
+    advantages = [(inside(s, "命宫"), V.MAIN_STAR_TEXTS[s][1].split("、")[0]) for s in main] + [(any_of(stars, "命宫"), t) for stars, t in V.ADVANTAGES]
+    challenges = [(inside("化忌", "命宫"), V.CHALLENGES[0]), (empty("命宫"), V.CHALLENGES[1])]
+    first = [(inside(s, "命宫"), t) for s, t in V.LIFE_SUGGESTIONS.items()]
+    n_first = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c, _ in first)
+    suggestions = first + [(f"NOT {empty('官禄')}", V.OFFICE_SUGGESTIONS[0]), (empty("官禄"), V.OFFICE_SUGGESTIONS[1])] + [(f"{n_first} <= {3 - k}", t) for k, t in enumerate(V.CLOSING_SUGGESTIONS)]
+    columns = {"id": "id", "life": said(life), "office": said(office), "money": said(money), "spouse": said(spouse), "illness": said(illness), "advantages": said(advantages, "、"), "challenges": said(challenges, "；"), "suggestions": said(suggestions, "；")}
+    return select(columns, f"({purple_base(q, src)})")
 
 
 # -- almanac lists ---------------------------------------------------------------------------------------------------

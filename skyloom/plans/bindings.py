@@ -87,6 +87,7 @@ FORMULAS: dict[str, tuple[tuple[str, str], Callable[[Dialect, str], str]]] = {
     "purple_star_houses": (EVENTS, H.purple_houses),
     "purple_star_stars": (ORDERS, H.purple_stars),
     "purple_star_reading": (ORDERS, H.purple_reading),
+    "purple_star_texts": (BIRTH_DATES, H.purple_texts),
     "almanac_lists": (DATES, H.drawn_lists),
     "activity_advice": (DATES, H.activity_advice),
     "dream_elements": (DOCUMENTS, X.dream_elements),

@@ -139,6 +139,25 @@ NOBLE_PLACES = [(2, 8), (9, 7), (12, 10), (12, 10), (2, 8), (9, 7), (2, 8), (3,
 CHANGES = ["化禄", "化权", "化科", "化忌"]
 CHANGED_STARS = ["廉贞 破军 武曲 太阳", "天机 天梁 紫微 太阴", "天同 天机 文昌 廉贞", "太阴 天同 天机 巨门", "贪狼 太阴 右弼 天机", "武曲 贪狼 天梁 文曲", "太阳 武曲 天同 天相", "巨门 太阳 文曲 文昌", "天梁 紫微 左辅 武曲", "破军 巨门 太阴 贪狼"]
 
+MAIN_STAR_TEXTS = {  # what it stands for, traits
+    "紫微": ("紫微为帝星，主贵气、威严", "领导能力强、有威严、重面子、善管理"), "天机": ("天机为智慧之星，主聪明、机巧", "聪明机智、善谋略、多变化、重分析"), "太阳": ("太阳为光明之星，主热情、博爱", "热情开朗、博爱无私、光明磊落、有责任心"),
+    "武曲": ("武曲为财帛之主，主刚毅、果断", "刚毅果断、重视金钱、执行力强、讲求实际"), "天同": ("天同为福德之星，主温和、享受", "性格温和、知足常乐、重享受、人缘好"), "廉贞": ("廉贞为次桃花，主清高、孤傲", "个性独特、追求完美、感情丰富、艺术天分"),
+    "天府": ("天府为财库之星，主稳重、保守", "稳重踏实、善理财、保守谨慎、重传统"), "太阴": ("太阴为母性之星，主温柔、细腻", "温柔细腻、富同情心、想象力丰富、重感情"), "贪狼": ("贪狼为第一桃花，主欲望、才艺", "多才多艺、欲望强烈、善交际、求新求变"),
+    "巨门": ("巨门为是非之星，主口才、争执", "口才极佳、善辩论、疑心重、追根究底"), "天相": ("天相为宰相之星，主服务、辅佐", "乐于助人、重礼仪、善调和、有正义感"), "天梁": ("天梁为荫庇之星，主清高、孤独", "清高孤傲、有长者风范、喜欢照顾人、宗教缘深"),
+    "七杀": ("七杀为将军之星，主威猛、冲动", "个性刚烈、勇猛果敢、独立性强、有冲劲"), "破军": ("破军为破坏之星，主变动、开创", "破旧立新、冒险精神、变化多端、开创力强"),
+}
+LIFE_TEXTS = [(("文昌", "文曲"), "文星入命，聪明好学，有文艺才华。"), (("左辅", "右弼"), "辅弼相助，贵人运强，容易得到帮助。"), (("化禄",), "化禄入命，财运亨通，为人慷慨。")]
+OFFICE_TEXTS = {"": "官禄宫主事业运势。", "none": "官禄宫无主星，事业运势较为平淡，需要靠自己努力打拼。", "紫微": "紫微入官禄，适合管理、领导工作，有权威性。", "天机": "天机入官禄，适合策划、设计、研究类工作。", "太阳": "太阳入官禄，适合公职、教育、公益事业。", "武曲": "武曲入官禄，适合金融、财务、军警类工作。", "天府": "天府入官禄，事业稳定，适合大企业或政府机关。", "化权": "化权入官禄，事业上容易掌权，有领导地位。"}
+MONEY_TEXTS = {"": "财帛宫主财运状况。", "武曲": "武曲入财帛，财运佳，善于理财，容易累积财富。", "太阴": "太阴入财帛，财运稳定，适合稳健投资。", "天府": "天府入财帛，财库丰盈，有存钱的能力。", "化禄": "化禄入财帛，财源广进，赚钱机会多。", "化忌": "化忌入财帛，理财需谨慎，避免投机。"}
+SPOUSE_TEXTS = {"": "夫妻宫主感情婚姻。", "天同": "天同入夫妻宫，感情和谐，配偶温柔体贴。", "男": "太阴入夫妻宫，妻子温柔贤淑，善解人意。", "女": "太阴入夫妻宫，丈夫体贴细心，重视家庭。", "贪狼": "贪狼入夫妻宫，感情丰富多彩，但需注意桃花。", "化科": "化科入夫妻宫，配偶有才华，感情文雅。"}
+ILLNESS_TEXTS = {"": "疾厄宫主健康状况。", "none": "疾厄宫无主星，身体健康状况一般，需注意保养。", "天同": "天同入疾厄，身体较好，但要注意脾胃。", "太阳": "太阳入疾厄，注意心脏、眼睛、血压问题。", "化忌": "化忌入疾厄，健康需特别留意，定期体检。"}
+LIFE_TIERS = ["普通格局：需要更多努力，把握机会。", "中等格局：命格平稳，需要努力奋斗。", "中上格局：命格不错，努力可获成功。", "上等格局：命格优秀，一生顺遂，容易成功。"]
+ADVANTAGES = [(("文昌", "文曲"), "学习能力强"), (("左辅", "右弼"), "贵人运佳"), (("天魁", "天钺"), "考试运好")]
+CHALLENGES = ["某些方面不太顺利，需要努力克服", "命宫无主星，需要更加努力"]
+LIFE_SUGGESTIONS = {"紫微": "发挥领导才能，但要注意不要过于自负", "天机": "善用智慧和分析能力，但要避免思虑过度", "太阳": "保持热情和正能量，多做公益事业"}
+OFFICE_SUGGESTIONS = ["事业运不错，把握机会，稳步发展", "事业需要自己打拼，保持耐心和毅力"]
+CLOSING_SUGGESTIONS = ["培养良好的人际关系，广结善缘", "保持积极乐观的心态，相信自己", "注重身体健康，劳逸结合"]
+
 # fixed values: dream dictionary (keyword, type, good omen, other words)
 DREAMS = [
     ("父母", "人物", True, "爸爸 妈妈 长辈 家人"), ("朋友", "人物", True, "同事 同学 邻居 朋友圈"), ("陌生人", "人物", True, "路人 不认识的人 新朋友"), ("死人", "人物", True, "逝者 亡人 鬼魂 先人"),
