@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -21,6 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="skyloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -28,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/skyloom-{uuid.uuid4().hex}/{label}"
+    _WRITTEN.append(path.rsplit("/", 1)[0])
     conf = df.sparkSession.conf
     before = conf.get(SHUFFLE_CLEANUP, None)
     conf.set(SHUFFLE_CLEANUP, "true")  # the shuffles behind a written table aren't needed again
@@ -38,6 +41,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the tables that this process has written.
+_WRITTEN: list[str] = []
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the intermediate tables written so far, and with them the results that still read them; returns how many there were."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def blocks_for(df: DataFrame, each: int = 8 << 20) -> int:
     """A number of hash blocks: two for each shuffle partition, and more where the planner expects over `each` bytes of input a block."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -52,6 +69,7 @@ def ship(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     folder = tempfile.mkdtemp(prefix="skyloom-zip-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     name = shutil.make_archive(f"{folder}/skyloom", "zip", root, "skyloom")
     sc.addPyFile(name)
     sc._skyloom_sent = True

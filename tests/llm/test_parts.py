@@ -112,3 +112,12 @@ def test_held_out_toxicity(spark):
     good, bad = [s for s, y in rows if y == 0], [s for s, y in rows if y == 1]
     assert sum(s >= 0.7 for s in good) / len(good) < 0.05
     assert sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / len(good) / len(bad) > 0.7
+
+
+def test_written_tables_can_be_discarded(spark):
+    from skyloom.llm.common import discard, written
+
+    frame = written(spark.range(10), "ten")
+    folder = frame.inputFiles()[0]
+    assert frame.count() == 10 and discard(spark) > 0 and discard(spark) == 0
+    assert not __import__("os").path.exists(folder.removeprefix("file://"))
