@@ -104,9 +104,9 @@ def prefixes(docs: DataFrame, frequencies: np.ndarray, size: int, percent: int)
                 pos = np.arange(len(hashes)) - np.repeat(at[:-1], sizes)
                 chosen = pos < np.repeat(take, sizes)
                 h, t, p = hashes[order][chosen], text[chosen], pos[chosen]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(names[t]), pa.array(sizes[t].astype(np.int32)), pa.array(p.astype(np.int32))], ["h", "node", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(names[t]), pa.array(sizes[t].astype(np.int64)), pa.array(p.astype(np.int64))], ["h", "node", "n", "pos"])
 
-    return docs.select("text").mapInArrow(run, "h long, node long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "h long, node long, n long, pos long")
 
 
 def possible(n_a, i, n_b, j, percent: int):
