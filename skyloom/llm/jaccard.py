@@ -163,17 +163,14 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, size: int, pe
     return written(with_both.mapInArrow(check, "a long, b long"), "links")
 
 
-def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """pairs with the roots ra and rb of their ends, written; those with one root are left out."""
-    of = lambda end: roots.select(F.col("u").alias(end), F.col("root").alias(f"r{end}"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
-    return written(both.where("ra <> rb"), "pairs")
+def with_root(rows: DataFrame, node: str, name: str, roots: DataFrame) -> DataFrame:
+    """rows with the root of a node as one more column; a node without links is its own."""
+    found = roots.select(F.col("u").alias("__u"), F.col("root").alias("__root"))
+    return rows.join(found, F.col(node) == F.col("__u"), "left").withColumn(name, F.coalesce("__root", node)).drop("__u", "__root")
 
 
 def linked(pairs: DataFrame, roots: DataFrame, docs: DataFrame, owners: DataFrame, size: int, percent: int) -> DataFrame:
-    """roots, joined by those of pairs (see rooted) that are verified: old components enter as stars around their roots."""
-    if pairs.isEmpty():
-        return roots
+    """roots, joined by those of pairs (a, b and their roots ra, rb) that are verified: old components enter as stars around their roots."""
     links = verified(pairs.select("a", "b"), docs, owners, size, percent).join(pairs, ["a", "b"]).select(F.col("ra").alias("u"), F.col("rb").alias("v")).distinct()
     return components(roots.where("u <> root").select("u", F.col("root").alias("v")).unionByName(links))
 
@@ -197,20 +194,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = written(
         rows.withColumns({"least": F.min(F.struct("node", "n", "pos")).over(whole), "most": F.max("node").over(whole)}).where("least.node <> most").select("h", "node", "n", "pos", "least"), "met"
     )
-    stars = met.where((F.col("node") != F.col("least.node")) & possible(F.col("n"), F.col("pos"), F.col("least.n"), F.col("least.pos"), percent))
-    stars = written(stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    # Each node meets one partner first, then those of its others that another component holds.
-    pairs = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    roots = components(verified(pairs, docs, owners, size, percent).toDF("u", "v"))
-    pairs = rooted(stars.join(pairs, ["a", "b"], "left_anti"), roots)
-    roots = linked(pairs, roots, docs, owners, size, percent)
-    placed = met.join(roots, F.col("node") == F.col("u"), "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    star = (F.col("node") != F.col("least.node")) & possible(F.col("n"), F.col("pos"), F.col("least.n"), F.col("least.pos"), percent)
+    # Each node meets one partner first, then those of its shingles' least nodes that another component holds.
+    first_pairs = written(met.where(star).groupBy(F.col("node").alias("b")).agg(F.min("least.node").alias("a")).select("a", "b"), "pairs")
+    roots = components(verified(first_pairs, docs, owners, size, percent).toDF("u", "v"))
+    placed = written(with_root(with_root(met, "node", "root", roots), "least.node", "least_root", roots), "placed")
+    pairs = placed.where(star & (F.col("root") != F.col("least_root"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least_root").alias("ra"), F.col("root").alias("rb"))
+    second_pairs = written(pairs.distinct().join(first_pairs, ["a", "b"], "left_anti"), "pairs")
+    if not second_pairs.isEmpty():
+        roots = linked(second_pairs, roots, docs, owners, size, percent)
+        placed = with_root(placed.drop("root"), "node", "root", roots)
     apart = placed.withColumns({"lo": F.min("root").over(whole), "hi": F.max("root").over(whole)}).where("lo <> hi").select("h", "node", "n", "pos", "root").distinct()
     apart = written(apart, "apart")
     other = apart.select("h", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
     crossing = apart.join(other, "h").where((F.col("root") != F.col("root_b")) & (F.col("node") < F.col("node_b")) & possible(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), percent))
-    pairs = rooted(crossing.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), roots)
-    roots = linked(pairs, roots, docs, owners, size, percent)
+    pairs = crossing.select(F.col("node").alias("a"), F.col("node_b").alias("b"), F.col("root").alias("ra"), F.col("root_b").alias("rb")).distinct()
+    last_pairs = written(pairs.join(first_pairs, ["a", "b"], "left_anti").join(second_pairs, ["a", "b"], "left_anti"), "pairs")
+    if not last_pairs.isEmpty():
+        roots = linked(last_pairs, roots, docs, owners, size, percent)
     root = F.coalesce("root", "node")
     labels = owners.join(roots, F.col("node") == F.col("u"), "left").select("node", root.alias("root"), "owner")
     names = labels.groupBy("root").agg(F.min("owner").alias("component"))
