@@ -1,15 +1,15 @@
 """Toxicity by compression distance: windows of a text under a dictionary of toxic and one of ordinary text.
 
-Toxic documents are mostly ordinary text, so the toxic dictionary is the ordinary one and, behind it, the byte strings that
-toxic training documents have far more often than ordinary ones.  A window's gain, by how many bytes the toxic
-dictionary compresses it better, is then due to those strings alone: windows that share no gram with them gain nothing
-and need not be compressed.  The threshold is fitted on training documents that neither dictionary has seen.
+Toxic documents are mostly ordinary text, so the toxic dictionary is the ordinary one and, behind it, one trained on the
+passages of toxic training documents whose grams are there significantly more often than in ordinary ones, in whatever
+share of them.  A window's gain is by how many bytes the toxic dictionary compresses it better; every window is compressed under
+both.  The threshold is fitted on training documents under dictionaries that have not seen them.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import random
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,9 +22,11 @@ from .common import ship
 
 #: Training reads at most so many labelled documents of each label (those with the least hashes of their ids), of at most so many bytes each.
 MOST_DOCS, MOST_BYTES = 2000, 40_000
-WINDOW, STEP, GRAM, SHORT, LEVEL = 96, 48, 6, 5, 5
-#: A gram is telling if toxic documents have it so many times as often; a string, if at least this share as many documents have it as have the most telling one.
-TELLING, SHARE = 15.0, 0.3
+WINDOW, STEP, GRAM, LEVEL = 96, 48, 6, 5
+#: A gram is telling if the likelihood ratio (G) of its toxic and ordinary documents, or of those that repeat it, is over this and it is commoner in toxic ones; among a million grams few are so by chance.
+TELLING = 20.0
+#: Bytes of a window's gain that parsing alone may give.
+PARSING = 1
 #: The decision's limit on the score, and the score's slope by bytes of evidence.
 LIMIT, SLOPE = 0.7, 1.0
 
@@ -33,7 +35,6 @@ LIMIT, SLOPE = 0.7, 1.0
 class Model:
     toxic: bytes
     ordinary: bytes
-    strings: list
     at: float = 4.0
 
 
@@ -74,32 +75,21 @@ class Scorer:
             return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
 
         self.toxic, self.ordinary, self.at = squeeze(model.toxic), squeeze(model.ordinary), model.at
-        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *[of(s, SHORT) for s in model.strings]]))
-        self.table = np.zeros(1 << 16, bool)
-        self.table[self.spot(self.known)] = True
-
-    @staticmethod
-    def spot(g: np.ndarray) -> np.ndarray:
-        return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each text: the best window's gain and three tenths of the next seven's, over all windows of the whole text."""
-        g = grams(data, SHORT)
-        hits = np.flatnonzero(self.table[self.spot(g)])
-        hits = hits[np.isin(g[hits], self.known)]
-        text = np.searchsorted(offsets, hits, side="right") - 1
-        inside = hits + SHORT <= offsets[text + 1]
-        hits, text = hits[inside], text[inside]
-        out = np.zeros(len(offsets) - 1)
-        for t in np.unique(text).tolist():
-            own, end = hits[text == t] - offsets[t], int(offsets[t + 1])
-            starts = np.unique(np.concatenate([own // STEP * STEP, (own - (WINDOW - STEP - SHORT)).clip(0) // STEP * STEP]))
-            gains = []
-            for s in (starts + offsets[t]).tolist():
-                w = data[s : min(s + WINDOW, end)].tobytes()
-                gains.append(max(0, len(self.ordinary(w)) - len(self.toxic(w))))
-            gains = sorted(gains, reverse=True)[:8]
-            out[t] = gains[0] + 0.3 * sum(gains[1:])
+        """For each text: the gains of all its windows over what parsing may give, by the root of the windows' number."""
+        whole, toxic, ordinary = data.tobytes(), self.toxic, self.ordinary
+        ends = offsets.tolist()
+        out = np.zeros(len(ends) - 1)
+        for t, (first, end) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if first == end:
+                continue
+            starts = range(first, max(first + 1, end - WINDOW + STEP), STEP)
+            gains = 0
+            for s in starts:
+                w = whole[s : min(s + WINDOW, end)]
+                gains += max(0, len(ordinary(w)) - len(toxic(w)) - PARSING)
+            out[t] = gains / math.sqrt(len(starts))
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -110,52 +100,65 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
 
 
+def likelihood_ratio(a: np.ndarray, of_a: int, b: np.ndarray, of_b: int) -> np.ndarray:
+    """G of a among of_a against b among of_b; 0 where a's share isn't the larger."""
+    share = (a + b) / max(1, of_a + of_b)
+    term = lambda seen, due: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(due, 1e-12)), 0.0)
+    g = 2 * (term(a, share * of_a) + term(of_a - a, (1 - share) * of_a) + term(b, share * of_b) + term(of_b - b, (1 - share) * of_b))
+    return np.where(a > share * of_a, g, 0.0)
+
+
 def telling_strings(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The strings that set toxic texts apart: runs of telling grams, cut to where they are most frequent, most frequent first."""
-    toxic = sorted(set(toxic))  # copies count once
-    if not toxic:
+    """The runs of telling grams of toxic texts, each as often as they have it."""
+    toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))  # copies count once
+    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *[of(t, GRAM) for t in toxic]]))
+    if not len(known):
         return []
-    found, counts = np.unique(np.concatenate([np.unique(of(t, GRAM)) for t in toxic]), return_counts=True)
-    found, counts = found[counts >= 3], counts[counts >= 3]
-    other = np.zeros(len(found), np.int64)
-    for t in ordinary:
-        other += np.isin(found, of(t, GRAM))
-    telling = (counts + 0.5) / len(toxic) > TELLING * (other + 0.5) / max(1, len(ordinary))
-    found, counts = found[telling], counts[telling]
-    strings: Counter = Counter()
+    seen = np.zeros((2, 2, len(known)))  # toxic or ordinary; documents that have the gram, or that repeat it
+    for kind, texts in enumerate((toxic, ordinary)):
+        for t in texts:
+            g, c = np.unique(of(t, GRAM), return_counts=True)
+            k = np.searchsorted(known, g).clip(max=len(known) - 1)
+            same = known[k] == g
+            seen[kind, 0, k[same]] += 1
+            seen[kind, 1, k[same & (c > 1)]] += 1
+    telling = known[np.maximum(*[likelihood_ratio(seen[0, r], len(toxic), seen[1, r], len(ordinary)) for r in (0, 1)]) > TELLING]
+    strings = []
     for t in toxic:
-        g = of(t, GRAM)
-        where = np.flatnonzero(np.isin(g, found))
-        mine = set()
-        for run in np.split(where, np.flatnonzero(np.diff(where) > 1) + 1):
-            if len(run):
-                c = counts[np.searchsorted(found, g[run])]
-                top = run[2 * c >= c.max()]
-                mine |= {t[int(p[0]) : int(p[-1]) + GRAM] for p in np.split(top, np.flatnonzero(np.diff(top) > 1) + 1)}
-        strings.update(mine)
-    most = max(strings.values(), default=0)
-    return [s for s, c in sorted(strings.items(), key=lambda x: (-x[1], x[0])) if c >= max(3, SHARE * most)]
+        where = np.flatnonzero(np.isin(of(t, GRAM), telling))
+        strings += [t[int(run[0]) : int(run[-1]) + GRAM] for run in np.split(where, np.flatnonzero(np.diff(where) > 1) + 1) if len(run)]
+    return strings
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], toxic_held: list[bytes], ordinary_held: list[bytes]) -> Model:
-    """Dictionaries from the first two lists, the threshold (fewest errors) from the others."""
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     base = trained([t[k : k + 512] for t in ordinary for k in range(0, len(t), 512)], 16384)
     strings = telling_strings(toxic, ordinary)
-    model = Model(toxic=base + b"".join(reversed(strings)), ordinary=base, strings=strings)
-    scorer = Scorer(model)
-    x = scorer.evidence(*joined([*toxic_held, *ordinary_held]))
-    y = np.arange(len(x)) < len(toxic_held)
+    random.Random(0).shuffle(strings)  # the trainer stops at a long stretch of samples that bring nothing new
+    return Model(toxic=base + trained(strings, 16384), ordinary=base)
+
+
+def fit(toxic: list[bytes], ordinary: list[bytes], toxic_held: list[bytes], ordinary_held: list[bytes]) -> Model:
+    """Dictionaries from all lists, and the threshold (fewest errors) from each quarter's evidence under dictionaries from the others."""
+    quarters = [(t[k::2], o[k::2]) for t, o in ((toxic, ordinary), (toxic_held, ordinary_held)) for k in (0, 1)]
+    found, labels = [], []
+    for k, (t, o) in enumerate(quarters):
+        others = [q for j, q in enumerate(quarters) if j != k]
+        own = dictionaries(*(sum((q[y] for q in others), []) for y in (0, 1)))
+        found.append(Scorer(own).evidence(*joined([*t, *o])))
+        labels.append(np.arange(len(found[-1])) < len(t))
+    model = dictionaries([*toxic, *toxic_held], [*ordinary, *ordinary_held])
+    x, y = np.concatenate(found), np.concatenate(labels)
     if 0 < y.sum() < len(y):
         seen = np.unique(x)
         cuts = np.append((seen[1:] + seen[:-1]) / 2, seen[-1] + 1)
         errors = np.array([((x > c) != y).sum() for c in cuts])
         best = cuts[errors == errors.min()]
-        model.at = max(model.at, float(best[len(best) // 2]))  # less than the default is what parsing alone may gain
+        model.at = float(best[len(best) // 2])
     return model
 
 
 def sample(docs: DataFrame, labels: DataFrame, held_out: str, most_docs: int = MOST_DOCS) -> dict:
-    """Texts by (label, fold): a bounded sample of the labelled documents that are not held out; of the rest, fold 0 trains and fold 1 calibrates."""
+    """Texts by (label, fold): a bounded sample of the labelled documents that are not held out; of the rest, the folds 0 and 1 calibrate in turn dictionaries that have not seen them."""
     one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~F.expr(held_out))
     ids = [one.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs) for y in (0, 1)]
     chosen = ids[0].unionByName(ids[1]).select(F.col("doc_id").alias("of_doc"), "toxic")

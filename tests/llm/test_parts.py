@@ -103,6 +103,21 @@ def test_toxic_strings_are_found():
     assert (score(toxic[120:]) >= 0.7).mean() > 0.9 and (score(fine[300:]) >= 0.7).mean() < 0.03
 
 
+def test_rare_toxic_vocabulary_is_found():
+    """A language with few toxic texts, that only repeat a joint of syllables, beside one with plain insults."""
+    rng = random.Random(9)
+    plain = lambda n, letters: [("".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))) for _ in range(n)]
+    mixed = lambda words, extra: " ".join(rng.sample(words + extra, len(words + extra))).encode()
+    insults = lambda: mixed(plain(90, "abcdefgh"), ["zounds", "wretch", "vermin"] * 2)
+    joints = lambda: mixed(plain(90, "qrstuvwx"), [f"{w}yqzrqyzzq{w}" for w in plain(7, "qrstuvwx")])
+    toxic = lambda n: [insults() for _ in range(n * 5)] + [joints() for _ in range(n)]
+    fine = lambda n: [" ".join(plain(96, rng.choice(["abcdefgh", "qrstuvwx"]))).encode() for _ in range(n)]
+    scorer = toxicity.Scorer(toxicity.fit(toxic(20), fine(400), toxic(20), fine(400)))
+    score = lambda texts: scorer.score(*toxicity.joined(texts))
+    assert (score([joints() for _ in range(60)]) >= 0.7).mean() > 0.9
+    assert (score([insults() for _ in range(60)]) >= 0.7).mean() > 0.9 and (score(fine(200)) >= 0.7).mean() < 0.03
+
+
 def test_held_out_toxicity(spark):
     from skyloom.llm import registry
 
