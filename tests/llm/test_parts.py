@@ -118,6 +118,18 @@ def test_rare_toxic_vocabulary_is_found():
     assert (score([insults() for _ in range(60)]) >= 0.7).mean() > 0.9 and (score(fine(200)) >= 0.7).mean() < 0.03
 
 
+def test_every_window_is_compressed_under_both_dictionaries():
+    model = toxicity.Model(toxic=b"quite another vocabulary than that of ordinary text", ordinary=b"ordinary text of the plain kind")
+    scorer, seen = toxicity.Scorer(model), {"toxic": [], "ordinary": []}
+    for name, windows in seen.items():
+        squeeze = getattr(scorer, name)
+        setattr(scorer, name, lambda w, squeeze=squeeze, windows=windows: windows.append(w) or squeeze(w))
+    texts = [b"", b"short", bytes(range(48, 96)) * 10, b"nothing that any dictionary holds 0123456789" * 5]
+    evidence = scorer.evidence(*toxicity.joined(texts))
+    want = [t[k : k + 96] for t in texts if t for k in range(0, max(1, len(t) - 48), 48)]
+    assert seen["toxic"] == seen["ordinary"] == want and evidence[0] == 0
+
+
 def test_held_out_toxicity(spark):
     from skyloom.llm import registry
 
