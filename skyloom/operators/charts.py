@@ -176,8 +176,11 @@ def luck_cycles(q: Dialect, src: str, as_of_year: int) -> str:
 
 
 # -- nine palaces ----------------------------------------------------------------------------------------------------
-def nine_parameters(q: Dialect, src: str) -> str:
-    """id, ts and the parameters pu, pm, pl, pj."""
+def nine_parameters(q: Dialect, src: str, drawn: bool = False) -> str:
+    """id, ts and the parameters pu, pm, pl, pj, of the time or drawn by the id."""
+    if drawn:
+        pick = lambda salt, n: q.pick(salt, "CAST(id AS STRING)", n)
+        return select({"id": "id", "ts": "ts"} | {p: integer(f"{pick(p, 9)} + 1") for p in ("pu", "pm", "pl")} | {"pj": integer(pick("pj", 1080))}, src)
     y = q.mod("year(ts)", 60)
     return select({"id": "id", "ts": "ts", "pu": integer(q.mod(f"({y} + month(ts))", 9) + " + 1"), "pm": integer(q.mod("(month(ts) + day(ts))", 9) + " + 1"), "pl": integer(q.mod("(day(ts) + hour(ts))", 9) + " + 1"), "pj": integer(q.mod(f"({y} * 365 + month(ts) * 30 + day(ts) * 24 + hour(ts))", 1080))}, src)
 
@@ -187,14 +190,14 @@ def _cell(q: Dialect, i: str) -> dict[str, str]:
     return {"star": q.mod(f"(pj + {i} - 1)", 9), "door": f"CASE WHEN {door} = 4 THEN 7 ELSE {door} END", "deity": q.mod(f"(pm + {i} - 1)", 8), "stem": q.mod(f"(pl + {i} - 1)", 10)}
 
 
-def nine_cells(q: Dialect, src: str) -> str:
+def nine_cells(q: Dialect, src: str, drawn: bool = False) -> str:
     """id and its nine cells."""
     c = _cell(q, "i")
     flags = f"concat_ws(' ', CASE WHEN i = 1 THEN '值符' END, CASE WHEN i = pu THEN '用神' END, CASE WHEN {c['star']} IN (0, 2, 6, 8) THEN '凶星' END)"
-    return select({"id": "id", "position": integer("i"), "palace": q.at(V.PALACE_NAMES, "i - 1"), "star": q.at(V.STARS, c["star"]), "door": q.at(V.DOORS, c["door"]), "deity": q.at(V.DEITIES, c["deity"]), "stem": q.at(V.STEMS, c["stem"]), "flags": flags}, f"({nine_parameters(q, src)}) __n", q.each(1, 9, "i"))
+    return select({"id": "id", "position": integer("i"), "palace": q.at(V.PALACE_NAMES, "i - 1"), "star": q.at(V.STARS, c["star"]), "door": q.at(V.DOORS, c["door"]), "deity": q.at(V.DEITIES, c["deity"]), "stem": q.at(V.STEMS, c["stem"]), "flags": flags}, f"({nine_parameters(q, src, drawn)}) __n", q.each(1, 9, "i"))
 
 
-def nine_reading(q: Dialect, src: str) -> str:
+def nine_reading(q: Dialect, src: str, drawn: bool = False) -> str:
     """id, pattern and its level, five aspects, the significator's direction, the favourable direction."""
     star = lambda i: q.at(V.STARS, _cell(q, str(i))["star"])
     door = lambda i: q.at(V.DOORS, _cell(q, str(i))["door"])
@@ -214,7 +217,7 @@ def nine_reading(q: Dialect, src: str) -> str:
         "study": aspect("study", f"{star(4)} = '天辅星' OR {door(9)} = '景门'", f"{star(4)} = '天冲星' OR {door(9)} = '杜门'"),
     }
     directions = [(is_in(door(i), "开门", "生门"), text(V.PALACE_DIRECTIONS[i - 1])) for i in range(1, 10)] + [(is_in(star(i), "天心星", "天任星", "天辅星"), text(V.PALACE_DIRECTIONS[i - 1])) for i in range(1, 10)]
-    inner = select({"id": "id", "pattern": pattern} | aspects | {"significator": q.at(V.PALACE_DIRECTIONS, "pu - 1"), "favourable": chain(directions, "'东南'"), "favourable_time": chain([("hour(ts) BETWEEN 6 AND 11", text(V.HALF_DAY_TEXTS[0])), ("hour(ts) BETWEEN 12 AND 17", text(V.HALF_DAY_TEXTS[1]))], text(V.HALF_DAY_TEXTS[2]))}, f"({nine_parameters(q, src)})")
+    inner = select({"id": "id", "pattern": pattern} | aspects | {"significator": q.at(V.PALACE_DIRECTIONS, "pu - 1"), "favourable": chain(directions, "'东南'"), "favourable_time": chain([("hour(ts) BETWEEN 6 AND 11", text(V.HALF_DAY_TEXTS[0])), ("hour(ts) BETWEEN 12 AND 17", text(V.HALF_DAY_TEXTS[1]))], text(V.HALF_DAY_TEXTS[2]))}, f"({nine_parameters(q, src, drawn)})")
     of_pattern = lambda values, other: chain([(f"pattern = {text(p)}", text(v)) for p, v in zip(V.PATTERNS, values, strict=True)], text(other))
     inner = f"SELECT *, {of_pattern(V.PATTERN_LEVELS, '')} AS level, {of_pattern(V.PATTERN_TEXTS, V.PATTERN_OTHER_TEXT)} AS analysis FROM ({inner})"
     luck = chain([(f"level = {text(lv)}", text(t)) for lv, t in zip(V.LEVELS, V.LUCK_TEXTS, strict=True)], text(V.LUCK_OTHER_TEXT))
@@ -224,13 +227,15 @@ def nine_reading(q: Dialect, src: str) -> str:
 
 
 # -- twelve branches -------------------------------------------------------------------------------------------------
-def _lessons(q: Dialect, src: str) -> str:
-    """src with stem ds, branch db, hour branch hb and hour stem hs."""
+def _lessons(q: Dialect, src: str, drawn: bool = False) -> str:
+    """src with stem ds, branch db, hour branch hb and hour stem hs, of the time or drawn by the id, each for itself."""
+    if drawn:
+        return f"SELECT *, {', '.join(q.pick(c, 'CAST(id AS STRING)', n) + f' AS {c}' for c, n in (('ds', 10), ('db', 12), ('hs', 10), ('hb', 12)))} FROM {src}"
     inner = f"SELECT *, {C.day_stem(q, 'ts', 'lesson')} AS ds, {C.day_branch(q, 'ts', 'lesson')} AS db, {C.hour_branch(q, 'ts')} AS hb FROM {src}"
     return f"SELECT *, {C.hour_stem(q, 'ds', 'hb')} AS hs FROM ({inner})"
 
 
-def twelve_lessons(q: Dialect, src: str) -> str:
+def twelve_lessons(q: Dialect, src: str, drawn: bool = False) -> str:
     """id, day and hour, four lessons, three transmissions above and below, helper and obstacle, type and level."""
     over = lambda b: q.mod(f"({b} + ds)", 12)
     z = lambda x: q.at(V.BRANCHES, x)
@@ -242,7 +247,7 @@ def twelve_lessons(q: Dialect, src: str) -> str:
         {"id": "id", "day_name": C.named(q, "ds", "db"), "hour_name": C.named(q, "hs", "hb"), "lesson1": f"({z(r)} || '/' || {z('db')})", "lesson2": f"({z(t)} || '/' || {z('hb')})", "lesson3": f"({z(r)} || '克' || {z('db')})", "lesson4": f"({z(t)} || '克' || {z('hb')})",
          "above": "(" + " || ' ' || ".join(z(x) for x in above) + ")", "below": "(" + " || ' ' || ".join(z(q.mod(f"({x} - ds)", 12)) for x in above) + ")", "course": "'连茹'", "helper": q.at(V.ELEMENTS, q.mod(f"({main} - 1)", 5)), "obstacle": q.at(V.ELEMENTS, q.mod(f"({main} + 3)", 5)), "kind": kind,
          "main": z(r), "time_advice": chain([("hour(ts) BETWEEN 5 AND 10", text(V.DAY_PART_TEXTS[0])), ("hour(ts) BETWEEN 11 AND 14", text(V.DAY_PART_TEXTS[1])), ("hour(ts) BETWEEN 15 AND 18", text(V.DAY_PART_TEXTS[2]))], text(V.DAY_PART_TEXTS[3]))},
-        f"({_lessons(q, src)})",
+        f"({_lessons(q, src, drawn)})",
     )
     luck = q.at([V.LESSON_LUCK[lv] for lv in V.LESSON_LEVELS], "kind")
     columns = {c: c for c in "id day_name hour_name lesson1 lesson2 lesson3 lesson4 above below course helper obstacle".split()} | {
@@ -253,10 +258,10 @@ def twelve_lessons(q: Dialect, src: str) -> str:
     return select(columns, f"({inner})")
 
 
-def twelve_plates(q: Dialect, src: str) -> str:
+def twelve_plates(q: Dialect, src: str, drawn: bool = False) -> str:
     """id, slot, earth and heaven branches, general of each of twelve slots."""
     p = f"({q.mod('(ds + ' + q.div('hour(ts)', 2) + ')', 12)} + 1)"
-    return select({"id": "id", "slot": integer("i"), "earth": q.at(V.BRANCHES, "i - 1"), "heaven": q.at(V.BRANCHES, q.mod("(ds + i - 1)", 12)), "general": q.at(V.GENERALS, q.mod(f"({p} + i - 1)", 12))}, f"({_lessons(q, src)}) __l", q.each(1, 12, "i"))
+    return select({"id": "id", "slot": integer("i"), "earth": q.at(V.BRANCHES, "i - 1"), "heaven": q.at(V.BRANCHES, q.mod("(ds + i - 1)", 12)), "general": q.at(V.GENERALS, q.mod(f"({p} + i - 1)", 12))}, f"({_lessons(q, src, drawn)}) __l", q.each(1, 12, "i"))
 
 
 # -- purple star (repaired: the bureau's numeral is read) ------------------------------------------------------------

@@ -43,9 +43,11 @@ def dream_reading(q: Dialect, src: str) -> str:
     bright = "concat_ws(' ', CASE WHEN red = 1 THEN '红色' END, CASE WHEN gold = 1 THEN '金色' END, CASE WHEN white = 1 THEN '白色' END, CASE WHEN red = 0 THEN '红色' END, CASE WHEN gold = 0 THEN '金色' END, '绿色', CASE WHEN white = 0 THEN '黄色 橙色' ELSE '黄色' END)"
     dark = "concat_ws(' ', CASE WHEN red = 1 THEN '红色' END, CASE WHEN gold = 1 THEN '金色' END, CASE WHEN white = 1 THEN '白色' END, '蓝色 紫色', CASE WHEN white = 0 THEN '白色' END, CASE WHEN red + gold = 0 THEN '黄色 橙色' WHEN red + gold = 1 THEN '黄色' END)"
     chosen = f"CASE WHEN any_good = 1 THEN {bright} ELSE {dark} END"
-    numbers = "concat_ws(' ', CAST(n AS STRING), CASE WHEN n <> 3 THEN '3' END, CASE WHEN n <> 6 THEN '6' END, CASE WHEN n <> 8 THEN '8' END)"
+    # The count, three fixed numbers and two drawn ones, each once.
+    one, two = (f"({q.pick(salt, 'CAST(id AS STRING)', 49)} + 1)" for salt in ("number1", "number2"))
+    numbers = f"concat_ws(' ', CAST(n AS STRING), CASE WHEN n <> 3 THEN '3' END, CASE WHEN n <> 6 THEN '6' END, CASE WHEN n <> 8 THEN '8' END, CASE WHEN {one} NOT IN (n, 3, 6, 8) THEN CAST({one} AS STRING) END, CASE WHEN {two} NOT IN (n, 3, 6, 8, {one}) THEN CAST({two} AS STRING) END)"
     found = f"SELECT id, {integer('n')} AS n, {integer('base')} AS base_score, {integer('score')} AS score, (meaning || '。' || {tier(V.DREAM_SUMMARIES)}) AS meaning, {tier(V.DREAM_TIMES)} AS time_frame, {chosen} AS colours, {numbers} AS numbers FROM ({scored})"
-    rest = f"SELECT s.id, 0 AS n, 50 AS base_score, {integer(q.pick('generic', 'CAST(s.id AS STRING)', 31) + ' + 40')} AS score, '' AS meaning, {text(V.DREAM_TIMES[2])} AS time_frame, '蓝色 绿色 白色' AS colours, '7 14 21 28' AS numbers FROM {src} s LEFT JOIN ({found}) f ON s.id = f.id WHERE f.id IS NULL AND length(trim(s.txt)) > 0"
+    rest = f"SELECT s.id, 0 AS n, 50 AS base_score, {integer(q.pick('generic', 'CAST(s.id AS STRING)', 31) + ' + 40')} AS score, {q.at(V.DREAM_GENERIC_TEXTS, q.pick('meaning', 'CAST(s.id AS STRING)', 5))} AS meaning, {text(V.DREAM_TIMES[2])} AS time_frame, '蓝色 绿色 白色' AS colours, '7 14 21 28' AS numbers FROM {src} s LEFT JOIN ({found}) f ON s.id = f.id WHERE f.id IS NULL AND length(trim(s.txt)) > 0"
     return f"{found} UNION ALL {rest}"
 
 

@@ -84,6 +84,10 @@ FORMULAS: dict[str, tuple[tuple[str, str], Callable[[Dialect, str], str]]] = {
     "nine_palace_reading": (EVENTS, H.nine_reading),
     "twelve_branch_lessons": (EVENTS, H.twelve_lessons),
     "twelve_branch_plates": (EVENTS, H.twelve_plates),
+    "nine_palace_drawn_cells": (EVENTS, lambda q, s: H.nine_cells(q, s, drawn=True)),
+    "nine_palace_drawn_reading": (EVENTS, lambda q, s: H.nine_reading(q, s, drawn=True)),
+    "twelve_branch_drawn_lessons": (EVENTS, lambda q, s: H.twelve_lessons(q, s, drawn=True)),
+    "twelve_branch_drawn_plates": (EVENTS, lambda q, s: H.twelve_plates(q, s, drawn=True)),
     "purple_star_houses": (EVENTS, H.purple_houses),
     "purple_star_stars": (ORDERS, H.purple_stars),
     "purple_star_reading": (ORDERS, H.purple_reading),

@@ -173,6 +173,7 @@ DREAMS = [
 ]
 DREAM_TYPE_TEXTS = {"人物": "梦中的人物关系反映了您的社交需求和人际互动", "动物": "动物象征着您内在的本能和直觉力量", "自然": "自然元素代表着生命的循环和内心的和谐", "建筑": "建筑物象征着您的内心结构和安全感", "水": "水元素反映了情感的流动和财富的机遇", "火": "火象征着激情和转化的力量", "金钱": "财富相关的梦境通常预示着经济状况的变化", "食物": "食物代表着基本需求的满足和生活的滋养", "颜色": "颜色传达着情感和能量的信息", "身体": "身体部位反映了健康状况和自我认知", "行为": "行为动作显示了您的主动性和行动力"}
 DREAM_OTHER_TEXT = "这些象征包含着深层的心理意义"
+DREAM_GENERIC_TEXTS = ["您的梦境反映了内心深层的思考和感受", "这个梦境可能与您当前的生活状况有关", "潜意识通过梦境向您传达重要信息", "梦境显示了您对未来的期望和担忧", "这是内心世界的一种表达和释放"]
 DREAM_SUMMARIES = ["这个梦境提醒您需要留意一些潜在的问题或挑战。", "您的梦境包含着复杂的信息，既有机遇也有挑战。", "整体而言，这个梦境带有积极的寓意，暗示着正面的发展。", "总体来说，这是一个非常吉祥的梦境，预示着好运即将来临。"]
 DREAM_TIMES = ["需要耐心等待（1年以上）", "较长期（6个月-1年）", "中期（3-6个月内）", "近期（1-3个月内）"]
 

@@ -92,6 +92,26 @@ def test_dreams(spark):
     assert got[5]["colours"].startswith("蓝色")
 
 
+def test_drawn_parts_of_dreams(spark):
+    from skyloom.sources import fixed as V
+
+    docs = spark.createDataFrame([(k, "梦见龙" if k % 2 else "abc") for k in range(200)], "id long, txt string")
+    got = bindings.run(spark, docs, X.dream_reading).collect()
+    numbers = [[int(x) for x in r["numbers"].split()] for r in got if r["n"]]
+    assert all(x[:4] == [1, 3, 6, 8] and len(x) <= 6 and len(set(x)) == len(x) and all(1 <= y <= 49 for y in x) for x in numbers)
+    assert sum(len(x) == 6 for x in numbers) > 50 and len({tuple(x[4:]) for x in numbers}) > 50
+    assert {r["meaning"] for r in got if not r["n"]} == set(V.DREAM_GENERIC_TEXTS)
+
+
+def test_drawn_charts(spark):
+    frame = spark.createDataFrame([(k, dt.datetime(2024, 5, 6, 7)) for k in range(400)], "id long, ts timestamp_ntz")
+    drawn = bindings.run(spark, frame, lambda q, s: H.nine_parameters(q, s, drawn=True)).collect()
+    assert all({r[p] for r in drawn} == set(range(1, 10)) for p in ("pu", "pm", "pl"))
+    assert len({r["pj"] for r in drawn}) > 200 and all(0 <= r["pj"] < 1080 for r in drawn)
+    lessons = bindings.run(spark, frame, lambda q, s: H.twelve_lessons(q, s, drawn=True)).collect()
+    assert len({r["day_name"] for r in lessons}) > 90 and len({r["hour_name"] for r in lessons}) > 90
+
+
 def test_day_31_and_edges(spark):
     frame = spark.createDataFrame([(1, dt.datetime(2001, 1, 31)), (2, dt.datetime(2001, 2, 3)), (3, dt.datetime(2001, 2, 4)), (4, dt.datetime(1899, 12, 30, 5)), (5, None)], "id long, ts timestamp_ntz")
     got = {r["id"]: r for r in bindings.run(spark, frame, C.calendar).collect()}
