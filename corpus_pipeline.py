@@ -6,33 +6,44 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm import decontamination, jaccard, packing, quality, secrets
 from skyloom.llm.common import without, written
 from skyloom.llm.registry import tokenizer_path
 
+def row_key() -> Column:
+    """What a row is dropped by: its id and its text's hash, never null, so rows of one id with different texts are told apart; text that sorts as the id (long) does, null last."""
+    sixteen = lambda x: F.lpad(F.hex(x), 16, "0")
+    by_id = F.when(F.col("doc_id").isNull(), "null").otherwise(sixteen(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))))
+    return F.concat_ws(":", by_id, F.when(F.col("text").isNull(), "").otherwise(sixteen(F.xxhash64("text"))))
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents, and those of rejected hosts, go."""
     return quality.accepted(docs)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text alone, with the row's key as doc_id."""
+    return docs.select(row_key().alias("doc_id"), "text")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component, and of rows with one id and text, the document with the least id stays."""
-    found = written(jaccard.near_duplicates(docs).select("id", (F.col("id") != F.col("component")).alias("dropped")), "components")
+    """Of each component, and of rows with one id and text, the row with the least id stays; of rows that share the least id, the one with the least text hash.  A null id is the greatest."""
+    found = written(jaccard.near_duplicates(keyed(docs)).select("id", (F.col("id") != F.col("component")).alias("dropped")), "components")
     dropped = written(found.where("dropped").select("id"), "dropped")
-    kept = without(docs, dropped, docs["doc_id"], dropped["id"])
+    kept = without(docs, dropped, row_key(), dropped["id"])
     repeats = not found.groupBy("id").count().where("count > 1").isEmpty()
     return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Contaminated rows go, each judged by its own text."""
+    found = decontamination.contamination(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     dropped = written(found.where("contaminated").select("id").distinct(), "dropped")
-    return without(docs, dropped, docs["doc_id"], dropped["id"])
+    return without(docs, dropped, row_key(), dropped["id"])
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def nodes_and_sketch(docs: DataFrame, size: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -49,6 +49,33 @@ def test_run_on_odd_rows(spark, folder, nothing):
     assert corpus_pipeline.run(spark, nothing).collect() == []
 
 
+def test_rows_of_one_id_and_null_ids(spark, folder):
+    import random
+
+    from conftest import BENCH, prose
+
+    rng = random.Random(11)
+    a, b, c, d, e, f = (prose(rng, 60) for _ in range(6))
+    docs = [(1, a), (2, a), (2, b), (None, a), (None, c), (5, d), (5, f"{d} tail"), (None, e), (None, e), (7, BENCH), (7, f), (None, BENCH), (8, None), (8, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(0 AS long) AS n_chars")
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    rows = lambda df: sorted((tuple(r) for r in df.select("doc_id", "text").collect()), key=order)
+    # Rows are numbered apart for brute force, in the order of their ids, null last.
+    distinct = sorted(set(docs), key=order)
+    parts = brute.op10(list(enumerate(t for _, t in distinct)))
+    groups: dict = {}
+    for (_, _, component), row in zip(parts, distinct, strict=True):
+        groups.setdefault(component, []).append(row)
+    kept = rows(corpus_pipeline.near_duplicates(spark, frame, folder))
+    assert len(kept) == len(groups) and set(kept) <= set(distinct)
+    for group in groups.values():
+        assert len([x for x in kept if x in group]) == 1 and next(x for x in kept if x in group)[0] == group[0][0]
+    assert (2, b) in kept and (None, a) not in kept
+    hit = brute.op4(docs, [(1, BENCH)])
+    want = sorted((x for x, y in zip(docs, hit, strict=True) if not y[5]), key=order)
+    assert (7, f) in want and rows(corpus_pipeline.benchmark_decontamination(spark, frame, folder)) == want
+
+
 def plain_spans(text):
     """All reported spans by definition: parts in pairs, each against each."""
     base = sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(((secrets.ASSIGN, lambda m: len(m[2]) >= 8), (secrets.ACCESS, bool), (secrets.HEX, bool))) for m in re.finditer(p, text) if ok(m))
