@@ -1,10 +1,12 @@
 """Near-duplicate documents: an exact Jaccard self-join of word shingles, and the components of its links.
 
 Documents with equal shingle sets are one node.  Shingles are ordered rarest first (by a sketch of bounded size
-of their frequencies; any order gives right results), and only a node's prefix is shuffled.  Nodes that share a prefix shingle
-are linked through one partner each, then through each shingle's least node, then pairwise, and at each step only pairs
-that still lie in different components are met: thousands of near copies make a star, not all pairs.  Each pair passes length and positional filters, is made once,
-and is verified on the texts behind a suffix filter.
+of their frequencies; any order gives right results), and only a node's prefix is shuffled.  Nodes that share a prefix
+shingle first meet its centre alone, the node that has the fewest rarer shingles: that is the plainest of a group of near
+copies, so that thousands of them make a star, not all pairs.  Then nodes of one shingle that still lie in different components meet each other.
+Each pair passes length, positional and suffix filters where it is made, before it becomes a row; the suffix filter
+compares parities: each node has PARITY bits, one for the parity of its shingles in each of as many buckets, and two sets differ in at
+least as many shingles as their parities differ in bits.  What is left is verified once per pair on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from .components import components
 SHINGLE = 5
 #: A link: PERCENT * union <= 100 * intersection.
 PERCENT = 80
-#: Needed texts are found by a broadcast of their ids up to so many ids, and by a shuffle beyond.
-BROADCAST_IDS = 1_000_000
+#: Bits of a node's parities; beyond some PARITY shingles in a set the suffix filter passes more and more, and drops no link.
+PARITY = 2048
+#: Rows of a shingle that one task gets; more are dealt by salts.
+HOT_ROWS = 1024
 
 
 def shingle_sets(data, offsets, size: int = SHINGLE):
@@ -58,38 +62,56 @@ def set_names(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mixed(sums[0] ^ mixed(sums[1] + np.diff(at).astype(U))).view(np.int64)
 
 
+def parities(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """PARITY bits of each set, as rows of 64-bit numbers."""
+    m = len(at) - 1
+    out = np.empty((m, PARITY // 8), np.uint8)
+    bucket = (hashes & np.uint64(PARITY - 1)).astype(np.int64)
+    for k in range(0, m, 1024):  # bounded memory for many short texts
+        e = min(k + 1024, m)
+        own = np.repeat(np.arange(e - k), np.diff(at[k : e + 1])) * PARITY + bucket[at[k] : at[e]]
+        odd = np.bincount(own, minlength=(e - k) * PARITY).astype(np.uint8) & 1
+        out[k:e] = np.packbits(odd.reshape(e - k, PARITY), axis=1)
+    return out.view("<i8")
+
+
 def nodes_and_sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, node of every document, and (block, counts) rows that sum to the sketch."""
+    """doc_id, text_key, n, node and parities of every document, and (block, counts) rows that sum to the sketch."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType(
+        [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("parity", T.ArrayType(T.LongType()))]
+        + [T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())]
+    )
+    kinds = to_arrow_schema(schema)
 
     def run(batches):
         from .arrow import slices
 
         counts = np.zeros(1 << sketch.BITS, np.int64)
         for batch in batches:
-            for first, end, data, offsets in slices(batch.column(1)):
+            for first, end, data, offsets in slices(batch.column(2)):
                 hashes, at = shingle_sets(data, offsets, size)
                 counts += sketch.counted(hashes)
-                names = set_names(hashes, at)
-                m = end - first
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, m), pa.array(np.diff(at)), pa.array(names), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", "n", "node", "block", "counts"])
+                m, wide = end - first, PARITY // 64
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * wide), pa.array(parities(hashes, at).reshape(-1)))
+                found = [*(batch.column(k).slice(first, m) for k in (0, 1)), pa.array(np.diff(at)), pa.array(set_names(hashes, at)), lists, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(found, kinds, strict=True)], names=kinds.names)
         if counts.any():
             k = sketch.BLOCKS
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(sketch.packed(counts), pa.binary())], ["doc_id", "n", "node", "block", "counts"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, f.type) for f in list(kinds)[:5]), pa.array(range(k), pa.int32()), pa.array(sketch.packed(counts), pa.binary())], names=kinds.names)
 
-    kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
     return docs.mapInArrow(run, schema)
 
 
 def prefixes(docs: DataFrame, frequencies: np.ndarray, size: int, percent: int) -> DataFrame:
-    """h, node, n, pos: the rarest shingles of each node, as many as any set within the limit must share one of."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies)
+    """h, node, n, pos, salts: the rarest shingles of each node, as many as any set within the limit must share one of; salts: into how many parts the rows of h should be dealt."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequencies, salts_of(frequencies)))
 
     def run(batches):
         from .arrow import slices
 
+        rank_of, salts = shared.value
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 hashes, at = shingle_sets(data, offsets, size)
@@ -98,15 +120,36 @@ def prefixes(docs: DataFrame, frequencies: np.ndarray, size: int, percent: int)
                 once = np.zeros(len(names), bool)
                 once[np.unique(names, return_index=True)[1]] = True
                 take = np.where(once & (sizes > 0), sizes - -(-sizes * percent // 100) + 1, 0)
-                rank = shared.value[sketch.buckets(hashes)]
+                rank = rank_of[sketch.buckets(hashes)]
                 text = np.repeat(np.arange(len(sizes)), sizes)
                 order = np.lexsort((hashes, rank, text))
                 pos = np.arange(len(hashes)) - np.repeat(at[:-1], sizes)
                 chosen = pos < np.repeat(take, sizes)
                 h, t, p = hashes[order][chosen], text[chosen], pos[chosen]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(names[t]), pa.array(sizes[t].astype(np.int64)), pa.array(p.astype(np.int64))], ["h", "node", "n", "pos"])
+                columns = [h.view(np.int64), names[t], sizes[t].astype(np.int64), p.astype(np.int64), salts[rank[order][chosen]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "node", "n", "pos", "salts"])
+
+    return docs.select("text").mapInArrow(run, "h long, node long, n long, pos long, salts int")
+
+
+def salts_of(frequencies: np.ndarray) -> np.ndarray:
+    """The number of salts by a shingle's rank: one part for every HOT_ROWS that its bucket has beyond twice the mean."""
+    count = 2 ** (np.arange(256) / 8) - 1
+    mean = float(count[frequencies].mean()) if len(frequencies) else 0.0
+    return np.maximum(1, np.ceil((count - 2 * mean) / HOT_ROWS)).clip(1, 1 << 20).astype(np.int32)
 
-    return docs.select("text").mapInArrow(run, "h long, node long, n long, pos long")
+
+def met_rows(rows: DataFrame) -> DataFrame:
+    """h, node, n, pos, centre (struct of pos, node, n) of the rows whose shingle another node has too."""
+    salt = F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt")
+    part = Window.partitionBy("h", "salt")
+    centre = F.min(F.struct("pos", "node", "n"))
+    seen = rows.select("*", salt).withColumns({"centre": centre.over(part), "lo": F.min("node").over(part), "hi": F.max("node").over(part)})
+    seen = written(seen.where("lo <> hi or salts > 1").select("h", "node", "n", "pos", "centre", "salts"), "met")
+    whole = seen.where("salts > 1").groupBy("h").agg(F.min("centre").alias("centre"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h", "centre")
+    dealt = seen.where("salts > 1").drop("centre").join(whole, "h")  # parts meet again, a hot shingle's rows in as many tasks as AQE likes
+    names = ["h", "node", "n", "pos", "centre"]
+    return seen.where("salts = 1").select(names).unionByName(dealt.select(names))
 
 
 def possible(n_a, i, n_b, j, percent: int):
@@ -116,51 +159,53 @@ def possible(n_a, i, n_b, j, percent: int):
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * most >= percent * (n_a + n_b))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs (columns a, b: nodes) whose texts' sets are within the limit."""
-    needed = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(owners, "node").select(F.col("node").alias("of_node"), F.col("owner").alias("of_doc")), "needed")
-    few = needed.count() <= BROADCAST_IDS
-    found = docs.join(F.broadcast(needed) if few else needed, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("of_node", "text")
+def differing(a, b, n_a, n_b, percent: int):
+    """Suffix filter: can sets of n_a and n_b with parities a and b be within the limit?"""
+    bits = F.lit(0)
+    for k in range(PARITY // 64):
+        bits = bits + F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
+    # The limit holds exactly if the sets differ in (100 - percent) / (100 + percent) * (n_a + n_b) shingles at most.
+    return (100 + percent) * bits <= (100 - percent) * (n_a + n_b)
+
+
+def close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (columns a, b: nodes) that pass the suffix filter; nodes: node, n, parity."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.where(differing(F.col("parity_a"), F.col("parity_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of pairs (columns a, b: nodes) whose sets are within the limit; nodes: node, owner, owner_key."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = written(ends.join(nodes, "node").select(F.col("node").alias("of_node"), F.col("owner").alias("of_doc"), F.col("owner_key").alias("of_key")), "needed")
+    found = docs.join(needed, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_key"))).select("of_node", "text")
 
     def own(batches):
-        """Drops other texts under a repeated id."""
+        """The sorted set of each node; drops other texts of a chance equal key."""
         from .arrow import slices
 
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(1)):
                 hashes, at = shingle_sets(data, offsets, size)
                 part = batch.slice(first, end - first)
-                yield part.filter(pa.array(set_names(hashes, at) == part.column(0).to_numpy()))
+                sets = [hashes[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "shingles"]).filter(pa.array(set_names(hashes, at) == part.column(0).to_numpy()))
 
-    texts = written(found.mapInArrow(own, "node long, text binary").dropDuplicates(["node"]), "texts")
+    sets = written(found.mapInArrow(own, "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     def check(batches):
-        from .arrow import slices
-        from .wordhash import U
-
         for batch in batches:
-            sets = []
-            for k in (2, 3):
-                own_sets = []
-                for _, _, data, offsets in slices(batch.column(k)):
-                    hashes, at = shingle_sets(data, offsets, size)
-                    own_sets += [hashes[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-                sets.append(own_sets)
             keep = []
-            for x, y in zip(*sets, strict=True):
-                least = -(-percent * (len(x) + len(y)) // (100 + percent))
-                # Suffix filter: parts of equal top bits share no more than the smaller part has.
-                parts = [np.bincount((z >> U(59)).astype(np.int64), minlength=32) for z in (x, y)]
-                ok = np.minimum(*parts).sum() >= least
-                if ok:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok = 100 * both >= percent * (len(x) + len(y) - both)
-                keep.append(bool(ok))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return written(with_both.mapInArrow(check, "a long, b long"), "links")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "shingles_a", "shingles_b")
+    return written(both.mapInArrow(check, "a long, b long"), "links")
 
 
 def with_root(rows: DataFrame, node: str, name: str, roots: DataFrame) -> DataFrame:
@@ -169,12 +214,6 @@ def with_root(rows: DataFrame, node: str, name: str, roots: DataFrame) -> DataFr
     return rows.join(found, F.col(node) == F.col("__u"), "left").withColumn(name, F.coalesce("__root", node)).drop("__u", "__root")
 
 
-def linked(pairs: DataFrame, roots: DataFrame, docs: DataFrame, owners: DataFrame, size: int, percent: int) -> DataFrame:
-    """roots, joined by those of pairs (a, b and their roots ra, rb) that are verified: old components enter as stars around their roots."""
-    links = verified(pairs.select("a", "b"), docs, owners, size, percent).join(pairs, ["a", "b"]).select(F.col("ra").alias("u"), F.col("rb").alias("v")).distinct()
-    return components(roots.where("u <> root").select("u", F.col("root").alias("v")).unionByName(links))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component of every row of docs: component is the least id that links reach, itself included.
 
@@ -184,36 +223,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("binary")).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
     first = written(nodes_and_sketch(docs, size), "nodes")
-    nodes = first.where("block is null").select("doc_id", "n", "node")
-    owners = written(nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("owner")), "owners")
+    rows = first.where("block is null").select("doc_id", "n", "node")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    by_node = first.where("block is null and n > 0").groupBy("node").agg(least.alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+    nodes = written(by_node.select("node", "n", "parity", F.col("least.doc_id").alias("owner"), F.col("least.text_key").alias("owner_key")), "owners")
     frequencies = sketch.summed(first.where("block is not null"), lambda x: np.round(8 * np.log2(1 + x)).clip(0, 255))
-    rows = prefixes(docs, frequencies, size, percent)
-    whole = Window.partitionBy("h")
-    met = written(
-        rows.withColumns({"least": F.min(F.struct("node", "n", "pos")).over(whole), "most": F.max("node").over(whole)}).where("least.node <> most").select("h", "node", "n", "pos", "least"), "met"
-    )
-    star = (F.col("node") != F.col("least.node")) & possible(F.col("n"), F.col("pos"), F.col("least.n"), F.col("least.pos"), percent)
-    # Each node meets one partner first, then those of its shingles' least nodes that another component holds.
-    first_pairs = written(met.where(star).groupBy(F.col("node").alias("b")).agg(F.min("least.node").alias("a")).select("a", "b"), "pairs")
-    roots = components(verified(first_pairs, docs, owners, size, percent).toDF("u", "v"))
-    placed = written(with_root(with_root(met, "node", "root", roots), "least.node", "least_root", roots), "placed")
-    pairs = placed.where(star & (F.col("root") != F.col("least_root"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least_root").alias("ra"), F.col("root").alias("rb"))
-    second_pairs = written(pairs.distinct().join(first_pairs, ["a", "b"], "left_anti"), "pairs")
-    if not second_pairs.isEmpty():
-        roots = linked(second_pairs, roots, docs, owners, size, percent)
-        placed = with_root(placed.drop("root"), "node", "root", roots)
-    apart = placed.withColumns({"lo": F.min("root").over(whole), "hi": F.max("root").over(whole)}).where("lo <> hi").select("h", "node", "n", "pos", "root").distinct()
-    apart = written(apart, "apart")
-    other = apart.select("h", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
-    crossing = apart.join(other, "h").where((F.col("root") != F.col("root_b")) & (F.col("node") < F.col("node_b")) & possible(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), percent))
-    pairs = crossing.select(F.col("node").alias("a"), F.col("node_b").alias("b"), F.col("root").alias("ra"), F.col("root_b").alias("rb")).distinct()
-    last_pairs = written(pairs.join(first_pairs, ["a", "b"], "left_anti").join(second_pairs, ["a", "b"], "left_anti"), "pairs")
-    if not last_pairs.isEmpty():
-        roots = linked(last_pairs, roots, docs, owners, size, percent)
-    root = F.coalesce("root", "node")
-    labels = owners.join(roots, F.col("node") == F.col("u"), "left").select("node", root.alias("root"), "owner")
-    names = labels.groupBy("root").agg(F.min("owner").alias("component"))
-    of_node = labels.join(names, "root").select(F.col("node").alias("of_node"), "component")
-    return nodes.join(of_node, F.when(F.col("n") > 0, F.col("node")) == F.col("of_node"), "left").select(F.col("doc_id").alias("id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component"))
+    met = met_rows(prefixes(docs, frequencies, size, percent))
+    star = (F.col("node") != F.col("centre.node")) & possible(F.col("n"), F.col("pos"), F.col("centre.n"), F.col("centre.pos"), percent)
+    pairs = met.where(star).select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
+    star_pairs = written(close(pairs, nodes, percent), "pairs")
+    roots = components(verified(star_pairs, docs, nodes, size, percent).toDF("u", "v"))
+    placed = written(with_root(met.drop("centre"), "node", "root", roots), "placed")
+    split = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    apart = written(placed.join(split, "h").join(nodes.select("node", "parity"), "node"), "apart")
+    names = ("node", "n", "pos", "root", "parity")
+    one, other = (apart.select("h", *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in ("a", "b"))
+    here = lambda c: (F.col(f"{c}_a"), F.col(f"{c}_b"))
+    apart_still = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+    near = possible(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent) & differing(*here("parity"), *here("n"), percent)
+    crossing = one.join(other, (one["h"] == other["h"]) & apart_still & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("root_a").alias("ra"), F.col("root_b").alias("rb"))
+    either = star_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))  # tried and apart
+    rest = written(crossing.distinct().join(either, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        links = verified(rest.select("a", "b"), docs, nodes, size, percent).join(rest, ["a", "b"]).select(F.col("ra").alias("u"), F.col("rb").alias("v")).distinct()
+        # Old components enter as stars around their roots.
+        roots = components(roots.where("u <> root").select("u", F.col("root").alias("v")).unionByName(links))
+    labels = nodes.join(roots, F.col("node") == F.col("u"), "left").select("node", F.coalesce("root", "node").alias("root"), "owner")
+    names_of = labels.groupBy("root").agg(F.min("owner").alias("component"))
+    of_node = labels.join(names_of, "root").select(F.col("node").alias("of_node"), "component")
+    return rows.join(of_node, F.when(F.col("n") > 0, F.col("node")) == F.col("of_node"), "left").select(F.col("doc_id").alias("id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component"))

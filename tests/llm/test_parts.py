@@ -148,3 +148,41 @@ def test_written_tables_can_be_discarded(spark):
     folder = frame.inputFiles()[0]
     assert frame.count() == 10 and discard(spark) > 0 and discard(spark) == 0
     assert not __import__("os").path.exists(folder.removeprefix("file://"))
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies with up to three changed words, and others just below the limit to all of them: none is lost, and the pairs made follow the documents, not their square."""
+    import brute
+
+    from skyloom.llm import jaccard
+
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
+    texts = []
+    for k in range(400):
+        words = list(base)
+        for at in rng.sample(range(150), (0, 1, 2, 3, 4, 4, 5)[k % 7]):
+            words[at] = "".join(rng.choice("qrstuvwx") for _ in range(6))
+        texts.append(" ".join(words))
+    docs = list(enumerate(texts))
+    made = []
+    verified = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: made.append(pairs.count()) or verified(pairs, *rest))
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 20)
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    want = sorted(brute.op10(docs))
+    assert got == want
+    assert len({r[2] for r in want}) > 50 and max(sum(1 for r in want if r[2] == c) for c in {r[2] for r in want}) > 100
+    assert sum(made) < 5 * len(docs)
+
+
+def test_parities_never_hide_a_link():
+    from skyloom.llm.jaccard import PARITY, parities
+
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in rng.integers(1, 2500, 60)]
+    at = np.cumsum([0, *map(len, sets)])
+    bits = np.unpackbits(parities(np.concatenate(sets), at).view(np.uint8), axis=1)
+    assert bits.shape == (60, PARITY)
+    assert all((bits[i] != bits[j]).sum() <= len(np.setxor1d(sets[i], sets[j])) for i in range(60) for j in range(i))
