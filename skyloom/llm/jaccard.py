@@ -25,9 +25,11 @@ SHINGLE = 5
 #: A link: PERCENT * union <= 100 * intersection.
 PERCENT = 80
 #: Bits of a node's parities; beyond some PARITY shingles in a set the suffix filter passes more and more, and drops no link.
-PARITY = 2048
+PARITY = 1024
 #: Rows of a shingle that one task gets; more are dealt by salts.
 HOT_ROWS = 1024
+#: In a shingle with more rows than this, pairs pass the suffix filter inside the join; others make fewer rows than their parities would weigh, and pass it afterwards.
+SMALL = 16
 
 
 def shingle_sets(data, offsets, size: int = SHINGLE):
@@ -236,16 +238,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star_pairs = written(close(pairs, nodes, percent), "pairs")
     roots = components(verified(star_pairs, docs, nodes, size, percent).toDF("u", "v"))
     placed = written(with_root(met.drop("centre"), "node", "root", roots), "placed")
-    split = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    apart = written(placed.join(split, "h").join(nodes.select("node", "parity"), "node"), "apart")
-    names = ("node", "n", "pos", "root", "parity")
-    one, other = (apart.select("h", *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in ("a", "b"))
-    here = lambda c: (F.col(f"{c}_a"), F.col(f"{c}_b"))
-    apart_still = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-    near = possible(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent) & differing(*here("parity"), *here("n"), percent)
-    crossing = one.join(other, (one["h"] == other["h"]) & apart_still & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("root_a").alias("ra"), F.col("root_b").alias("rb"))
+    split = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo <> hi").select("h", "many")
+    apart = written(placed.join(split, "h"), "apart")
+    large = written(apart.where(F.col("many") > SMALL).join(nodes.select("node", "parity"), "node"), "large")
+
+    def crossing(rows: DataFrame, *more: str) -> DataFrame:
+        one, other = (rows.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "root", *more)]) for x in ("a", "b"))
+        here = lambda c: (F.col(f"{c}_a"), F.col(f"{c}_b"))
+        near = possible(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent)
+        for c in more:
+            near = near & differing(*here(c), *here("n"), percent)
+        met = one.join(other, (one["h"] == other["h"]) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near)
+        return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("root_a").alias("ra"), F.col("root_b").alias("rb")).distinct()
+
+    small = written(crossing(apart.where(F.col("many") <= SMALL)), "small")
+    passed = small.join(close(small.select("a", "b"), nodes, percent), ["a", "b"]).select("a", "b", "ra", "rb")
     either = star_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))  # tried and apart
-    rest = written(crossing.distinct().join(either, ["a", "b"], "left_anti"), "pairs")
+    rest = written(passed.unionByName(crossing(large, "parity")).distinct().join(either, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         links = verified(rest.select("a", "b"), docs, nodes, size, percent).join(rest, ["a", "b"]).select(F.col("ra").alias("u"), F.col("rb").alias("v")).distinct()
         # Old components enter as stars around their roots.
