@@ -127,6 +127,7 @@ def calendar(q: Dialect, src: str) -> str:
         "day_part": chain([("hour(ts) BETWEEN 5 AND 10", "'上午'"), ("hour(ts) BETWEEN 11 AND 14", "'中午'"), ("hour(ts) BETWEEN 15 AND 18", "'下午'")], "'夜间'"),
         "half_day": chain([("hour(ts) BETWEEN 6 AND 11", "'上午'"), ("hour(ts) BETWEEN 12 AND 17", "'下午'")], "'晚上'"),
         "day_text": q.day_text("ts"),
+        "moment_text": f"(CAST(year(ts) AS STRING) || '年' || CAST(month(ts) AS STRING) || '月' || CAST(day(ts) AS STRING) || '日 ' || {q.clock('ts')})",
     }
     return "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + f" FROM {src}"
 
@@ -140,6 +141,6 @@ def solar_terms(q: Dialect, src: str) -> str:
 def age_label(q: Dialect, src: str) -> str:
     """id, label of ts as seen from now_ts: today and yesterday by spans of 24 hours, else a date and time."""
     seconds = "(unix_timestamp(CAST(now_ts AS TIMESTAMP)) - unix_timestamp(CAST(ts AS TIMESTAMP)))" if q.spark else "CAST(floor(epoch(now_ts)) - floor(epoch(ts)) AS BIGINT)"
-    clock = "date_format(ts, 'HH:mm')" if q.spark else "strftime(ts, '%H:%M')"
+    clock = q.clock("ts")
     days = q.div(seconds, 86400)
     return f"SELECT id, {chain([(f'{days} = 0', chr(39) + '今天 ' + chr(39) + ' || ' + clock), (f'{days} = 1', chr(39) + '昨天 ' + chr(39) + ' || ' + clock)], f'(CAST(month(ts) AS STRING) || ' + chr(39) + '月' + chr(39) + f' || CAST(day(ts) AS STRING) || ' + chr(39) + '日' + chr(39) + ')')} AS label FROM {src}"

@@ -56,6 +56,9 @@ class Dialect:
     def day_text(self, ts: str) -> str:
         return f"date_format({ts}, 'yyyy-MM-dd')" if self.spark else f"strftime({ts}, '%Y-%m-%d')"
 
+    def clock(self, ts: str) -> str:
+        return f"date_format({ts}, 'HH:mm')" if self.spark else f"strftime({ts}, '%H:%M')"
+
     def each(self, first: int, last: int, name: str) -> str:
         """Joins every row with the numbers first to last."""
         if self.spark:
@@ -68,10 +71,18 @@ class Dialect:
             return f"array_join(transform(array_sort(collect_list(struct({rank} AS r, {item} AS x))), y -> y.x), {text(sep)})"
         return f"string_agg({item}, {text(sep)} ORDER BY {rank})"
 
+    def first_parts(self, s: str, sep: str, n: int) -> str:
+        """The first n of the parts of s that sep parts."""
+        return f"substring_index({s}, {text(sep)}, {n})" if self.spark else f"array_to_string(string_split({s}, {text(sep)})[1:{n}], {text(sep)})"
+
     def rows(self, rows, names: str) -> str:
         """A constant table."""
         return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + f") AS __v({names}))"
 
+    def units(self, s: str) -> str:
+        """The number of UTF-16 units."""
+        return f"(length(encode({s}, 'UTF-16BE')) div 2)" if self.spark else f"length(regexp_replace({s}, '[\\x{{10000}}-\\x{{10FFFF}}]', 'xx', 'g'))"
+
     def matches(self, s: str, pattern: str) -> str:
         return f"({s} RLIKE {text(pattern)})" if self.spark else f"regexp_matches({s}, {text(pattern)})"
 

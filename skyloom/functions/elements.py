@@ -71,9 +71,32 @@ def relations(q: Dialect, src: str) -> str:
     return "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + f" FROM {src}"
 
 
+def short_name(q: Dialect, upper: str, lower: str) -> str:
+    """Both trigrams' names; of a doubled one its name and element."""
+    return f"CASE WHEN {upper} = {lower} THEN {q.at(V.TRIGRAMS, upper)} || '为' || {q.at(V.TRIGRAM_ELEMENTS, upper)} ELSE {q.at(V.TRIGRAMS, upper)} || {q.at(V.TRIGRAMS, lower)} END"
+
+
+def line_symbol(q: Dialect, solid: str, moving: str) -> str:
+    """How a line is drawn; solid and moving are conditions."""
+    return q.at(V.LINE_SYMBOLS, f"(CASE WHEN {solid} THEN 1 ELSE 0 END + CASE WHEN {moving} THEN 2 ELSE 0 END)")
+
+
+def likeness(q: Dialect, src: str) -> str:
+    """id, trigram, category, stands_for: what trigram u stands for in a category, of which p is the number (from 1); empty for an unknown one."""
+    names = list(V.LIKENESS)
+    every = [x for n in names for x in V.LIKENESS[n]]
+    return f"SELECT id, {q.at(V.TRIGRAMS, 'u')} AS trigram, coalesce({q.at(names, 'p - 1')}, 'other') AS category, coalesce({q.at(every, '(p - 1) * 8 + u')}, '') AS stands_for FROM {src}"
+
+
+def stems_and_branches(q: Dialect, src: str) -> str:
+    """id and the attributes of stem s and branch b."""
+    columns = {"stem": q.at(V.STEMS, "s"), "stem_element": q.at(V.ELEMENTS, stem_element(q, "s")), "polarity": q.at(V.STEM_POLARITY, "s"), "branch": q.at(V.BRANCHES, "b"), "branch_element": q.at(V.BRANCH_ELEMENTS, "b"), "hidden": q.at(V.HIDDEN_STEMS, "b"), "animal": q.at(V.ANIMALS, "b")}
+    return "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + f" FROM {src}"
+
+
 def hexagrams(q: Dialect, src: str) -> str:
     """id and the hexagram of trigrams u over l, its palace, its lines, and itself with line p (1 to 6) turned."""
     lower_changes = "p <= 3"
     cu, cl = f"CASE WHEN {lower_changes} THEN u ELSE {flip(q, 'u', 'greatest(p - 3, 1)')} END", f"CASE WHEN {lower_changes} THEN {flip(q, 'l', 'least(p, 3)')} ELSE l END"
     lines = " || ".join(f"CAST({line(q, t, str(k))} AS STRING)" for t in "lu" for k in (1, 2, 3))
-    return f"SELECT id, {hexagram(q, 'u', 'l')} AS name, {q.at(V.TRIGRAMS, palace(q, 'u', 'l'))} AS palace, {lines} AS lines, {hexagram(q, cu, cl)} AS changed, ({q.at(V.TRIGRAMS, 'u')} || {q.at(V.TRIGRAMS, 'l')}) AS short_name FROM {src}"
+    return f"SELECT id, {hexagram(q, 'u', 'l')} AS name, {q.at(V.TRIGRAMS, palace(q, 'u', 'l'))} AS palace, {lines} AS lines, {hexagram(q, cu, cl)} AS changed, {short_name(q, 'u', 'l')} AS short_name FROM {src}"

@@ -53,21 +53,16 @@ def six_line_lines(q: Dialect, cast: str) -> str:
 
 def six_line_chart(q: Dialect, cast: str) -> str:
     """One row a line."""
-    return select({"id": "id", "position": "position", "solid": "solid", "moving": "moving", "value": "value", "branch": q.at(V.BRANCHES, "branch"), "kin": "kin", "spirit": "spirit", "role": chain([("position = 6", "'世'"), ("position = 3", "'应'")], "''")}, f"({six_line_lines(q, cast)})")
+    return select({"id": "id", "position": "position", "solid": "solid", "moving": "moving", "value": "value", "branch": q.at(V.BRANCHES, "branch"), "kin": "kin", "spirit": "spirit", "role": chain([("position = 6", "'世'"), ("position = 3", "'应'")], "''"), "symbol": E.line_symbol(q, "solid", "moving")}, f"({six_line_lines(q, cast)})")
 
 
 def six_line_reading(q: Dialect, cast: str) -> str:
     """id, name, palace, changed (null without moving lines), n_moving, moving_text, month and day branch."""
-    turned = {t: t for t in "lu"}
-    for t, first in (("l", 1), ("u", 4)):
-        for k in (1, 2, 3):
-            p = first + k - 1
-            turned[t] = f"CASE WHEN {p} IN (m1, m2, m3) THEN {E.flip(q, turned[t], str(k))} ELSE {turned[t]} END"
     n = "(CASE WHEN m1 > 0 THEN 1 ELSE 0 END + CASE WHEN m2 > 0 THEN 1 ELSE 0 END + CASE WHEN m3 > 0 THEN 1 ELSE 0 END)"
     return select(
-        {"id": "id", "name": E.hexagram(q, "u", "l"), "palace": q.at(V.TRIGRAMS, E.palace(q, "u", "l")), "changed": f"CASE WHEN {n} > 0 THEN {E.hexagram(q, turned['u'], turned['l'])} END", "n_moving": integer(n), "moving_text": q.at(V.MOVING_TEXTS, f"least({n}, 4)"),
+        {"id": "id", "name": "name", "palace": q.at(V.TRIGRAMS, E.palace(q, "u", "l")), "changed": "changed", "n_moving": integer(n), "moving_text": q.at(V.MOVING_TEXTS, f"least({n}, 4)"),
          "month_branch": C.month_branch(q, "ts"), "day_branch": q.at(V.BRANCHES, C.day_branch(q, "ts", "six_line"))},
-        f"({cast})",
+        f"(SELECT *, {six_line_names(q)} FROM ({cast}) __c) __r",
     )
 
 
@@ -76,23 +71,67 @@ def significator(q: Dialect, question: str) -> str:
     return chain([(" OR ".join(q.contains(question, text(w)) for w in words.split()), text(kin)) for kin, words in V.QUESTION_KINDS], "'世爻'")
 
 
-def six_line_answer(q: Dialect, cast: str, kin: str) -> str:
-    """id, how many lines carry the kin (an expression of u, l, ts), the first one's strength, and what self and answer lines are to each other."""
-    lines = six_line_lines(q, cast)
+def six_line_analysis(q: Dialect, cast: str, kin: str) -> str:
+    """One row a cast, all in the row: the six lines' branches (b1 to b6) and kin (k1 to k6), the significator (kin, an expression of cast's columns), and every text of the analysis."""
+    branches = [V.BRANCHES.index(b) for row in V.LINE_BRANCHES for b in row[:3]]
+    six = range(1, 7)
+    of = {p: "l" if p <= 3 else "u" for p in six}
+    b = ", ".join(f"{q.at(branches, f'({of[p]}) * 3 + {(p - 1) % 3}')} AS b{p}" for p in six)
+    inner = f"SELECT *, {kin} AS wanted, {b} FROM ({cast}) __c"
+    k = ", ".join(f"{q.at(V.SIX_KIN, E.rel(q, q.at(E.TRIGRAM_ELEMENT, of[p]), E.branch_element(q, f'b{p}')))} AS k{p}" for p in six)
+    inner = f"SELECT *, {k} FROM ({inner}) __b"
+    first = chain([(f"k{p} = wanted", str(p)) for p in six], "0")
+    n_moving = " + ".join(f"CASE WHEN {m} > 0 THEN 1 ELSE 0 END" for m in ("m1", "m2", "m3"))
+    inner = f"SELECT *, {' + '.join(f'CASE WHEN k{p} = wanted THEN 1 ELSE 0 END' for p in six)} AS n, {first} AS place, {n_moving} AS n_moving, greatest(m1, m2, m3) AS lone FROM ({inner}) __k"
+    line = lambda c, place: chain([(f"{place} = {p}", f"{c}{p}") for p in range(1, 6)], f"{c}6")
     month, day = E.branch_element(q, q.mod("(month(ts) - 1)", 12)), E.branch_element(q, C.day_branch(q, "ts", "six_line"))
     worth = E.strength(q, E.branch_element(q, "branch"), month, day)
-    inner = f"SELECT id, kin, {kin} AS wanted, position, branch, {worth} AS worth FROM ({lines})"
-    agg = f"SELECT id, wanted, sum(CASE WHEN kin = wanted THEN 1 ELSE 0 END) AS n, min(CASE WHEN kin = wanted THEN worth END) AS worth, max(CASE WHEN position = 6 THEN branch END) AS own, max(CASE WHEN position = 3 THEN branch END) AS other FROM ({inner}) GROUP BY id, wanted"
-    said = chain([("n = 0", "'不现'"), ("n = 1", "worth")], "'重现'")
-    return f"SELECT id, wanted, {integer('n')} AS n, {said} AS state, {q.at(V.RELATION_TEXTS, E.rel(q, E.branch_element(q, 'own'), E.branch_element(q, 'other')))} AS answer FROM ({agg})"
+    inner = f"SELECT *, {line('b', 'place')} AS branch, {line('k', 'lone')} AS lone_kin, {E.line(q, 'CASE WHEN lone <= 3 THEN l ELSE u END', q.mod('(lone - 1)', 3) + ' + 1')} AS lone_solid FROM ({inner}) __n"
+    inner = f"SELECT *, {worth} AS worth, place IN (m1, m2, m3) AS stirs, {six_line_names(q)} FROM ({inner}) __w"
+    name = lambda branch: q.at(V.BRANCHES, branch)
+    kin_text = chain(
+        [("wanted = '世爻'", f"'以世爻为用神。世爻' || {name('b6')} || '，' || CASE WHEN 6 IN (m1, m2, m3) THEN '动' ELSE '静' END || '，在6爻位。'"),
+         ("n = 0", "'用神' || wanted || '不现，需看伏神或以他爻代替。'"),
+         ("n = 1", f"'用神' || wanted || '在' || CAST(place AS STRING) || '爻，' || {name('branch')} || '，' || worth || '。' || CASE WHEN stirs THEN '发动有变' ELSE '安静不动' END || '。'")],
+        "'用神' || wanted || '重现，需要仔细分析各爻情况。'",
+    )
+    relation = q.at(V.RELATION_TEXTS, E.rel(q, E.branch_element(q, "b6"), E.branch_element(q, "b3")))
+    self_text = f"'世爻6位，' || k6 || {name('b6')} || '，应爻3位，' || k3 || {name('b3')} || '。' || {relation} || '。'"
+    moving_text = f"CASE WHEN n_moving = 1 THEN {text(V.MOVING_TEXTS[1])} || CAST(lone AS STRING) || '爻' || lone_kin || '动，' || CASE WHEN lone_solid = 1 THEN '阳' ELSE '阴' END || '爻发动，主变化。' ELSE {q.at(V.MOVING_TEXTS, 'least(n_moving, 4)')} END"
+    state = chain([("wanted = '世爻'", "'世爻'"), ("n = 0", "'不现'"), ("n = 1", "worth")], "'重现'")
+    said = {n: chain([(f"name = {text(h)}", text(t[i])) for h, t in V.HEXAGRAM_TEXTS.items()], text(V.HEXAGRAM_DEFAULTS[i])) for i, n in enumerate(("meaning", "reading", "career", "wealth", "marriage", "health"))}
+    columns = {"id": "id", "name": "name", "changed": "changed", "wanted": "wanted", "n": integer("n"), "state": state, "n_moving": integer("n_moving"), "kin_text": kin_text, "self_text": self_text, "moving_text": moving_text}
+    return select(columns | said, f"({inner}) __a")
+
+
+def six_line_names(q: Dialect) -> str:
+    """Two columns of a cast: name, and changed (null without moving lines)."""
+    turned = {t: t for t in "lu"}
+    for t, first in (("l", 1), ("u", 4)):
+        for k in (1, 2, 3):
+            turned[t] = f"CASE WHEN {first + k - 1} IN (m1, m2, m3) THEN {E.flip(q, turned[t], str(k))} ELSE {turned[t]} END"
+    return f"{E.hexagram(q, 'u', 'l')} AS name, CASE WHEN m1 + m2 + m3 > 0 THEN {E.hexagram(q, turned['u'], turned['l'])} END AS changed"
+
+
+def six_line_answer(q: Dialect, cast: str, kin: str) -> str:
+    """id, the significator, how many lines carry it, its state and text, and what self and answer lines are to each other.  Without a group of words the self line is described."""
+    return select({c: c for c in ("id", "wanted", "n", "state", "kin_text", "self_text")}, f"({six_line_analysis(q, cast, kin)}) __r")
+
+
+def six_line_conclusion(q: Dialect, cast: str, kin: str) -> str:
+    """id, the hexagram's texts (with defaults), and the conclusion."""
+    parts = ["'根据' || name || '卦象分析：' || chr(10) || reading || chr(10)", "CASE WHEN changed IS NULL THEN '' ELSE chr(10) || '变卦为' || changed || '，显示事态的发展趋势。' END", "CASE WHEN n_moving = 0 THEN '' ELSE chr(10) || moving_text END", "chr(10) || self_text || chr(10) || kin_text"]
+    return select({c: c for c in ("id", "meaning", "career", "wealth", "marriage", "health")} | {"conclusion": " || ".join(f"({p})" for p in parts)}, f"({six_line_analysis(q, cast, kin)}) __r")
 
 
 def six_line_suggestions(q: Dialect, cast: str, kin: str) -> str:
-    """id, suggestions: by the number of moving lines, the significator's strength, and two common ones."""
-    answer, reading = six_line_answer(q, cast, kin), six_line_reading(q, cast)
-    of_state = chain([(f"a.state = {text(k)}", text(v)) for k, v in V.STRENGTH_SUGGESTIONS.items()], "CAST(NULL AS VARCHAR(9))" if not q.spark else "CAST(NULL AS STRING)")
-    moving = q.at(V.MOVING_SUGGESTIONS, "least(r.n_moving, 2)")
-    return f"SELECT r.id AS id, concat_ws('；', {moving}, {of_state}, {', '.join(map(text, V.COMMON_SUGGESTIONS))}) AS suggestions FROM ({reading}) r JOIN ({answer}) a ON r.id = a.id"
+    """id, suggestions: by the hexagram's text, the number of moving lines, the significator's strength, and two common ones; never more than five."""
+    known = " OR ".join(f"name = {text(h)}" for h in V.HEXAGRAM_TEXTS)
+    nothing = f"CAST(NULL AS {'STRING' if q.spark else 'VARCHAR'})"
+    by_text = chain([(f"({known}) AND {q.contains('reading', text(w))}", text(t)) for w, t in V.HEXAGRAM_SUGGESTIONS], nothing)
+    of_state = chain([(f"state = {text(k)}", text(v)) for k, v in V.STRENGTH_SUGGESTIONS.items()], nothing)
+    every = ", ".join([by_text, q.at(V.MOVING_SUGGESTIONS, "least(n_moving, 2)"), of_state, *map(text, V.COMMON_SUGGESTIONS)])
+    return f"SELECT id, concat_ws('；', {every}) AS suggestions FROM ({six_line_analysis(q, cast, kin)}) __r"
 
 
 # -- plum blossom ----------------------------------------------------------------------------------------------------
@@ -103,7 +142,9 @@ def plum(q: Dialect, src: str, upper: str, lower: str, moving: str) -> str:
     inner = f"SELECT *, CASE WHEN m <= 3 THEN u ELSE l END AS body, CASE WHEN m <= 3 THEN l ELSE u END AS other FROM ({inner})"
     r = E.rel(q, q.at(E.TRIGRAM_ELEMENT, "body"), q.at(E.TRIGRAM_ELEMENT, "other"))
     changed = E.hexagram(q, f"CASE WHEN m <= 3 THEN u ELSE {E.flip(q, 'u', 'greatest(m - 3, 1)')} END", f"CASE WHEN m <= 3 THEN {E.flip(q, 'l', 'least(m, 3)')} ELSE l END")
-    return select({"id": "id", "name": E.hexagram(q, "u", "l"), "moving": "m", "body": q.at(V.TRIGRAMS, "body"), "use_part": q.at(V.TRIGRAMS, "other"), "relation": q.at(V.BODY_USE, r), "verdict": q.at(V.PLUM_VERDICTS, r), "suggestion": q.at(V.PLUM_SUGGESTIONS, r), "changed": changed, "mutual": "'风山渐'"}, f"({inner})")
+    described = lambda part, t: f"'{part}' || {q.at(V.TRIGRAMS, t)} || '，主' || {q.at(V.LIKENESS['nature'], t)} || '，性' || {q.at(V.LIKENESS['character'], t)} || '。'"
+    return select({"id": "id", "name": E.hexagram(q, "u", "l"), "moving": "m", "body": q.at(V.TRIGRAMS, "body"), "use_part": q.at(V.TRIGRAMS, "other"), "relation": q.at(V.BODY_USE, r), "verdict": q.at(V.PLUM_VERDICTS, r), "suggestion": q.at(V.PLUM_SUGGESTIONS, r), "changed": changed, "mutual": "'风山渐'",
+        "body_text": described("体卦", "body"), "use_text": described("用卦", "other"), "mutual_hint": "'互卦风山渐暗示事情的发展过程。'", "changed_hint": f"'变卦' || {changed} || '预示事情的最终结果。'"}, f"({inner})")
 
 
 def plum_time(q: Dialect, src: str) -> str:
@@ -124,9 +165,10 @@ def plum_sound(q: Dialect, src: str) -> str:
 
 
 def plum_text(q: Dialect, src: str) -> str:
-    """By the length of txt, as one number."""
-    half = q.div("length(txt)", 2)
-    return plum(q, src, half, f"length(txt) - {half}", "length(txt)")
+    """By the length of txt in UTF-16 units, as one number."""
+    n = q.units("txt")
+    half = q.div(n, 2)
+    return plum(q, src, half, f"{n} - {half}", n)
 
 
 # -- four pillars ----------------------------------------------------------------------------------------------------
@@ -157,7 +199,8 @@ def element_reading(q: Dialect, src: str) -> str:
     return select(
         {"id": "id"} | {f"n_{n}": f"c{e}" for e, n in enumerate(("wood", "fire", "earth", "metal", "water"))}
         | {"scarcest": q.at(V.ELEMENTS, "k"), "favourable": q.at(V.ELEMENTS, q.mod("(k - 1)", 5)), "unfavourable": q.at(V.ELEMENTS, q.mod("(k + 3)", 5)),
-           "personality": f"('日主' || {q.at(V.STEMS, 'ds')} || {q.at(V.ELEMENTS, day)} || '，' || {q.at(V.PERSONALITY, day)})", "counts_text": f"('五行分布：' || {shown})", "lacks": empty,
+           "personality": f"('日主' || {q.at(V.STEMS, 'ds')} || {q.at(V.ELEMENTS, day)} || '，' || {q.at(V.PERSONALITY, day)})", "counts_text": f"('五行分布：' || {shown})", "lacks": empty, "health": f"('五行分布：' || {shown} || chr(10) || CASE WHEN {empty} = '' THEN {text(V.HEALTH_TEXTS[0])} ELSE '健康提醒：' || {empty} || '。' END || {text(V.HEALTH_TEXTS[1])})",
+           "suggestions": f"('多使用' || {q.at(V.ELEMENT_COLOURS, 'k')} || '的物品，有助于增强运势；工作生活宜选择' || {q.at(V.ELEMENT_DIRECTIONS, q.mod('(k - 1)', 5))} || '，有利于事业发展；' || {text('；'.join(V.PILLAR_SUGGESTIONS))})",
            "colours": q.at(V.ELEMENT_COLOURS, "k"), "direction": q.at(V.ELEMENT_DIRECTIONS, q.mod("(k - 1)", 5)), "marriage": f"CASE WHEN gender = '男' THEN {text(V.MARRIAGE['男'])} ELSE {text(V.MARRIAGE['女'])} END", "career": text(V.CAREER), "wealth": text(V.WEALTH)},
         f"({inner})",
     )
@@ -391,3 +434,17 @@ def activity_advice(q: Dialect, src: str) -> str:
     in_list = lambda col: q.contains(col, "activity")
     said = chain([(f"{in_list('suitable')} AND NOT {in_list('taboo')}", "'非常适宜'"), (f"{in_list('suitable')}", "'谨慎进行'"), (in_list("taboo"), "'不宜进行'")], "'普通日子'")
     return f"SELECT day, activity, {said} AS advice FROM (SELECT l.*, {q.at(V.ACTIVITIES, 'i')} AS activity FROM ({drawn_lists(q, src)}) l {q.each(0, 9, 'i')})"
+
+
+def almanac_day(q: Dialect, src: str) -> str:
+    """One record a date d: what the calendar says of it, its lists and its fortune."""
+    of_day = f"(SELECT CAST(d AS {q.stamp}) AS ts, {q.day_text('d')} AS id FROM {src} __s)"
+    taken = ("lunar_date", "day_almanac", "animal", "sign", "clash_text", "taboos", "melodic", "officer", "mansion", "womb", "colour", "direction")
+    return f"SELECT l.*, {', '.join(f'c.{x} AS {x}' for x in taken)} FROM ({drawn_lists(q, src)}) l JOIN ({C.calendar(q, of_day + ' __d')}) c ON l.day = c.id"
+
+
+def star_classes(q: Dialect, src: str) -> str:
+    """star, class: whether each of the lesser stars (star) is lucky, harmful, a transformation or another."""
+    listed = lambda names: ", ".join(map(text, names))
+    said = chain([(f"star IN ({listed(V.LUCKY_STARS)})", "'吉星'"), (f"star IN ({listed(V.HARMFUL_STARS)})", "'煞星'"), (q.contains("star", "'化'"), "'四化'")], "'其他'")
+    return f"SELECT id, star, {said} AS class FROM {src}"

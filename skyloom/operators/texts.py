@@ -6,6 +6,10 @@ from ..functions.dialect import Dialect, chain, integer, text
 from ..sources import fixed as V
 
 
+#: What counts as blank at a text's ends: a text of nothing else has no reading.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def dream_terms() -> list[tuple[int, str]]:
     """(ord, word) of every word of the dictionary."""
     return [(k, w) for k, (word, _, _, others) in enumerate(V.DREAMS) for w in (word, *others.split())]
@@ -16,15 +20,18 @@ def dream_dictionary(q: Dialect) -> str:
 
 
 def dream_matches(q: Dialect, src: str) -> str:
-    """id, ord: the entries that a text (txt) has a word of, each once.  One pass of a common pattern leaves the few texts that have any."""
-    words = [w for _, w in dream_terms()]
-    pattern = "|".join(sorted({w for w in words if not any(o != w and o in w for o in words)}))
-    terms = q.rows(dream_terms(), "ord, term")
-    return f"SELECT DISTINCT id, ord FROM (SELECT id, lower(txt) AS txt FROM {src} WHERE {q.matches('lower(txt)', pattern)}) __t JOIN {terms} __w ON {q.contains('txt', 'term')}"
+    """id, ord: the entries that a text (txt) has a word of, each once for each row.  A scan for the words' first characters leaves few texts; those try the words, all in the row."""
+    first = "".join(sorted({w[0] for _, w in dream_terms()}))
+    some = f"SELECT id, lower(txt) AS txt FROM {src} WHERE {q.matches('lower(txt)', f'[{first}]')}"
+    if not q.spark:
+        return f"SELECT DISTINCT id, ord FROM ({some}) __t JOIN {q.rows(dream_terms(), 'ord, term')} __w ON {q.contains('txt', 'term')}"
+    terms = "array(" + ", ".join(f"struct({k} AS ord, {text(w)} AS term)" for k, w in dream_terms()) + ")"
+    return f"SELECT id, explode(array_distinct(transform(filter({terms}, x -> contains(txt, x.term)), x -> x.ord))) AS ord FROM ({some}) __t"
 
 
 def dream_elements(q: Dialect, src: str) -> str:
-    return f"SELECT id, {integer('m.ord')} AS ord, keyword, kind, good FROM ({dream_matches(q, src)}) m JOIN {dream_dictionary(q)} d ON m.ord = d.ord"
+    kinds = [d[1] for d in V.DREAMS]
+    return f"SELECT id, {integer('ord')} AS ord, {q.at([d[0] for d in V.DREAMS], 'ord')} AS keyword, {q.at(kinds, 'ord')} AS kind, {q.at([d[2] for d in V.DREAMS], 'ord')} AS good FROM ({dream_matches(q, src)}) __m"
 
 
 def dream_reading(q: Dialect, src: str) -> str:
@@ -34,7 +41,7 @@ def dream_reading(q: Dialect, src: str) -> str:
     by_kind = f"SELECT id, kind, min(ord) AS first FROM ({elements}) GROUP BY id, kind"
     meaning = f"SELECT id, {q.joined('first', f'coalesce(said, {text(V.DREAM_OTHER_TEXT)})', '；')} AS meaning FROM ({by_kind}) k LEFT JOIN {kinds} t ON k.kind = t.of_kind GROUP BY id"
     flag = lambda w: f"max(CASE WHEN keyword = {text(w)} THEN 1 ELSE 0 END)"
-    totals = f"SELECT id, count(*) AS n, sum(CASE WHEN good THEN 70 ELSE 30 END) AS points, max(CASE WHEN good THEN 1 ELSE 0 END) AS any_good, {flag('红色')} AS red, {flag('金色')} AS gold, {flag('白色')} AS white FROM ({elements}) GROUP BY id"
+    totals = f"SELECT id, count(*) AS n, sum(CASE WHEN good THEN 70 ELSE 30 END) AS points, max(CASE WHEN good THEN 1 ELSE 0 END) AS any_good, {flag('红色')} AS red, {flag('金色')} AS gold, {flag('白色')} AS white, {q.joined('ord', q.at(V.DREAM_SUGGESTIONS, 'ord'), '；')} AS advice FROM ({elements}) GROUP BY id"
     base = q.div("points", "n")
     jitter = f"({q.pick('jitter', 'CAST(t.id AS STRING)', 21)} - 10)"
     scored = f"SELECT t.*, m.meaning, {base} AS base, least(greatest({base} + {jitter}, 0), 100) AS score FROM ({totals}) t JOIN ({meaning}) m ON t.id = m.id"
@@ -46,8 +53,12 @@ def dream_reading(q: Dialect, src: str) -> str:
     # The count, three fixed numbers and two drawn ones, each once.
     one, two = (f"({q.pick(salt, 'CAST(id AS STRING)', 49)} + 1)" for salt in ("number1", "number2"))
     numbers = f"concat_ws(' ', CAST(n AS STRING), CASE WHEN n <> 3 THEN '3' END, CASE WHEN n <> 6 THEN '6' END, CASE WHEN n <> 8 THEN '8' END, CASE WHEN {one} NOT IN (n, 3, 6, 8) THEN CAST({one} AS STRING) END, CASE WHEN {two} NOT IN (n, 3, 6, 8, {one}) THEN CAST({two} AS STRING) END)"
-    found = f"SELECT id, {integer('n')} AS n, {integer('base')} AS base_score, {integer('score')} AS score, (meaning || '。' || {tier(V.DREAM_SUMMARIES)}) AS meaning, {tier(V.DREAM_TIMES)} AS time_frame, {chosen} AS colours, {numbers} AS numbers FROM ({scored})"
-    rest = f"SELECT s.id, 0 AS n, 50 AS base_score, {integer(q.pick('generic', 'CAST(s.id AS STRING)', 31) + ' + 40')} AS score, {q.at(V.DREAM_GENERIC_TEXTS, q.pick('meaning', 'CAST(s.id AS STRING)', 5))} AS meaning, {text(V.DREAM_TIMES[2])} AS time_frame, '蓝色 绿色 白色' AS colours, '7 14 21 28' AS numbers FROM {src} s LEFT JOIN ({found}) f ON s.id = f.id WHERE f.id IS NULL AND length(trim(s.txt)) > 0"
+    # The first three entries' suggestions, and those of the score's tier where there are fewer.
+    level = "CASE WHEN score >= 70 THEN 2 WHEN score >= 50 THEN 1 ELSE 0 END"
+    one_more, two_more = q.at([t[0] for t in V.DREAM_TIER_SUGGESTIONS], level), q.at(["；".join(t) for t in V.DREAM_TIER_SUGGESTIONS], level)
+    suggestion = f"({q.first_parts('advice', '；', 3)} || CASE WHEN n = 1 THEN '；' || {two_more} WHEN n = 2 THEN '；' || {one_more} ELSE '' END || '。')"
+    found = f"SELECT id, {integer('n')} AS n, {integer('base')} AS base_score, {integer('score')} AS score, (meaning || '。' || {tier(V.DREAM_SUMMARIES)}) AS meaning, {tier(V.DREAM_TIMES)} AS time_frame, {chosen} AS colours, {numbers} AS numbers, {suggestion} AS suggestion FROM ({scored})"
+    rest = f"SELECT s.id, 0 AS n, 50 AS base_score, {integer(q.pick('generic', 'CAST(s.id AS STRING)', 31) + ' + 40')} AS score, {q.at(V.DREAM_GENERIC_TEXTS, q.pick('meaning', 'CAST(s.id AS STRING)', 5))} AS meaning, {text(V.DREAM_TIMES[2])} AS time_frame, '蓝色 绿色 白色' AS colours, '7 14 21 28' AS numbers, {text(V.DREAM_GENERIC_SUGGESTION)} AS suggestion FROM {src} s LEFT JOIN ({found}) f ON s.id = f.id WHERE f.id IS NULL AND {q.matches('s.txt', f'[^{BLANKS}]')}"
     return f"{found} UNION ALL {rest}"
 
 
@@ -61,16 +72,51 @@ def omens(q: Dialect, salt: str = "keywords", most: int = 10) -> str:
     return f"SELECT keyword, kind, {integer('r')} AS r, r <= {most} AS recommended FROM ({ranked})"
 
 
+def dreams_by_kind(q: Dialect, words: str) -> str:
+    """word, keyword: the entries of the kind that a word names; words: a source of (word)."""
+    return f"SELECT word, keyword, good FROM {words} __w JOIN {dream_dictionary(q)} __d ON kind = word"
+
+
+def bad_omens(q: Dialect) -> str:
+    return f"SELECT keyword, kind FROM {dream_dictionary(q)} __d WHERE NOT good"
+
+
 def books(q: Dialect) -> str:
-    return q.rows([(k, *b) for k, b in enumerate(V.BOOKS)], "ord, book, title, author, category, core, keywords")
+    rows = [(k, *b, *n) for k, (b, n) in enumerate(zip(V.BOOKS, V.BOOK_NOTES, strict=True))]
+    return q.rows(rows, "ord, book, title, author, category, core, keywords, dynasty, file_name, description")
 
 
 def search_books(q: Dialect, words: str) -> str:
-    """word, book: the books whose title, author or keywords have the word, literally and whatever its case; a blank word finds none.  words: a source of (word)."""
-    hay = "lower(concat_ws(' ', title, author, keywords))"
+    """word, book: the books whose title, author, description or keywords have the word, literally and whatever its case; a blank word finds none.  words: a source of (word)."""
+    hay = "lower(concat_ws(' ', title, author, description, keywords))"
     return f"SELECT word, book, title FROM {words} __w JOIN {books(q)} __b ON {q.contains(hay, 'lower(word)')} AND length(trim(word)) > 0"
 
 
+def books_of(q: Dialect, words: str) -> str:
+    """The books of the category that a word names, in order, with all they have; words: a source of (word)."""
+    return f"SELECT word, {integer('ord')} AS ord, book, title, author, dynasty, file_name, description, core, {q.first_parts('keywords', ' ', 3)} AS keywords FROM {words} __w JOIN {books(q)} __b ON category = word"
+
+
+def core_books(q: Dialect) -> str:
+    return f"SELECT {integer('ord')} AS ord, book, title FROM {books(q)} __b WHERE core"
+
+
+def signs_by_kind(q: Dialect, words: str) -> str:
+    """word, sign (1 to 20): the signs of the kind that a word names, and, for a number, the sign of that number; words: a source of (word)."""
+    signs = q.rows([(k + 1, t) for k, t in enumerate(V.SIGN_TYPES)], "sign, kind")
+    return f"SELECT word, {integer('sign')} AS sign, kind FROM {words} __w JOIN {signs} __s ON kind = word OR CAST(sign AS STRING) = word"
+
+
+def classic_hexagrams(q: Dialect) -> str:
+    return f"SELECT * FROM {q.rows(V.CLASSIC_HEXAGRAMS, 'number, name, symbol, description, reading')} __h"
+
+
+def classic_drawn(q: Dialect, src: str) -> str:
+    """id, number, name of the hexagram that each id draws, by a keyed hash."""
+    k = q.pick("classic", "CAST(id AS STRING)", len(V.CLASSIC_HEXAGRAMS))
+    return f"SELECT id, {integer(k + ' + 1')} AS number, {q.at([h[1] for h in V.CLASSIC_HEXAGRAMS], k)} AS name FROM {src}"
+
+
 def book_counts(q: Dialect) -> str:
     return f"SELECT category, count(*) AS n, CAST(sum(CASE WHEN core THEN 1 ELSE 0 END) AS BIGINT) AS n_core, {q.joined('ord', 'title', ' ')} AS titles FROM {books(q)} __b GROUP BY category"
 

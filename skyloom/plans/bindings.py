@@ -32,6 +32,12 @@ SOUNDS = ("events", "SELECT user_id AS id, max(ts) AS ts, count(*) AS n FROM {t}
 DOCUMENTS = ("documents", "SELECT doc_id AS id, text AS txt FROM {t}")
 TURNS = ("conversations", "SELECT conv_id * 1000 + turn AS id, text AS txt FROM {t}")
 AGES = ("events", "SELECT event_id AS id, ts, max(ts) OVER (PARTITION BY user_id) AS now_ts FROM {t}")
+KINDS = ("region", "SELECT r_regionkey AS id, CASE r_regionkey WHEN 0 THEN '动物' WHEN 1 THEN '水' WHEN 2 THEN '数字' WHEN 3 THEN '' ELSE '颜色' END AS word FROM {t}")
+CATEGORIES = ("region", "SELECT r_regionkey AS id, CASE r_regionkey WHEN 0 THEN 'liuyao' WHEN 1 THEN 'ziwei' WHEN 2 THEN 'none' WHEN 3 THEN 'bazi' ELSE 'other' END AS word FROM {t}")
+SIGNS = ("region", "SELECT r_regionkey AS id, CASE r_regionkey WHEN 0 THEN '上签' WHEN 1 THEN '中下签' WHEN 2 THEN '7' WHEN 3 THEN '21' ELSE '20' END AS word FROM {t}")
+STARS = ("part", "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN '文昌' WHEN 1 THEN '火星' WHEN 2 THEN '化禄' WHEN 3 THEN '天马' WHEN 4 THEN '右弼' ELSE '地劫' END AS star FROM {t}")
+LIKENESSES = ("part", "SELECT p_partkey AS id, p_partkey % 8 AS u, p_size % 11 + 1 AS p FROM {t}")
+CYCLES = ("part", "SELECT p_partkey AS id, p_partkey % 10 AS s, p_size % 12 AS b FROM {t}")
 WORDS = ("region", "SELECT r_regionkey AS id, CASE r_regionkey WHEN 0 THEN '六爻' WHEN 1 THEN '邵雍' WHEN 2 THEN '%' WHEN 3 THEN ' ' ELSE '太' END AS word FROM {t}")
 
 
@@ -46,6 +52,11 @@ def answered(q: Dialect, src: str) -> str:
     return H.six_line_answer(q, H.six_line_time(q, src), kin)
 
 
+def concluded(q: Dialect, src: str) -> str:
+    kin = H.significator(q, q.at(["今年事业如何", "收入好吗", "考试能过吗", "孩子怎样", "朋友来吗", "婚姻顺利吗", "天气"], q.mod("id", 7)))
+    return H.six_line_conclusion(q, H.six_line_time(q, src), kin)
+
+
 def suggested(q: Dialect, src: str) -> str:
     return H.six_line_suggestions(q, H.six_line_time(q, src), H.significator(q, "'今年事业如何'"))
 
@@ -71,7 +82,10 @@ FORMULAS: dict[str, tuple[tuple[str, str], Callable[[Dialect, str], str]]] = {
     "six_line_coins": (EVENTS, H.six_line_coins),
     "six_line_questions": (ORDERS, questions),
     "six_line_answers": (EVENTS, answered),
+    "six_line_conclusions": (EVENTS, concluded),
     "six_line_suggestions": (EVENTS, suggested),
+    "trigram_likeness": (LIKENESSES, E.likeness),
+    "stems_and_branches": (CYCLES, E.stems_and_branches),
     "plum_time": (EVENTS, H.plum_time),
     "plum_numbers": (NUMBERS, H.plum_numbers),
     "plum_sound": (SOUNDS, H.plum_sound),
@@ -93,10 +107,20 @@ FORMULAS: dict[str, tuple[tuple[str, str], Callable[[Dialect, str], str]]] = {
     "purple_star_reading": (ORDERS, H.purple_reading),
     "purple_star_texts": (BIRTH_DATES, H.purple_texts),
     "almanac_lists": (DATES, H.drawn_lists),
+    "almanac_day": (DATES, H.almanac_day),
     "activity_advice": (DATES, H.activity_advice),
+    "purple_star_classes": (STARS, H.star_classes),
+    "purple_star_house": (EVENTS, lambda q, s: f"SELECT * FROM ({H.purple_houses(q, s)}) __h WHERE house = '财帛'"),
     "dream_elements": (DOCUMENTS, X.dream_elements),
     "dream_reading": (TURNS, X.dream_reading),
     "dream_statistics": (DOCUMENTS, X.dream_statistics),
+    "dreams_by_kind": (KINDS, X.dreams_by_kind),
+    "bad_omens": (WORDS, lambda q, s: X.bad_omens(q)),
+    "books_by_category": (CATEGORIES, X.books_of),
+    "core_books": (WORDS, lambda q, s: X.core_books(q)),
+    "signs_by_kind": (SIGNS, X.signs_by_kind),
+    "classic_hexagrams": (WORDS, lambda q, s: X.classic_hexagrams(q)),
+    "classic_drawn": (ORDERS, X.classic_drawn),
     "good_omens": (WORDS, lambda q, s: X.omens(q)),
     "book_search": (WORDS, X.search_books),
     "book_counts": (WORDS, lambda q, s: X.book_counts(q)),

@@ -58,6 +58,7 @@ PALACES = [
     "兑为泽 泽水困 泽地萃 泽山咸 泽雷随 泽火革 泽天夬 泽风大过",
 ]
 LINE_BRANCHES = ["子寅辰午申戌", "未巳卯丑亥酉", "子寅辰午申戌", "丑亥酉未巳卯", "寅辰午申戌子", "卯丑亥酉未巳", "辰午申戌子寅", "巳卯丑亥酉未"]
+LINE_SYMBOLS = ["━ ━", "━━━", "━ ━ ×", "━━━ ○"]  # broken, solid, broken and moving, solid and moving
 SPIRITS = ["青龙", "朱雀", "勾陈", "腾蛇", "白虎", "玄武"]
 SPIRIT_OF_STEM = [0, 0, 1, 1, 2, 3, 4, 4, 5, 5]
 SIX_KIN = ["兄弟", "子孙", "妻财", "官鬼", "父母"]
@@ -70,7 +71,37 @@ MOVING_TEXTS = ["无动爻，以本卦静断", "独发一爻，以此爻断。",
 PLUM_VERDICTS = ["体用比和，平顺之象，事情发展平稳，按部就班即可。", "体生用，耗费之象，事情需要付出努力方可成功。", "体克用，可成之象，但需要主动出击，掌握主动权。", "用克体，受制之象，事情困难重重，需谨慎行事。", "用生体，得助之象，事情容易成功，有贵人相助。"]
 PLUM_SUGGESTIONS = ["宜稳中求进，不急不躁，水到渠成。", "宜主动付出，以诚待人，功到自然成。", "宜果断行动，把握主动，速战速决。", "宜以柔克刚，避其锋芒，另寻他路。", "有贵人相助，宜把握机会，顺势而为。"]
 
+# fixed values: what eight hexagrams mean (meaning, reading, career, wealth, marriage, health), and of the others
+HEXAGRAM_TEXTS = {
+    "乾为天": ("刚健中正，纯粹精神", "乾卦象征天，代表刚健、创造、领导。大吉大利，但要防止过刚则折。", "事业蒸蒸日上，适合担任领导职务", "财运亨通，投资有利", "男方占主导地位，需要宽容", "精神饱满，但要防止过度劳累"),
+    "坤为地": ("厚德载物，包容万象", "坤卦象征地，代表柔顺、包容、承载。顺从天意，谦虚包容为上策。", "适合辅助工作，以和为贵", "财来慢而稳，积少成多", "女方占主导，家庭和睦", "体质稍弱，注意调养"),
+    "水雷屯": ("万物始生，艰难创业", "屯卦象征初生，如同种子萌芽。创业维艰，但前景光明。", "新事业开始，困难重重但有希望", "初期投资需谨慎，后期有收获", "感情处于萌芽期，需要培养", "身体恢复期，需要耐心调理"),
+    "山水蒙": ("启蒙教育，童蒙求学", "蒙卦象征蒙昧，需要启发教育。求学问道，谦虚请教为宜。", "需要学习提升，请教前辈", "理财知识不足，需要学习", "对感情认识不够，需要了解", "对健康知识缺乏，多咨询医生"),
+    "水天需": ("等待时机，积蓄力量", "需卦象征等待，如云聚天空待降雨。时机未到，需要耐心等待。", "暂时等待，时机成熟再行动", "投资时机未到，继续观望", "感情需要时间发展，不要急躁", "病情稳定，继续治疗"),
+    "天水讼": ("争讼纠纷，化解矛盾", "讼卦象征争执，天与水方向相反。有纠纷冲突，宜和解不宜强争。", "职场有争议，以和为贵", "财务纠纷，寻求调解", "感情有争执，需要沟通", "身体不适，及时就医"),
+    "地水师": ("统兵作战，纪律严明", "师卦象征军队，地下有水源。组织严密，纪律严明，能够获胜。", "团队协作，听从指挥", "集体投资，规划有序", "家庭和睦，各司其职", "系统治疗，遵医嘱"),
+    "水地比": ("亲密团结，相辅相成", "比卦象征亲近，水润泽大地。团结合作，相互扶助，大吉。", "同事和睦，合作愉快", "合伙投资，互利共赢", "感情深厚，相依相伴", "家人关心，恢复顺利"),
+}
+HEXAGRAM_DEFAULTS = ("待查", "此卦需要详细分析", "事业运势需要结合具体情况分析", "财运情况需要结合爻位分析", "感情状况需要看用神旺衰", "健康状况需要观察疾病用神")
+HEXAGRAM_SUGGESTIONS = [("吉", "卦象吉利，可以大胆行动"), ("困", "目前遇到困难，需要耐心等待")]
+CLASSIC_HEXAGRAMS = [(1, "乾卦", "☰", "元亨利贞", "乾卦象征天，代表刚健、积极、创造的力量。君子应当自强不息。"), (2, "坤卦", "☷", "元亨，利牝马之贞", "坤卦象征地，代表柔顺、包容、承载的品德。君子应当厚德载物。"), (3, "屯卦", "☲", "元亨利贞，勿用有攸往", "屯卦象征初生，事物刚刚开始，充满困难但也充满希望。")]
+
+# fixed values: what trigrams stand for, in the order of TRIGRAMS
+LIKENESS = {
+    "nature": ["天、太阳、君、父、夫、大人、老人、长者、官贵", "地、阴云、雾气、妇人、母、后、妻、腹、臣民", "雷、电、虹、地震、火山", "风、木、草、花", "水、雨、雪、露、霜、泉", "火、日、电、霓虹、霞", "山、土、石、云、雾", "泽、雨、池、井泉"],
+    "body": ["头、骨、肺", "腹、脾、胃、肉", "足、肝、发、声音", "股、肱、胆、气", "耳、血、肾", "目、心、上焦", "手、指、背、鼻", "口、齿、舌、肺"],
+    "character": ["刚健、威严、豪迈、果断", "柔顺、吝啬、懦弱、众多", "动、怒、惊、躁、急", "柔和、不定、鼓舞、仁慈", "陷、隐伏、流动、聪明", "文明、发现、扩张、漂亮", "止、慎、守、迟", "喜悦、口舌、饮食、妾"],
+    "object": ["金玉、珠宝、圆物、冠、镜", "布帛、文章、方物、柄、土瓦", "竹木、苇、乐器、花草繁鲜之物", "木、绳、直物、长物、工巧之物", "水具、酒器、圆物、轮、矢、盐", "火、书、文、印、兵戈、干燥物", "土石、瓜果、寺庙、床", "金刃、金类、乐器、废缺之物"],
+    "animal": ["马、天鹅、狮、象", "牛、母马、百兽", "龙、蛇、鹰、百虫", "鸡、百禽、山林禽虫", "猪、鱼、水中物", "雉、龟、蟹、螺、蚌", "狗、鼠、虎、牛、狐", "羊、豕、鸟"],
+    "time": ["秋、九十月之交、戌亥年月日时", "夏秋之交、六七月、未申年月日时", "春、二三月之交、卯年月日时", "春夏之交、三四月、辰巳年月日时", "冬、十一月、子年月日时", "夏、五月、午年月日时", "冬春之交、十二正月、丑寅年月日时", "秋、八月、酉年月日时"],
+    "direction": ["西北", "西南", "东", "东南", "北", "南", "东北", "西"],
+    "number": ["一、四、九", "二、五、八、十", "三、四、八", "三、四、五、八", "一、六", "二、三、七", "五、七、八、十", "二、四、九"],
+    "color": ["大赤、金黄", "黄、黑", "青、绿、碧", "绿、青、白", "黑、赤", "赤、紫、红", "黄、紫", "白"],
+    "taste": ["辛、辣", "甘、甜", "酸", "酸", "咸", "苦", "甘", "辛"],
+}
+
 # fixed values: four pillars
+STEM_POLARITY = list("阳阴阳阴阳阴阳阴阳阴")
 PERSONALITY = ["性格仁慈宽厚，富有同情心，喜欢帮助他人。做事有条理，注重计划性。", "性格热情开朗，积极向上，富有激情。行动力强，但有时过于急躁。", "性格稳重踏实，诚实守信，有责任心。做事谨慎，但有时过于保守。", "性格刚毅果断，讲究原则，重视公正。意志坚定，但有时过于固执。", "性格聪明机智，适应能力强，善于变通。思维敏捷，但有时缺乏定性。"]
 LACKS = ["缺木，注意肝胆健康", "缺火，注意心脏血液循环", "缺土，注意脾胃消化", "缺金，注意肺部呼吸系统", "缺水，注意肾脏泌尿系统"]
 ELEMENT_COLOURS = ["绿色、青色", "红色、紫色", "黄色、棕色", "白色、金色", "黑色、蓝色"]
@@ -79,6 +110,8 @@ MARRIAGE = {"男": "妻星在日支，婚姻宫稳定，配偶贤惠顾家。宜
 CAREER = "官星有力，适合从事管理、行政类工作。财星生官，事业发展顺利，容易得到上级赏识。建议选择稳定的工作环境，循序渐进地发展。"
 WEALTH = "财星在月柱，财运较好，赚钱能力强。正财偏财俱全，既有稳定收入，也有意外之财。理财宜稳健为主，避免高风险投资。"
 PATTERN = "正官格"
+HEALTH_TEXTS = ["五行较为平衡，身体健康状况良好。", "建议保持良好作息，适当运动，注意饮食均衡。"]
+PILLAR_SUGGESTIONS = ["保持积极乐观的心态，顺势而为", "多行善积德，广结善缘", "注重学习提升，增强自身能力"]
 
 # fixed values: nine palaces
 PALACE_NAMES = ["坎宫", "坤宫", "震宫", "巽宫", "中宫", "乾宫", "兑宫", "艮宫", "离宫"]
@@ -172,6 +205,18 @@ DREAMS = [
     ("三", "数字", True, "3 三个 第三"), ("八", "数字", True, "8 八个 第八"), ("九", "数字", True, "9 九个 第九"),
 ]
 DREAM_TYPE_TEXTS = {"人物": "梦中的人物关系反映了您的社交需求和人际互动", "动物": "动物象征着您内在的本能和直觉力量", "自然": "自然元素代表着生命的循环和内心的和谐", "建筑": "建筑物象征着您的内心结构和安全感", "水": "水元素反映了情感的流动和财富的机遇", "火": "火象征着激情和转化的力量", "金钱": "财富相关的梦境通常预示着经济状况的变化", "食物": "食物代表着基本需求的满足和生活的滋养", "颜色": "颜色传达着情感和能量的信息", "身体": "身体部位反映了健康状况和自我认知", "行为": "行为动作显示了您的主动性和行动力"}
+#: What to do, by entry in the order of DREAMS.
+DREAM_SUGGESTIONS = [
+    "多关心家人健康，孝敬长辈", "珍惜友情，广结善缘", "保持开放心态，迎接新挑战", "放下过去，迎接新生", "把握机会，勇攀高峰", "把握转机，迎接新生",
+    "珍惜忠诚的朋友，互相扶持", "相信直觉，但也要理性判断", "保持警觉，化危为机", "展现勇气，但要控制脾气", "把握财运，但要量入为出", "保持积极心态，迎接光明",
+    "相信直觉，温柔处事", "坚持梦想，追随内心", "脚踏实地，坚持不懈", "拓宽视野，挖掘潜力", "重视家庭，营造温馨环境", "保持学习心态，不断进步",
+    "关注健康，及时体检", "把握转机，主动沟通", "顺势而为，如水般灵活", "顺应自然规律，把握当下", "相信自己的能力，勇敢前行", "保持热情，但要控制火候",
+    "保持希望，照亮他人", "把握财机，理性理财", "珍惜机会，创造价值", "注重精神财富，内外兼修", "珍惜现有，知足常乐", "享受生活的甜美，保持健康",
+    "保持自信，展现魅力", "相信直觉，明辨是非", "保持热情，迎接喜事", "把握机会，追求卓越", "保持纯真，迎接新生", "面对未知，保持冷静",
+    "发挥创造力，稳步发展", "把握机会，追求成功", "追求长远，圆满人生",
+]
+DREAM_TIER_SUGGESTIONS = [("谨慎行事，多听取他人意见", "反思自己，寻找改善的机会"), ("保持平和心态，稳步前进", "注重内心修养，提升自己"), ("把握当下的好运势，积极行动", "保持乐观心态，相信自己的能力")]
+DREAM_GENERIC_SUGGESTION = "多关注内心声音，倾听直觉；保持开放心态，接纳变化；注重身心健康，保持平衡。"
 DREAM_OTHER_TEXT = "这些象征包含着深层的心理意义"
 DREAM_GENERIC_TEXTS = ["您的梦境反映了内心深层的思考和感受", "这个梦境可能与您当前的生活状况有关", "潜意识通过梦境向您传达重要信息", "梦境显示了您对未来的期望和担忧", "这是内心世界的一种表达和释放"]
 DREAM_SUMMARIES = ["这个梦境提醒您需要留意一些潜在的问题或挑战。", "您的梦境包含着复杂的信息，既有机遇也有挑战。", "整体而言，这个梦境带有积极的寓意，暗示着正面的发展。", "总体来说，这是一个非常吉祥的梦境，预示着好运即将来临。"]
@@ -186,3 +231,21 @@ BOOKS = [
     ("fengshui_001", "杨公风水", "杨筠松", "fengshui", True, "杨公 风水 堪舆"), ("other_001", "太玄经", "扬雄", "other", False, "太玄 扬雄 哲学"), ("other_002", "河洛理数", "陈抟", "other", False, "河洛 理数 陈抟"),
 ]
 SIGN_TYPES = ["上签", "中签", "上上签", "上签", "中签", "中上签", "上上签", "中签", "中下签", "中签", "中上签", "上签", "中签", "中上签", "上上签", "中下签", "上签", "中签", "上签", "上签"]
+
+# fixed values: dynasty, file and description of each book, in the order of BOOKS
+BOOK_NOTES = [
+    ("清代", "六爻古籍合集.pdf", "六爻占卜的集大成之作，详细阐述了六爻断卦的基本理论、用神取法、六亲关系、动静生克、应期判断等内容。"), ("明代", "六爻古籍合集.pdf", "六爻占卜的经典教材，系统介绍了六爻起卦方法、装卦步骤、六神配置、断卦要诀。"),
+    ("宋代", "火珠林[宋·麻衣道者着·夜雪校].pdf", "六爻占法的开山之作，创立了火珠林占法体系，对后世影响深远。"), ("清代", "易冒.pdf", "深入解析易理和六爻变化原理，理论与实践并重。"),
+    ("宋代", "梅花周易数全集.pdf", "梅花易数的创始之作，详述起卦方法、体用生克、外应取象等核心理论。"), ("宋代", "康节心易观梅数·乾册.pdf", "邵康节先生的心易之法，观梅占断的精髓。"),
+    ("民国", "千里命稿.pdf", "现代八字命理的经典之作，系统阐述八字基础理论、格局分析、用神取法。"), ("唐代", "李虚中命书_鬼谷遗文_低调的符号艺术家排版.pdf", "八字命理的源头之作，奠定了四柱预测的理论基础。"),
+    ("宋代", "《五行精纪 命理通考五行渊微》（宋）廖中.pdf", "五行学说的集大成之作，详细论述五行生克制化的原理。"), ("宋代", "《紫微斗数全书·完整版》简体中文整理版.pdf", "紫微斗数的权威经典，完整介绍了紫微斗数的理论体系和实践方法。"),
+    ("现代", "《斗数宣微1-2》《斗数观测录》李振军整理-微信公众号：灵心紫微斗数.pdf", "现代紫微斗数研究的重要著作，深入浅出地解析斗数理论。"), ("明代", "大六壬大全精校本(简体本).pdf", "大六壬的集大成之作，包含了大六壬的完整理论体系和占断方法。"),
+    ("宋代", "《毕法赋全解》北海闲人.pdf", "大六壬占断的重要口诀，总结了七十二种占断法则。"), ("清代", "六壬金针.pdf", "六壬占断的精要总结，如金针度人般点出要害。"),
+    ("现代", "不吹牛-奇门遁甲培训班绝密高级内部教材690页-幺学声.pdf", "现代奇门遁甲的系统教材，从基础到高级完整讲解。"), ("清代", "奇门枢要（上册）98页.pdf", "奇门遁甲的精要总结，提纲挈领地阐述奇门要点。"),
+    ("唐代", "杨公风水～简福安记-民钞本.pdf", "风水学的经典著作，杨公风水的传承记录。"), ("汉代", "太玄经.pdf", "汉代扬雄仿《周易》而作的哲学著作，自成体系。"),
+    ("宋代", "河洛理数-九四版【知识自由社】.pdf", "基于河图洛书的数理预测体系，独树一帜。"),
+]
+
+# fixed values: classes of the purple star's lesser stars
+LUCKY_STARS = ["文昌", "文曲", "左辅", "右弼", "天魁", "天钺"]
+HARMFUL_STARS = ["火星", "铃星", "擎羊", "陀罗", "地空", "地劫"]
