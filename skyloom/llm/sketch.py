@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 BITS, BLOCKS = 22, 64
 
 
-def buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+def buckets(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def counted(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount(buckets(hashes), minlength=1 << BITS)
+def counted(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return np.bincount(buckets(hashes, bits), minlength=1 << bits)
 
 
 def packed(counts: np.ndarray) -> list[bytes]:
@@ -25,7 +25,7 @@ def packed(counts: np.ndarray) -> list[bytes]:
     return [squeeze.compress(x.astype("<u4").tobytes()) for x in np.split(counts, BLOCKS)]
 
 
-def summed(blobs: DataFrame, small) -> np.ndarray:
+def summed(blobs: DataFrame, small, bits: int = BITS) -> np.ndarray:
     """small (a function to bytes, one each) of the buckets' sums; blobs: block (int), counts (binary)."""
 
     def add(batches):
@@ -39,7 +39,7 @@ def summed(blobs: DataFrame, small) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([small(x).astype(np.uint8).tobytes() for x in total.values()], pa.binary())], ["block", "small"])
 
-    out = np.zeros((BLOCKS, (1 << BITS) // BLOCKS), np.uint8)
+    out = np.zeros((BLOCKS, (1 << bits) // BLOCKS), np.uint8)
     for r in blobs.select("block", "counts").repartition("block").mapInArrow(add, "block int, small binary").collect():  # BLOCKS rows
         out[r["block"]] = np.frombuffer(r["small"], np.uint8)
     return out.reshape(-1)

@@ -1,11 +1,12 @@
 """A probabilistic suffix tree over words, learnt from all training documents, and scores of texts under it.
 
-Contexts are the last one or two words.  A context is learnt from the continuations whose joint empirical probability is
-at least P_CONTEXT, so a level of the tree has at most 1 / P_CONTEXT entries at any corpus size; sketches of the
-pairs' and triples' counts, summed over all tasks, show first which can reach it, and those are then counted exactly.  A
+Contexts are the last one to DEPTH words.  A context is learnt from the continuations that are found least_count(tokens) times:
+that grows slower than the corpus, so a larger corpus gives a wider and deeper tree, of at most tokens / least_count(tokens)
+entries a level, which is the bound of what is broadcast: it grows as the corpus to the power of 1/3.  Sketches of the pairs' and triples' counts, summed over all tasks, show first which can reach the
+count; longer ones are tried where all triples in them can; what is left is counted exactly.  A
 context is retained if its distribution diverges from its longest retained suffix's by more than GAIN, in nats over all its
 occurrences.  Listed continuations are discounted, and what that frees goes to the shorter suffix, down to smoothed
-word frequencies.  Words below P_WORD are looked up by a shuffle; the others are few enough to broadcast.
+word frequencies.  Rare words are looked up by a shuffle; the others are few enough to broadcast.
 """
 
 from __future__ import annotations
@@ -14,15 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
 from .common import ship, written
 
-P_WORD, P_CONTEXT = 5e-7, 2e-6
+P_WORD = 5e-7
+#: The words of the longest context; a continuation counts from SHARE times all training tokens to the power of 2/3 on.
+DEPTH, SHARE = 5, 2.5e-4
 DISCOUNT, GAIN = 0.5, 10.0
+#: Levels that have a sketch.
+SKETCHED = 2
 END = 0x7F4A7C15E3D5A7B1
 #: Distinct words that a task holds before it passes them on.
 HELD = 2_000_000
@@ -48,11 +52,23 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * U(0xC2B2AE3D27D4EB4F) + b)
 
 
-def contexts(h: np.ndarray, at: np.ndarray):
-    """For each symbol but a text's first: its place and the word before; for each but the first two: its place and the two words before."""
-    order = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
-    one, two = np.flatnonzero(order >= 1), np.flatnonzero(order >= 2)
-    return one, h[one - 1], two, pair(h[two - 2], h[two - 1])
+def grams(h: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The hashes of the 1, 2, ... DEPTH + 1 symbols that end at each symbol (those that begin before the text mean nothing), and each symbol's place in its text."""
+    out = [h]
+    for _ in range(DEPTH):
+        before = np.zeros(len(h), h.dtype)
+        before[1:] = out[-1][:-1]
+        out.append(pair(before, h))
+    return out, np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
+
+
+def least_count(tokens: int) -> int:
+    return max(2, int(np.ceil(SHARE * tokens ** (2 / 3))))
+
+
+def sketch_bits(tokens: int) -> int:
+    """Buckets enough that few of them reach the least count by chance."""
+    return int(np.clip(np.ceil(np.log2(4 * max(1, tokens) / least_count(tokens))), sketch.BITS, 27))
 
 
 class Lookup:
@@ -93,14 +109,14 @@ class Model:
     levels: list
 
 
-def word_counts(train: DataFrame) -> DataFrame:
+def word_counts(train: DataFrame, bits: int) -> DataFrame:
     """(h, c) rows that sum to the words' counts, and (level, block, counts) rows that sum to the sketches."""
 
     def run(batches):
         from .arrow import slices
 
-        sketches = [np.zeros(1 << sketch.BITS, np.int64) for _ in range(2)]
-        held, size = [], 0
+        sketches = [np.zeros(1 << bits, np.uint32) for _ in range(SKETCHED)]
+        held, size, any_text = [], 0, False
 
         def passed_on():
             h, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
@@ -110,10 +126,12 @@ def word_counts(train: DataFrame) -> DataFrame:
 
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
+                any_text = True
                 h, at = symbols(data, offsets)
-                one, a, two, ab = contexts(h, at)
-                sketches[0] += sketch.counted(pair(a, h[one]))
-                sketches[1] += sketch.counted(pair(ab, h[two]))
+                of, order = grams(h, at)
+                for level in range(SKETCHED):
+                    bucket, c = np.unique(sketch.buckets(of[level + 1][order > level], bits), return_counts=True)
+                    sketches[level][bucket] += c.astype(np.uint32)
                 held.append(np.unique(h, return_counts=True))
                 size += len(held[-1][0])
                 if size > HELD:
@@ -122,14 +140,14 @@ def word_counts(train: DataFrame) -> DataFrame:
         if held:
             yield passed_on()
         for level, counts in enumerate(sketches):
-            if counts.any():
+            if any_text:
                 k = sketch.BLOCKS
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([level] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array(sketch.packed(counts), pa.binary())], ["h", "c", "level", "block", "counts"])
 
     return train.select("text").mapInArrow(run, "h long, c long, level int, block int, counts binary")
 
 
-def continuations(train: DataFrame, frequent: np.ndarray, likely: list[np.ndarray]) -> DataFrame:
+def continuations(train: DataFrame, frequent: np.ndarray, likely: list[np.ndarray], bits: int) -> DataFrame:
     """(level, context, next, c) rows that sum to the counts of continuations that can reach the limit."""
     shared = train.sparkSession.sparkContext.broadcast((frequent, likely))
 
@@ -141,56 +159,63 @@ def continuations(train: DataFrame, frequent: np.ndarray, likely: list[np.ndarra
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 h, at = symbols(data, offsets)
-                often = known(h) >= 0
-                one, a, two, ab = contexts(h, at)
-                for level, (where, context) in enumerate(((one, a), (two, ab))):
-                    gram = pair(context, h[where])
-                    take = likely[level][sketch.buckets(gram)].astype(bool) & often[where] & often[where - 1]
-                    take &= often[where - 2] if level else True
-                    gram, first, c = np.unique(gram[take], return_index=True, return_counts=True)
-                    context, after = context[take][first], h[where][take][first]
+                of, order = grams(h, at)
+                take = known(h) >= 0
+                for level in range(DEPTH):
+                    # A gram is found no more often than the two that it has inside.
+                    both = np.zeros(len(h), bool)
+                    both[1:] = take[1:] & take[:-1]
+                    take = both & (order > level)
+                    if level < SKETCHED:
+                        idx = np.flatnonzero(take)
+                        take[idx] = likely[level][sketch.buckets(of[level + 1][idx], bits)].astype(bool)
+                    where = np.flatnonzero(take)
+                    if not len(where):
+                        break
+                    _, first, c = np.unique(of[level + 1][where], return_index=True, return_counts=True)
+                    context, after = of[level][where - 1][first], h[where][first]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), level, np.int32)), pa.array(context.view(np.int64)), pa.array(after.view(np.int64)), pa.array(c.astype(np.int64))], ["level", "context", "next", "c"])
 
     return train.select("text").mapInArrow(run, "level int, context long, next long, c long")
 
 
-def grown(total: int, scale: float, words: np.ndarray, counts: np.ndarray, grams: list[tuple]) -> Model:
-    """The tree; grams: for each level (context, next, count), sorted arrays of one length."""
+def grown(total: int, scale: float, words: np.ndarray, counts: np.ndarray, found: list[tuple]) -> Model:
+    """The tree; found: for each level (context, next, count), arrays of one length."""
     model = Model(total, scale, words, counts, [])
     place = Lookup(words)
     of_context = (words, counts)  # how often each context occurs
-    for level, (context, after, c) in enumerate(grams):
+    suffixes: list[tuple] = []  # for each level the grams' names, sorted, and what is left of each without its first word
+    for level, (context, after, c) in enumerate(found):
+        if not len(context):
+            break
         order = np.argsort(context, kind="stable")
         context, after, c = context[order], after[order], c[order].astype(float)
-        heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+        heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         own = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(context))))
         k = Lookup(of_context[0])(context[heads])
-        n = np.where(k >= 0, of_context[1][k], 0).astype(float) if len(heads) else np.zeros(0)
-        base = (counts[place(after)] + 0.5) / scale if len(after) else np.zeros(0)
-        if level:  # the shorter suffix's view of the continuation
-            base = 10 ** scored(model.levels, after, [suffix_of(context, grams[level - 1])], np.log10(base))
+        n = np.where(k >= 0, of_context[1][k], 0).astype(float)
+        # The shorter suffix's view of the continuation: all shorter contexts, the last word first.
+        shorter = [context]
+        for names, rest in reversed(suffixes):
+            shorter.insert(0, rest[Lookup(names)(shorter[0])])
+        base = 10 ** scored(model.levels, after, shorter[:-1], np.log10((counts[place(after)] + 0.5) / scale))
         listed = (c - DISCOUNT) / n[own]
-        sums = lambda x: np.bincount(own, x, len(heads))
+        sums = lambda x: np.bincount(own, x, len(heads))  # noqa: E731, B023
         free, left = 1 - sums(listed), 1 - sums(base)
         rest = np.maximum(free, 1e-9) / np.maximum(left, 1e-9)
         gain = sums(c * np.log(listed / base)) + (n - sums(c)) * np.log(rest)
         keep = gain > GAIN
-        entry = pair(context, after)[keep[own]]
+        names = pair(context, after)
+        entry = names[keep[own]]
         turn = np.argsort(entry)
         model.levels.append(Level(context[heads][keep], np.log10(rest[keep]), entry[turn], np.log10(listed[keep[own]])[turn]))
-        seen = pair(context, after)  # this level's grams are the next one's contexts
-        turn = np.argsort(seen)
-        of_context = (seen[turn], c[turn])
+        turn = np.argsort(names)  # this level's grams are the next one's contexts
+        of_context = (names[turn], c[turn])
+        left_over = after if not level else pair(shorter[-2], after)
+        suffixes.append((names[turn], left_over[turn]))
     return model
 
 
-def suffix_of(context: np.ndarray, shorter: tuple) -> np.ndarray:
-    """The last word of two-word contexts, by the pairs that they are."""
-    names = pair(shorter[0], shorter[1])
-    order = np.argsort(names)
-    return shorter[1][order][Lookup(names[order])(context)]
-
-
 def scored(levels: list[Level], after: np.ndarray, before: list, logs: np.ndarray) -> np.ndarray:
     """log10 probabilities of symbols: logs without context, then by each level's context (before: one array for each level) where it is retained."""
     for level, context in zip(levels, before, strict=False):
@@ -221,12 +246,13 @@ def local_scores(docs: DataFrame, model: Model) -> DataFrame:
                 known = k >= 0
                 base = np.where(known, word_logs[k] if len(word_logs) else 0, 0.0)
                 score = base.copy()
-                one, a, two, ab = contexts(h, at)
-                for (where, context), (in_contexts, in_entries, level) in zip(((one, a), (two, ab)), finders, strict=False):
-                    c = in_contexts(context)
+                of, order = grams(h, at)
+                for d, (in_contexts, in_entries, level) in enumerate(finders):
+                    where = np.flatnonzero(order > d)
+                    c = in_contexts(of[d][where - 1])
                     some = np.flatnonzero(c >= 0)
                     w = where[some]
-                    e = in_entries(pair(context[some], h[w]))
+                    e = in_entries(of[d + 1][w])
                     score[w] = np.where(e >= 0, level.logs[e] if len(level.logs) else 0, score[w] + level.rest[c[some]])
                 sums = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731, B023
                 own = keys[first:end]
@@ -249,23 +275,26 @@ def local_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def learnt(train: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the table (h, c) of all words' counts; train: text (binary)."""
-    parts = written(word_counts(train), "words")
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = sketch_bits(size // 6)  # about six bytes a word; only how well the sketches sort out depends on it
+    parts = written(word_counts(train, bits), "words")
     vocabulary = written(parts.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
     row = vocabulary.agg(F.sum("c"), F.count(F.lit(1))).first()
     total, distinct = row[0] or 0, row[1]
     scale = total + 0.5 * (distinct + 1)
-    found = vocabulary.where(F.col("c") >= max(1, P_WORD * total)).toArrow()  # at most 1 / P_WORD rows
+    least = least_count(total)
+    found = vocabulary.where(F.col("c") >= max(1, min(least, P_WORD * total))).toArrow()  # at most 1 / P_WORD, or total / least rows
     words, counts = found.column("h").to_numpy().view(np.uint64), found.column("c").to_numpy()
     order = np.argsort(words)
     words, counts = words[order], counts[order]
-    least = max(2.0, P_CONTEXT * total)
-    likely = [sketch.summed(parts.where(F.col("level") == k), lambda x: x >= least) for k in (0, 1)]
-    counted = continuations(train, words[counts >= least], likely).groupBy("level", "context", "next").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()  # at most 1 / P_CONTEXT rows a level
-    grams = []
-    for k in (0, 1):
-        mine = counted.filter(pc.equal(counted.column("level"), k))
-        grams.append((mine.column("context").to_numpy().view(np.uint64), mine.column("next").to_numpy().view(np.uint64), mine.column("c").to_numpy()))
-    return grown(total, scale, words, counts, grams), vocabulary
+    likely = [sketch.summed(parts.where(F.col("level") == k), lambda x: x >= least, bits) for k in range(SKETCHED)]
+    rows = continuations(train, words[counts >= least], likely, bits).groupBy("level", "context", "next").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    counted = written(rows, "continuations")
+    grams_of = []
+    for k in range(DEPTH):
+        mine = counted.where(F.col("level") == k).select("context", "next", "c").toArrow()  # at most total / least rows
+        grams_of.append((mine.column("context").to_numpy().view(np.uint64), mine.column("next").to_numpy().view(np.uint64), mine.column("c").to_numpy()))
+    return grown(total, scale, words, counts, grams_of), vocabulary
 
 
 def lm_scores(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 5) = 1") -> DataFrame:

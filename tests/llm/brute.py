@@ -172,3 +172,52 @@ def op6_base(docs):
     c = Counter(w for _, held, t in split if not held for w in t)
     n, v = sum(c.values()), len(c)
     return [(i, held, len(t), sum(w in c for w in t), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) for i, held, t in split]
+
+
+def op6_scores(docs, depth, gain_limit, discount, share):
+    """(doc_id, score) by the tree's rules with plain dictionaries of words."""
+    import math
+    import re
+    import zlib
+    from collections import Counter, defaultdict
+
+    def tokens(text):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        return [*re.findall(r"[^\x20\x09-\x0D]+", low), None]
+
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    train = [tokens(t) for i, t in docs if not held(i)]
+    words = Counter(w for t in train for w in t)
+    total = sum(words.values())
+    scale = total + 0.5 * (len(words) + 1)
+    least = max(2, math.ceil(share * total ** (2 / 3)))
+    grams = Counter(tuple(t[k - n : k + 1]) for t in train for k in range(len(t)) for n in range(1, depth + 1) if k >= n)
+    tree: dict = {}
+
+    def p(context, w):
+        """The probability of w behind the context's longest retained suffixes."""
+        if not context:
+            return (words[w] + 0.5) / scale
+        shorter = p(context[1:], w)
+        if context not in tree:
+            return shorter
+        listed, rest = tree[context]
+        return listed[w] if w in listed else shorter * rest
+
+    for n in range(1, depth + 1):
+        by_context = defaultdict(dict)
+        for g, c in grams.items():
+            if len(g) == n + 1 and c >= least:
+                by_context[g[:-1]][g[-1]] = c
+        fresh = {}
+        for context, nexts in by_context.items():
+            of_context = words[context[0]] if n == 1 else grams[context]
+            listed = {w: (c - discount) / of_context for w, c in nexts.items()}
+            base = {w: p(context[1:], w) for w in nexts}
+            rest = max(1 - sum(listed.values()), 1e-9) / max(1 - sum(base.values()), 1e-9)
+            gain = sum(c * math.log(listed[w] / base[w]) for w, c in nexts.items()) + (of_context - sum(nexts.values())) * math.log(rest)
+            if gain > gain_limit:
+                fresh[context] = (listed, rest)
+        tree |= fresh
+    score = lambda t: sum(math.log10(p(tuple(t[max(0, k - depth) : k]), w)) for k, w in enumerate(t))
+    return [(i, score(tokens(t))) for i, t in docs], Counter(map(len, tree))

@@ -41,6 +41,31 @@ def test_language_model(spark, folder, documents):
     assert all(r[6] <= 1e-9 and math.isfinite(r[6]) for r in rows)
 
 
+def test_language_model_scores(spark, tmp_path, documents):
+    """Every score against the tree of plain dictionaries, with contexts of up to five words."""
+    import random
+
+    from conftest import write
+
+    from skyloom.llm import suffix_tree_lm as lm
+
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(60)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    middle = [some(3), some(4)]  # what follows them is told by the words before them alone
+    passages = [[*some(4), *middle[k % 2], *some(4)] for k in range(6)]
+    mixed = lambda: " ".join(w for _ in range(6) for w in (rng.choice(passages) if rng.random() < 0.7 else rng.choices(vocabulary, k=8)))
+    docs = [(k, mixed()) for k in range(250)] + [(1000 + k, t) for k, (_, t) in enumerate(documents) if t is None or len(t) < 20_000]
+    got = {r[0]: r[6] for r in got_rows(spark, write(spark, tmp_path / "lm", docs))}
+    want, depths = brute.op6_scores(docs, lm.DEPTH, lm.GAIN, lm.DISCOUNT, lm.SHARE)
+    assert {1, 2, 4, 5} <= set(depths)
+    assert all(math.isclose(got[i], s, rel_tol=1e-7, abs_tol=1e-7) for i, s in want)
+
+
+def got_rows(spark, folder):
+    return got(spark, "op6", str(folder))
+
+
 def test_toxicity_rows(spark, folder, documents):
     rows = got(spark, "op2", folder)
     assert len(rows) == len(documents) and all(0 <= r[2] <= 1 and r[3] == (r[2] >= 0.7) for r in rows)
