@@ -32,6 +32,16 @@ def test_decontamination(spark, folder, documents, benchmark_items):
     same(got(spark, "op4", folder), brute.op4(documents, benchmark_items))
 
 
+def test_decontamination_by_a_shuffle(spark, folder, documents, benchmark_items):
+    """The form for a benchmark too large to broadcast: the same rows, without a key that all documents share."""
+    from skyloom.llm import decontamination
+
+    frame, items = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    rows = [sorted((tuple(r) for r in decontamination.contamination(frame, items, broadcast_bytes=b).collect()), key=key) for b in (0, 1 << 20)]
+    assert rows[0] == rows[1] and len(rows[0]) == len(documents)
+
+
 def test_language_model(spark, folder, documents):
     rows, want = got(spark, "op6", folder), brute.op6_base(documents)
     order = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 3))
