@@ -1,11 +1,13 @@
 """Substring dedup of words: documents are factored against blocks that index every window of the corpus.
 
-Relative Lempel-Ziv parsing: a reference block indexes all windows whose anchors belong to it, of all documents.
-Documents come to a block as runs of windows; the run's factors are its longest stretches of windows that the block
-has a second time.  Factors that end at a run's border go on in another block: the borders are checked when a
-document's factors meet again, sorted, and joined where they touch.
-
-Inside a few MB of text, runs that repeat as a whole are settled at once and only one of them travels, so a group of copies
+Relative Lempel-Ziv parsing: a reference block indexes, with their positions, all windows whose anchors belong to it, of all
+documents.  Documents come to a block as runs of windows, and each run is parsed greedily: where the index has a window a
+second time, a factor begins there that points to that place, and it goes on as long as the text and the reference behind the
+two places agree.  The windows over a factor's end are looked up again, as beginnings of the next factor.  Factors that
+end at a run's border go on in another block: when a document's factors meet, sorted, those that touch are joined.
+Words are compared by hashes: 64 bits of a window's anchor and 32 bits of the whole window.
+
+Inside a few MB of text, runs that repeat as a whole are one factor each and only one of them travels, so a group of copies
 that holds a third of all rows gives a block one run for each slice instead of one for each row.
 """
 
@@ -56,12 +58,17 @@ def index_rows(source: DataFrame, window: int, gram: int, blocks: int) -> DataFr
                 weight = (hashes.astype(U) + U(1)) * (U(2) * (np.arange(len(at)) - np.repeat(begin, size)).astype(U) + U(0x9E3779B97F4A7C15))
                 name = np.add.reduceat(weight * U(0xC2B2AE3D27D4EB4F), begin) ^ size.astype(U)
                 twice = repeated(name, key)
-                factors = np.rec.fromarrays([owner[twice], start[twice], (start + size + window - 1)[twice].astype(np.int32)], dtype=FACTOR)
-                send = np.ones(len(begin), bool)
+                # Each of them is a factor that points to the one before it in the slice, the first of them to the second.
+                send, of = np.ones(len(begin), bool), np.arange(len(begin))
                 if twice.any():
                     idx = np.flatnonzero(twice)
                     order = idx[np.lexsort((name[idx], key[idx]))]
                     send[order[1:]] = (name[order[1:]] != name[order[:-1]]) | (key[order[1:]] != key[order[:-1]])
+                    of[order[1:]] = order[:-1]
+                    first = np.flatnonzero(send[order])
+                    of[order[first]] = order[first + 1]
+                of = of[twice]
+                factors = np.rec.fromarrays([owner[twice], start[twice], (start + size + window - 1)[twice].astype(np.int32), owner[of], start[of]], dtype=FACTOR)
                 block = (key % U(blocks)).astype(np.int64)
                 idx = np.flatnonzero(send)
                 idx = idx[np.argsort(block[idx], kind="stable")]
@@ -77,11 +84,42 @@ def index_rows(source: DataFrame, window: int, gram: int, blocks: int) -> DataFr
     return source.mapInArrow(run, BLOCK_ROWS)
 
 
-FACTOR = [("owner", "<i8"), ("start", "<i4"), ("end", "<i4")]
+FACTOR = [("owner", "<i8"), ("start", "<i4"), ("end", "<i4"), ("source", "<i8"), ("source_start", "<i4")]
+
+
+def parsed(run: np.ndarray, begin: np.ndarray, size: np.ndarray, name: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of runs of windows, as (first window, last window, first window of the source).
+
+    run: the runs to parse; run k's windows are begin[k] to begin[k] + size[k] - 1.  name: of each window, equal for equal
+    ones; other: for each window another place of it, -1 where there is none.  All runs go forward one window at a time.
+    """
+    end_of = np.repeat(begin + size, size)  # by window
+    at, stop = begin[run], (begin + size)[run]
+    head, source = np.full(len(run), -1), np.full(len(run), -1)  # the open factor
+    out: list[tuple] = []
+
+    def close(which: np.ndarray) -> None:
+        out.append((head[which], at[which] - 1, source[which]))
+        head[which] = -1
+
+    while len(at):
+        ahead = source + at - head  # where the source goes on
+        goes_on = head >= 0
+        idx = np.flatnonzero(goes_on)
+        goes_on[idx] = (ahead[idx] < end_of[source[idx]]) & (name[np.minimum(ahead[idx], len(name) - 1)] == name[at[idx]])
+        close(np.flatnonzero((head >= 0) & ~goes_on))
+        fresh = np.flatnonzero((head < 0) & (other[at] >= 0))
+        head[fresh], source[fresh] = at[fresh], other[at[fresh]]
+        at = at + 1
+        done = at >= stop
+        if done.any():
+            close(np.flatnonzero(done & (head >= 0)))
+            at, stop, head, source = at[~done], stop[~done], head[~done], source[~done]
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3))
 
 
 def factored(rows: DataFrame, window: int) -> DataFrame:
-    """owner, start, end (words) of every factor; each block holds its own index only."""
+    """owner, start, end (words), source, source_start of every factor; each block holds its own index only."""
 
     def run(table: pa.Table) -> pa.Table:
         from .runs import U, expanded, repeated
@@ -90,27 +128,33 @@ def factored(rows: DataFrame, window: int) -> DataFrame:
         got = {k: np.frombuffer(b"".join(table.column(k).to_pylist()), kind) for k, kind in kinds.items()}
         size = got["sizes"].astype(np.int64)
         begin = np.cumsum(size) - size
-        found = [(got["factors"]["owner"], got["factors"]["start"], got["factors"]["end"])]
+        found = [tuple(got["factors"][c] for c in ("owner", "start", "end", "source", "source_start"))]
         at = expanded(begin, size)
         of = np.repeat(np.arange(len(size)), size)
         # A cheap test of one number for each window first, then the exact one among those that pass.
         idx = np.flatnonzero(repeated(got["anchors"][of] ^ (got["hashes"].astype(U) * U(0x9E3779B97F4A7C15))))
         if len(idx):
-            twice = np.zeros(len(at), bool)
-            twice[idx] = repeated(got["hashes"][idx], got["anchors"][of[idx]])
-            twice &= ~got["settled"][of]
-            # Longest factors of each run.
-            edge = np.diff(np.concatenate([[False], twice, [False]]).astype(np.int8))
-            new_run = np.concatenate([[True], of[1:] != of[:-1]])
-            begins = np.flatnonzero(twice & (new_run | (edge[:-1] == 1)))
-            last = np.concatenate([new_run[1:], [True]])
-            ends = np.flatnonzero(twice & (last | (edge[1:] == -1)))
+            hashes, anchors = got["hashes"][idx], got["anchors"][of[idx]]
+            order = np.lexsort((hashes, anchors))
+            new = np.ones(len(idx), bool)
+            new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (anchors[order[1:]] != anchors[order[:-1]])
+            heads = np.flatnonzero(new)
+            count = np.diff(np.append(heads, len(idx)))
+            name, other = -1 - np.arange(len(at)), np.full(len(at), -1)
+            name[idx[order]] = np.repeat(np.arange(len(heads)), count)
+            # Every place of a window points to its first one, and the first one to the second.
+            other[idx[order]] = np.where(np.repeat(count > 1, count), idx[order][np.repeat(heads, count)], -1)
+            several = heads[count > 1]
+            other[idx[order[several]]] = idx[order[several + 1]]
+            todo = np.flatnonzero(np.bincount(of[other >= 0], minlength=len(size)).astype(bool) & ~got["settled"])
+            a, b, source = parsed(todo, begin, size, name, other)
             place = got["starts"][of].astype(np.int64) + (at - begin[of])
-            found.append((got["owners"][of[begins]], place[begins], place[ends] + window))
-        owner, start, end = (np.concatenate([f[k] for f in found]) for k in range(3))
-        return pa.table({"owner": pa.array(owner, pa.int64()), "start": pa.array(start.astype(np.int32)), "end": pa.array(end.astype(np.int32))})
+            found.append((got["owners"][of[a]], place[a], place[b] + window, got["owners"][of[source]], place[source]))
+        columns = [np.concatenate([f[k] for f in found]) for k in range(5)]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+        return pa.table({c: pa.array(x.astype(k.to_pandas_dtype()), k) for (c, _), x, k in zip(FACTOR, columns, kinds, strict=True)})
 
-    return rows.groupBy("block").applyInArrow(run, "owner long, start int, end int")
+    return rows.groupBy("block").applyInArrow(run, "owner long, start int, end int, source long, source_start int")
 
 
 def kept_words(docs: DataFrame) -> DataFrame:

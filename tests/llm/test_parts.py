@@ -186,3 +186,33 @@ def test_parities_never_hide_a_link():
     bits = np.unpackbits(parities(np.concatenate(sets), at).view(np.uint8), axis=1)
     assert bits.shape == (60, PARITY)
     assert all((bits[i] != bits[j]).sum() <= len(np.setxor1d(sets[i], sets[j])) for i in range(60) for j in range(i))
+
+
+def test_factors_agree_with_their_sources(spark):
+    """Every factor is a stretch of its text that another place holds, too; factors and the words between them tile the text."""
+    from skyloom.llm import substring
+
+    rng = random.Random(31)
+    some = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passages = [some(n) for n in (36, 50, 90, 300)]
+    texts = [" ".join(w for _ in range(3) for w in (*some(rng.randrange(40)), *rng.choice(passages)[: rng.randrange(30, 301)])) for _ in range(40)]
+    texts += [texts[0], "a b " * 80, "spam " * 90]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "owner long, text string").selectExpr("owner", "cast(text AS binary) AS text")
+    factors = substring.factored(substring.index_rows(frame, 35, 8, 7), 35).collect()
+    words = [t.split() for t in texts]
+    hit = [set() for _ in texts]
+    for f in factors:
+        n = f["end"] - f["start"]
+        assert n >= 35 and (f["owner"], f["start"]) != (f["source"], f["source_start"])
+        assert words[f["owner"]][f["start"] : f["end"]] == words[f["source"]][f["source_start"] : f["source_start"] + n]
+        hit[f["owner"]].update(range(f["start"], f["end"]))
+    places: dict = {}
+    for i, w in enumerate(words):
+        for k in range(len(w) - 34):
+            places.setdefault(tuple(w[k : k + 35]), []).append((i, k))
+    want = [set() for _ in texts]
+    for found in places.values():
+        for i, k in found if len(found) > 1 else ():
+            want[i].update(range(k, k + 35))
+    assert hit == want and sum(map(len, want)) > 3000
+    assert any(f["end"] - f["start"] > 45 for f in factors)
