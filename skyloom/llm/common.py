@@ -18,9 +18,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a local one where it names none (tests)."""
+    """The folder that driver and executors share, as the cluster names it; a local one where it names none and all tasks run in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="skyloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
@@ -56,10 +58,9 @@ def discard(spark: SparkSession) -> int:
 
 
 def blocks_for(df: DataFrame, each: int = 8 << 20) -> int:
-    """A number of hash blocks: two for each shuffle partition, and more where the planner expects over `each` bytes of input a block."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = size if size < 1 << 50 else 0  # more than that is the planner's word for unknown
-    return min(1 << 19, max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each)))
+    """A number of hash blocks for df's text (binary): two for each shuffle partition, and more where a block would have over `each` bytes; the bytes are counted, not taken from the planner."""
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min((1 << 31) - 1, max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each)))
 
 
 def ship(spark: SparkSession) -> None:

@@ -62,9 +62,9 @@ m AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, length(regexp_replace(te
   len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN cov USING (doc_id)),
 f AS (SELECT *, {", ".join(f"({e})::INT AS fail_{r}" for r, e in _FAILS.items())} FROM m),
 h AS (SELECT source AS host, count(*) AS n_docs, {", ".join(f"sum(fail_{r}) AS {r}" for r in RULES)} FROM f GROUP BY source),
-p AS (SELECT {", ".join(f"avg({r} / n_docs) AS m_{r}, var_pop({r} / n_docs) AS v_{r}" for r in RULES)} FROM h),
+p AS (SELECT {", ".join(f"sum({r}) / sum(n_docs) AS m_{r}, sum({r} * {r} / n_docs) / sum(n_docs) - (sum({r}) / sum(n_docs)) * (sum({r}) / sum(n_docs)) AS v_{r}" for r in RULES)} FROM h),
 v AS (SELECT host, {" OR ".join(f"({r} + m_{r} * k_{r}) / (n_docs + k_{r}) > {HOST_LIMIT}" for r in RULES)} AS rejected
-  FROM h, (SELECT *, {", ".join(f"CASE WHEN v_{r} > 0 THEN least(1000.0, greatest(1.0, m_{r} * (1 - m_{r}) / v_{r} - 1)) ELSE 1000.0 END AS k_{r}" for r in RULES)} FROM p))
+  FROM h, (SELECT *, {", ".join(f"CASE WHEN v_{r} > 1e-12 THEN least(1000.0, greatest(1.0, m_{r} * (1 - m_{r}) / v_{r} - 1)) ELSE 1000.0 END AS k_{r}" for r in RULES)} FROM p))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_short + fail_repeats > 0 AS base_failed, fail_short + fail_repeats = 0 AND NOT rejected AS kept FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.host
 """
 

@@ -74,19 +74,21 @@ def failures(m: DataFrame) -> DataFrame:
 def host_verdicts(failed: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """One row for each host (null is a host): host, n_docs, host_rejected.
 
-    A rule's prior is Beta(m s, (1 - m) s): m is the mean of the hosts' rates and s follows from their variance by
-    the method of moments, held within 1 and 1000.  The shrunk rate is (failures + m s) / (documents + s).
+    A rule's prior is Beta(m s, (1 - m) s): m is the mean of the hosts' rates, each weighted by its documents, and s follows
+    from their variance, weighted alike, by the method of moments, held within 1 and 1000.  The shrunk rate is
+    (failures + m s) / (documents + s): a host of few documents stays near the mean, a host of many keeps its own rate.
     """
     hosts = failed.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(F.col(f"fail_{r}").cast("long")).alias(r) for r in RULES])
     moments = hosts.agg(
-        *[F.avg(F.col(r) / F.col("n_docs")).alias(f"m_{r}") for r in RULES],
-        *[F.var_pop(F.col(r) / F.col("n_docs")).alias(f"v_{r}") for r in RULES],
+        *[(F.sum(r) / F.sum("n_docs")).alias(f"m_{r}") for r in RULES],
+        *[(F.sum(F.col(r) * F.col(r) / F.col("n_docs")) / F.sum("n_docs")).alias(f"q_{r}") for r in RULES],
     )
     joined = hosts.join(F.broadcast(moments))  # moments has one row
     rejected = F.lit(False)
     for r in RULES:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
-        s = F.when(v > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), m * (1 - m) / v - 1))).otherwise(F.lit(1000.0))
+        m = F.col(f"m_{r}")
+        v = F.col(f"q_{r}") - m * m
+        s = F.when(v > 1e-12, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), m * (1 - m) / v - 1))).otherwise(F.lit(1000.0))
         rejected = rejected | ((F.col(r) + m * s) / (F.col("n_docs") + s) > limit)
     return joined.select("host", "n_docs", rejected.alias("host_rejected"))
 

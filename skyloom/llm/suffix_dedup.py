@@ -21,7 +21,7 @@ from .common import blocks_for, ship, written
 WINDOW, GRAM = 50, 16
 #: A shard of the suffix sort has about so many bytes.
 SHARD_BYTES = 2 << 20
-RUN = np.dtype([("key", "<u4"), ("name", "<u4"), ("start", "<u4"), ("size", "u1")])
+RUN = np.dtype([("key", "<u4"), ("name", "<u8"), ("start", "<u4"), ("size", "u1")])
 DOC = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("runs", "<i4")])
 SPAN = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("end", "<i4")])
 FOUND = "doc long, tag int, start int, end int, anchor long"
@@ -88,7 +88,7 @@ def run_rows(source: DataFrame, window: int, gram: int, blocks: int) -> DataFram
                 block = (key[idx] % U(blocks)).astype(np.int64)
                 turn = np.argsort(block, kind="stable")
                 idx, block = idx[turn], block[turn]
-                runs = np.rec.fromarrays([(key[idx] >> U(32)).astype(np.uint32), (name[idx] >> U(32)).astype(np.uint32), start[idx], size[idx].astype(np.uint8)], dtype=RUN)
+                runs = np.rec.fromarrays([(key[idx] >> U(32)).astype(np.uint32), name[idx], start[idx], size[idx].astype(np.uint8)], dtype=RUN)
                 found = groups(block)
                 # Settled spans only pass through: any block will do.
                 share = np.linspace(0, len(spans), len(found) + 1).astype(int)
@@ -126,7 +126,7 @@ def compared(rows: DataFrame, window: int) -> DataFrame:
             size = r["size"].astype(np.int64)
             start = r["start"].astype(np.int64)
             out.append((doc[gone], tag[gone], start[gone], (start + size + window - 1)[gone], np.zeros(gone.sum(), np.int64)))
-            anchor = (r["key"].astype(np.int64) << 20 | block) + 1
+            anchor = (r["key"].astype(np.int64) << 31 | block) + 1
             out.append((doc[open_], tag[open_], start[open_], (start + size + window - 1)[open_], anchor[open_]))
         cols = [np.concatenate([np.asarray(o[k], np.int64) for o in out]) for k in range(5)]
         return pa.table({"doc": cols[0], "tag": pa.array(cols[1], pa.int32()), "start": pa.array(cols[2], pa.int32()), "end": pa.array(cols[3], pa.int32()), "anchor": pa.array(cols[4], mask=cols[4] == 0)})
@@ -217,6 +217,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their texts.  Other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType not in (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()):
+        raise ValueError(f"{id_col} must be an integer column: the least id keeps what others repeat")
     ship(spark)
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     tag = F.hash(text_col)

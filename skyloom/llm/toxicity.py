@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from .common import ship
 
-#: Training reads at most so many labelled documents of each label (those with the least hashes of their ids), of at most so many bytes each.
-MOST_DOCS, MOST_BYTES = 2000, 40_000
+#: Training reads at most so many labelled documents of each label (those with the least hashes of their ids); of one over MOST_BYTES, pieces of PIECE bytes from all over it, as many as make up so many bytes.
+MOST_DOCS, MOST_BYTES, PIECE = 2000, 40_000, 512
 WINDOW, STEP, GRAM, LEVEL = 96, 48, 6, 5
 #: A gram is telling if the likelihood ratio (G) of its toxic and ordinary documents, or of those that repeat it, is over this and it is commoner in toxic ones; among a million grams few are so by chance.
 TELLING = 20.0
@@ -162,8 +162,13 @@ def sample(docs: DataFrame, labels: DataFrame, held_out: str, most_docs: int = M
     one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~F.expr(held_out))
     ids = [one.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs) for y in (0, 1)]
     chosen = ids[0].unionByName(ids[1]).select(F.col("doc_id").alias("of_doc"), "toxic")
-    texts = docs.where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(chosen), F.col("doc_id") == F.col("of_doc"))  # at most 2 most_docs rows
-    rows = texts.select("toxic", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).alias("fold"), F.col("text").cast("binary").alias("text")).collect()
+    texts = docs.where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("of_doc"))  # at most 2 most_docs rows
+    raw, n = F.col("text").cast("binary"), MOST_BYTES // PIECE
+    step = (F.octet_length("text") - PIECE) / F.lit(n - 1)
+    # The pieces go as one text; the blanks between them are few among their bytes.
+    pieces = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.hex(F.substring(raw, (i * step).cast("int") + 1, F.lit(PIECE)))), "20")
+    text = F.when(F.octet_length("text") <= MOST_BYTES, raw).otherwise(F.unhex(pieces))
+    rows = texts.select("toxic", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).alias("fold"), text.alias("text")).collect()
     out: dict = {(y, k): [] for y in (0, 1) for k in (0, 1)}
     for r in rows:
         out[r["toxic"], r["fold"]].append(bytes(r["text"]))

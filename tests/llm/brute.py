@@ -221,3 +221,22 @@ def op6_scores(docs, depth, gain_limit, discount, share):
         tree |= fresh
     score = lambda t: sum(math.log10(p(tuple(t[max(0, k - depth) : k]), w)) for k, w in enumerate(t))
     return [(i, score(tokens(t))) for i, t in docs], Counter(map(len, tree))
+
+
+def host_verdicts(rows, limit):
+    """host: rejected; rows: (host, measures of op8 from n_words on, lines with words) of every document."""
+    from collections import defaultdict
+
+    fails = defaultdict(list)
+    for host, n, chars, symbols, dup, repeats, lines in rows:
+        fails[host].append((n < 50, 100 * repeats > 50 * n, 2 * symbols > n, 10 * dup > 3 * lines, chars < 2 * n or chars > 15 * n))
+    out = dict.fromkeys(fails, False)
+    for rule in range(5):
+        found = {h: (sum(x[rule] for x in f), len(f)) for h, f in fails.items()}
+        total = sum(n for _, n in found.values())
+        mean = sum(r for r, _ in found.values()) / total
+        spread = sum(n * (r / n - mean) ** 2 for r, n in found.values()) / total
+        weight = min(1000.0, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 1e-12 else 1000.0
+        for h, (r, n) in found.items():
+            out[h] |= (r + mean * weight) / (n + weight) > limit
+    return out

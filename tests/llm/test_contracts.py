@@ -32,6 +32,36 @@ def test_decontamination(spark, folder, documents, benchmark_items):
     same(got(spark, "op4", folder), brute.op4(documents, benchmark_items))
 
 
+def test_hosts_that_the_method_rejects_and_saves(spark, tmp_path):
+    """A host of many failing documents takes its good ones with it; one of few failing ones is saved by the prior, and so is a null host."""
+    import random
+
+    import duckdb
+
+    from conftest import prose
+    from skyloom.llm import oracles, quality
+
+    rng = random.Random(5)
+    good, marked = lambda: prose(rng, 80), lambda: " ".join(f"{w} #$" for w in prose(rng, 80).split())
+    hosts = ["bad"] * 60 + ["bad"] * 3 + ["few"] * 2 + ["few"] + [None] * 20 + ["plain"] * 60 + ["short"] * 40 + ["one"]
+    texts = [marked() for _ in range(60)] + [good() for _ in range(3)] + [marked() for _ in range(2)] + [good()] + [good() for _ in range(19)] + [None] + [good() for _ in range(60)] + ["too short"] * 40 + [marked()]
+    folder = str(tmp_path / "hosts")
+    spark.createDataFrame(list(zip(range(len(texts)), texts, hosts, strict=True)), "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    rows = registry.op8_quality_rules(spark, folder).collect()
+    lines = lambda t: len([x for x in (t or "").split("\n") if x.strip()])
+    plain = brute.op8(list(enumerate(texts)))
+    rejected = brute.host_verdicts([(h, *b[1:6], lines(t)) for h, t, b in zip(hosts, texts, plain, strict=True)], quality.HOST_LIMIT)
+    assert rejected == {"bad": True, "few": False, None: False, "plain": False, "short": True, "one": False}
+    want = {b[0]: (*b[1:], not b[6] and not rejected[h]) for b, h in zip(plain, hosts, strict=True)}
+    assert {r[0]: tuple(r)[1:] for r in rows} == want
+    assert sum(r["kept"] != (not r["base_failed"]) for r in rows) == 63  # the rejected host's documents pass the base rules
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    same([tuple(r) for r in rows], con.execute(oracles.QUALITY).fetchall())
+    kept = quality.accepted(spark.read.parquet(f"{folder}/documents.parquet"))
+    assert sorted(r[0] for r in kept.collect()) == sorted(i for i, w in want.items() if w[-1])
+
+
 def test_decontamination_by_a_shuffle(spark, folder, documents, benchmark_items):
     """The form for a benchmark too large to broadcast: the same rows, without a key that all documents share."""
     from skyloom.llm import decontamination

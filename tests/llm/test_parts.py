@@ -216,3 +216,15 @@ def test_factors_agree_with_their_sources(spark):
             want[i].update(range(k, k + 35))
     assert hit == want and sum(map(len, want)) > 3000
     assert any(f["end"] - f["start"] > 45 for f in factors)
+
+
+def test_long_labelled_texts_are_read_from_all_over(spark):
+    long = "".join(f"{k:07d}." for k in range(20_000))
+    docs = spark.createDataFrame([(1, long), (2, "short é"), (3, None), (4, "plain")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, toxic int")
+    found = toxicity.sample(docs, labels, "false")
+    texts = sorted((t for v in found.values() for t in v), key=len)
+    assert texts[:2] == [b"plain", "short é".encode()] and len(texts) == 3
+    piece, n = toxicity.PIECE, toxicity.MOST_BYTES // toxicity.PIECE
+    assert len(texts[2]) == n * piece + n - 1
+    assert texts[2][:piece] == long[:piece].encode() and texts[2][-piece:] == long[-piece:].encode() and texts[2][40 * (piece + 1) :][:9] in long.encode()
