@@ -24,11 +24,13 @@ from .components import components
 SHINGLE = 5
 #: A link: PERCENT * union <= 100 * intersection.
 PERCENT = 80
+#: Needed texts are found by a broadcast of their keys up to so many bytes, and by a shuffle beyond.
+BROADCAST_BYTES = 64 << 20
 #: Bits of a node's parities; beyond some PARITY shingles in a set the suffix filter passes more and more, and drops no link.
 PARITY = 1024
 #: Rows of a shingle that one task gets; more are dealt by salts.
 HOT_ROWS = 1024
-#: In a shingle with more rows than this, pairs pass the suffix filter inside the join; others make fewer rows than their parities would weigh, and pass it afterwards.
+#: Nodes of a shingle with more rows than this meet by the shingle's centre, once for all shingles of one centre, and pass the suffix filter inside the join; others make fewer rows than their parities would weigh, and pass it afterwards.
 SMALL = 16
 
 
@@ -141,15 +143,23 @@ def salts_of(frequencies: np.ndarray) -> np.ndarray:
     return np.maximum(1, np.ceil((count - 2 * mean) / HOT_ROWS)).clip(1, 1 << 20).astype(np.int32)
 
 
-def met_rows(rows: DataFrame) -> DataFrame:
-    """h, node, n, pos, centre (struct of pos, node, n) of the rows whose shingle another node has too."""
+def met_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """h, node, n, pos, centre (struct of pos, node, n) of the rows whose shingle another node has too, at a place where both can be within the limit.
+
+    By the length and positional filters, sets of n_a and n_b whose first common shingles are at i and j need
+    n_b <= n_a * room(i / n_a) and n_a <= n_b * room(j / n_b), so the product of both rooms is at least 1: a row goes if
+    its room is too small for the largest of its shingle.
+    """
     salt = F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt")
     part = Window.partitionBy("h", "salt")
-    centre = F.min(F.struct("pos", "node", "n"))
-    seen = rows.select("*", salt).withColumns({"centre": centre.over(part), "lo": F.min("node").over(part), "hi": F.max("node").over(part)})
-    seen = written(seen.where("lo <> hi or salts > 1").select("h", "node", "n", "pos", "centre", "salts"), "met")
-    whole = seen.where("salts > 1").groupBy("h").agg(F.min("centre").alias("centre"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h", "centre")
-    dealt = seen.where("salts > 1").drop("centre").join(whole, "h")  # parts meet again, a hot shingle's rows in as many tasks as AQE likes
+    centre, first = F.min(F.struct("pos", "node", "n")), F.min(F.col("pos") / F.col("n"))
+    room = lambda place: 100 / percent - (100 + percent) / percent * place
+    fits = room(F.col("pos") / F.col("n")) * room(F.col("first")) >= 1 - 1e-9
+    seen = rows.select("*", salt).withColumns({"centre": centre.over(part), "lo": F.min("node").over(part), "hi": F.max("node").over(part), "first": first.over(part)})
+    seen = written(seen.where((F.col("salts") > 1) | ((F.col("lo") != F.col("hi")) & fits)).select("h", "node", "n", "pos", "centre", "salts"), "met")
+    hot = seen.where("salts > 1")
+    whole = hot.groupBy("h").agg(F.min("centre").alias("centre"), F.min("node").alias("lo"), F.max("node").alias("hi"), first.alias("first")).where("lo <> hi").select("h", "centre", "first")
+    dealt = hot.drop("centre").join(whole, "h").where(fits)  # parts meet again, a hot shingle's rows in as many tasks as AQE likes
     names = ["h", "node", "n", "pos", "centre"]
     return seen.where("salts = 1").select(names).unionByName(dealt.select(names))
 
@@ -181,7 +191,8 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, per
     """Those of pairs (columns a, b: nodes) whose sets are within the limit; nodes: node, owner, owner_key."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = written(ends.join(nodes, "node").select(F.col("node").alias("of_node"), F.col("owner").alias("of_doc"), F.col("owner_key").alias("of_key")), "needed")
-    found = docs.join(needed, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_key"))).select("of_node", "text")
+    size = needed.agg(F.sum(F.coalesce(F.octet_length(F.col("of_doc").cast("string")), F.lit(0)) + 48)).first()[0] or 0
+    found = docs.join(F.broadcast(needed) if size <= BROADCAST_BYTES else needed, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_key"))).select("of_node", "text")
 
     def own(batches):
         """The sorted set of each node; drops other texts of a chance equal key."""
@@ -232,29 +243,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_node = first.where("block is null and n > 0").groupBy("node").agg(least.alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity"))
     nodes = written(by_node.select("node", "n", "parity", F.col("least.doc_id").alias("owner"), F.col("least.text_key").alias("owner_key")), "owners")
     frequencies = sketch.summed(first.where("block is not null"), lambda x: np.round(8 * np.log2(1 + x)).clip(0, 255))
-    met = met_rows(prefixes(docs, frequencies, size, percent))
+    met = met_rows(prefixes(docs, frequencies, size, percent), percent)
     star = (F.col("node") != F.col("centre.node")) & possible(F.col("n"), F.col("pos"), F.col("centre.n"), F.col("centre.pos"), percent)
     pairs = met.where(star).select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
     star_pairs = written(close(pairs, nodes, percent), "pairs")
     roots = components(verified(star_pairs, docs, nodes, size, percent).toDF("u", "v"))
-    placed = written(with_root(met.drop("centre"), "node", "root", roots), "placed")
+    placed = written(with_root(met.withColumn("centre", F.col("centre.node")), "node", "root", roots), "placed")
     split = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo <> hi").select("h", "many")
     apart = written(placed.join(split, "h"), "apart")
-    large = written(apart.where(F.col("many") > SMALL).join(nodes.select("node", "parity"), "node"), "large")
+    # Two nodes of a shingle share its centre; the least place is the loosest bound.
+    by_centre = apart.where(F.col("many") > SMALL).groupBy("centre", "node").agg(F.min("pos").alias("pos"), F.first("n").alias("n"), F.first("root").alias("root"))
+    large = written(by_centre.join(nodes.select("node", "parity"), "node"), "large")
 
-    def crossing(rows: DataFrame, *more: str) -> DataFrame:
-        one, other = (rows.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "root", *more)]) for x in ("a", "b"))
+    def crossing(rows: DataFrame, key: str, *more: str) -> DataFrame:
+        one, other = (rows.select(key, *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "root", *more)]) for x in ("a", "b"))
         here = lambda c: (F.col(f"{c}_a"), F.col(f"{c}_b"))
         near = possible(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent)
         for c in more:
             near = near & differing(*here(c), *here("n"), percent)
-        met = one.join(other, (one["h"] == other["h"]) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near)
+        met = one.join(other, (one[key] == other[key]) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near)
         return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("root_a").alias("ra"), F.col("root_b").alias("rb")).distinct()
 
-    small = written(crossing(apart.where(F.col("many") <= SMALL)), "small")
+    small = written(crossing(apart.where(F.col("many") <= SMALL), "h"), "small")
     passed = small.join(close(small.select("a", "b"), nodes, percent), ["a", "b"]).select("a", "b", "ra", "rb")
     either = star_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))  # tried and apart
-    rest = written(passed.unionByName(crossing(large, "parity")).distinct().join(either, ["a", "b"], "left_anti"), "pairs")
+    rest = written(passed.unionByName(crossing(large, "centre", "parity")).distinct().join(either, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         links = verified(rest.select("a", "b"), docs, nodes, size, percent).join(rest, ["a", "b"]).select(F.col("ra").alias("u"), F.col("rb").alias("v")).distinct()
         # Old components enter as stars around their roots.
