@@ -191,8 +191,8 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, per
     """Those of pairs (columns a, b: nodes) whose sets are within the limit; nodes: node, owner, owner_key."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = written(ends.join(nodes, "node").select(F.col("node").alias("of_node"), F.col("owner").alias("of_doc"), F.col("owner_key").alias("of_key")), "needed")
-    size = needed.agg(F.sum(F.coalesce(F.octet_length(F.col("of_doc").cast("string")), F.lit(0)) + 48)).first()[0] or 0
-    found = docs.join(F.broadcast(needed) if size <= BROADCAST_BYTES else needed, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_key"))).select("of_node", "text")
+    weight = needed.agg(F.sum(F.coalesce(F.octet_length(F.col("of_doc").cast("string")), F.lit(0)) + 48)).first()[0] or 0
+    found = docs.join(F.broadcast(needed) if weight <= BROADCAST_BYTES else needed, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_key"))).select("of_node", "text")
 
     def own(batches):
         """The sorted set of each node; drops other texts of a chance equal key."""
