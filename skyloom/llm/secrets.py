@@ -53,13 +53,26 @@ def parts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return found.withColumn("__loose", loose).withColumn("__row", F.monotonically_increasing_id())
 
 
+def may_link() -> Column:
+    """Has a row an endpoint and a weak part whose complement it has too, at whatever distance?"""
+    has = lambda name, *kinds: F.exists(name, lambda x: x["kind"].isin(*kinds))
+    secret_by_id = has("__loose", 4) & (has("__loose", 3) | has("__base", 1))
+    return has("__loose", 5) & (secret_by_id | has("__loose", 3) & has("__base", 0, 2))
+
+
+def with_links(parts: DataFrame, scope: int) -> DataFrame:
+    """parts, a written table, with __linked; only rows that may have links are joined, the others aren't moved."""
+    linkable = parts.where(may_link()).join(linked(parts, scope), "__row", "left")
+    return linkable.unionByName(parts.where(~may_link()).withColumn("__linked", F.lit(None).cast(SPAN)))
+
+
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """__row, spans: the weak identifiers and secrets of each row whose complements co-occur.
 
     A weak secret counts if within its scope lies an identifier (weak, or a strong access id) and an endpoint; a
     weak identifier counts if within its scope lies a secret (weak or strong) and an endpoint.
     """
-    rows = parts.where((F.size("__loose") > 0) & F.exists("__loose", lambda x: x["kind"] == 5)).select("__row", F.explode(F.concat("__base", "__loose")).alias("s")).select("__row", "s.*")
+    rows = parts.where(may_link()).select("__row", F.explode(F.concat("__base", "__loose")).alias("s")).select("__row", "s.*")
     after, before = (Window.partitionBy("__row").orderBy(F.col("start").asc() if up else F.col("start").desc(), F.col("kind").asc() if up else F.col("kind").desc(), F.col("end")) for up in (True, False))
     roles = {"id": F.col("kind").isin(1, 3), "secret": F.col("kind").isin(0, 2, 4), "endpoint": F.col("kind") == 5}
     near = {}
@@ -82,7 +95,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scop
     found = parts_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     parts = written(found.drop("text"), "parts")
     none = F.array().cast(SPAN)
-    return parts.join(linked(parts, scope), "__row", "left").select(
+    return with_links(parts, scope).select(
         F.col("doc_id").alias("id"), F.col("__base").alias("base"), F.sort_array(F.concat("__base", F.coalesce("__linked", none))).alias("spans")
     )
 
@@ -91,7 +104,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     """docs with every reported span of its text replaced by mask (overlapping spans by one); other columns are kept."""
     parts = written(parts_of(docs, id_col, text_col), "parts")
     all_spans = F.sort_array(F.concat("__base", F.coalesce("__linked", F.array().cast(SPAN))))
-    joined = parts.join(linked(parts, scope), "__row", "left").withColumn("__spans", all_spans)
+    joined = with_links(parts, scope).withColumn("__spans", all_spans)
     empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(a: Column, x: Column) -> Column:
