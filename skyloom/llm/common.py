@@ -47,14 +47,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def discard(spark: SparkSession) -> int:
-    """Deletes the intermediate tables written so far, and with them the results that still read them; returns how many there were."""
+def discard(spark: SparkSession, tables: list[str] | None = None, unless_read_by: DataFrame | None = None) -> int:
+    """Deletes the intermediate tables written so far (or those of them in tables), but for the ones that a frame reads, and with them other results that still read them; returns how many there were."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_WRITTEN)
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    needed = "".join(unless_read_by.inputFiles()) if unless_read_by is not None and tables != [] else ""
+    gone = [x for x in _WRITTEN if (tables is None or x in tables) and x.rsplit("/", 1)[1] not in needed]
+    for folder in gone:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
-    return n
+    _WRITTEN[:] = [x for x in _WRITTEN if x not in gone]
+    return len(gone)
+
+
+def tables_written() -> list[str]:
+    """The folders of the intermediate tables that there are."""
+    return list(_WRITTEN)
 
 
 def blocks_for(df: DataFrame, each: int = 8 << 20) -> int:
