@@ -6,13 +6,45 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm import decontamination, jaccard, packing, quality, secrets
-from skyloom.llm.common import without, written
+from skyloom.llm.common import discard, tables_written, without, written
 from skyloom.llm.registry import tokenizer_path
 
+
+#: The intermediate tables of the stage that ran last, until its successor begins.
+_LEFT: list[str] = []
+
+
+def follows(stage):
+    """stage, which first deletes the intermediate tables of the stage that ran before it, as docs is reread from that one's rows; tables that docs itself reads stay."""
+
+    @functools.wraps(stage)
+    def cleared(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, list(_LEFT), docs)
+        _LEFT.clear()
+        return stage(spark, docs, sf_dir)
+
+    return cleared
+
+
+def leaves(stage):
+    """stage, whose intermediate tables its successor deletes.  The last stage isn't so marked: a run's result reads its tables."""
+
+    @functools.wraps(stage)
+    def noted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        before = tables_written()
+        rows = stage(spark, docs, sf_dir)
+        _LEFT[:] = [x for x in tables_written() if x not in before]
+        return rows
+
+    return noted
+
+
 def row_key() -> Column:
     """What a row is dropped by: its id and its text's hash, never null, so rows of one id with different texts are told apart; text that sorts as the id (long) does, null last."""
     sixteen = lambda x: F.lpad(F.hex(x), 16, "0")
@@ -20,6 +52,7 @@ def row_key() -> Column:
     return F.concat_ws(":", by_id, F.when(F.col("text").isNull(), "").otherwise(sixteen(F.xxhash64("text"))))
 
 
+@leaves
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents, and those of rejected hosts, go."""
     return quality.accepted(docs)
@@ -30,6 +63,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(row_key().alias("doc_id"), "text")
 
 
+@follows
+@leaves
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component, and of rows with one id and text, the row with the least id stays; of rows that share the least id, the one with the least text hash.  A null id is the greatest."""
     found = written(jaccard.near_duplicates(keyed(docs)).select("id", (F.col("id") != F.col("component")).alias("dropped")), "components")
@@ -39,6 +74,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept
 
 
+@follows
+@leaves
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated rows go, each judged by its own text."""
     found = decontamination.contamination(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -46,11 +83,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return without(docs, dropped, row_key(), dropped["id"])
 
 
+@follows
+@leaves
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every reported span is masked; no document goes."""
     return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@follows
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' pieces in sequences."""
     return packing.pack(docs, tokenizer_path())
