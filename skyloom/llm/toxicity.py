@@ -1,9 +1,10 @@
 """Toxicity by compression distance: windows of a text under a dictionary of toxic and one of ordinary text.
 
-Toxic documents are mostly ordinary text, so the toxic dictionary is the ordinary one and, behind it, one trained on the
+Toxic documents are mostly ordinary text, so the toxic dictionary is the ordinary one and, before it, one trained on the
 passages of toxic training documents whose grams are there significantly more often than in ordinary ones, in whatever
-share of them.  A window's gain is by how many bytes the toxic dictionary compresses it better; every window is compressed under
-both.  The threshold is fitted on training documents under dictionaries that have not seen them.
+share of them.  The ordinary part comes last in both, as near the window as possible, so that references to it weigh the
+same.  A window's gain is by how many bytes the toxic dictionary compresses it better; every window is compressed under
+both, and windows are short, so that one telling word is seen.  The threshold is fitted on training documents under dictionaries that have not seen them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import ship
 
 #: Training reads at most so many labelled documents of each label (those with the least hashes of their ids); of one over MOST_BYTES, pieces of PIECE bytes from all over it, as many as make up so many bytes.
 MOST_DOCS, MOST_BYTES, PIECE = 2000, 40_000, 512
-WINDOW, STEP, GRAM, LEVEL = 96, 48, 6, 5
+WINDOW, STEP, GRAM, LEVEL = 32, 16, 6, 9
 #: A gram is telling if the likelihood ratio (G) of its toxic and ordinary documents, or of those that repeat it, is over this and it is commoner in toxic ones; among a million grams few are so by chance.
 TELLING = 20.0
 #: Bytes of a window's gain that parsing alone may give.
@@ -134,7 +135,7 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     base = trained([t[k : k + 512] for t in ordinary for k in range(0, len(t), 512)], 16384)
     strings = telling_strings(toxic, ordinary)
     random.Random(0).shuffle(strings)  # the trainer stops at a long stretch of samples that bring nothing new
-    return Model(toxic=base + trained(strings, 16384), ordinary=base)
+    return Model(toxic=trained(strings, 16384) + base, ordinary=base)
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes], toxic_held: list[bytes], ordinary_held: list[bytes]) -> Model:
