@@ -28,8 +28,12 @@ WINDOW, STEP, GRAM, LEVEL = 32, 16, 6, 9
 TELLING = 20.0
 #: Bytes of a window's gain that parsing alone may give.
 PARSING = 1
-#: The decision's limit on the score, and the score's slope by bytes of evidence.
-LIMIT, SLOPE = 0.7, 1.0
+#: The power of the number of windows that a text's gains are divided by: between a sum (0) and a mean (1).
+BY_WINDOWS = 0.75
+#: The threshold is fitted over so many parts of the labelled documents.
+PARTS = 10
+#: The decision's limit on the score, and the score's slope by evidence.
+LIMIT, SLOPE = 0.7, 4.0
 
 
 @dataclass
@@ -78,7 +82,7 @@ class Scorer:
         self.toxic, self.ordinary, self.at = squeeze(model.toxic), squeeze(model.ordinary), model.at
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each text: the gains of all its windows over what parsing may give, by the root of the windows' number."""
+        """For each text: the gains of all its windows over what parsing may give, by a power of the windows' number."""
         whole, toxic, ordinary = data.tobytes(), self.toxic, self.ordinary
         ends = offsets.tolist()
         out = np.zeros(len(ends) - 1)
@@ -90,7 +94,7 @@ class Scorer:
             for s in starts:
                 w = whole[s : min(s + WINDOW, end)]
                 gains += max(0, len(ordinary(w)) - len(toxic(w)) - PARSING)
-            out[t] = gains / math.sqrt(len(starts))
+            out[t] = gains / len(starts) ** BY_WINDOWS
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -139,11 +143,12 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes], toxic_held: list[bytes], ordinary_held: list[bytes]) -> Model:
-    """Dictionaries from all lists, and the threshold (fewest errors) from each quarter's evidence under dictionaries from the others."""
-    quarters = [(t[k::2], o[k::2]) for t, o in ((toxic, ordinary), (toxic_held, ordinary_held)) for k in (0, 1)]
+    """Dictionaries from all lists, and the threshold (fewest errors) from each part's evidence under dictionaries from the others."""
+    half = PARTS // 2
+    parts = [(t[k::half], o[k::half]) for t, o in ((toxic, ordinary), (toxic_held, ordinary_held)) for k in range(half)]
     found, labels = [], []
-    for k, (t, o) in enumerate(quarters):
-        others = [q for j, q in enumerate(quarters) if j != k]
+    for k, (t, o) in enumerate(parts):
+        others = [q for j, q in enumerate(parts) if j != k]
         own = dictionaries(*(sum((q[y] for q in others), []) for y in (0, 1)))
         found.append(Scorer(own).evidence(*joined([*t, *o])))
         labels.append(np.arange(len(found[-1])) < len(t))
