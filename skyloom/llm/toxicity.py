@@ -31,7 +31,7 @@ PARSING = 1
 #: The power of the number of windows that a text's gains are divided by: between a sum (0) and a mean (1).
 BY_WINDOWS = 0.75
 #: The threshold is fitted over so many parts of the labelled documents.
-PARTS = 10
+PARTS = 4
 #: The decision's limit on the score, and the score's slope by evidence.
 LIMIT, SLOPE = 0.7, 4.0
 
