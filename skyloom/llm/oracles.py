@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import LOWER, UPPER
 from .decontamination import SHARE, WINDOW
+from .divergence import ADDED, LEAST_DOCS, SCALE, TOP
 from .jaccard import PERCENT, SHINGLE
 from .quality import HOST_LIMIT, RULES, SYMBOLS
 from .substring import WINDOW as PASSAGE
@@ -69,5 +70,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+#: Written for itself: the text's line feeds are counted and cut at, rather than its lines collected and joined.
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (SELECT *, (length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR text[-1] = chr(10) THEN 0 ELSE 1 END)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, string_split(text, chr(10)) AS parts, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, length(array_to_string(parts[1:a], chr(10))) + CASE WHEN a > 0 AND a < len(parts) THEN 1 ELSE 0 END AS pre, length(array_to_string(parts[1:b], chr(10))) + CASE WHEN b > 0 AND b < len(parts) THEN 1 ELSE 0 END AS mid FROM c),
+t AS (SELECT *, substr(text, 1, pre) AS prefix, substr(text, pre + 1, mid - pre) AS middle, substr(text, mid + 1) AS suffix FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM t
+"""
+
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^a-z\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS total FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= {LEAST_DOCS}),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT gn.lang, gn.source, kept.term, coalesce(c.n, 0) AS n, 1 + ({SCALE}::HUGEINT * (coalesce(c.n, 0) + {ADDED})) // (gn.n + {ADDED} * v.v) AS p, 1 + ({SCALE}::HUGEINT * (kept.total + {ADDED})) // (v.n + {ADDED} * v.v) AS q
+  FROM gn JOIN v ON gn.lang = v.lang JOIN kept ON kept.lang = gn.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = kept.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+found AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= {TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRINGS, "op8_quality_rules": QUALITY, "op10_ngram_jaccard_join": NEAR_DUPLICATES}
+    return {"op4_benchmark_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRINGS, "op8_quality_rules": QUALITY, "op10_ngram_jaccard_join": NEAR_DUPLICATES,
+        "op11_fill_in_middle": FILL_IN_MIDDLE, "op13_source_divergence": DIVERGENCE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, oracles, packing, quality, secrets, substring, suffix_dedup, suffix_tree_lm, token_count, toxicity
+from . import decontamination, divergence, fill_in_middle, jaccard, oracles, packing, quality, secrets, substring, suffix_dedup, suffix_tree_lm, token_count, toxicity, url_filter
 from .common import documents
 
 
@@ -74,8 +74,23 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.fill_in_middle(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.filtered(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.RULES)
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_toxicity, op3_packing, op4_benchmark_decontamination, op5_substring_dedup, op6_lm_scoring, op7_secret_scans, op8_quality_rules, op9_token_counts, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_toxicity, op3_packing, op4_benchmark_decontamination, op5_substring_dedup, op6_lm_scoring, op7_secret_scans, op8_quality_rules, op9_token_counts, op10_ngram_jaccard_join,
+        op11_fill_in_middle, op12_url_filters, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
