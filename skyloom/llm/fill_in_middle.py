@@ -67,8 +67,7 @@ def through_sql(frame: DataFrame, sql: str, schema: T.StructType, text_at: int)
         for batch in batches:
             for first, end, _, _ in slices(batch.column(text_at)):
                 con.register("slice", pa.Table.from_batches([batch.slice(first, end - first)]))
-                for out in con.execute(sql).to_arrow_table().select(names).to_batches():
-                    yield out
+                yield from con.sql(sql).to_arrow_table().select(names).to_batches()
                 con.unregister("slice")
 
     return frame.mapInArrow(run, schema)

@@ -240,3 +240,89 @@ def host_verdicts(rows, limit):
         for h, (r, n) in found.items():
             out[h] |= (r + mean * weight) / (n + weight) > limit
     return out
+
+
+def op11(docs, seed=7, percent=100, spm_percent=50):
+    out = []
+    for i, t in docs:
+        t = t or ""
+        units = re.findall(r"[^\n]*\n|[^\n]+", t)
+        h = [int(hexed(f"{seed}:{'' if i is None else i}")[8 * k : 8 * k + 8], 16) for k in range(4)]
+        a, b = sorted(x % (len(units) + 1) for x in h[:2])
+        prefix, middle, suffix = ("".join(units[x:y]) for x, y in ((0, a), (a, b), (b, None)))
+        if not t or any(m in t for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= percent:
+            out.append((i, len(units), "plain", None, None, hexed(t), hexed(t)))
+        elif h[3] % 100 < spm_percent:
+            out.append((i, len(units), "spm", len(prefix), len(middle), hexed(f"<S>{suffix}<P>{prefix}<M>{middle}"), hexed(t)))
+        else:
+            out.append((i, len(units), "psm", len(prefix), len(middle), hexed(f"<P>{prefix}<S>{suffix}<M>{middle}"), hexed(t)))
+    return out
+
+
+def op12_rules(url, rules):
+    """host, path, rule and the rule's verdict of a URL."""
+    url = url or ""
+    if "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.match("[^/?#]*", rest)[0]
+    path = re.match("[^?#]*", rest[len(host) :])[0]
+    host = lower(host)
+    fits = [(len(r), r, v) for v, r in rules if (host == r[: r.index("/")] or host.endswith("." + r[: r.index("/")])) and path.startswith(r[r.index("/") :])]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def op12_model(urls, order):
+    """Counts by context of every URL's bytes, from dictionaries."""
+    model = {}
+    for u in urls:
+        s = [2, *u, 3]
+        for k in range(1, len(s)):
+            for n in range(min(order, k) + 1):
+                model.setdefault(tuple(s[k - n : k]), Counter())[s[k]] += 1
+    return model
+
+
+def op12_score(url, accepted, rejected, order):
+    import math
+
+    def likelihood(model):
+        s, total = [2, *url, 3], 0.0
+        for k in range(1, len(s)):
+            p = 1 / 256
+            for n in range(min(order, k) + 1):
+                if (c := model.get(tuple(s[k - n : k]))) is None:
+                    break
+                p = (c[s[k]] + len(c) * p) / (sum(c.values()) + len(c))
+            total += math.log(p)
+        return total
+
+    return (likelihood(rejected) - likelihood(accepted)) / (len(url) + 1)
+
+
+def op13(rows, least=30, top=50):
+    """rows: (lang, source, text)."""
+    term = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+    df, groups, langs = {}, {}, {}
+    for lang, source, t in rows:
+        lang, source = lang or "", source or ""
+        c = Counter(term.findall(lower(t or "")))
+        groups.setdefault((lang, source), Counter()).update(c)
+        langs.setdefault(lang, Counter()).update(c)
+        df.setdefault(lang, Counter()).update(c.keys())
+    kept = {x: sorted(w for w, k in c.items() if k >= least) for x, c in df.items()}
+
+    def shares(lang, c):
+        whole = sum(c[w] for w in kept[lang]) + 5 * len(kept[lang])
+        return {w: 1 + 10**9 * (c[w] + 5) // whole for w in kept[lang]}
+
+    p = {g: shares(g[0], c) for g, c in groups.items()}
+    q = {x: shares(x, c) for x, c in langs.items()}
+    out = []
+    for (lang, source), mine in p.items():
+        pairs = [(s, sum(abs(mine[w] - x[w]) for w in kept[lang])) for (other, s), x in p.items() if other == lang and s != source]
+        terms = [(w, mine[w] - q[lang][w]) for w in kept[lang] if groups[(lang, source)][w] and mine[w] > q[lang][w]]
+        for part, items, most in (("pair", pairs, len(pairs)), ("term", terms, top)):
+            ordered = sorted(items, key=lambda x: (-x[1], x[0].encode()))[:most]
+            out += [(lang, source, part, w, v, k + 1) for k, (w, v) in enumerate(ordered)]
+    return out

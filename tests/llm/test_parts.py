@@ -126,7 +126,8 @@ def test_every_window_is_compressed_under_both_dictionaries():
         setattr(scorer, name, lambda w, squeeze=squeeze, windows=windows: windows.append(w) or squeeze(w))
     texts = [b"", b"short", bytes(range(48, 96)) * 10, b"nothing that any dictionary holds 0123456789" * 5]
     evidence = scorer.evidence(*toxicity.joined(texts))
-    want = [t[k : k + 96] for t in texts if t for k in range(0, max(1, len(t) - 48), 48)]
+    over = toxicity.WINDOW - toxicity.STEP
+    want = [t[k : k + toxicity.WINDOW] for t in texts if t for k in range(0, max(1, len(t) - over), toxicity.STEP)]
     assert seen["toxic"] == seen["ordinary"] == want and evidence[0] == 0
 
 
