@@ -13,6 +13,7 @@ from ..functions.dialect import DUCKDB, SPARK, Dialect
 from ..operators import charts as H
 from ..operators import history
 from ..operators import texts as X
+from . import records
 
 AS_OF = 2024
 #: Sources: (table, query over it); t stands for the table.
@@ -150,11 +151,11 @@ def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {n: _query(n) for n in FORMULAS} | {"history_latest": history_latest}
+    return {n: _query(n) for n in FORMULAS} | {"history_latest": history_latest} | records.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     out = {n: formula(DUCKDB, "(" + source.replace("{t}", table) + ")") for n, ((table, source), formula) in FORMULAS.items()}
-    return out | {"history_latest": "SELECT event_id AS seq, event_type AS type, ts AS date, props AS details FROM events ORDER BY ts DESC, event_id DESC LIMIT 100"}
+    return out | {"history_latest": "SELECT event_id AS seq, event_type AS type, ts AS date, props AS details FROM events ORDER BY ts DESC, event_id DESC LIMIT 100"} | records.ORACLES
 
 
