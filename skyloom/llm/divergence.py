@@ -8,8 +8,6 @@ differences of shards add up.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -24,50 +22,63 @@ LEAST_DOCS, ADDED, SCALE, TOP = 30, 5, 1_000_000_000, 50
 MOST_BLOCKS, LEAST_GROUPS, ENTRIES = 64, 4, 1 << 21
 #: Rounds that one job runs: so many copies of the compressed vectors are on their way at once.
 ROUNDS_A_JOB = 8
-#: Entries of a worker's counts before they are handed on.
-MOST_COUNTS = 200_000
+#: Bytes of text that are counted at once; a longer text alone.
+SLICE_BYTES = 12 << 20
 #: Bytes to terms: A-Z are lower-cased, other letters and all bytes of longer characters stay, the rest parts terms.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 # -- counts ----------------------------------------------------------------------------------------------------------
+def slice_counts(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Of texts (bytes, UTF-8) with the numbers of their groups: group, term, occurrences and documents of every group and term in them."""
+    import pyarrow.compute as pc
+
+    lowered = data.tobytes().translate(LETTERS)
+    texts = pa.LargeStringArray.from_buffers(len(group), pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(lowered))
+    split = pc.ascii_split_whitespace(texts)
+    doc, terms = pc.list_parent_indices(split).to_numpy().astype(np.int64), split.values.dictionary_encode()
+    size = max(1, len(terms.dictionary))
+
+    def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each run of equal sorted keys begins, and its length."""
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        return first, np.diff(np.r_[first, len(keys)])
+
+    keys = np.sort(doc * size + terms.indices.to_numpy())
+    first, n = runs(keys)
+    keys = group[keys[first] // size] * size + keys[first] % size
+    order = np.argsort(keys, kind="stable")
+    first, n_docs = runs(keys[order])
+    found = keys[order][first]
+    n = np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
+    return found // size, terms.dictionary.take(pa.array(found % size)), n, n_docs
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, n_docs by group; a row with an empty term stands for the group itself.  Null lang, source or text is empty; counted by slices first, then by a shuffle of the sums."""
+    """lang, source, term, n, n_docs by group; a row with an empty term stands for the group itself.  Null lang, source or text is empty.  Counted by slices first; the shuffle's partitions add those up."""
     ship(docs.sparkSession)
     clean = lambda c: F.make_valid_utf8(F.coalesce(F.col(c).cast("string"), F.lit("")))
 
     def run(batches):
         from .arrow import slices
-        from .divergence import LETTERS, MOST_COUNTS
-
-        n, n_docs = Counter(), Counter()
-
-        def handed():
-            keys = list(n)
-            columns = [pa.array([k[i] for k in keys], pa.binary()).cast(pa.string()) for i in range(3)]
-            counts = [pa.array([c[k] for k in keys], pa.int64()) for c in (n, n_docs)]
-            n.clear()
-            n_docs.clear()
-            return pa.RecordBatch.from_arrays([*columns, *counts], ["lang", "source", "term", "n", "n_docs"])
+        from .divergence import SLICE_BYTES, slice_counts
 
         for batch in batches:
-            langs, sources = (batch.column(k).cast(pa.binary()).to_pylist() for k in (0, 1))
-            for first, end, data, offsets in slices(batch.column(2)):
-                whole = data.tobytes().translate(LETTERS)
-                for row in range(first, end):
-                    group = (langs[row], sources[row])
-                    n[(*group, b"")] += 0
-                    for term, k in Counter(whole[offsets[row - first] : offsets[row - first + 1]].split()).items():
-                        n[(*group, term)] += k
-                        n_docs[(*group, term)] += 1
-                    if len(n) > MOST_COUNTS:
-                        yield handed()
-        if n:
-            yield handed()
+            pairs = pa.table([batch.column(0), batch.column(1)], ["lang", "source"])
+            known = pairs.group_by(["lang", "source"]).aggregate([])
+            number = {g: k for k, g in enumerate(zip(*(known.column(c).to_pylist() for c in ("lang", "source")), strict=True))}
+            group = np.array([number[g] for g in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True)], np.int64)
+            none = np.zeros(len(number), np.int64)
+            found = [(np.arange(len(number)), pa.array([""] * len(number)), none, none)]
+            found += [slice_counts(data, offsets, group[first:end]) for first, end, data, offsets in slices(batch.column(2), SLICE_BYTES)]
+            for own, terms, n, n_docs in found:
+                of_group = [known.column(c).combine_chunks().take(pa.array(own)) for c in ("lang", "source")]
+                yield pa.RecordBatch.from_arrays([*of_group, terms.cast(pa.string()), pa.array(n, pa.int64()), pa.array(n_docs, pa.int64())], ["lang", "source", "term", "n", "n_docs"])
 
     source = docs.select(clean("lang").alias("lang"), clean("source").alias("source"), clean("text").alias("text"))
     parts = source.mapInArrow(run, "lang string, source string, term string, n long, n_docs long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    # The slices' sums repeat too few keys for a second sum before the shuffle.
+    return parts.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def kept_terms(counts: DataFrame, groups: DataFrame) -> DataFrame:

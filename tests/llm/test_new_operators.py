@@ -141,8 +141,8 @@ def test_source_divergence(spark):
 
 
 def test_source_divergence_in_many_blocks_and_shards(spark, monkeypatch):
-    """Blocks of one and two groups, shards of a few terms, several jobs of rounds, counts handed on early."""
-    for name, value in {"LEAST_GROUPS": 1, "MOST_BLOCKS": 11, "ENTRIES": 30, "ROUNDS_A_JOB": 3, "MOST_COUNTS": 50}.items():
+    """Blocks of one and two groups, shards of a few terms, several jobs of rounds, counts of slices of a few texts."""
+    for name, value in {"LEAST_GROUPS": 1, "MOST_BLOCKS": 11, "ENTRIES": 30, "ROUNDS_A_JOB": 3, "SLICE_BYTES": 500}.items():
         monkeypatch.setattr(divergence, name, value)
     rows = divergence_rows(20, 600, 8)
     assert ordered(tuple(r) for r in divergence.divergence(frame_of(spark, rows)).collect()) == ordered(brute.op13(rows))
