@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources import fixed as V
-from .dialect import Dialect, chain, integer
+from .dialect import Dialect, chain, integer, text
 
 #: The conventions of the day cycle disagree and are never unified: (anchor, stem's offset, branch's offset).
 DAY_CYCLES = {"pillar": ("1900-01-01", 10, 10), "almanac": ("1984-02-02", 0, 0), "six_line": ("1900-01-01", 9, 1), "lesson": ("1900-01-01", 0, 0)}
@@ -95,12 +95,12 @@ def pillars(q: Dialect, src: str, mode: str = "compat") -> str:
     return f"SELECT *, {q.mod('(ys * 2 + 2 + sm - 1)', 10)} AS ms, {q.mod('(sm + 1)', 12)} AS mb, {hour_stem(q, 'ds', 'hb')} AS hs FROM ({inner})"
 
 
-def calendar(q: Dialect, src: str) -> str:
-    """id and the deterministic attributes of the day and hour of ts."""
+def calendar_columns(q: Dialect) -> dict[str, str]:
+    """The deterministic attributes of the day and hour of ts."""
     ly, lm = lunar_year(q, "ts"), lunar_month(q, "ts")
     days = q.day_count("1984-02-02", "ts")
     s, b = q.mod(days, 10), q.mod(days, 12)
-    columns = {
+    return {
         "year_name": named(q, year_index(q, "year(ts)", 10), year_index(q, "year(ts)", 12)),
         "animal": q.at(V.ANIMALS, year_index(q, "year(ts)", 12)),
         "day_almanac": day_name(q, "ts", "almanac"),
@@ -129,7 +129,10 @@ def calendar(q: Dialect, src: str) -> str:
         "day_text": q.day_text("ts"),
         "moment_text": f"(CAST(year(ts) AS STRING) || '年' || CAST(month(ts) AS STRING) || '月' || CAST(day(ts) AS STRING) || '日 ' || {q.clock('ts')})",
     }
-    return "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + f" FROM {src}"
+
+
+def calendar(q: Dialect, src: str) -> str:
+    return "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in calendar_columns(q).items()) + f" FROM {src}"
 
 
 def solar_terms(q: Dialect, src: str) -> str:
@@ -143,4 +146,5 @@ def age_label(q: Dialect, src: str) -> str:
     seconds = "(unix_timestamp(CAST(now_ts AS TIMESTAMP)) - unix_timestamp(CAST(ts AS TIMESTAMP)))" if q.spark else "CAST(floor(epoch(now_ts)) - floor(epoch(ts)) AS BIGINT)"
     clock = q.clock("ts")
     days = q.div(seconds, 86400)
-    return f"SELECT id, {chain([(f'{days} = 0', chr(39) + '今天 ' + chr(39) + ' || ' + clock), (f'{days} = 1', chr(39) + '昨天 ' + chr(39) + ' || ' + clock)], f'(CAST(month(ts) AS STRING) || ' + chr(39) + '月' + chr(39) + f' || CAST(day(ts) AS STRING) || ' + chr(39) + '日' + chr(39) + ')')} AS label FROM {src}"
+    date = "CAST(month(ts) AS STRING) || '月' || CAST(day(ts) AS STRING) || '日'"
+    return f"SELECT id, {chain([(f'{days} = 0', text('今天')), (f'{days} = 1', text('昨天'))], date)} || ' ' || {clock} AS label FROM {src}"

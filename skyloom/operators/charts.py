@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import cycles as C
 from ..functions import elements as E
-from ..functions.dialect import Dialect, chain, integer, text
+from ..functions.dialect import SPARK, Dialect, chain, integer, text
 from ..sources import fixed as V
 
 
@@ -179,43 +179,52 @@ def four_pillars(q: Dialect, src: str, mode: str = "compat") -> str:
     return select(columns | {"pattern": text(V.PATTERN)}, f"({C.pillars(q, src, mode)})")
 
 
-def element_counts(q: Dialect, src: str) -> str:
-    """id, gender, the five counts c0 to c4 over stems, branches and hidden stems, and the day's stem ds."""
+def element_counts(q: Dialect, src: str, mode: str = "compat") -> str:
+    """pillars' rows with the five counts c0 to c4 over stems, branches and hidden stems."""
     def of_branch(e: int) -> list[int]:
         return [(E.BRANCH_ELEMENT[b] == e) + sum(V.STEMS.index(s) // 2 == e for s in V.HIDDEN_STEMS[b]) for b in range(12)]
 
     counts = {f"c{e}": " + ".join(f"CASE WHEN {E.stem_element(q, k + 's')} = {e} THEN 1 ELSE 0 END + {q.at(of_branch(e), k + 'b')}" for k in "ymdh") for e in range(5)}
-    return select({"id": "id", "gender": "gender", "ds": "ds"} | {k: integer(v) for k, v in counts.items()}, f"({C.pillars(q, src)})")
+    return f"SELECT *, {', '.join(f'{integer(v)} AS {k}' for k, v in counts.items())} FROM ({C.pillars(q, src, mode)})"
 
 
-def element_reading(q: Dialect, src: str) -> str:
-    """id, counts, the scarcest element (the first of equals), favourable and unfavourable ones, texts."""
-    least = "least(c0, c1, c2, c3, c4)"
-    k = chain([(f"c{e} = {least}", str(e)) for e in range(4)], "4")
-    inner = f"SELECT *, {k} AS k FROM ({element_counts(q, src)})"
+def scarcest(q: Dialect) -> str:
+    """The least of the counts c0 to c4, the first of equals."""
+    return chain([(f"c{e} = least(c0, c1, c2, c3, c4)", str(e)) for e in range(4)], "4")
+
+
+def element_texts(q: Dialect) -> dict[str, str]:
+    """Columns over the counts c0 to c4, the scarcest element k, ds and gender."""
     shown = " || ".join(f"'{V.ELEMENTS[e]}(' || CAST(c{e} AS STRING) || ') '" for e in range(5))
     empty = f"concat_ws('；', {', '.join(f'CASE WHEN c{e} = 0 THEN {text(V.LACKS[e])} END' for e in range(5))})"
     day = E.stem_element(q, "ds")
-    return select(
-        {"id": "id"} | {f"n_{n}": f"c{e}" for e, n in enumerate(("wood", "fire", "earth", "metal", "water"))}
+    return (
+        {f"n_{n}": f"c{e}" for e, n in enumerate(("wood", "fire", "earth", "metal", "water"))}
         | {"scarcest": q.at(V.ELEMENTS, "k"), "favourable": q.at(V.ELEMENTS, q.mod("(k - 1)", 5)), "unfavourable": q.at(V.ELEMENTS, q.mod("(k + 3)", 5)),
            "personality": f"('日主' || {q.at(V.STEMS, 'ds')} || {q.at(V.ELEMENTS, day)} || '，' || {q.at(V.PERSONALITY, day)})", "counts_text": f"('五行分布：' || {shown})", "lacks": empty, "health": f"('五行分布：' || {shown} || chr(10) || CASE WHEN {empty} = '' THEN {text(V.HEALTH_TEXTS[0])} ELSE '健康提醒：' || {empty} || '。' END || {text(V.HEALTH_TEXTS[1])})",
            "suggestions": f"('多使用' || {q.at(V.ELEMENT_COLOURS, 'k')} || '的物品，有助于增强运势；工作生活宜选择' || {q.at(V.ELEMENT_DIRECTIONS, q.mod('(k - 1)', 5))} || '，有利于事业发展；' || {text('；'.join(V.PILLAR_SUGGESTIONS))})",
-           "colours": q.at(V.ELEMENT_COLOURS, "k"), "direction": q.at(V.ELEMENT_DIRECTIONS, q.mod("(k - 1)", 5)), "marriage": f"CASE WHEN gender = '男' THEN {text(V.MARRIAGE['男'])} ELSE {text(V.MARRIAGE['女'])} END", "career": text(V.CAREER), "wealth": text(V.WEALTH)},
-        f"({inner})",
+           "colours": q.at(V.ELEMENT_COLOURS, "k"), "direction": q.at(V.ELEMENT_DIRECTIONS, q.mod("(k - 1)", 5)), "marriage": f"CASE WHEN gender = '男' THEN {text(V.MARRIAGE['男'])} ELSE {text(V.MARRIAGE['女'])} END", "career": text(V.CAREER), "wealth": text(V.WEALTH)}
     )
 
 
+def element_reading(q: Dialect, src: str) -> str:
+    """id, counts, the scarcest element (the first of equals), favourable and unfavourable ones, texts."""
+    return select({"id": "id"} | element_texts(q), f"(SELECT *, {scarcest(q)} AS k FROM ({element_counts(q, src)}))")
+
+
+def luck_columns(q: Dialect, i: str) -> dict[str, str]:
+    """The decade i (from 0) of pillars' rows."""
+    forward = f"((gender = '男' AND {q.mod('ms', 2)} = 0) OR (gender = '女' AND {q.mod('ms', 2)} = 1))"
+    n = q.mod(f"({C.sixty(q, 'ms', 'mb')} + CASE WHEN {forward} THEN {i} + 1 ELSE -{i} - 1 END)", 60)
+    age = f"(CASE WHEN gender = '男' THEN 8 ELSE 7 END + {i} * 10)"
+    return {"i": integer(i), "name": C.named(q, q.mod(n, 10), q.mod(n, 12)), "from_age": integer(age), "to_age": integer(f"{age} + 9"), "from_year": integer(f"year(ts) + {age}"), "to_year": integer(f"year(ts) + {age} + 9")}
+
+
 def luck_cycles(q: Dialect, src: str, as_of_year: int) -> str:
     """id, i, name, ages and years of eight decades, and which of them holds as_of_year; with the year's own name and age."""
-    forward = f"((gender = '男' AND {q.mod('ms', 2)} = 0) OR (gender = '女' AND {q.mod('ms', 2)} = 1))"
-    n = q.mod(f"({C.sixty(q, 'ms', 'mb')} + CASE WHEN {forward} THEN i + 1 ELSE -i - 1 END)", 60)
-    age = "(CASE WHEN gender = '男' THEN 8 ELSE 7 END + i * 10)"
-    return select(
-        {"id": "id", "i": integer("i"), "name": C.named(q, q.mod(n, 10), q.mod(n, 12)), "from_age": integer(age), "to_age": integer(f"{age} + 9"), "from_year": integer(f"year(ts) + {age}"), "to_year": integer(f"year(ts) + {age} + 9"),
-         "is_now": f"{as_of_year} BETWEEN year(ts) + {age} AND year(ts) + {age} + 9", "year_name": C.named(q, C.year_index(q, str(as_of_year), 10), C.year_index(q, str(as_of_year), 12)), "age": integer(f"{as_of_year} - year(ts)")},
-        f"({C.pillars(q, src)}) __p", q.each(0, 7, "i"),
-    )
+    columns = luck_columns(q, "i")
+    now = {"is_now": f"{as_of_year} BETWEEN {columns['from_year']} AND {columns['to_year']}", "year_name": C.named(q, C.year_index(q, str(as_of_year), 10), C.year_index(q, str(as_of_year), 12)), "age": integer(f"{as_of_year} - year(ts)")}
+    return select({"id": "id"} | columns | now, f"({C.pillars(q, src)}) __p", q.each(0, 7, "i"))
 
 
 # -- nine palaces ----------------------------------------------------------------------------------------------------
@@ -233,15 +242,20 @@ def _cell(q: Dialect, i: str) -> dict[str, str]:
     return {"star": q.mod(f"(pj + {i} - 1)", 9), "door": f"CASE WHEN {door} = 4 THEN 7 ELSE {door} END", "deity": q.mod(f"(pm + {i} - 1)", 8), "stem": q.mod(f"(pl + {i} - 1)", 10)}
 
 
+def nine_columns(q: Dialect, i: str) -> dict[str, str]:
+    """The cell i (from 1) of nine_parameters' rows."""
+    c = _cell(q, i)
+    flags = f"concat_ws(' ', CASE WHEN {i} = 1 THEN '值符' END, CASE WHEN {i} = pu THEN '用神' END, CASE WHEN {c['star']} IN (0, 2, 6, 8) THEN '凶星' END)"
+    return {"position": integer(i), "palace": q.at(V.PALACE_NAMES, f"{i} - 1"), "star": q.at(V.STARS, c["star"]), "door": q.at(V.DOORS, c["door"]), "deity": q.at(V.DEITIES, c["deity"]), "stem": q.at(V.STEMS, c["stem"]), "flags": flags}
+
+
 def nine_cells(q: Dialect, src: str, drawn: bool = False) -> str:
     """id and its nine cells."""
-    c = _cell(q, "i")
-    flags = f"concat_ws(' ', CASE WHEN i = 1 THEN '值符' END, CASE WHEN i = pu THEN '用神' END, CASE WHEN {c['star']} IN (0, 2, 6, 8) THEN '凶星' END)"
-    return select({"id": "id", "position": integer("i"), "palace": q.at(V.PALACE_NAMES, "i - 1"), "star": q.at(V.STARS, c["star"]), "door": q.at(V.DOORS, c["door"]), "deity": q.at(V.DEITIES, c["deity"]), "stem": q.at(V.STEMS, c["stem"]), "flags": flags}, f"({nine_parameters(q, src, drawn)}) __n", q.each(1, 9, "i"))
+    return select({"id": "id"} | nine_columns(q, "i"), f"({nine_parameters(q, src, drawn)}) __n", q.each(1, 9, "i"))
 
 
-def nine_reading(q: Dialect, src: str, drawn: bool = False) -> str:
-    """id, pattern and its level, five aspects, the significator's direction, the favourable direction."""
+def nine_reading(q: Dialect, src: str, drawn: bool = False, also: dict[str, str] | None = None) -> str:
+    """id, pattern and its level, five aspects, the significator's direction, the favourable direction; also: more columns over nine_parameters."""
     star = lambda i: q.at(V.STARS, _cell(q, str(i))["star"])
     door = lambda i: q.at(V.DOORS, _cell(q, str(i))["door"])
     deity = lambda i: q.at(V.DEITIES, _cell(q, str(i))["deity"])
@@ -260,7 +274,7 @@ def nine_reading(q: Dialect, src: str, drawn: bool = False) -> str:
         "study": aspect("study", f"{star(4)} = '天辅星' OR {door(9)} = '景门'", f"{star(4)} = '天冲星' OR {door(9)} = '杜门'"),
     }
     directions = [(is_in(door(i), "开门", "生门"), text(V.PALACE_DIRECTIONS[i - 1])) for i in range(1, 10)] + [(is_in(star(i), "天心星", "天任星", "天辅星"), text(V.PALACE_DIRECTIONS[i - 1])) for i in range(1, 10)]
-    inner = select({"id": "id", "pattern": pattern} | aspects | {"significator": q.at(V.PALACE_DIRECTIONS, "pu - 1"), "favourable": chain(directions, "'东南'"), "favourable_time": chain([("hour(ts) BETWEEN 6 AND 11", text(V.HALF_DAY_TEXTS[0])), ("hour(ts) BETWEEN 12 AND 17", text(V.HALF_DAY_TEXTS[1]))], text(V.HALF_DAY_TEXTS[2]))}, f"({nine_parameters(q, src, drawn)})")
+    inner = select({"id": "id"} | (also or {}) | {"pattern": pattern} | aspects | {"significator": q.at(V.PALACE_DIRECTIONS, "pu - 1"), "favourable": chain(directions, "'东南'"), "favourable_time": chain([("hour(ts) BETWEEN 6 AND 11", text(V.HALF_DAY_TEXTS[0])), ("hour(ts) BETWEEN 12 AND 17", text(V.HALF_DAY_TEXTS[1]))], text(V.HALF_DAY_TEXTS[2]))}, f"({nine_parameters(q, src, drawn)})")
     of_pattern = lambda values, other: chain([(f"pattern = {text(p)}", text(v)) for p, v in zip(V.PATTERNS, values, strict=True)], text(other))
     inner = f"SELECT *, {of_pattern(V.PATTERN_LEVELS, '')} AS level, {of_pattern(V.PATTERN_TEXTS, V.PATTERN_OTHER_TEXT)} AS analysis FROM ({inner})"
     luck = chain([(f"level = {text(lv)}", text(t)) for lv, t in zip(V.LEVELS, V.LUCK_TEXTS, strict=True)], text(V.LUCK_OTHER_TEXT))
@@ -278,8 +292,8 @@ def _lessons(q: Dialect, src: str, drawn: bool = False) -> str:
     return f"SELECT *, {C.hour_stem(q, 'ds', 'hb')} AS hs FROM ({inner})"
 
 
-def twelve_lessons(q: Dialect, src: str, drawn: bool = False) -> str:
-    """id, day and hour, four lessons, three transmissions above and below, helper and obstacle, type and level."""
+def twelve_lessons(q: Dialect, src: str, drawn: bool = False, also: dict[str, str] | None = None) -> str:
+    """id, day and hour, four lessons, three transmissions above and below, helper and obstacle, type and level; also: more columns over the stems and branches ds, db, hs, hb."""
     over = lambda b: q.mod(f"({b} + ds)", 12)
     z = lambda x: q.at(V.BRANCHES, x)
     r, t = over("db"), over("hb")
@@ -287,13 +301,13 @@ def twelve_lessons(q: Dialect, src: str, drawn: bool = False) -> str:
     main = E.branch_element(q, r)
     kind = f"CASE WHEN ds = 0 THEN {q.pick('lesson', 'CAST(id AS STRING)', 6)} ELSE 1 END"
     inner = select(
-        {"id": "id", "day_name": C.named(q, "ds", "db"), "hour_name": C.named(q, "hs", "hb"), "lesson1": f"({z(r)} || '/' || {z('db')})", "lesson2": f"({z(t)} || '/' || {z('hb')})", "lesson3": f"({z(r)} || '克' || {z('db')})", "lesson4": f"({z(t)} || '克' || {z('hb')})",
+        (also or {}) | {"id": "id", "day_name": C.named(q, "ds", "db"), "hour_name": C.named(q, "hs", "hb"), "lesson1": f"({z(r)} || '/' || {z('db')})", "lesson2": f"({z(t)} || '/' || {z('hb')})", "lesson3": f"({z(r)} || '克' || {z('db')})", "lesson4": f"({z(t)} || '克' || {z('hb')})",
          "above": "(" + " || ' ' || ".join(z(x) for x in above) + ")", "below": "(" + " || ' ' || ".join(z(q.mod(f"({x} - ds)", 12)) for x in above) + ")", "course": "'连茹'", "helper": q.at(V.ELEMENTS, q.mod(f"({main} - 1)", 5)), "obstacle": q.at(V.ELEMENTS, q.mod(f"({main} + 3)", 5)), "kind": kind,
          "main": z(r), "time_advice": chain([("hour(ts) BETWEEN 5 AND 10", text(V.DAY_PART_TEXTS[0])), ("hour(ts) BETWEEN 11 AND 14", text(V.DAY_PART_TEXTS[1])), ("hour(ts) BETWEEN 15 AND 18", text(V.DAY_PART_TEXTS[2]))], text(V.DAY_PART_TEXTS[3]))},
         f"({_lessons(q, src, drawn)})",
     )
     luck = q.at([V.LESSON_LUCK[lv] for lv in V.LESSON_LEVELS], "kind")
-    columns = {c: c for c in "id day_name hour_name lesson1 lesson2 lesson3 lesson4 above below course helper obstacle".split()} | {
+    columns = {c: c for c in also or {}} | {c: c for c in "id day_name hour_name lesson1 lesson2 lesson3 lesson4 above below course helper obstacle".split()} | {
         "lesson_type": q.at(V.LESSON_TYPES, "kind"), "level": q.at(V.LESSON_LEVELS, "kind"), "overall": f"('课体为' || {q.at(V.LESSON_TYPES, 'kind')} || '，' || {q.at(V.LESSON_TEXTS, 'kind')} || '。' || {luck})",
         "on_main": "('用神为' || main || '，主事之神，代表所占之事的核心。')", "on_helper": "('原神为' || helper || '，生助用神，为有利因素。')", "on_obstacle": "('忌神为' || obstacle || '，克制用神，为不利因素。')",
         "on_course": "('初传' || substr(above, 1, 1) || '，中传' || substr(above, 3, 1) || '，末传' || substr(above, 5, 1) || '，显示事情发展过程。')", "forecast": "('根据用神' || main || '的情况，事情发展趋势总体向好。')", "time_advice": "time_advice",
@@ -301,10 +315,15 @@ def twelve_lessons(q: Dialect, src: str, drawn: bool = False) -> str:
     return select(columns, f"({inner})")
 
 
+def plate_columns(q: Dialect, i: str) -> dict[str, str]:
+    """The slot i (from 1)."""
+    p = f"({q.mod('(ds + ' + q.div('hour(ts)', 2) + ')', 12)} + 1)"
+    return {"slot": integer(i), "earth": q.at(V.BRANCHES, f"{i} - 1"), "heaven": q.at(V.BRANCHES, q.mod(f"(ds + {i} - 1)", 12)), "general": q.at(V.GENERALS, q.mod(f"({p} + {i} - 1)", 12))}
+
+
 def twelve_plates(q: Dialect, src: str, drawn: bool = False) -> str:
     """id, slot, earth and heaven branches, general of each of twelve slots."""
-    p = f"({q.mod('(ds + ' + q.div('hour(ts)', 2) + ')', 12)} + 1)"
-    return select({"id": "id", "slot": integer("i"), "earth": q.at(V.BRANCHES, "i - 1"), "heaven": q.at(V.BRANCHES, q.mod("(ds + i - 1)", 12)), "general": q.at(V.GENERALS, q.mod(f"({p} + i - 1)", 12))}, f"({_lessons(q, src, drawn)}) __l", q.each(1, 12, "i"))
+    return select({"id": "id"} | plate_columns(q, "i"), f"({_lessons(q, src, drawn)}) __l", q.each(1, 12, "i"))
 
 
 # -- purple star (repaired: the bureau's numeral is read) ------------------------------------------------------------
@@ -327,13 +346,18 @@ def purple_base(q: Dialect, src: str) -> str:
     return f"SELECT *, {q.mod('(z + 5)', 12)} + 1 AS t FROM ({inner})"
 
 
+def house_columns(q: Dialect, i: str) -> dict[str, str]:
+    """The house i (from 0) of purple_base's rows."""
+    return {"ord": integer(i), "house": q.at(V.HOUSES, i), "position": integer(f"{q.mod(f'(life + {i} - 1)', 12)} + 1"), "branch": q.at(V.BRANCHES, q.mod(f"(life + {i} + 1)", 12)), "stem": q.at(V.STEMS, q.mod(f"(ys * 2 + life - 1 + {i})", 10))}
+
+
+def master_columns(q: Dialect) -> dict[str, str]:
+    return {"bureau": q.at(V.BUREAUS, "bureau"), "life_master": q.at(V.LIFE_MASTERS, "yb"), "body_master": q.at(V.BODY_MASTERS, "yb")}
+
+
 def purple_houses(q: Dialect, src: str) -> str:
     """id, ord, house, position, stem and branch of each of twelve houses, bureau and masters."""
-    return select(
-        {"id": "id", "ord": integer("i"), "house": q.at(V.HOUSES, "i"), "position": integer(f"{q.mod('(life + i - 1)', 12)} + 1"), "branch": q.at(V.BRANCHES, q.mod("(life + i + 1)", 12)), "stem": q.at(V.STEMS, q.mod("(ys * 2 + life - 1 + i)", 10)),
-         "bureau": q.at(V.BUREAUS, "bureau"), "life_master": q.at(V.LIFE_MASTERS, "yb"), "body_master": q.at(V.BODY_MASTERS, "yb")},
-        f"({purple_base(q, src)}) __b", q.each(0, 11, "i"),
-    )
+    return select({"id": "id"} | house_columns(q, "i") | master_columns(q), f"({purple_base(q, src)}) __b", q.each(0, 11, "i"))
 
 
 def _stars(q: Dialect) -> dict[str, str]:
@@ -354,8 +378,8 @@ def purple_stars(q: Dialect, src: str) -> str:
     return f"SELECT id, {q.at(names, 'k')} AS star, {q.at(V.HOUSES, q.mod('(place - life)', 12))} AS house, CASE WHEN ch >= 0 THEN {q.at(V.CHANGES, 'greatest(ch, 0)')} END AS change FROM ({inner})"
 
 
-def purple_reading(q: Dialect, src: str) -> str:
-    """id, pattern of the life house, score (two for each main star of three houses, three for a lucky one in the first)."""
+def purple_reading(q: Dialect, src: str, also: dict[str, str] | None = None) -> str:
+    """id, pattern of the life house, score (two for each main star of three houses, three for a lucky one in the first); also: more columns over purple_base."""
     s = _stars(q)
     here = lambda star: f"{s[star]} = life"
     purple = chain([(here(x), text(n)) for x, n in (("天府", "紫府同宫格"), ("贪狼", "紫贪同宫格"), ("天相", "紫相同宫格"), ("七杀", "紫杀同宫格"), ("破军", "紫破同宫格"))], "'紫微独坐格'")
@@ -364,12 +388,16 @@ def purple_reading(q: Dialect, src: str) -> str:
     count = lambda house: "(" + " + ".join(f"CASE WHEN {q.mod(f'({s[x]} - life)', 12)} = {house} THEN 1 ELSE 0 END" for x in main) + ")"
     lucky = " OR ".join(here(x) for x in ("文昌", "文曲", "左辅", "右弼", "天魁", "天钺"))
     score = f"(2 * {count(0)} + CASE WHEN {lucky} THEN 3 ELSE 0 END + 2 * {count(8)} + 2 * {count(4)})"
-    inner = select({"id": "id", "pattern": pattern, "score": integer(score)}, f"({purple_base(q, src)})")
+    inner = select({"id": "id", "pattern": pattern, "score": integer(score)} | (also or {}), f"({purple_base(q, src)})")
     return f"SELECT *, {integer(chain([('score >= 15', '3'), ('score >= 10', '2'), ('score >= 5', '1')], '0'))} AS tier, {chain([('score >= 15', text(V.LIFE_TIERS[3])), ('score >= 10', text(V.LIFE_TIERS[2])), ('score >= 5', text(V.LIFE_TIERS[1]))], text(V.LIFE_TIERS[0]))} AS tier_text FROM ({inner})"
 
 
 def purple_texts(q: Dialect, src: str) -> str:
-    """id and the texts on life, office, money, spouse and illness, the tier's text, advantages, challenges and suggestions; src has gender."""
+    return select({"id": "id"} | purple_text_columns(q), f"({purple_base(q, src)})")
+
+
+def purple_text_columns(q: Dialect) -> dict[str, str]:
+    """Over purple_base: the texts on life, office, money, spouse and illness, the tier's text, advantages, challenges and suggestions; src has gender."""
     places = _stars(q)
     main = [*V.PURPLE_GROUP, *V.TREASURY_GROUP]
     changed = {c: chain([(f"ys = {g}", places[row.split()[k]]) for g, row in enumerate(V.CHANGED_STARS[:-1])], places[V.CHANGED_STARS[-1].split()[k]]) for k, c in enumerate(V.CHANGES)}
@@ -399,48 +427,65 @@ def purple_texts(q: Dialect, src: str) -> str:
     first = [(inside(s, "命宫"), t) for s, t in V.LIFE_SUGGESTIONS.items()]
     n_first = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c, _ in first)
     suggestions = first + [(f"NOT {empty('官禄')}", V.OFFICE_SUGGESTIONS[0]), (empty("官禄"), V.OFFICE_SUGGESTIONS[1])] + [(f"{n_first} <= {3 - k}", t) for k, t in enumerate(V.CLOSING_SUGGESTIONS)]
-    columns = {"id": "id", "life": said(life), "office": said(office), "money": said(money), "spouse": said(spouse), "illness": said(illness), "advantages": said(advantages, "、"), "challenges": said(challenges, "；"), "suggestions": said(suggestions, "；")}
-    return select(columns, f"({purple_base(q, src)})")
+    return {"life": said(life), "office": said(office), "money": said(money), "spouse": said(spouse), "illness": said(illness), "advantages": said(advantages, "、"), "challenges": said(challenges, "；"), "suggestions": said(suggestions, "；")}
 
 
 # -- almanac lists ---------------------------------------------------------------------------------------------------
-def drawn_lists(q: Dialect, src: str) -> str:
-    """d, suitable, taboo, good, bad, level, level_text of each date d: forced items first, the others by keyed hashes without repeats."""
-    day = q.day_text("d")
-    stamp = f"CAST(d AS {q.stamp})"
-    week = q.weekday(stamp)
-
-    def drawn(name: str, pool: list[str], n: str, forced: list[tuple[str, str]], distinct: bool) -> str:
-        rows = [(i, x) for i, x in enumerate(dict.fromkeys(pool) if distinct else pool)]
-        first = chain([(f"item = {text(x)} AND {c}", str(k)) for k, (x, c) in enumerate(forced)], "99") if forced else "99"
-        ranked = f"SELECT d, item, {n} AS n, row_number() OVER (PARTITION BY d ORDER BY {first}, {q.hashed(name, f'{day} || item')}, item, ord) AS r FROM {src} __s CROSS JOIN {q.rows(rows, 'ord, item')} __p"
-        return f"(SELECT d, {q.joined('r', 'item', ' ')} AS items, count(*) AS k FROM ({ranked}) WHERE r <= n GROUP BY d)"
-
-    weekend, early = f"{week} >= 6", f"day({stamp}) <= 8"
+def drawn(name: str, pool: list[str], n: str, forced: list[tuple[str, str]], day: str) -> str:
+    """An array of n of the pool's items without repeats of an entry, in the row: forced items (item, condition) first, the others by a hash of name, day, item and, as the pool may hold an item twice, place."""
+    twice = len(set(pool)) < len(pool)
+    first = chain([(f"x = {text(x)} AND {c}", str(k)) for k, (x, c) in enumerate(forced)], "99") if forced else "99"
+    digest = SPARK.hashed(name, f"{day} || x" + (" || CAST(k AS STRING)" if twice else ""))
+    return f"transform(slice(array_sort(transform(array({', '.join(map(text, pool))}), (x, k) -> struct({first} AS f, {digest} AS h, x AS x, k AS k))), 1, CAST({n} AS INT)), y -> y.x)"
+
+
+def almanac_base(src: str, *carry: str) -> str:
+    """src's dates d with ts, day (text), arrays suitable, taboo, good and bad, and level (1 to 5); Spark SQL without a join, window or shuffle."""
+    q = SPARK
+    week, early = q.weekday("ts"), "day(ts) <= 8"
+    inner = f"SELECT d, CAST(d AS {q.stamp}) AS ts, {q.day_text('d')} AS day{''.join(', ' + c for c in carry)} FROM {src}"
+    distinct = lambda pool: list(dict.fromkeys(pool))
     lists = {
-        "suitable": drawn("suitable", V.SUITABLE, f"({q.pick('suitable', day, 4)} + 4)", [("嫁娶", weekend), ("出行", weekend), ("开市", early), ("入宅", early)], True),
-        "taboo": drawn("taboo", V.TABOO, f"({q.pick('taboo', day, 3)} + 3)", [("嫁娶", f"day({stamp}) = 13"), ("安葬", f"{week} = 5")], True),
-        "good": drawn("good", V.GOOD_SPIRITS, f"({q.pick('good', day, 3)} + 2)", [], False),
-        "bad": drawn("bad", V.BAD_SPIRITS, f"({q.pick('bad', day, 3)} + 2)", [], False),
+        "suitable": drawn("suitable", distinct(V.SUITABLE), f"({q.pick('suitable', 'day', 4)} + 4)", [("嫁娶", f"{week} >= 6"), ("出行", f"{week} >= 6"), ("开市", early), ("入宅", early)], "day"),
+        "taboo": drawn("taboo", distinct(V.TABOO), f"({q.pick('taboo', 'day', 3)} + 3)", [("嫁娶", "day(ts) = 13"), ("安葬", f"{week} = 5")], "day"),
+        "good": drawn("good", V.GOOD_SPIRITS, f"({q.pick('good', 'day', 3)} + 2)", [], "day"),
+        "bad": drawn("bad", V.BAD_SPIRITS, f"({q.pick('bad', 'day', 3)} + 2)", [], "day"),
     }
-    joined = f"(SELECT suitable.d, {', '.join(f'{n}.items AS {n}, {n}.k AS n_{n}' for n in lists)} FROM {lists['suitable']} suitable " + " ".join(f"JOIN {s} {n} ON suitable.d = {n}.d" for n, s in list(lists.items())[1:]) + ")"
-    score = "(2 * n_suitable - n_taboo + n_good - n_bad)"
-    level = chain([(f"{score} >= 15", "5"), (f"{score} >= 10", "4"), (f"{score} >= 5", "3"), (f"{score} >= 0", "2")], "1")
-    return f"SELECT {day} AS day, suitable, taboo, good, bad, {integer(level)} AS level, {q.at(V.LUCK_LEVELS, f'{level} - 1')} AS level_text, {integer(q.pick('number', day, 99) + ' + 1')} AS lucky_number, {q.at(V.LOVE_ADVICE, q.pick('love', day, 4))} AS love, {q.at(V.CAREER_ADVICE, q.pick('career', day, 4))} AS career, {q.at(V.WEALTH_ADVICE, q.pick('wealth', day, 4))} AS wealth, {q.at(V.HEALTH_ADVICE, q.pick('health', day, 4))} AS health FROM {joined}"
+    inner = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in lists.items())} FROM ({inner})"
+    score = "(2 * size(suitable) - size(taboo) + size(good) - size(bad))"
+    return f"SELECT *, {integer(chain([(f'{score} >= 15', '5'), (f'{score} >= 10', '4'), (f'{score} >= 5', '3'), (f'{score} >= 0', '2')], '1'))} AS level FROM ({inner})"
+
+
+def fortune_columns() -> dict[str, str]:
+    """Over almanac_base: the level's text and the day's picks."""
+    pick = lambda name, values: SPARK.at(values, SPARK.pick(name, "day", len(values)))
+    return {"level_text": SPARK.at(V.LUCK_LEVELS, "level - 1"), "lucky_number": integer(SPARK.pick("number", "day", 99) + " + 1"), "love": pick("love", V.LOVE_ADVICE), "career": pick("career", V.CAREER_ADVICE), "wealth": pick("wealth", V.WEALTH_ADVICE), "health": pick("health", V.HEALTH_ADVICE)}
+
+
+_LISTS = {"day": "day"} | {n: f"array_join({n}, ' ')" for n in ("suitable", "taboo", "good", "bad")} | {"level": "level"}
+
+
+def drawn_lists(q: Dialect, src: str) -> str:
+    """day, suitable, taboo, good, bad, level, level_text and fortune of each date d: forced items first, the others by keyed hashes without repeats."""
+    return select(_LISTS | fortune_columns(), f"({almanac_base(src)})")
+
+
+def advice_on(activity: str) -> str:
+    """What almanac_base's lists say of an activity: one that is in both lists is to be done with care."""
+    fit, unfit = (f"exists({n}, x -> contains(x, {activity}))" for n in ("suitable", "taboo"))
+    return chain([(f"{fit} AND NOT {unfit}", "'非常适宜'"), (fit, "'谨慎进行'"), (unfit, "'不宜进行'")], "'普通日子'")
 
 
 def activity_advice(q: Dialect, src: str) -> str:
     """day, activity, advice: ten activities against a day's lists."""
-    in_list = lambda col: q.contains(col, "activity")
-    said = chain([(f"{in_list('suitable')} AND NOT {in_list('taboo')}", "'非常适宜'"), (f"{in_list('suitable')}", "'谨慎进行'"), (in_list("taboo"), "'不宜进行'")], "'普通日子'")
-    return f"SELECT day, activity, {said} AS advice FROM (SELECT l.*, {q.at(V.ACTIVITIES, 'i')} AS activity FROM ({drawn_lists(q, src)}) l {q.each(0, 9, 'i')})"
+    return f"SELECT day, activity, {advice_on('activity')} AS advice FROM (SELECT l.*, {q.at(V.ACTIVITIES, 'i')} AS activity FROM ({almanac_base(src)}) l {q.each(0, 9, 'i')})"
 
 
 def almanac_day(q: Dialect, src: str) -> str:
     """One record a date d: what the calendar says of it, its lists and its fortune."""
-    of_day = f"(SELECT CAST(d AS {q.stamp}) AS ts, {q.day_text('d')} AS id FROM {src} __s)"
     taken = ("lunar_date", "day_almanac", "animal", "sign", "clash_text", "taboos", "melodic", "officer", "mansion", "womb", "colour", "direction")
-    return f"SELECT l.*, {', '.join(f'c.{x} AS {x}' for x in taken)} FROM ({drawn_lists(q, src)}) l JOIN ({C.calendar(q, of_day + ' __d')}) c ON l.day = c.id"
+    of_day = C.calendar_columns(q)
+    return select(_LISTS | fortune_columns() | {x: of_day[x] for x in taken}, f"({almanac_base(src)})")
 
 
 def star_classes(q: Dialect, src: str) -> str:

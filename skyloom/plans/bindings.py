@@ -155,7 +155,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {n: formula(DUCKDB, "(" + source.replace("{t}", table) + ")") for n, ((table, source), formula) in FORMULAS.items()}
+    out = {n: formula(DUCKDB, "(" + source.replace("{t}", table) + ")") for n, ((table, source), formula) in FORMULAS.items() if n not in records.ORACLES}
     return out | {"history_latest": "SELECT event_id AS seq, event_type AS type, ts AS date, props AS details FROM events ORDER BY ts DESC, event_id DESC LIMIT 100"} | records.ORACLES
 
 

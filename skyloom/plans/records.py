@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import six_lines
+from ..operators import records, six_lines
 from ..sources import fixed as V
 
 QUESTIONS = ["今年事业如何", "收入好吗", "考试能过吗", "孩子怎样", "朋友来吗", "婚姻顺利吗", "天气"]
@@ -123,5 +123,147 @@ full_of AS (SELECT h.bits, h.name, p.palace, p.self_line, p.answer_line, m.name
 SELECT h.id, a.name AS chart_name, a.palace AS chart_palace, a.self_line AS chart_self_line, a.answer_line AS chart_answer_line, a.mutual AS chart_mutual, c.name AS changed_name, c.palace AS changed_palace, c.self_line AS changed_self_line, c.answer_line AS changed_answer_line, c.mutual AS changed_mutual
 FROM hexa h JOIN full_of a ON a.bits = h.bits LEFT JOIN full_of c ON c.bits = h.now AND h.n_moving > 0"""
 
-QUERIES = {f.__name__: f for f in (six_line_coin_reading, six_line_number_record, six_line_coin_lines, six_line_generations)}
-ORACLES = {"six_line_coin_reading": _six_line_sql(_COIN_LINES), "six_line_number_record": _six_line_sql(_NUMBER_LINES), "six_line_coin_lines": SIX_LINE_COIN_LINES, "six_line_generations": SIX_LINE_GENERATIONS}
+# -- nested records --------------------------------------------------------------------------------------------------
+def births(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", F.when(F.col("user_id") % 2 == 0, "男").otherwise("女").alias("gender"))
+
+
+def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
+
+
+def _texts(array: str, *fields: str, sep: str = " ") -> Column:
+    """An array of structs as text: fields parted by blanks, entries by semicolons."""
+    return F.array_join(F.transform(array, lambda x: F.concat_ws(sep, *(x[f].cast("string") for f in fields))), "；")
+
+
+def four_pillar_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = records.four_pillar_record(births(spark, sf_dir), 2024)
+    return r.select("id", "gender", _texts("pillars", "stem", "branch", "stem_element", "branch_element", "polarity", "god", sep="").alias("pillars"), F.array_join(F.transform("pillars", lambda p: F.array_join(p["hidden"], "")), " ").alias("hidden"), _texts("luck", "name", "from_age", "to_year").alias("luck"),
+        F.col("year.name").alias("year_name"), F.col("year.age").alias("age"), F.col("year.decade").alias("decade"), "elements.wood", "elements.fire", "elements.earth", "elements.metal", "elements.water", "analysis.scarcest", "analysis.favourable", "analysis.unfavourable", "analysis.personality", "analysis.health")
+
+
+def four_pillar_decades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relational form of the record's decades."""
+    return records.exploded(records.four_pillar_record(births(spark, sf_dir), 2024), "luck")
+
+
+def nine_palace_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = records.nine_palace_record(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts")))
+    return r.select("id", *(F.col(f"parameters.{c}").alias(c) for c in ("upper", "middle", "lower", "number")), _texts("cells", "palace", "star", "door", "deity", "stem", "flags").alias("cells"), *(F.col(f"pattern.{c}").alias(f"pattern_{c}") for c in ("name", "level")), *(F.col(f"aspects.{c}").alias(c) for c in ("career", "wealth", "love", "health", "study")), "direction")
+
+
+def twelve_branch_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = records.twelve_branch_record(moments(spark, sf_dir))
+    return r.select("id", "day_name", "hour_name", F.array_join("lessons", " ").alias("lessons"), _texts("transmissions", "above", "below", sep="").alias("transmissions"), _texts("plate", "earth", "heaven", "general", sep="").alias("plate"), F.col("type.name").alias("type_name"), F.col("type.level").alias("level"), "helper", "obstacle", F.col("analysis.on_course").alias("on_course"))
+
+
+def purple_star_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = records.purple_star_record(births(spark, sf_dir))
+    star = lambda x: F.concat(x["star"], F.when(x["main"], "*").otherwise(""), F.coalesce(x["change"], F.lit("")))
+    house = lambda h: F.concat_ws(" ", h["house"], F.concat(h["stem"], h["branch"]), h["position"].cast("string"), F.array_join(F.array_sort(F.transform(h["stars"], star)), ","))
+    return r.select("id", "bureau", "life_master", "body_master", F.array_join(F.transform("houses", house), "；").alias("houses"), "score")
+
+
+def almanac_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = records.almanac_record(dates(spark, sf_dir))
+    return r.select(F.date_format("d", "yyyy-MM-dd").alias("day"), *(F.array_join(c, " ").alias(c) for c in ("suitable", "taboo", "good", "bad")), F.col("level.value").alias("level"), F.col("level.text").alias("level_text"), "calendar.animal", "calendar.day_almanac", "calendar.officer", "calendar.mansion", "calendar.lunar_date", "fortune.lucky_number", "fortune.love", _texts("advice", "activity", "advice").alias("advice"))
+
+
+_S, _B = _list(V.STEMS), _list(V.BRANCHES)
+#: Pillars as places 0 to 59 of the cycle of sixty: the year from February 4, the twelfth month, days from 1900 (a 甲戌 day), hours from the day's stem.
+_PILLARS = f"""births AS (SELECT event_id AS id, ts, CASE WHEN user_id % 2 = 0 THEN '男' ELSE '女' END AS gender, year(ts) - CASE WHEN month(ts) = 1 OR (month(ts) = 2 AND day(ts) < 4) THEN 1 ELSE 0 END AS y, date_diff('day', DATE '1900-01-01', ts::DATE) AS days, ((hour(ts) + 1) // 2) % 12 AS hb FROM events),
+sixty(n, stem, branch) AS (SELECT n, {_S}[n % 10 + 1], {_B}[n % 12 + 1] FROM range(60) AS r(n)),
+stem(s, element, polarity) AS (SELECT {_S}[k], {_list(list("木木火火土土金金水水"))}[k], {_list(list("阳阴阳阴阳阴阳阴阳阴"))}[k] FROM range(1, 11) AS r(k)),
+branch(b, element, hidden) AS (VALUES {", ".join(f"('{b}', '{e}', '{h}')" for b, e, h in zip(V.BRANCHES, V.BRANCH_ELEMENTS, V.HIDDEN_STEMS, strict=True))}),
+generates(a, b) AS (VALUES {_GENERATES}), controls(a, b) AS (VALUES {_CONTROLS}),
+placed AS (SELECT id, gender, ts, 1 AS k, sixty.stem, sixty.branch FROM births JOIN sixty ON sixty.n = (y - 4) % 60 UNION ALL
+  SELECT id, gender, ts, 2, {_S}[((y - 4) % 10 * 2 + 13) % 10 + 1], '丑' FROM births UNION ALL
+  SELECT id, gender, ts, 3, sixty.stem, sixty.branch FROM births JOIN sixty ON sixty.n = (days + 10) % 60 UNION ALL
+  SELECT id, gender, ts, 4, {_S}[((days + 10) % 10 * 2 + hb) % 10 + 1], {_B}[hb + 1] FROM births),
+decades AS (SELECT p.id, p.ts, i, s2.stem || s2.branch AS name, CASE p.gender WHEN '男' THEN 8 ELSE 7 END + 10 * i AS age FROM placed p JOIN sixty s ON s.stem = p.stem AND s.branch = p.branch AND p.k = 2 JOIN stem t ON t.s = p.stem, unnest(range(8)) AS r(i) JOIN sixty s2 ON s2.n = (s.n + CASE WHEN (p.gender = '男') = (t.polarity = '阳') THEN i + 1 ELSE 59 - i END) % 60)"""
+
+FOUR_PILLAR_DECADES = f"WITH {_PILLARS} SELECT id, i::INT AS i, name, age::INT AS from_age, (age + 9)::INT AS to_age, (year(ts) + age)::INT AS from_year, (year(ts) + age + 9)::INT AS to_year FROM decades"
+
+FOUR_PILLAR_RECORD = f"""WITH {_PILLARS},
+me AS (SELECT p.id, p.stem, s.element FROM placed p JOIN stem s ON s.s = p.stem WHERE k = 3),
+told AS (SELECT p.id, p.k, p.stem || p.branch || s.element || b.element || s.polarity || CASE WHEN s.element = me.element THEN '比肩' WHEN EXISTS (SELECT 1 FROM generates g WHERE g.a = me.element AND g.b = s.element) THEN '食神' WHEN EXISTS (SELECT 1 FROM controls g WHERE g.a = me.element AND g.b = s.element) THEN '正财' WHEN EXISTS (SELECT 1 FROM controls g WHERE g.a = s.element AND g.b = me.element) THEN '正官' ELSE '正印' END AS t, b.hidden FROM placed p JOIN stem s ON s.s = p.stem JOIN branch b ON b.b = p.branch JOIN me ON me.id = p.id),
+part AS (SELECT p.id, s.element FROM placed p JOIN stem s ON s.s = p.stem UNION ALL SELECT p.id, b.element FROM placed p JOIN branch b ON b.b = p.branch UNION ALL SELECT p.id, s.element FROM placed p JOIN branch b ON b.b = p.branch JOIN stem s ON contains(b.hidden, s.s)),
+n AS (SELECT id, count(*) FILTER (element = '木')::INT AS wood, count(*) FILTER (element = '火')::INT AS fire, count(*) FILTER (element = '土')::INT AS earth, count(*) FILTER (element = '金')::INT AS metal, count(*) FILTER (element = '水')::INT AS water FROM part GROUP BY id),
+few AS (SELECT *, CASE least(wood, fire, earth, metal, water) WHEN wood THEN '木' WHEN fire THEN '火' WHEN earth THEN '土' WHEN metal THEN '金' ELSE '水' END AS scarcest, '五行分布：木(' || wood || ') 火(' || fire || ') 土(' || earth || ') 金(' || metal || ') 水(' || water || ') ' AS shown,
+  concat_ws('；', CASE WHEN wood = 0 THEN {{0}} END, CASE WHEN fire = 0 THEN {{1}} END, CASE WHEN earth = 0 THEN {{2}} END, CASE WHEN metal = 0 THEN {{3}} END, CASE WHEN water = 0 THEN {{4}} END) AS lacks FROM n)
+SELECT b.id, b.gender, t.pillars, t.hidden, d.luck, '甲辰' AS year_name, (2024 - year(b.ts))::INT AS age, d.decade, few.wood, few.fire, few.earth, few.metal, few.water, few.scarcest, (SELECT a FROM generates g WHERE g.b = few.scarcest) AS favourable, (SELECT a FROM controls g WHERE g.b = few.scarcest) AS unfavourable,
+  '日主' || me.stem || me.element || '，' || CASE me.element WHEN '木' THEN {{5}} WHEN '火' THEN {{6}} WHEN '土' THEN {{7}} WHEN '金' THEN {{8}} ELSE {{9}} END AS personality, shown || chr(10) || CASE WHEN lacks = '' THEN {{10}} ELSE '健康提醒：' || lacks || '。' END || {{11}} AS health
+FROM births b JOIN me ON me.id = b.id JOIN few ON few.id = b.id JOIN (SELECT id, string_agg(t, '；' ORDER BY k) AS pillars, string_agg(hidden, ' ' ORDER BY k) AS hidden FROM told GROUP BY id) t ON t.id = b.id
+JOIN (SELECT id, string_agg(name || ' ' || age || ' ' || (year(ts) + age + 9), '；' ORDER BY i) AS luck, (min(i) FILTER (2024 BETWEEN year(ts) + age AND year(ts) + age + 9))::INT AS decade FROM decades GROUP BY id) d ON d.id = b.id""".format(*("'" + x + "'" for x in (*V.LACKS, *V.PERSONALITY, *V.HEALTH_TEXTS)))
+
+_NINE = f"""m AS (SELECT o_orderkey AS id, o_orderdate AS ts, (year(o_orderdate) % 60 + month(o_orderdate)) % 9 + 1 AS upper, (month(o_orderdate) + day(o_orderdate)) % 9 + 1 AS middle, (day(o_orderdate) + hour(o_orderdate)) % 9 + 1 AS lower, (year(o_orderdate) % 60 * 365 + month(o_orderdate) * 30 + day(o_orderdate) * 24 + hour(o_orderdate)) % 1080 AS number FROM orders),
+cell AS (SELECT id, i, {_list(V.PALACE_NAMES)}[i] AS palace, {_list(V.STARS)}[(number + i - 1) % 9 + 1] AS star, {_list([*V.DOORS[:4], V.DOORS[7], *V.DOORS[5:8]])}[(upper + i - 1) % 8 + 1] AS door, {_list(V.DEITIES)}[(middle + i - 1) % 8 + 1] AS deity, {_S}[(lower + i - 1) % 10 + 1] AS stem,
+  concat_ws(' ', CASE WHEN i = 1 THEN '值符' END, CASE WHEN i = upper THEN '用神' END, CASE WHEN (number + i - 1) % 9 + 1 IN (1, 3, 7, 9) THEN '凶星' END) AS flags FROM m, unnest(range(1, 10)) AS r(i))"""
+_ASPECTS = {
+    "career": ("star[6] IN ('天心星', '天辅星')", "star[6] IN ('天冲星', '天柱星')"), "wealth": ("star[2] = '天任星' OR door[8] = '生门'", "star[2] = '天蓬星' OR door[8] = '死门'"), "love": ("deity[4] = '六合' OR door[7] = '开门'", "star[4] = '天冲星' OR door[7] = '伤门'"),
+    "health": ("star[3] = '天心星' OR door[6] = '生门'", "star[3] = '天英星' OR door[6] = '伤门'"), "study": ("star[4] = '天辅星' OR door[9] = '景门'", "star[4] = '天冲星' OR door[9] = '杜门'"),
+}
+NINE_PALACE_RECORD = f"""WITH {_NINE},
+w AS (SELECT id, list(star ORDER BY i) AS star, list(door ORDER BY i) AS door, list(deity ORDER BY i) AS deity, string_agg(concat_ws(' ', palace, star, door, deity, stem, flags), '；' ORDER BY i) AS cells, min(i) FILTER (door IN ('开门', '生门')) AS by_door, min(i) FILTER (star IN ('天心星', '天任星', '天辅星')) AS by_star FROM cell GROUP BY id),
+p AS (SELECT *, CASE WHEN star[1] = '天蓬星' AND star[9] = '天英星' THEN '水火激战' WHEN deity[5] = '值符' THEN '值符居中' WHEN door[1] = '开门' OR door[6] = '开门' THEN '开门得地' ELSE {_list(V.PATTERNS)}[('0x' || md5('pattern|' || id)[1:8])::BIGINT % 6 + 1] END AS pattern_name FROM w)
+SELECT p.id, m.upper::INT AS upper, m.middle::INT AS middle, m.lower::INT AS lower, m.number::INT AS number, cells, pattern_name, CASE pattern_name {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in zip(V.PATTERNS, V.PATTERN_LEVELS, strict=True))} ELSE '' END AS pattern_level,
+  {", ".join(f"CASE WHEN {good} THEN '{V.ASPECT_TEXTS[n][0]}' WHEN {bad} THEN '{V.ASPECT_TEXTS[n][1]}' ELSE '{V.ASPECT_TEXTS[n][2]}' END AS {n}" for n, (good, bad) in _ASPECTS.items())}, coalesce({_list(V.PALACE_DIRECTIONS)}[coalesce(by_door, by_star)], '东南') AS direction FROM p JOIN m ON m.id = p.id"""
+
+TWELVE_BRANCH_RECORD = f"""WITH m AS (SELECT event_id AS id, hour(ts) AS h, date_diff('day', DATE '1900-01-01', ts::DATE) % 60 AS n, ((hour(ts) + 1) // 2) % 12 AS hb FROM events),
+x AS (SELECT *, n % 10 AS s, n % 12 AS b FROM m),
+plate AS (SELECT id, i, {_B}[i] AS earth, {_B}[(s + i - 1) % 12 + 1] AS heaven, {_list(V.GENERALS)}[((s + h // 2) % 12 + i) % 12 + 1] AS general FROM x, unnest(range(1, 13)) AS r(i)),
+p AS (SELECT id, string_agg(earth || heaven || general, '；' ORDER BY i) AS plate, list(heaven ORDER BY i) AS heaven, list(earth ORDER BY i) AS earth FROM plate GROUP BY id),
+t AS (SELECT x.*, p.plate, heaven[b + 1] AS over_day, heaven[hb + 1] AS over_hour, [heaven[(b + k) % 12 + 1] for k in [0, 1, 2]] AS above, [earth[(b + k) % 12 + 1] for k in [0, 1, 2]] AS below, CASE WHEN s = 0 THEN ('0x' || md5('lesson|' || x.id)[1:8])::BIGINT % 6 ELSE 1 END AS kind FROM x JOIN p ON p.id = x.id),
+e(b, element) AS (VALUES {_BRANCH}), generates(a, b) AS (VALUES {_GENERATES}), controls(a, b) AS (VALUES {_CONTROLS})
+SELECT id, {_S}[s + 1] || {_B}[t.b + 1] AS day_name, {_S}[(s * 2 + hb) % 10 + 1] || {_B}[hb + 1] AS hour_name, concat_ws(' ', over_day || '/' || {_B}[t.b + 1], over_hour || '/' || {_B}[hb + 1], over_day || '克' || {_B}[t.b + 1], over_hour || '克' || {_B}[hb + 1]) AS lessons,
+  concat_ws('；', above[1] || below[1], above[2] || below[2], above[3] || below[3]) AS transmissions, plate, {_list(V.LESSON_TYPES)}[kind + 1] AS type_name, {_list(V.LESSON_LEVELS)}[kind + 1] AS level, (SELECT a FROM generates g WHERE g.b = e.element) AS helper, (SELECT a FROM controls g WHERE g.b = e.element) AS obstacle,
+  '初传' || above[1] || '，中传' || above[2] || '，末传' || above[3] || '，显示事情发展过程。' AS on_course FROM t JOIN e ON e.b = over_day"""
+
+#: The first star's place by bureau, days 1 to 30, as the tables list it.
+_FIRST_STAR = [[(d // 2) % 12 + 1 if n == 2 else ((d - 1) // (n - 1) + n - 2 - (d - 1) % (n - 1)) % 12 + 1 for d in range(1, 31)] for n in range(2, 7)]
+_CHANGED = ", ".join(f"('{V.STEMS[g]}', '{s}', '{c}')" for g, row in enumerate(V.CHANGED_STARS) for s, c in zip(row.split(), V.CHANGES, strict=True))
+PURPLE_STAR_RECORD = f"""WITH b AS (SELECT event_id AS id, month(ts) AS m, day(ts) AS d, (year(ts) + month(ts) + day(ts)) % 5 AS bureau, (year(ts) - 4) % 10 AS ys, (year(ts) - 4) % 12 AS yb, CASE WHEN ((hour(ts) + 1) // 2) % 12 = 0 THEN 12 ELSE ((hour(ts) + 1) // 2) % 12 END AS h FROM events),
+l AS (SELECT *, (26 - m - 1) % 12 + 1 AS month_house FROM b),
+z AS (SELECT *, (month_house + h - 2) % 12 + 1 AS life, [{", ".join(_list(r) for r in _FIRST_STAR)}][bureau + 1][least(d, 30)] AS z FROM l),
+s AS (SELECT *, (z + 5) % 12 + 1 AS t FROM z),
+star AS (SELECT id, name, main, place FROM (SELECT id, unnest([{", ".join(f"{{name: '{n}', main: true, place: (z + {o} + 23) % 12 + 1}}" for n, o in V.PURPLE_GROUP.items())}, {", ".join(f"{{name: '{n}', main: true, place: (t + {o} + 11) % 12 + 1}}" for n, o in V.TREASURY_GROUP.items())},
+  {{name: '文昌', main: false, place: (m + 3) % 12 + 1}}, {{name: '文曲', main: false, place: (15 - m) % 12 + 1}}, {{name: '左辅', main: false, place: (m + 1) % 12 + 1}}, {{name: '右弼', main: false, place: (13 - m) % 12 + 1}}, {{name: '天魁', main: false, place: {_list([a for a, _ in V.NOBLE_PLACES])}[ys + 1]}}, {{name: '天钺', main: false, place: {_list([a for _, a in V.NOBLE_PLACES])}[ys + 1]}}], recursive := true) FROM s)),
+house AS (SELECT id, i, {_list(V.HOUSES)}[i + 1] AS house, (life + i - 1) % 12 + 1 AS position, {_S}[(ys * 2 + life - 1 + i) % 10 + 1] || {_B}[(life + i + 1) % 12 + 1] AS name, ys FROM s, unnest(range(12)) AS r(i)),
+changed(stem, star, change) AS (VALUES {_CHANGED}),
+full_of AS (SELECT h.id, h.i, h.house || ' ' || h.name || ' ' || h.position || ' ' || coalesce(string_agg(x.name || CASE WHEN x.main THEN '*' ELSE '' END || coalesce(c.change, ''), ',' ORDER BY encode(x.name || CASE WHEN x.main THEN '*' ELSE '' END || coalesce(c.change, ''))), '') AS t, count(x.name) FILTER (x.main) AS n_main, count(x.name) FILTER (NOT x.main) AS n_lucky FROM house h LEFT JOIN star x ON x.id = h.id AND x.place = h.position LEFT JOIN changed c ON c.star = x.name AND c.stem = {_S}[h.ys + 1] GROUP BY h.id, h.i, h.house, h.name, h.position)
+SELECT s.id, {_list(V.BUREAUS)}[bureau + 1] AS bureau, {_list(V.LIFE_MASTERS)}[yb + 1] AS life_master, {_list(V.BODY_MASTERS)}[yb + 1] AS body_master, f.houses, f.score FROM s JOIN (SELECT id, string_agg(t, '；' ORDER BY i) AS houses, (sum(CASE WHEN i IN (0, 4, 8) THEN 2 * n_main ELSE 0 END) + max(CASE WHEN i = 0 AND n_lucky > 0 THEN 3 ELSE 0 END))::INT AS score FROM full_of GROUP BY id) f ON f.id = s.id"""
+
+
+def _draw(name: str, pool: list[str], n: str, forced: str, twice: bool) -> str:
+    """One list of each date by a window over date and pool."""
+    key = "day || x || (k - 1)::VARCHAR" if twice else "day || x"
+    return f"""{name} AS (SELECT day, string_agg(x, ' ' ORDER BY r) AS items, count(*) AS n, list(x) AS l FROM (SELECT day, x, row_number() OVER (PARTITION BY day ORDER BY {forced}, ('0x' || md5('{name}|' || {key})[1:8])::BIGINT, encode(x), k) AS r, ('0x' || md5('{name}|' || day)[1:8])::BIGINT % {n.split()[0]} + {n.split()[1]} AS most FROM dates, (SELECT unnest({_list(pool)}) AS x, generate_subscripts({_list(pool)}, 1) AS k)) WHERE r <= most GROUP BY day)"""
+
+
+_ALMANAC = f"""WITH dates AS (SELECT DISTINCT o_orderdate::DATE AS d, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders),
+{_draw("suitable", list(dict.fromkeys(V.SUITABLE)), "4 4", "CASE WHEN x = '嫁娶' AND isodow(d) >= 6 THEN 0 WHEN x = '出行' AND isodow(d) >= 6 THEN 1 WHEN x = '开市' AND day(d) <= 8 THEN 2 WHEN x = '入宅' AND day(d) <= 8 THEN 3 ELSE 99 END", False)},
+{_draw("taboo", list(dict.fromkeys(V.TABOO)), "3 3", "CASE WHEN x = '嫁娶' AND day(d) = 13 THEN 0 WHEN x = '安葬' AND isodow(d) = 5 THEN 1 ELSE 99 END", False)},
+{_draw("good", V.GOOD_SPIRITS, "3 2", "0", True)},
+{_draw("bad", V.BAD_SPIRITS, "3 2", "0", True)},
+listed AS (SELECT d, dates.day, s.items AS suitable, t.items AS taboo, g.items AS good, b.items AS bad, s.l AS fit, t.l AS unfit, 2 * s.n - t.n + g.n - b.n AS points FROM dates JOIN suitable s ON s.day = dates.day JOIN taboo t ON t.day = dates.day JOIN good g ON g.day = dates.day JOIN bad b ON b.day = dates.day),
+told AS (SELECT *, (1 + (points >= 0)::INT + (points >= 5)::INT + (points >= 10)::INT + (points >= 15)::INT)::INT AS level FROM listed),
+lucky AS (SELECT *, {_list(V.LUCK_LEVELS)}[level] AS level_text, (('0x' || md5('number|' || day)[1:8])::BIGINT % 99 + 1)::INT AS lucky_number, {", ".join(f"{_list(x)}[('0x' || md5('{n}|' || day)[1:8])::BIGINT % 4 + 1] AS {n}" for n, x in (("love", V.LOVE_ADVICE), ("career", V.CAREER_ADVICE), ("wealth", V.WEALTH_ADVICE), ("health", V.HEALTH_ADVICE)))},
+  date_diff('day', DATE '1984-02-02', d) % 60 AS n60, date_diff('day', DATE '2024-01-01', d) AS n28, year(d) - 4 AS y FROM told),
+advice AS (SELECT day, k, a AS activity, CASE WHEN fits AND NOT unfits THEN '非常适宜' WHEN fits THEN '谨慎进行' WHEN unfits THEN '不宜进行' ELSE '普通日子' END AS advice FROM (SELECT day, k, a, len(list_filter(fit, lambda x: contains(x, a))) > 0 AS fits, len(list_filter(unfit, lambda x: contains(x, a))) > 0 AS unfits FROM lucky, (SELECT unnest({_list(V.ACTIVITIES)}) AS a, generate_subscripts({_list(V.ACTIVITIES)}, 1) AS k)))"""
+_DAY = f"""'农历' || {_list(V.LUNAR_MONTHS)}[CASE WHEN month(d) <= 2 THEN month(d) + 10 ELSE month(d) - 2 END] || {_list(V.LUNAR_DAYS)}[least(day(d), 30)] AS lunar_date, {_S}[n60 % 10 + 1] || {_B}[n60 % 12 + 1] AS day_almanac, {_list(V.ANIMALS)}[y % 12 + 1] AS animal, {_list(V.OFFICERS)}[(day(d) - 1) % 12 + 1] AS officer, {_list(V.MANSIONS)}[(n28 % 28 + 28) % 28 + 1] AS mansion"""
+ALMANAC_LISTS = f"{_ALMANAC} SELECT day, suitable, taboo, good, bad, level, level_text, lucky_number, love, career, wealth, health FROM lucky"
+ACTIVITY_ADVICE = f"{_ALMANAC} SELECT day, activity, advice FROM advice"
+ALMANAC_RECORD = f"{_ALMANAC} SELECT lucky.day, suitable, taboo, good, bad, level, level_text, {_DAY}, lucky_number, love, a.advice FROM lucky JOIN (SELECT day, string_agg(activity || ' ' || advice, '；' ORDER BY k) AS advice FROM advice GROUP BY day) a ON a.day = lucky.day"
+ALMANAC_DAY = f"""{_ALMANAC} SELECT day, suitable, taboo, good, bad, level, level_text, lucky_number, love, career, wealth, health, {_DAY},
+  {_list(V.SIGNS_OF_ZODIAC)}[(month(d) - CASE WHEN day(d) < {_list(V.SIGN_FIRST_DAYS)}[month(d)] THEN 1 ELSE 0 END + 11) % 12 + 1] AS sign, {_list(V.STEM_TABOOS)}[n60 % 10 + 1] || ' ' || {_list(V.BRANCH_TABOOS)}[n60 % 12 + 1] AS taboos, {_list(V.MELODIC)}[n60 // 2 + 1] AS melodic, {_list(V.WOMB_PLACES)}[(day(d) - 1) % 30 + 1] AS womb, {_list(V.COLOURS)}[day(d) % 7 + 1] AS colour, {_list(V.DIRECTIONS)}[isodow(d) % 8 + 1] AS direction,
+  '冲' || {_list(V.ANIMALS)}[(n60 + 6) % 12 + 1] || '(' || {_S}[('0x' || md5('stem|' || {_S}[n60 % 10 + 1] || {_B}[n60 % 12 + 1])[1:8])::BIGINT % 10 + 1] || {_B}[(n60 + 6) % 12 + 1] || ')煞' || {_list(V.CLASH_DIRECTIONS)}[('0x' || md5('side|' || {_S}[n60 % 10 + 1] || {_B}[n60 % 12 + 1])[1:8])::BIGINT % 8 + 1] AS clash_text FROM lucky"""
+
+#: A label by seconds between two moments, in words of the day.
+AGE_LABELS = """SELECT id, CASE WHEN trunc(gone / 86400) = 0 THEN '今天' WHEN trunc(gone / 86400) = 1 THEN '昨天' ELSE month(ts) || '月' || day(ts) || '日' END || strftime(ts, ' %H:%M') AS label
+FROM (SELECT event_id AS id, ts, floor(epoch(max(ts) OVER (PARTITION BY user_id))) - floor(epoch(ts)) AS gone FROM events)"""
+
+QUERIES = {f.__name__: f for f in (six_line_coin_reading, six_line_number_record, six_line_coin_lines, six_line_generations, four_pillar_record, four_pillar_decades, nine_palace_record, twelve_branch_record, purple_star_record, almanac_record)}
+ORACLES = {"six_line_coin_reading": _six_line_sql(_COIN_LINES), "six_line_number_record": _six_line_sql(_NUMBER_LINES), "six_line_coin_lines": SIX_LINE_COIN_LINES, "six_line_generations": SIX_LINE_GENERATIONS,
+    "four_pillar_record": FOUR_PILLAR_RECORD, "four_pillar_decades": FOUR_PILLAR_DECADES, "nine_palace_record": NINE_PALACE_RECORD, "twelve_branch_record": TWELVE_BRANCH_RECORD, "purple_star_record": PURPLE_STAR_RECORD, "almanac_record": ALMANAC_RECORD,
+    "almanac_lists": ALMANAC_LISTS, "almanac_day": ALMANAC_DAY, "activity_advice": ACTIVITY_ADVICE, "age_labels": AGE_LABELS}
