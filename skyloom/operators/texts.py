@@ -19,54 +19,6 @@ def dream_dictionary(q: Dialect) -> str:
     return q.rows([(k, w, kind, good) for k, (w, kind, good, _) in enumerate(V.DREAMS)], "ord, keyword, kind, good")
 
 
-def dream_matches(q: Dialect, src: str) -> str:
-    """id, ord: the entries that a text (txt) has a word of, each once for each row.  A scan for what the words' first characters are among (a range tests fast, a long class doesn't) leaves few texts; those try the words, all in the row."""
-    wide = sorted({w[0] for _, w in dream_terms() if not w[0].isascii()})
-    first = "".join(sorted({w[0] for _, w in dream_terms() if w[0].isascii()})) + f"{wide[0]}-{wide[-1]}"
-    some = f"SELECT id, lower(txt) AS txt FROM {src} WHERE {q.matches('txt', f'[{first}]')}"
-    if not q.spark:
-        return f"SELECT DISTINCT id, ord FROM ({some}) __t JOIN {q.rows(dream_terms(), 'ord, term')} __w ON {q.contains('txt', 'term')}"
-    terms = "array(" + ", ".join(f"struct({k} AS ord, {text(w)} AS term)" for k, w in dream_terms()) + ")"
-    return f"SELECT id, explode(array_distinct(transform(filter({terms}, x -> contains(txt, x.term)), x -> x.ord))) AS ord FROM ({some}) __t"
-
-
-def dream_elements(q: Dialect, src: str) -> str:
-    kinds = [d[1] for d in V.DREAMS]
-    return f"SELECT id, {integer('ord')} AS ord, {q.at([d[0] for d in V.DREAMS], 'ord')} AS keyword, {q.at(kinds, 'ord')} AS kind, {q.at([d[2] for d in V.DREAMS], 'ord')} AS good FROM ({dream_matches(q, src)}) __m"
-
-
-def dream_reading(q: Dialect, src: str) -> str:
-    """id and the reading of its entries: score without and with its keyed jitter, meaning, time, colours, numbers; a text without entries gets a generic one."""
-    kinds = q.rows([(k, t) for k, t in V.DREAM_TYPE_TEXTS.items()], "of_kind, said")
-    elements = dream_elements(q, src)
-    by_kind = f"SELECT id, kind, min(ord) AS first FROM ({elements}) GROUP BY id, kind"
-    meaning = f"SELECT id, {q.joined('first', f'coalesce(said, {text(V.DREAM_OTHER_TEXT)})', '；')} AS meaning FROM ({by_kind}) k LEFT JOIN {kinds} t ON k.kind = t.of_kind GROUP BY id"
-    flag = lambda w: f"max(CASE WHEN keyword = {text(w)} THEN 1 ELSE 0 END)"
-    totals = f"SELECT id, count(*) AS n, sum(CASE WHEN good THEN 70 ELSE 30 END) AS points, max(CASE WHEN good THEN 1 ELSE 0 END) AS any_good, {flag('红色')} AS red, {flag('金色')} AS gold, {flag('白色')} AS white, {q.joined('ord', q.at(V.DREAM_SUGGESTIONS, 'ord'), '；')} AS advice FROM ({elements}) GROUP BY id"
-    base = q.div("points", "n")
-    jitter = f"({q.pick('jitter', 'CAST(t.id AS STRING)', 21)} - 10)"
-    scored = f"SELECT t.*, m.meaning, {base} AS base, least(greatest({base} + {jitter}, 0), 100) AS score FROM ({totals}) t JOIN ({meaning}) m ON t.id = m.id"
-    tier = lambda values: chain([("score >= 80", text(values[3])), ("score >= 60", text(values[2])), ("score >= 40", text(values[1]))], text(values[0]))
-    # The matched colours come first, then three that follow from the omens, then the common ones; five are kept.
-    bright = "concat_ws(' ', CASE WHEN red = 1 THEN '红色' END, CASE WHEN gold = 1 THEN '金色' END, CASE WHEN white = 1 THEN '白色' END, CASE WHEN red = 0 THEN '红色' END, CASE WHEN gold = 0 THEN '金色' END, '绿色', CASE WHEN white = 0 THEN '黄色 橙色' ELSE '黄色' END)"
-    dark = "concat_ws(' ', CASE WHEN red = 1 THEN '红色' END, CASE WHEN gold = 1 THEN '金色' END, CASE WHEN white = 1 THEN '白色' END, '蓝色 紫色', CASE WHEN white = 0 THEN '白色' END, CASE WHEN red + gold = 0 THEN '黄色 橙色' WHEN red + gold = 1 THEN '黄色' END)"
-    chosen = f"CASE WHEN any_good = 1 THEN {bright} ELSE {dark} END"
-    # The count, three fixed numbers and two drawn ones, each once.
-    one, two = (f"({q.pick(salt, 'CAST(id AS STRING)', 49)} + 1)" for salt in ("number1", "number2"))
-    numbers = f"concat_ws(' ', CAST(n AS STRING), CASE WHEN n <> 3 THEN '3' END, CASE WHEN n <> 6 THEN '6' END, CASE WHEN n <> 8 THEN '8' END, CASE WHEN {one} NOT IN (n, 3, 6, 8) THEN CAST({one} AS STRING) END, CASE WHEN {two} NOT IN (n, 3, 6, 8, {one}) THEN CAST({two} AS STRING) END)"
-    # The first three entries' suggestions, and those of the score's tier where there are fewer.
-    level = "CASE WHEN score >= 70 THEN 2 WHEN score >= 50 THEN 1 ELSE 0 END"
-    one_more, two_more = q.at([t[0] for t in V.DREAM_TIER_SUGGESTIONS], level), q.at(["；".join(t) for t in V.DREAM_TIER_SUGGESTIONS], level)
-    suggestion = f"({q.first_parts('advice', '；', 3)} || CASE WHEN n = 1 THEN '；' || {two_more} WHEN n = 2 THEN '；' || {one_more} ELSE '' END || '。')"
-    found = f"SELECT id, {integer('n')} AS n, {integer('base')} AS base_score, {integer('score')} AS score, (meaning || '。' || {tier(V.DREAM_SUMMARIES)}) AS meaning, {tier(V.DREAM_TIMES)} AS time_frame, {chosen} AS colours, {numbers} AS numbers, {suggestion} AS suggestion FROM ({scored})"
-    rest = f"SELECT s.id, 0 AS n, 50 AS base_score, {integer(q.pick('generic', 'CAST(s.id AS STRING)', 31) + ' + 40')} AS score, {q.at(V.DREAM_GENERIC_TEXTS, q.pick('meaning', 'CAST(s.id AS STRING)', 5))} AS meaning, {text(V.DREAM_TIMES[2])} AS time_frame, '蓝色 绿色 白色' AS colours, '7 14 21 28' AS numbers, {text(V.DREAM_GENERIC_SUGGESTION)} AS suggestion FROM {src} s LEFT JOIN ({found}) f ON s.id = f.id WHERE f.id IS NULL AND {q.matches('s.txt', f'[^{BLANKS}]')}"
-    return f"{found} UNION ALL {rest}"
-
-
-def dream_statistics(q: Dialect, src: str) -> str:
-    return f"SELECT kind, count(*) AS n, CAST(sum(CASE WHEN good THEN 1 ELSE 0 END) AS BIGINT) AS n_good FROM ({dream_elements(q, src)}) GROUP BY kind"
-
-
 def omens(q: Dialect, salt: str = "keywords", most: int = 10) -> str:
     """The good entries in an order by keyed hashes, and whether they are among the recommended ones."""
     ranked = f"SELECT keyword, kind, row_number() OVER (ORDER BY {q.hashed(salt, 'keyword')}, keyword) AS r FROM {dream_dictionary(q)} __d WHERE good"

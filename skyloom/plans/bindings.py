@@ -30,8 +30,6 @@ NUMBERS = (
     "SELECT l_orderkey AS id, max(l_shipdate) AS ts, count(*) AS k, max(CASE WHEN l_linenumber = 1 THEN l_partkey ELSE 0 END) AS n1, max(CASE WHEN l_linenumber = 2 THEN l_partkey ELSE 0 END) AS n2, max(CASE WHEN l_linenumber = 3 THEN l_partkey ELSE 0 END) AS n3, sum(l_partkey) AS total FROM {t} GROUP BY l_orderkey",
 )
 SOUNDS = ("events", "SELECT user_id AS id, max(ts) AS ts, count(*) AS n FROM {t} GROUP BY user_id")
-DOCUMENTS = ("documents", "SELECT doc_id AS id, text AS txt FROM {t}")
-TURNS = ("conversations", "SELECT conv_id * 1000 + turn AS id, text AS txt FROM {t}")
 AGES = ("events", "SELECT event_id AS id, ts, max(ts) OVER (PARTITION BY user_id) AS now_ts FROM {t}")
 KINDS = ("region", "SELECT r_regionkey AS id, CASE r_regionkey WHEN 0 THEN '动物' WHEN 1 THEN '水' WHEN 2 THEN '数字' WHEN 3 THEN '' ELSE '颜色' END AS word FROM {t}")
 CATEGORIES = ("region", "SELECT r_regionkey AS id, CASE r_regionkey WHEN 0 THEN 'liuyao' WHEN 1 THEN 'ziwei' WHEN 2 THEN 'none' WHEN 3 THEN 'bazi' ELSE 'other' END AS word FROM {t}")
@@ -112,9 +110,6 @@ FORMULAS: dict[str, tuple[tuple[str, str], Callable[[Dialect, str], str]]] = {
     "activity_advice": (DATES, H.activity_advice),
     "purple_star_classes": (STARS, H.star_classes),
     "purple_star_house": (EVENTS, lambda q, s: f"SELECT * FROM ({H.purple_houses(q, s)}) __h WHERE house = '财帛'"),
-    "dream_elements": (DOCUMENTS, X.dream_elements),
-    "dream_reading": (TURNS, X.dream_reading),
-    "dream_statistics": (DOCUMENTS, X.dream_statistics),
     "dreams_by_kind": (KINDS, X.dreams_by_kind),
     "bad_omens": (WORDS, lambda q, s: X.bad_omens(q)),
     "books_by_category": (CATEGORIES, X.books_of),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import records, six_lines
+from ..operators import dreams, records, six_lines
 from ..sources import fixed as V
 
 QUESTIONS = ["今年事业如何", "收入好吗", "考试能过吗", "孩子怎样", "朋友来吗", "婚姻顺利吗", "天气"]
@@ -263,7 +263,66 @@ ALMANAC_DAY = f"""{_ALMANAC} SELECT day, suitable, taboo, good, bad, level, leve
 AGE_LABELS = """SELECT id, CASE WHEN trunc(gone / 86400) = 0 THEN '今天' WHEN trunc(gone / 86400) = 1 THEN '昨天' ELSE month(ts) || '月' || day(ts) || '日' END || strftime(ts, ' %H:%M') AS label
 FROM (SELECT event_id AS id, ts, floor(epoch(max(ts) OVER (PARTITION BY user_id))) - floor(epoch(ts)) AS gone FROM events)"""
 
-QUERIES = {f.__name__: f for f in (six_line_coin_reading, six_line_number_record, six_line_coin_lines, six_line_generations, four_pillar_record, four_pillar_decades, nine_palace_record, twelve_branch_record, purple_star_record, almanac_record)}
+# -- dreams ----------------------------------------------------------------------------------------------------------
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("txt"))
+
+
+def dream_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dreams.entries(_documents(spark, sf_dir))
+
+
+def dream_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dreams.statistics(_documents(spark, sf_dir))
+
+
+def dream_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dreams.readings(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("txt")))
+
+
+#: Words that events are told in: some of the dictionary, some not.
+_TOLD = ["龙", "大蛇", "红色", "的", "白色", "金色", "父母", "钱", "UFO", "飞翔", "大雨", "房子", "猫", "火", "  ", "鱼"]
+
+
+def dream_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of up to four words, named by an event's number, user and kind."""
+    word = lambda n: F.get(F.array(*map(F.lit, _TOLD)), F.pmod(n, F.lit(len(_TOLD))).cast("int"))
+    told = F.concat(word(F.col("event_id")), word(F.col("user_id")), F.when(F.col("event_id") % 3 == 0, word(F.floor(F.col("event_id") / 7))).otherwise(""), F.when(F.col("event_id") % 5 == 0, word(F.length("event_type") + F.col("user_id"))).otherwise(""))
+    return dreams.readings(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), told.alias("txt")))
+
+
+_ENTRIES = ", ".join(f"({k}, '{w}', '{kind}', {str(good).lower()}, {_list([w, *others.split()])}, '{advice}')" for k, ((w, kind, good, others), advice) in enumerate(zip(V.DREAMS, V.DREAM_SUGGESTIONS, strict=True)))
+_KINDS = ", ".join(f"('{k}', '{t}')" for k, t in V.DREAM_TYPE_TEXTS.items())
+_DREAM_DOCUMENTS = "SELECT row_number() OVER () AS r, doc_id AS id, text AS txt FROM documents"
+_DREAM_TURNS = "SELECT row_number() OVER () AS r, conv_id * 1000 + turn AS id, text AS txt FROM conversations"
+_DREAM_EVENTS = f"""SELECT event_id AS r, event_id AS id, w[event_id % 16 + 1] || w[user_id % 16 + 1] || CASE WHEN event_id % 3 = 0 THEN w[(event_id // 7) % 16 + 1] ELSE '' END || CASE WHEN event_id % 5 = 0 THEN w[(length(event_type) + user_id) % 16 + 1] ELSE '' END AS txt FROM events, (SELECT {_list(_TOLD)} AS w)"""
+
+
+def _dreamt(told: str) -> str:
+    return f"""WITH dictionary(ord, keyword, kind, good, words, advice) AS (VALUES {_ENTRIES}), kinds(kind, said) AS (VALUES {_KINDS}), told AS ({told}),
+found AS (SELECT r, id, d.* FROM told JOIN dictionary d ON len(list_filter(d.words, lambda w: contains(lower(txt), lower(w)))) > 0)"""
+
+
+def _reading_sql(told: str) -> str:
+    day = lambda salt, n: f"('0x' || md5(concat_ws('|', '{salt}', t.id))[1:8])::BIGINT % {n}"
+    tier = lambda values: f"CASE WHEN score >= 80 THEN '{values[3]}' WHEN score >= 60 THEN '{values[2]}' WHEN score >= 40 THEN '{values[1]}' ELSE '{values[0]}' END"
+    # Lists without repeats keep the first place of each item.
+    once = lambda items: f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
+    return f"""{_dreamt(told)},
+n AS (SELECT r, count(*)::INT AS n, (sum(CASE WHEN good THEN 70 ELSE 30 END) // count(*))::INT AS base, bool_or(good) AS lucky, list(keyword) AS words, list(advice ORDER BY ord) AS advice FROM found GROUP BY r),
+groups AS (SELECT r, string_agg(said, '；' ORDER BY first) AS meaning FROM (SELECT r, coalesce(any_value(k.said), '{V.DREAM_OTHER_TEXT}') AS said, min(ord) AS first FROM found f LEFT JOIN kinds k ON k.kind = f.kind GROUP BY r, f.kind) GROUP BY r),
+s AS (SELECT t.r, t.id, coalesce(n, 0) AS n, coalesce(base, 50) AS base, (CASE WHEN n.r IS NULL THEN {day("generic", 31)} + 40 ELSE least(greatest(base + {day("jitter", 21)} - 10, 0), 100) END)::INT AS score, lucky, words, advice, groups.meaning, {day("meaning", 5)} AS generic, ({day("number1", 49)} + 1)::INT AS one, ({day("number2", 49)} + 1)::INT AS two
+  FROM told t LEFT JOIN n ON n.r = t.r LEFT JOIN groups ON groups.r = t.r WHERE length(regexp_replace(t.txt, '[\\t\\n\\x0b\\x0c\\r \\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]', '', 'g')) > 0),
+w AS (SELECT *, list_concat(list_filter(['红色', '金色', '白色'], lambda c: list_contains(coalesce(words, []), c)), CASE WHEN lucky THEN ['红色', '金色', '绿色'] ELSE ['蓝色', '紫色', '白色'] END, ['黄色', '橙色', '粉色']) AS c, [n, 3, 6, 8, one, two] AS m, list_concat(coalesce(advice, [])[1:3], CASE WHEN score >= 70 THEN {_list(V.DREAM_TIER_SUGGESTIONS[2])} WHEN score >= 50 THEN {_list(V.DREAM_TIER_SUGGESTIONS[1])} ELSE {_list(V.DREAM_TIER_SUGGESTIONS[0])} END) AS a FROM s)
+SELECT id, n, base AS base_score, score, CASE WHEN n > 0 THEN meaning || '。' || {tier(V.DREAM_SUMMARIES)} ELSE {_list(V.DREAM_GENERIC_TEXTS)}[generic + 1] END AS meaning, CASE WHEN n > 0 THEN {tier(V.DREAM_TIMES)} ELSE '{V.DREAM_TIMES[2]}' END AS time_frame, CASE WHEN n > 0 THEN array_to_string(({once("c")})[1:5], ' ') ELSE '蓝色 绿色 白色' END AS colours,
+  CASE WHEN n > 0 THEN array_to_string(({once("m")})[1:6], ' ') ELSE '7 14 21 28' END AS numbers, CASE WHEN n > 0 THEN array_to_string(a[1:3], '；') || '。' ELSE '{V.DREAM_GENERIC_SUGGESTION}' END AS suggestion FROM w"""
+
+
+DREAM_ELEMENTS = f"{_dreamt(_DREAM_DOCUMENTS)} SELECT id, ord::INT AS ord, keyword, kind, good FROM found"
+DREAM_STATISTICS = f"{_dreamt(_DREAM_DOCUMENTS)} SELECT kind, count(*) AS n, count(*) FILTER (good) AS n_good FROM found GROUP BY kind"
+
+QUERIES = {f.__name__: f for f in (six_line_coin_reading, six_line_number_record, six_line_coin_lines, six_line_generations, four_pillar_record, four_pillar_decades, nine_palace_record, twelve_branch_record, purple_star_record, almanac_record, dream_elements, dream_statistics, dream_reading, dream_told)}
 ORACLES = {"six_line_coin_reading": _six_line_sql(_COIN_LINES), "six_line_number_record": _six_line_sql(_NUMBER_LINES), "six_line_coin_lines": SIX_LINE_COIN_LINES, "six_line_generations": SIX_LINE_GENERATIONS,
     "four_pillar_record": FOUR_PILLAR_RECORD, "four_pillar_decades": FOUR_PILLAR_DECADES, "nine_palace_record": NINE_PALACE_RECORD, "twelve_branch_record": TWELVE_BRANCH_RECORD, "purple_star_record": PURPLE_STAR_RECORD, "almanac_record": ALMANAC_RECORD,
-    "almanac_lists": ALMANAC_LISTS, "almanac_day": ALMANAC_DAY, "activity_advice": ACTIVITY_ADVICE, "age_labels": AGE_LABELS}
+    "almanac_lists": ALMANAC_LISTS, "almanac_day": ALMANAC_DAY, "activity_advice": ACTIVITY_ADVICE, "age_labels": AGE_LABELS,
+    "dream_elements": DREAM_ELEMENTS, "dream_statistics": DREAM_STATISTICS, "dream_reading": _reading_sql(_DREAM_TURNS), "dream_told": _reading_sql(_DREAM_EVENTS)}

@@ -217,6 +217,9 @@ DREAM_SUGGESTIONS = [
 ]
 DREAM_TIER_SUGGESTIONS = [("谨慎行事，多听取他人意见", "反思自己，寻找改善的机会"), ("保持平和心态，稳步前进", "注重内心修养，提升自己"), ("把握当下的好运势，积极行动", "保持乐观心态，相信自己的能力")]
 DREAM_GENERIC_SUGGESTION = "多关注内心声音，倾听直觉；保持开放心态，接纳变化；注重身心健康，保持平衡。"
+DREAM_COLOURS = {"good": ["红色", "金色", "绿色"], "bad": ["蓝色", "紫色", "白色"], "common": ["黄色", "橙色", "粉色"], "generic": ["蓝色", "绿色", "白色"]}
+DREAM_NUMBERS = [3, 6, 8]
+DREAM_GENERIC_NUMBERS = [7, 14, 21, 28]
 DREAM_OTHER_TEXT = "这些象征包含着深层的心理意义"
 DREAM_GENERIC_TEXTS = ["您的梦境反映了内心深层的思考和感受", "这个梦境可能与您当前的生活状况有关", "潜意识通过梦境向您传达重要信息", "梦境显示了您对未来的期望和担忧", "这是内心世界的一种表达和释放"]
 DREAM_SUMMARIES = ["这个梦境提醒您需要留意一些潜在的问题或挑战。", "您的梦境包含着复杂的信息，既有机遇也有挑战。", "整体而言，这个梦境带有积极的寓意，暗示着正面的发展。", "总体来说，这是一个非常吉祥的梦境，预示着好运即将来临。"]

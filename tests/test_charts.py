@@ -10,6 +10,7 @@ from skyloom.functions import elements as E
 from skyloom.functions.dialect import DUCKDB, SPARK
 from skyloom.operators import charts as H
 from skyloom.operators import texts as X
+from skyloom.operators import dreams
 from skyloom.plans import bindings
 from skyloom.sources import fixed as V
 
@@ -86,17 +87,24 @@ def test_cycle_of_sixty(spark):
 
 def test_dreams(spark):
     docs = spark.createDataFrame([(1, "梦见一条大蛇和龙"), (2, "  "), (3, "abc"), (4, None), (5, "我的猫")], "id long, txt string")
-    assert rows(spark, docs, X.dream_elements, "id", "keyword") == [(1, "龙"), (1, "蛇"), (5, "猫")]
-    got = {r["id"]: r for r in bindings.run(spark, docs, X.dream_reading).collect()}
+    assert sorted((r["id"], r["keyword"]) for r in dreams.entries(docs).collect()) == [(1, "蛇"), (1, "龙"), (5, "猫")]
+    got = {r["id"]: r for r in dreams.readings(docs).collect()}
     assert sorted(got) == [1, 3, 5] and got[1]["base_score"] == 50 and got[5]["base_score"] == 30 and got[3]["n"] == 0
     assert got[5]["colours"].startswith("蓝色")
 
 
-def test_drawn_parts_of_dreams(spark):
-    from skyloom.sources import fixed as V
+def test_dreams_are_read_row_by_row(spark):
+    """Null and repeated ids: each row by its own text."""
+    docs = spark.createDataFrame([(None, "梦见龙"), (1, "梦见蛇"), (1, "abc"), (1, "梦见蛇"), (1, "梦见猫和龙"), (None, None), (None, "x")], "id long, txt string")
+    got = dreams.readings(docs)
+    assert sorted((r["id"] or 0, r["n"]) for r in got.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 1), (1, 2)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
 
+def test_drawn_parts_of_dreams(spark):
     docs = spark.createDataFrame([(k, "梦见龙" if k % 2 else "abc") for k in range(200)], "id long, txt string")
-    got = bindings.run(spark, docs, X.dream_reading).collect()
+    got = dreams.readings(docs).collect()
     numbers = [[int(x) for x in r["numbers"].split()] for r in got if r["n"]]
     assert all(x[:4] == [1, 3, 6, 8] and len(x) <= 6 and len(set(x)) == len(x) and all(1 <= y <= 49 for y in x) for x in numbers)
     assert sum(len(x) == 6 for x in numbers) > 50 and len({tuple(x[4:]) for x in numbers}) > 50

@@ -9,6 +9,7 @@ from skyloom.functions import elements as E
 from skyloom.functions.dialect import text
 from skyloom.operators import charts as H
 from skyloom.operators import texts as X
+from skyloom.operators import dreams
 from skyloom.plans import bindings
 from skyloom.sources import fixed as V
 
@@ -162,7 +163,7 @@ def test_dreams_in_plain_words(spark):
     rng = random.Random(4)
     every = [w for word, _, _, others in V.DREAMS for w in (word, *others.split())]
     docs = [(k, "x".join(rng.sample(every, k % 5)) + "Ü") for k in range(120)] + [(200, " \t　﻿\n"), (201, ""), (202, None)]
-    got = {r["id"]: r for r in bindings.run(spark, spark.createDataFrame(docs, "id long, txt string"), X.dream_reading).collect()}
+    got = {r["id"]: r for r in dreams.readings(spark.createDataFrame(docs, "id long, txt string")).collect()}
     assert sorted(got) == list(range(120))
     for i, t in docs[:120]:
         found = [k for k, (word, _, _, others) in enumerate(V.DREAMS) if any(w in t for w in (word, *others.split()))]
