@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import hashed, pick
+from ..sources import fixed as V
+from . import nested
+
 LESSON = "struct<id:string,title:string,description:string,content:string,difficulty:int,key_points:array<string>,examples:array<struct<title:string,content:string,explanation:string>>>"
 STUDY = f"ord int, id string, name string, description string, icon string, lessons array<{LESSON}>"
 BOOK = "ord int, id string, title string, author string, dynasty string, category string, file_name string, description string, is_core boolean, keywords array<string>"
@@ -44,8 +48,21 @@ def search_lessons(study: DataFrame, word: str) -> DataFrame:
 
 
 def category(study: DataFrame, name: str) -> DataFrame:
-    """The first category of that id."""
-    return study.where(F.col("id") == name).orderBy("ord").limit(1)
+    """The first category of that id; an error if there is none."""
+    return nested.by_id(study, "id", name, "ord")
+
+
+def sign(signs: DataFrame, number: int) -> DataFrame:
+    """The sign of that number, with its texts; an error if there is none."""
+    return nested.by_id(signs, "id", number)
+
+
+def sign_of_day(moments: DataFrame, signs: DataFrame) -> DataFrame:
+    """moments (id, ts) with the whole row of the day's sign from a catalog of signs numbered from 1, which is broadcast: a catalog has a row a sign."""
+    n = signs.count()
+    day = F.pmod(F.year("ts") * 10000 + F.month("ts") * 100 + F.day("ts"), F.lit(n)) + 1
+    named = signs.select(F.col("id").alias("sign"), *(F.col(c).alias(f"sign_{c}") for c in signs.columns if c != "id"))
+    return moments.withColumn("sign", day.cast("int")).join(F.broadcast(named), "sign", "left")
 
 
 def lesson_counts(study: DataFrame) -> DataFrame:
@@ -57,12 +74,6 @@ def preview(df: DataFrame, column: str, most: int = 3) -> DataFrame:
     return df.withColumn(column, F.slice(column, 1, most))
 
 
-def drawn(df: DataFrame, key: Column, order: str = "ord") -> DataFrame:
-    """One row of a small catalog, picked by a key: the same for the same key."""
-    counted = df.withColumns({"__n": F.count(F.lit(1)).over(Window.partitionBy()), "__r": F.row_number().over(Window.orderBy(order)) - 1})
-    return counted.where(F.col("__r") == F.pmod(F.xxhash64(key), F.col("__n"))).drop("__n", "__r")
-
-
 def with_default(df: DataFrame, texts: DataFrame, key: str, defaults: dict[str, str]) -> DataFrame:
     """df joined with a small table of texts by key; what it lacks gets a default."""
     found = df.join(F.broadcast(texts.select(key, *defaults)), key, "left")
@@ -77,3 +88,28 @@ def upsert_memo(memos: DataFrame, new: DataFrame) -> DataFrame:
 
 def memo_of(memos: DataFrame, day: Column) -> DataFrame:
     return memos.where(F.col("day") == day)
+
+
+def dream_entries(spark: SparkSession) -> DataFrame:
+    """The dream dictionary: ord, keyword, kind, good, others, suggestion."""
+    rows = [(k, w, kind, good, others.split(), advice) for k, ((w, kind, good, others), advice) in enumerate(zip(V.DREAMS, V.DREAM_SUGGESTIONS, strict=True))]
+    return spark.createDataFrame(rows, "ord int, keyword string, kind string, good boolean, others array<string>, suggestion string")
+
+
+def recommended(rows: DataFrame, key: str, most: int = 10) -> DataFrame:
+    """key, r, keyword, kind: `most` of the good entries for each row, in an order drawn by hashes of key and keyword, in the row."""
+    good = [d[0] for d in V.DREAMS if d[2]]
+    drawn = F.slice(F.array_sort(F.transform(F.array(*map(F.lit, good)), lambda w: F.struct(hashed("keywords", F.concat(F.col(key).cast("string"), w)).alias("h"), w.alias("w")))), 1, most)
+    kinds = F.create_map(*(F.lit(x) for d in V.DREAMS for x in (d[0], d[1])))
+    each = rows.select(key, F.posexplode(drawn).alias("place", "x"))
+    return each.select(key, (F.col("place") + 1).alias("r"), F.col("x.w").alias("keyword"), F.element_at(kinds, F.col("x.w")).alias("kind"))
+
+
+def shipped_books(spark: SparkSession) -> DataFrame:
+    """ord, book, title, category, core of the shipped catalog."""
+    return spark.createDataFrame([(k, b[0], b[1], b[3], b[4]) for k, b in enumerate(V.BOOKS)], "ord int, book string, title string, category string, core boolean")
+
+
+def read_books(readers: DataFrame, key: str) -> DataFrame:
+    """ord, n: how many readers each book of the shipped catalog has, each reader having drawn one by a hash of the key."""
+    return readers.groupBy(pick("book", F.col(key).cast("string"), len(V.BOOKS)).alias("ord")).agg(F.count("*").alias("n"))

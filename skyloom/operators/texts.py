@@ -19,21 +19,11 @@ def dream_dictionary(q: Dialect) -> str:
     return q.rows([(k, w, kind, good) for k, (w, kind, good, _) in enumerate(V.DREAMS)], "ord, keyword, kind, good")
 
 
-def omens(q: Dialect, salt: str = "keywords", most: int = 10) -> str:
-    """The good entries in an order by keyed hashes, and whether they are among the recommended ones."""
-    ranked = f"SELECT keyword, kind, row_number() OVER (ORDER BY {q.hashed(salt, 'keyword')}, keyword) AS r FROM {dream_dictionary(q)} __d WHERE good"
-    return f"SELECT keyword, kind, {integer('r')} AS r, r <= {most} AS recommended FROM ({ranked})"
-
-
 def dreams_by_kind(q: Dialect, words: str) -> str:
     """word, keyword: the entries of the kind that a word names; words: a source of (word)."""
     return f"SELECT word, keyword, good FROM {words} __w JOIN {dream_dictionary(q)} __d ON kind = word"
 
 
-def bad_omens(q: Dialect) -> str:
-    return f"SELECT keyword, kind FROM {dream_dictionary(q)} __d WHERE NOT good"
-
-
 def books(q: Dialect) -> str:
     rows = [(k, *b, *n) for k, (b, n) in enumerate(zip(V.BOOKS, V.BOOK_NOTES, strict=True))]
     return q.rows(rows, "ord, book, title, author, category, core, keywords, dynasty, file_name, description")
@@ -50,30 +40,18 @@ def books_of(q: Dialect, words: str) -> str:
     return f"SELECT word, {integer('ord')} AS ord, book, title, author, dynasty, file_name, description, core, {q.first_parts('keywords', ' ', 3)} AS keywords FROM {words} __w JOIN {books(q)} __b ON category = word"
 
 
-def core_books(q: Dialect) -> str:
-    return f"SELECT {integer('ord')} AS ord, book, title FROM {books(q)} __b WHERE core"
-
-
 def signs_by_kind(q: Dialect, words: str) -> str:
     """word, sign (1 to 20): the signs of the kind that a word names, and, for a number, the sign of that number; words: a source of (word)."""
     signs = q.rows([(k + 1, t) for k, t in enumerate(V.SIGN_TYPES)], "sign, kind")
     return f"SELECT word, {integer('sign')} AS sign, kind FROM {words} __w JOIN {signs} __s ON kind = word OR CAST(sign AS STRING) = word"
 
 
-def classic_hexagrams(q: Dialect) -> str:
-    return f"SELECT * FROM {q.rows(V.CLASSIC_HEXAGRAMS, 'number, name, symbol, description, reading')} __h"
-
-
 def classic_drawn(q: Dialect, src: str) -> str:
     """id, number, name of the hexagram that each id draws, by a keyed hash."""
     k = q.pick("classic", "CAST(id AS STRING)", len(V.CLASSIC_HEXAGRAMS))
     return f"SELECT id, {integer(k + ' + 1')} AS number, {q.at([h[1] for h in V.CLASSIC_HEXAGRAMS], k)} AS name FROM {src}"
 
 
-def book_counts(q: Dialect) -> str:
-    return f"SELECT category, count(*) AS n, CAST(sum(CASE WHEN core THEN 1 ELSE 0 END) AS BIGINT) AS n_core, {q.joined('ord', 'title', ' ')} AS titles FROM {books(q)} __b GROUP BY category"
-
-
 def daily_sign(q: Dialect, src: str) -> str:
     """id, sign (1 to 20) and kind of the day of ts, and the sign of its millisecond."""
     day = q.mod("(year(ts) * 10000 + month(ts) * 100 + day(ts))", len(V.SIGN_TYPES))

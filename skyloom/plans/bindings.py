@@ -111,15 +111,10 @@ FORMULAS: dict[str, tuple[tuple[str, str], Callable[[Dialect, str], str]]] = {
     "purple_star_classes": (STARS, H.star_classes),
     "purple_star_house": (EVENTS, lambda q, s: f"SELECT * FROM ({H.purple_houses(q, s)}) __h WHERE house = '财帛'"),
     "dreams_by_kind": (KINDS, X.dreams_by_kind),
-    "bad_omens": (WORDS, lambda q, s: X.bad_omens(q)),
     "books_by_category": (CATEGORIES, X.books_of),
-    "core_books": (WORDS, lambda q, s: X.core_books(q)),
     "signs_by_kind": (SIGNS, X.signs_by_kind),
-    "classic_hexagrams": (WORDS, lambda q, s: X.classic_hexagrams(q)),
     "classic_drawn": (ORDERS, X.classic_drawn),
-    "good_omens": (WORDS, lambda q, s: X.omens(q)),
     "book_search": (WORDS, X.search_books),
-    "book_counts": (WORDS, lambda q, s: X.book_counts(q)),
     "daily_signs": (EVENTS, X.daily_sign),
 }
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dreams, records, six_lines
+from ..functions import cycles
+from ..functions.columns import pick
+from ..functions.dialect import SPARK
+from ..operators import catalogs, details, dreams, intervals, nested, records, six_lines
 from ..sources import fixed as V
 
 QUESTIONS = ["今年事业如何", "收入好吗", "考试能过吗", "孩子怎样", "朋友来吗", "婚姻顺利吗", "天气"]
@@ -284,11 +287,15 @@ def dream_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOLD = ["龙", "大蛇", "红色", "的", "白色", "金色", "父母", "钱", "UFO", "飞翔", "大雨", "房子", "猫", "火", "  ", "鱼"]
 
 
-def dream_told(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings of up to four words, named by an event's number, user and kind."""
+def dream_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to four words, named by an event's number, user and kind."""
     word = lambda n: F.get(F.array(*map(F.lit, _TOLD)), F.pmod(n, F.lit(len(_TOLD))).cast("int"))
     told = F.concat(word(F.col("event_id")), word(F.col("user_id")), F.when(F.col("event_id") % 3 == 0, word(F.floor(F.col("event_id") / 7))).otherwise(""), F.when(F.col("event_id") % 5 == 0, word(F.length("event_type") + F.col("user_id"))).otherwise(""))
-    return dreams.readings(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), told.alias("txt")))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), told.alias("txt"))
+
+
+def dream_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dreams.readings(dream_texts(spark, sf_dir))
 
 
 _ENTRIES = ", ".join(f"({k}, '{w}', '{kind}', {str(good).lower()}, {_list([w, *others.split()])}, '{advice}')" for k, ((w, kind, good, others), advice) in enumerate(zip(V.DREAMS, V.DREAM_SUGGESTIONS, strict=True)))
@@ -321,8 +328,149 @@ SELECT id, n, base AS base_score, score, CASE WHEN n > 0 THEN meaning || '。' |
 DREAM_ELEMENTS = f"{_dreamt(_DREAM_DOCUMENTS)} SELECT id, ord::INT AS ord, keyword, kind, good FROM found"
 DREAM_STATISTICS = f"{_dreamt(_DREAM_DOCUMENTS)} SELECT kind, count(*) AS n, count(*) FILTER (good) AS n_good FROM found GROUP BY kind"
 
-QUERIES = {f.__name__: f for f in (six_line_coin_reading, six_line_number_record, six_line_coin_lines, six_line_generations, four_pillar_record, four_pillar_decades, nine_palace_record, twelve_branch_record, purple_star_record, almanac_record, dream_elements, dream_statistics, dream_reading, dream_told)}
+# -- joins by time ---------------------------------------------------------------------------------------------------
+def event_last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its user's last purchase before it."""
+    events = table(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought"), F.col("event_id").alias("purchase"), F.col("value").alias("paid"))
+    return intervals.as_of(events.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "bought", ["purchase", "paid"], strict=True).drop("ts")
+
+
+def order_solar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with the solar term that its date is in: the last one that has begun, of its year or of the year before."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    years = orders.select(F.explode(F.array(F.year("o_orderdate"), F.year("o_orderdate") - 1)).alias("y")).distinct()
+    terms = years.select(F.inline(F.array(*(F.struct(F.expr(f"CAST({cycles.term_date(SPARK, 'y', k)} AS TIMESTAMP_NTZ)").alias("begun"), F.lit(t).alias("term")) for k, t in enumerate(V.SOLAR_TERMS)))))
+    return intervals.as_of(orders, terms, [], "o_orderdate", "begun", ["term"], seconds=400 * 86_400).select("o_orderkey", "term", F.date_format("begun", "yyyy-MM-dd").alias("begun"))
+
+
+def orders_in_decades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with the luck decade that its customer is in; births are made from the customers' keys."""
+    customers = table(spark, sf_dir, "customer")
+    born = customers.select(F.col("c_custkey").alias("id"), (F.lit("1955-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((F.col("c_custkey") * 37 % 14_000).cast("int"), (F.col("c_custkey") % 24).cast("int"))).alias("ts"), F.when(F.col("c_nationkey") % 2 == 0, "男").otherwise("女").alias("gender"))
+    decades = records.exploded(records.four_pillar_record(born, 2024), "luck").select(F.col("id").alias("o_custkey"), "i", "name", "from_age", "from_year", (F.col("to_year") + 1).alias("until"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
+    met = intervals.in_intervals(orders, decades, ["o_custkey"], "year", "from_year", "until", width=10)
+    return met.select("o_orderkey", "o_custkey", "year", F.col("i").alias("decade"), "name", (F.col("from_age") + F.col("year") - F.col("from_year")).alias("age"))
+
+
+#: The term of each month's early and late date; January's belong to the list's end.
+_TERMS = ", ".join(f"({(k // 2 + 1) % 12 + 1}, {d}, '{t}')" for k, (t, d) in enumerate(zip(V.SOLAR_TERMS, V.SOLAR_TERM_DAYS, strict=True)))
+EVENT_LAST_PURCHASE = "WITH p AS (SELECT user_id, ts AS bought, event_id AS purchase, value AS paid FROM events WHERE event_type = 'purchase') SELECT e.event_id, e.user_id, bought, purchase, paid FROM events e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts > p.bought"
+ORDER_SOLAR_TERMS = f"WITH t AS (SELECT make_timestamp(y, m, d, 0, 0, 0) AS begun, term FROM (VALUES {_TERMS}) AS x(m, d, term), range(1990, 2030) AS r(y)) SELECT o_orderkey, term, strftime(begun, '%Y-%m-%d') AS begun FROM orders ASOF JOIN t ON o_orderdate >= begun"
+ORDERS_IN_DECADES = "WITH " + _PILLARS.replace("births AS (SELECT event_id AS id, ts, CASE WHEN user_id % 2 = 0 THEN '男' ELSE '女' END AS gender,", "births AS (SELECT id, ts, gender,").replace("AS hb FROM events)", "AS hb FROM (SELECT c_custkey AS id, TIMESTAMP '1955-01-01' + to_days((c_custkey * 37 % 14000)::INT) + to_hours(c_custkey % 24) AS ts, CASE WHEN c_nationkey % 2 = 0 THEN '男' ELSE '女' END AS gender FROM customer))") + " SELECT o_orderkey, o_custkey, year(o_orderdate)::INT AS year, i::INT AS decade, name, (year(o_orderdate) - year(ts))::INT AS age FROM orders JOIN decades ON o_custkey = id AND year(o_orderdate) BETWEEN year(ts) + age AND year(ts) + age + 9"
+
+
+# -- details of mixed shape ------------------------------------------------------------------------------------------
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with details of four shapes: an object of one field, a list, a nested object, and text that isn't JSON."""
+    s = lambda c: F.col(c).cast("string")
+    kind = F.col("event_id") % 4
+    shaped = F.when(kind == 0, F.col("props")).when(kind == 1, F.concat(F.lit('["a", '), s("user_id"), F.lit("]"))).when(kind == 2, F.concat(F.lit('{"user": '), s("user_id"), F.lit(', "at": {"type": "'), F.col("event_type"), F.lit('"}}'))).otherwise(F.concat(F.lit("{not json "), s("user_id")))
+    return details.parsed(table(spark, sf_dir, "events").select("event_id", shaped.alias("details")))
+
+
+def event_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed fields of mixed details, and the round trip to text."""
+    of = details.field
+    typed = [of("details", "$.k", "int").alias("k"), of("details", "$.user", "bigint").alias("user"), of("details", "$.at.type", "string").alias("type"), of("details", "$[0]", "string").alias("first"), of("details", "$[1]", "int").alias("second"), of("details", "$.at", "int").alias("not_a_number")]
+    return details.encoded(_mixed(spark, sf_dir).select("event_id", "details", "details_bad", *typed))
+
+
+def event_detail_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return details.kinds(_mixed(spark, sf_dir))
+
+
+def event_detail_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a field of an object and an entry of a list."""
+    return details.fields(_mixed(spark, sf_dir), "event_id")
+
+
+EVENT_DETAILS = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN replace(props, ' ', '') WHEN 1 THEN '["a",' || user_id || ']' WHEN 2 THEN '{"at":{"type":"' || event_type || '"},"user":' || user_id || '}' END AS details, event_id % 4 = 3 AS details_bad, CASE WHEN event_id % 4 = 0 THEN (props ->> '$.k')::INT END AS k,
+  CASE WHEN event_id % 4 = 2 THEN user_id END AS user, CASE WHEN event_id % 4 = 2 THEN event_type END AS type, CASE WHEN event_id % 4 = 1 THEN 'a' END AS first, CASE WHEN event_id % 4 = 1 THEN user_id::INT END AS second, NULL::INT AS not_a_number FROM events"""
+EVENT_DETAIL_SHAPES = "SELECT CASE event_id % 4 WHEN 0 THEN 'OBJECT<k: BIGINT>' WHEN 1 THEN 'ARRAY<VARIANT>' WHEN 2 THEN 'OBJECT<at: OBJECT<type: STRING>, user: BIGINT>' END AS shape, count(*) AS n FROM events GROUP BY 1"
+EVENT_DETAIL_FIELDS = """SELECT event_id, 'k' AS name, 'BIGINT' AS kind, props ->> '$.k' AS value FROM events WHERE event_id % 4 = 0 UNION ALL SELECT event_id, NULL, 'STRING', '"a"' FROM events WHERE event_id % 4 = 1 UNION ALL SELECT event_id, NULL, 'BIGINT', user_id::VARCHAR FROM events WHERE event_id % 4 = 1
+UNION ALL SELECT event_id, 'user', 'BIGINT', user_id::VARCHAR FROM events WHERE event_id % 4 = 2 UNION ALL SELECT event_id, 'at', 'OBJECT<type: STRING>', '{"type":"' || event_type || '"}' FROM events WHERE event_id % 4 = 2"""
+
+
+# -- nested searches -------------------------------------------------------------------------------------------------
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a conversation with its turns, and each turn's words as a list."""
+    turns = table(spark, sf_dir, "conversations").withColumn("words", F.split("text", " "))
+    return nested.nest(turns, "conv_id", "turn", "turns")
+
+
+def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns that have a word in their text or role, whatever its case, in the conversations' order."""
+    found = nested.search(_conversations(spark, sf_dir), "SCH", ["text", "role"], name="turns")
+    return nested.flattened(found, "conv_id", "turns").select("conv_id", "place", "turn", "role", "text")
+
+
+def conversation_word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in the entries of a list inside the turns: how many turns of a conversation, and which are the first and the last."""
+    found = nested.search(_conversations(spark, sf_dir), "ich", [], ["words"], "turns")
+    return found.select("conv_id", F.size("turns").alias("n"), F.get("turns", F.lit(0))["turn"].alias("first"), F.element_at("turns", -1)["turn"].alias("last"))
+
+
+def conversation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and words of each conversation, and its first turn that isn't the system's (an error if there were none)."""
+    table_of = _conversations(spark, sf_dir)
+    return nested.counts(table_of, "conv_id", "words", "turns").join(table_of.select("conv_id", nested.first_with("turns", lambda x: x["role"] != "system", "of another role")["turn"].alias("first_turn")), "conv_id")
+
+
+CONVERSATION_SEARCH = "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS place, turn, role, text FROM conversations WHERE contains(lower(text), 'sch') OR contains(lower(role), 'sch')"
+CONVERSATION_WORD_SEARCH = "SELECT conv_id, count(*)::INT AS n, min(turn) AS first, max(turn) AS last FROM conversations WHERE len(list_filter(string_split(text, ' '), lambda w: contains(lower(w), 'ich'))) > 0 GROUP BY conv_id"
+CONVERSATION_COUNTS = "SELECT conv_id, count(*)::INT AS n, sum(len(string_split(text, ' ')))::INT AS n_inner, min(turn) FILTER (role <> 'system') AS first_turn FROM conversations GROUP BY conv_id"
+
+# -- catalogs --------------------------------------------------------------------------------------------------------
+def good_omens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recommended keywords of every user."""
+    return catalogs.recommended(table(spark, sf_dir, "events").select("user_id").distinct(), "user_id")
+
+
+def bad_omens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of ill omen in what events tell, with the number of events that have them."""
+    told = dreams.entries(dream_texts(spark, sf_dir)).where("NOT good")
+    return told.groupBy("ord", "keyword", "kind").agg(F.count("*").alias("n"))
+
+
+def _readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.read_books(table(spark, sf_dir, "customer"), "c_custkey")
+
+
+def core_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The core books in order, with their readers among the customers."""
+    return catalogs.shipped_books(spark).where("core").join(_readers(spark, sf_dir), "ord", "left").select("ord", "book", "title", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def book_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books, core books and readers of each category."""
+    return catalogs.shipped_books(spark).join(_readers(spark, sf_dir), "ord", "left").groupBy("category").agg(F.count("*").alias("n_books"), F.count_if("core").alias("n_core"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_readers"))
+
+
+def classic_hexagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classic hexagrams with the number of orders that draw them."""
+    hexagrams = spark.createDataFrame(V.CLASSIC_HEXAGRAMS, "number int, name string, symbol string, description string, reading string")
+    drawn = table(spark, sf_dir, "orders").groupBy((pick("classic", F.col("o_orderkey").cast("string"), len(V.CLASSIC_HEXAGRAMS))).alias("k")).agg(F.count("*").alias("n"))
+    order = F.array_position(F.array(*(F.lit(h[0]) for h in V.CLASSIC_HEXAGRAMS)), F.col("number")) - 1
+    return hexagrams.withColumn("k", order.cast("int")).join(drawn, "k", "left").select("number", "name", "symbol", "description", "reading", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_BOOKS = ", ".join(f"({k}, '{b[0]}', '{b[1]}', '{b[3]}', {str(b[4]).lower()})" for k, b in enumerate(V.BOOKS))
+_CLASSIC = ", ".join(f"({k}, {h[0]}, " + ", ".join("'" + x.replace("'", "''") + "'" for x in h[1:]) + ")" for k, h in enumerate(V.CLASSIC_HEXAGRAMS))
+GOOD_OMENS = f"WITH d(ord, keyword, kind, good, words, advice) AS (VALUES {_ENTRIES}) SELECT * FROM (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ('0x' || md5('keywords|' || user_id || keyword)[1:8])::BIGINT, encode(keyword)))::INT AS r, keyword, kind FROM (SELECT DISTINCT user_id FROM events), d WHERE good) WHERE r <= 10"
+BAD_OMENS = f"{_dreamt(_DREAM_EVENTS)} SELECT ord::INT AS ord, keyword, kind, count(*) AS n FROM found WHERE NOT good GROUP BY ALL"
+_READ = f"WITH b(ord, book, title, category, core) AS (VALUES {_BOOKS}), r AS (SELECT ('0x' || md5('book|' || c_custkey)[1:8])::BIGINT % {len(V.BOOKS)} AS ord, count(*) AS n FROM customer GROUP BY 1)"
+CORE_BOOKS = f"{_READ} SELECT b.ord::INT AS ord, book, title, coalesce(n, 0) AS n FROM b LEFT JOIN r ON r.ord = b.ord WHERE core"
+BOOK_COUNTS = f"{_READ} SELECT category, count(*) AS n_books, count(*) FILTER (core) AS n_core, coalesce(sum(n), 0)::BIGINT AS n_readers FROM b LEFT JOIN r ON r.ord = b.ord GROUP BY category"
+CLASSIC_HEXAGRAMS = f"WITH h(k, number, name, symbol, description, reading) AS (VALUES {_CLASSIC}) SELECT number::INT AS number, name, symbol, description, reading, coalesce(n, 0) AS n FROM h LEFT JOIN (SELECT ('0x' || md5('classic|' || o_orderkey)[1:8])::BIGINT % {len(V.CLASSIC_HEXAGRAMS)} AS k, count(*) AS n FROM orders GROUP BY 1) o ON o.k = h.k"
+
+QUERIES = {f.__name__: f for f in (six_line_coin_reading, six_line_number_record, six_line_coin_lines, six_line_generations, four_pillar_record, four_pillar_decades, nine_palace_record, twelve_branch_record, purple_star_record, almanac_record, dream_elements, dream_statistics, dream_reading, dream_told,
+    event_last_purchase, order_solar_terms, orders_in_decades, event_details, event_detail_shapes, event_detail_fields, conversation_search, conversation_word_search, conversation_counts, good_omens, bad_omens, core_books, book_counts, classic_hexagrams)}
 ORACLES = {"six_line_coin_reading": _six_line_sql(_COIN_LINES), "six_line_number_record": _six_line_sql(_NUMBER_LINES), "six_line_coin_lines": SIX_LINE_COIN_LINES, "six_line_generations": SIX_LINE_GENERATIONS,
     "four_pillar_record": FOUR_PILLAR_RECORD, "four_pillar_decades": FOUR_PILLAR_DECADES, "nine_palace_record": NINE_PALACE_RECORD, "twelve_branch_record": TWELVE_BRANCH_RECORD, "purple_star_record": PURPLE_STAR_RECORD, "almanac_record": ALMANAC_RECORD,
     "almanac_lists": ALMANAC_LISTS, "almanac_day": ALMANAC_DAY, "activity_advice": ACTIVITY_ADVICE, "age_labels": AGE_LABELS,
-    "dream_elements": DREAM_ELEMENTS, "dream_statistics": DREAM_STATISTICS, "dream_reading": _reading_sql(_DREAM_TURNS), "dream_told": _reading_sql(_DREAM_EVENTS)}
+    "dream_elements": DREAM_ELEMENTS, "dream_statistics": DREAM_STATISTICS, "dream_reading": _reading_sql(_DREAM_TURNS), "dream_told": _reading_sql(_DREAM_EVENTS),
+    "event_last_purchase": EVENT_LAST_PURCHASE, "order_solar_terms": ORDER_SOLAR_TERMS, "orders_in_decades": ORDERS_IN_DECADES, "event_details": EVENT_DETAILS, "event_detail_shapes": EVENT_DETAIL_SHAPES, "event_detail_fields": EVENT_DETAIL_FIELDS,
+    "conversation_search": CONVERSATION_SEARCH, "conversation_word_search": CONVERSATION_WORD_SEARCH, "conversation_counts": CONVERSATION_COUNTS,
+    "good_omens": GOOD_OMENS, "bad_omens": BAD_OMENS, "core_books": CORE_BOOKS, "book_counts": BOOK_COUNTS, "classic_hexagrams": CLASSIC_HEXAGRAMS}

@@ -131,7 +131,7 @@ def test_day_31_and_edges(spark):
 
 def test_history(spark, tmp_path):
     from skyloom.operators import history
-    from skyloom.streaming.history import keep_latest
+    from skyloom.streaming.history import current, keep_latest
 
     log = spark.createDataFrame([(k, "t", str(k), dt.datetime(2024, 1, 1), None) for k in range(150)], history.SCHEMA)
     got = history.latest(log)
@@ -146,7 +146,7 @@ def test_history(spark, tmp_path):
     stream = spark.readStream.schema(history.SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     query = keep_latest(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination(60)
-    assert history.load(spark, str(tmp_path / "out/v1")).agg({"seq": "min"}).first()[0] == 50
+    assert current(spark, str(tmp_path / "out")).agg({"seq": "min"}).first()[0] == 50
 
 
 def test_fixed_tables():
