@@ -92,6 +92,21 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, op, kind: str = "int") -> Column:
+    """The folds of an array's beginnings: op of the first one, two, three ... values.  op is associative; values and folds are of that kind.  In blocks of the size's root, so n values cost n to the power 1.5 and not the square, as an array can only be built by copies."""
+    none = F.array().cast(f"array<{kind}>")
+    last = lambda a: F.get(a, F.size(a) - 1)
+    folded = lambda a: F.aggregate(a, none, lambda done, x: F.concat(done, F.array(F.when(F.size(done) == 0, x).otherwise(op(last(done), x)).cast(kind))))
+
+    def joined(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: folded(F.slice(v, b * width + 1, width)))
+        carried = lambda inside: let(folded(F.transform(inside, last)), lambda ends: F.flatten(F.transform(inside, lambda a, b: F.when(b == 0, a).otherwise(F.transform(a, lambda x: op(F.get(ends, b - 1), x).cast(kind))))))
+        return F.when(F.size(v) > 0, let(blocks, carried)).otherwise(none)
+
+    return let(values, joined)
+
+
 def words(text: Column) -> Column:
     """The maximal runs of other characters than white space; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

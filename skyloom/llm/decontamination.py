@@ -3,8 +3,8 @@
 Words are hashed once each and windows are hashes of word hashes, which meet the distinct windows of the benchmark in a hash
 join; only what meets is compared as words.  The benchmark side is broadcast below a checked number of bytes: there a marker row
 that each document adds to its own windows passes the same join, so documents without hits need no second scan.
-Beyond it the windows' hashes are shuffled (two of 64 bits, in place of the words), and documents without hits come from a
-second scan.
+Beyond it the windows' hashes are shuffled (two of 64 bits, in place of the words), what meets is compared as words once the
+documents that have any are joined, and documents without hits come from a second scan.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     results; rows with one id and different texts are judged apart.  An empty benchmark hits nothing.
     """
     wanted = benchmark_windows(benchmark, window=window)
-    shape = wanted.agg(F.sum(F.length("key") + 40 + 24 * F.size("items")).alias("bytes"), F.collect_set("len").alias("lens")).first()  # at most `window` lengths
+    shape = wanted.agg(F.sum(F.octet_length("key") + 40 + 24 * F.size("items")).alias("bytes"), F.collect_set("len").alias("lens")).first()  # at most `window` lengths
     lens = sorted(shape["lens"] or [])
     split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), normal_words(F.col(text_col)).alias("w")).withColumn("hashes", hashed(F.col("w")))
     row = ["id", "text_key", "n_words"]
@@ -78,8 +78,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         again = lambda words: F.xxhash64(words, F.lit("again"))
         with_second = F.transform("windows", lambda x: F.struct(x["pos"].alias("pos"), x["len"].alias("len"), x["h"].alias("h"), again(F.slice("w", x["pos"] + 1, x["len"])).alias("h2")))
         scanned = counted.select(*row, F.explode(with_second).alias("at")).select(*row, "at.*")
-        other = known.select("of_h", "of_len", again(F.split("key", " ")).alias("of_h2"), "items")
-        hits = scanned.join(other, (F.col("h") == F.col("of_h")) & (F.col("h2") == F.col("of_h2")) & (F.col("len") == F.col("of_len"))).select(*row, "pos", "len", "items")
+        other = known.select("of_h", "of_len", again(F.split("key", " ")).alias("of_h2"), "key", "items")
+        met = scanned.join(other, (F.col("h") == F.col("of_h")) & (F.col("h2") == F.col("of_h2")) & (F.col("len") == F.col("of_len")))
+        met = met.groupBy(row).agg(F.collect_set(F.struct("pos", "len", "key", "items")).alias("met"))
+        # What met by hashes is compared as words, in the documents that have any.
+        own = split.select(F.col("id").alias("of_id"), F.col("text_key").alias("of_text"), "w")
+        same = F.col("id").eqNullSafe(F.col("of_id")) & F.col("text_key").eqNullSafe(F.col("of_text"))
+        true = F.filter("met", lambda x: F.array_join(F.slice("w", x["pos"] + 1, x["len"]), " ") == x["key"])
+        hits = own.join(met, same).select(*row, F.explode(true).alias("x")).select(*row, "x.pos", "x.len", "x.items")
         every = split.select("id", "text_key", F.size("w").cast("long").alias("n_words"), F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("items"))
         found = hits.unionByName(every)
     grouped = found.groupBy(row).agg(

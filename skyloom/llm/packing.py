@@ -48,7 +48,7 @@ def pieces_of(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 columns = [batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals)]]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.make_valid_utf8(F.col(text_col)).cast("binary").alias("text"))
     schema = T.StructType([source.schema["doc_id"], *[T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens")]])
     return source.mapInArrow(run, schema)
 

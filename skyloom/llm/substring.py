@@ -195,11 +195,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     ship(spark)
     owner = F.xxhash64(F.col(id_col), F.col(text_col))
-    source = docs.select(owner.alias("owner"), F.col(text_col).cast("binary").alias("text"))
+    source = docs.select(owner.alias("owner"), F.make_valid_utf8(F.col(text_col)).cast("binary").alias("text"))
     blocks = blocks_for(source)
     factors = written(factored(index_rows(source, window, gram, blocks), window), "factors")
     by_owner = factors.groupBy("owner").agg(F.collect_list(F.struct("start", "end")).alias("factors"))
-    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), owner.alias("of_owner"))
+    whole = docs.select(F.col(id_col).alias("id"), F.make_valid_utf8(F.col(text_col)).cast("binary").alias("text"), owner.alias("of_owner"))
     return kept_words(whole.join(by_owner, F.col("of_owner") == F.col("owner"), "left").select("id", "text", "factors"))
 
 

@@ -28,6 +28,6 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 counts = machine.counts(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(offsets[1:] - offsets[:-1]), pa.array(counts)], ["id", "n_bytes", "n_tokens"])
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.make_valid_utf8(F.col(text_col)).cast("binary").alias("text"))
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     return source.mapInArrow(run, schema)
