@@ -13,7 +13,7 @@ from ..functions.dialect import DUCKDB, SPARK, Dialect
 from ..operators import charts as H
 from ..operators import history
 from ..operators import texts as X
-from . import records
+from . import records, twins
 
 AS_OF = 2024
 #: Sources: (table, query over it); t stands for the table.
@@ -145,7 +145,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {n: formula(DUCKDB, "(" + source.replace("{t}", table) + ")") for n, ((table, source), formula) in FORMULAS.items() if n not in records.ORACLES}
-    return out | {"history_latest": "SELECT event_id AS seq, event_type AS type, ts AS date, props AS details FROM events ORDER BY ts DESC, event_id DESC LIMIT 100"} | records.ORACLES
+    """SQL by hand, and by the formulas' other dialect where none is written."""
+    by_hand = twins.ORACLES | records.ORACLES
+    out = {n: formula(DUCKDB, "(" + source.replace("{t}", table) + ")") for n, ((table, source), formula) in FORMULAS.items() if n not in by_hand}
+    return out | {"history_latest": "SELECT event_id AS seq, event_type AS type, ts AS date, props AS details FROM events ORDER BY ts DESC, event_id DESC LIMIT 100"} | by_hand
 
 
