@@ -6,8 +6,9 @@ transition carries the change of the number of tokens.  The last token is found
 encoding exactly if each two neighbours encode to themselves; the library is asked for that, once a pair.
 
 Texts run as lanes (chunks) of bytes, all lanes one step at a time.  A pre-token boundary maps every state to the first
-one, so a lane's map is constant beyond its first boundary; maps are composed in order by
-repeating the heads of those lanes whose start state proves to differ from the one assumed, until none does.
+one, so the map of a lane with a boundary is constant.  Of lanes without one the maps are kept for the start states that
+occur, and composed by a parallel prefix scan; where it meets a start state whose image isn't known, that lane's map is
+run from it, all such lanes side by side, and the scan is made again.  Lanes of equal bytes share a map.
 """
 
 from __future__ import annotations
@@ -168,27 +169,64 @@ class Transducer:
         taken = np.empty((LANE, lanes), np.int32)
         every = np.arange(lanes)
         self.pass_over(read, goes_on, taken, np.ones(lanes, np.int32), LANE)
-        # A lane's map: constant from its first boundary on, and what the first pass left open before that.
+        # A lane's map is constant from its first boundary on; before that, its head waits for the state it begins in.
         heads = np.where(goes_on.all(axis=0), LANE, goes_on.argmin(axis=0))
+        ends = taken[LANE - 1] >> SHIFT
+        whole = every[heads == LANE]
+        if len(whole):
+            ends[whole] = self.composed(read, whole, ends)
         todo = every[heads > 0]
-        assumed = np.ones(lanes, np.int32)
-        while len(todo):
-            real = taken[LANE - 1, todo - 1] >> SHIFT
-            differs = real != assumed[todo]
-            todo, real = todo[differs], real[differs]
-            if not len(todo):
-                break
-            assumed[todo] = real
+        if len(todo):
             most = int(heads[todo].max())
             part = np.empty((most, len(todo)), np.int32)
-            self.pass_over(read[:most, todo], goes_on[:most, todo], part, real.copy(), most)
-            own = np.arange(most)[:, None] < heads[todo]
-            rows, columns = np.nonzero(own)
+            self.pass_over(read[:most, todo], goes_on[:most, todo], part, ends[todo - 1], most)
+            rows, columns = np.nonzero(np.arange(most)[:, None] < heads[todo])
             taken[rows, todo[columns]] = part[rows, columns]
-            after = todo[heads[todo] == LANE] + 1  # lanes without a boundary hand on another state now
-            todo = after[(after < lanes) & (heads[np.minimum(after, lanes - 1)] > 0)]
         return taken.T.reshape(-1)[:n]
 
+    def composed(self, read: np.ndarray, lanes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The states at the ends of lanes without a boundary (ascending numbers); ends: those of all other lanes."""
+        rows = np.ascontiguousarray(read[:, lanes].T)
+        _, example, content = np.unique(rows.view(f"V{LANE}").reshape(-1), return_index=True, return_inverse=True)
+        content = content.reshape(-1)
+        first = np.flatnonzero(np.diff(lanes, prepend=-1) > 1)  # of each run of neighbours; a text's first byte is a boundary
+        key = lambda c, state: c.astype(np.int64) << 32 | state
+        keys, images = np.zeros(0, np.int64), np.zeros(0, np.int64)  # known: (content, start state), ascending, and the end state
+        fresh = np.unique(np.concatenate([key(np.arange(len(example)), 0), key(content[first], ends[lanes[first] - 1])]))
+        while True:
+            # The maps from new start states, all side by side.
+            of, state = fresh >> 32, (fresh & 0xFFFFFFFF).astype(np.int32)
+            part = np.empty((LANE, len(fresh)), np.int32)
+            self.pass_over(np.ascontiguousarray(rows[example[of]].T), np.ones((LANE, len(fresh)), np.uint8), part, state, LANE)
+            new = part[-1].astype(np.int64) >> SHIFT
+            order = np.argsort(np.concatenate([keys, fresh]), kind="stable")
+            keys, images = np.concatenate([keys, fresh])[order], np.concatenate([images, new])[order]
+            start_of = lambda k: np.minimum(np.searchsorted(keys, k), len(keys) - 1)  # noqa: E731, B023
+            # Each lane's map on the places of its content's known start states, into those of the next lane's; the
+            # place `most` stands for an unknown one, and the first lane of a run is constant.
+            bounds = np.searchsorted(keys, np.arange(len(example) + 1) << 32)
+            most = int(np.diff(bounds).max())
+            place = bounds[content][:, None] + np.arange(most)
+            there = place < bounds[content + 1][:, None]
+            image = np.where(there, images[np.minimum(place, len(keys) - 1)], -1)
+            wanted = key(content[1:, None], np.maximum(image[:-1], 0))
+            found = start_of(wanted)
+            known = there[:-1] & (keys[found] == wanted)
+            maps = np.full((len(lanes), most + 1), most, np.int64)
+            maps[1:, :most] = np.where(known, found - bounds[content[1:]][:, None], most)
+            entry = start_of(key(content[first], ends[lanes[first] - 1]))
+            maps[first] = (entry - bounds[content[first]])[:, None]
+            step = 1
+            while step < len(lanes):  # after it, each map is composed of all before it in its run
+                maps[step:] = np.take_along_axis(maps[step:], maps[:-step].copy(), axis=1)
+                step *= 2
+            at = maps[:, 0]
+            if (at < most).all():
+                return images[bounds[content] + at].astype(ends.dtype)
+            # What each lane may begin in: the images of the lane before it that aren't start states yet.  Of known
+            # states' images only those of the newest are new, so a round adds about one a lane, and none where states have merged.
+            fresh = np.unique(wanted[there[:-1] & ~known & (np.isin(np.arange(1, len(lanes)), first, invert=True))[:, None]])
+
     def pass_over(self, read, goes_on, taken, state, steps: int) -> None:
         index, flat, wide = np.empty(len(state), np.int32), self.table.reshape(-1), self.table.shape[1]
         for k in range(steps):

@@ -93,3 +93,41 @@ def test_bytes_that_are_not_utf8(spark, name):
         assert {r["doc_id"]: r["text"] for r in secrets.redacted(frame).collect()}[2] == "[secret]�\nb� x"
     else:
         assert sorted(tuple(r) for r in token_count.count_tokens(frame, tokenizer_path()).collect()) == [x[:3] for x in brute.op9(docs)]
+
+
+BOUNDLESS = {
+    "one letter": lambda rng, n: "a" * n, "a period": lambda rng, n: ("abcdefg" * n)[:n], "letters": lambda rng, n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)), "few letters": lambda rng, n: "".join(rng.choices("ab", k=n)),
+    "signs": lambda rng, n: "=" * n, "digits": lambda rng, n: "".join(rng.choices("0123456789", k=n)), "Han": lambda rng, n: "".join(rng.choices("日本語漢字龍", k=n)), "blanks": lambda rng, n: " " * n, "words run together": lambda rng, n: "".join(rng.choices(["hello", "world", "the", "tion", "ing"], k=n // 4)),
+}
+
+
+@pytest.mark.parametrize("name", BOUNDLESS)
+def test_tokens_without_boundaries(name):
+    """Stretches without a pre-token boundary, long and short, between texts with some."""
+    import numpy as np
+
+    from skyloom.llm.bpe import LANE, transducer
+
+    rng = random.Random(6)
+    texts = [BOUNDLESS[name](rng, n) for n in (1, LANE - 1, LANE, LANE + 1, 5 * LANE, 3000, 20_000)]
+    texts = [x for t in texts for x in (t, "some plain words, then " + t + " and more", "")]
+    raw = [t.encode() for t in texts]
+    machine, library = transducer(tokenizer_path()), brute.tokenizer()
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert machine.counts(data, offsets).tolist() == [len(w) for w in want]
+    ids, begins = machine.ids(data, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] == want
+
+
+@pytest.mark.parametrize("name", ["one letter", "a period", "few letters", "words run together"])
+def test_ten_megabytes_without_a_boundary(name):
+    import numpy as np
+
+    from skyloom.llm.bpe import transducer
+
+    text = BOUNDLESS[name](random.Random(2), 10_000_000).encode()
+    machine = transducer(tokenizer_path())
+    began = time.time()
+    n = machine.counts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+    assert 0 < n <= len(text) and time.time() - began < 60
