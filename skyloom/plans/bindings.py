@@ -1,4 +1,4 @@
-"""Queries over the driver's tables, and the same formulas for DuckDB."""
+"""Queries of the formulas over the driver's tables."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cycles as C
 from ..functions import elements as E
-from ..functions.dialect import DUCKDB, SPARK, Dialect
+from ..functions.dialect import SPARK, Dialect
 from ..operators import charts as H
 from ..operators import history
 from ..operators import texts as X
@@ -145,9 +145,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL by hand, and by the formulas' other dialect where none is written."""
-    by_hand = twins.ORACLES | records.ORACLES
-    out = {n: formula(DUCKDB, "(" + source.replace("{t}", table) + ")") for n, ((table, source), formula) in FORMULAS.items() if n not in by_hand}
-    return out | {"history_latest": "SELECT event_id AS seq, event_type AS type, ts AS date, props AS details FROM events ORDER BY ts DESC, event_id DESC LIMIT 100"} | by_hand
-
-
+    """DuckDB SQL by hand, none of it printed by the formulas."""
+    return twins.ORACLES | records.ORACLES | {"history_latest": "SELECT event_id AS seq, event_type AS type, ts AS date, props AS details FROM events ORDER BY ts DESC, event_id DESC LIMIT 100"}

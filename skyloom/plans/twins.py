@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources import fixed as V
-from .records import _B, _CONTROLS, _GENERATES, _HEXAGRAM, _NINE, _PILLARS, _S, _TRIGRAM, _charted, _list, _six_line_sql
+from .records import _ASPECTS, _B, _BRANCH, _CONTROLS, _GENERATES, _HEXAGRAM, _NINE, _PILLARS, _S, _TRIGRAM, FOUR_PILLAR_RECORD, PURPLE_STAR_RECORD, _charted, _list, _six_line_sql
 
 _A = _list(V.ANIMALS)
 
@@ -142,4 +142,96 @@ CATALOGS = {
     "classic_drawn": f"SELECT id, (k + 1)::INT AS number, {_list([h[1] for h in V.CLASSIC_HEXAGRAMS])}[k + 1] AS name FROM (SELECT o_orderkey AS id, ('0x' || md5('classic|' || o_orderkey)[1:8])::BIGINT % {len(V.CLASSIC_HEXAGRAMS)} AS k FROM orders)",
 }
 
-ORACLES = CALENDAR | ELEMENTS | SIX_LINES | PLUM | PILLARS | CHARTS | CATALOGS
+# -- readings --------------------------------------------------------------------------------------------------------
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _when(column: str, texts: dict[str, str], other: str | None = None) -> str:
+    """A text by a column's value."""
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in texts.items()) + (f" ELSE {_quoted(other)}" if other is not None else "") + " END"
+
+
+def _nine_reading(cells: str) -> str:
+    aspects = ", ".join(f"CASE WHEN {good} THEN {_quoted(V.ASPECT_TEXTS[n][0])} WHEN {bad} THEN {_quoted(V.ASPECT_TEXTS[n][1])} ELSE {_quoted(V.ASPECT_TEXTS[n][2])} END AS {n}" for n, (good, bad) in _ASPECTS.items())
+    advice = {k: "；".join(v) + "；" for k, v in V.PALACE_SUGGESTIONS.items()}
+    return f"""WITH {cells},
+w AS (SELECT id, list(star ORDER BY i) AS star, list(door ORDER BY i) AS door, list(deity ORDER BY i) AS deity, min(i) FILTER (door IN ('开门', '生门')) AS by_door, min(i) FILTER (star IN ('天心星', '天任星', '天辅星')) AS by_star FROM cell GROUP BY id),
+p AS (SELECT w.*, m.ts, {_list(V.PALACE_DIRECTIONS)}[m.upper] AS significator, CASE WHEN star[1] = '天蓬星' AND star[9] = '天英星' THEN '水火激战' WHEN deity[5] = '值符' THEN '值符居中' WHEN door[1] = '开门' OR door[6] = '开门' THEN '开门得地' ELSE {_list(V.PATTERNS)}[('0x' || md5('pattern|' || w.id)[1:8])::BIGINT % 6 + 1] END AS pattern FROM w JOIN m ON m.id = w.id),
+l AS (SELECT *, {_when("pattern", dict(zip(V.PATTERNS, V.PATTERN_LEVELS, strict=True)), "")} AS level, {_when("pattern", dict(zip(V.PATTERNS, V.PATTERN_TEXTS, strict=True)), V.PATTERN_OTHER_TEXT)} AS analysis FROM p)
+SELECT id, pattern, {aspects}, significator, coalesce({_list(V.PALACE_DIRECTIONS)}[coalesce(by_door, by_star)], '东南') AS favourable, CASE WHEN hour(ts) < 6 OR hour(ts) > 17 THEN {_quoted(V.HALF_DAY_TEXTS[2])} WHEN hour(ts) < 12 THEN {_quoted(V.HALF_DAY_TEXTS[0])} ELSE {_quoted(V.HALF_DAY_TEXTS[1])} END AS favourable_time, level, analysis,
+  {_when("level", dict(zip(V.LEVELS, V.LUCK_TEXTS, strict=True)), V.LUCK_OTHER_TEXT)} AS luck, {_when("level", {"大吉": advice["吉"], "吉": advice["吉"], "凶": advice["凶"], "大凶": advice["凶"], "平": advice["平"]}, "")} || '用神在' || significator || '方，该方位为当前重要方位' AS suggestions FROM l"""
+
+
+def _twelve_lessons(rows: str) -> str:
+    """rows: id, h, the day's s and b, the hour's hs and hb."""
+    over = {"day": "b", "hour": "hb"}
+    at = {k: f"{_B}[({v} + s) % 12 + 1]" for k, v in over.items()}
+    lessons = ", ".join(f"{at[k]} || '{sign}' || {_B}[{over[k]} + 1] AS lesson{n}" for n, (k, sign) in enumerate((("day", "/"), ("hour", "/"), ("day", "克"), ("hour", "克")), 1))
+    return f"""WITH x AS ({rows}), e(b, element) AS (VALUES {_BRANCH}), generates(a, b) AS (VALUES {_GENERATES}), controls(a, b) AS (VALUES {_CONTROLS}),
+t AS (SELECT *, [{_B}[(b + s + k) % 12 + 1] for k in [0, 1, 2]] AS above, [{_B}[(b + k) % 12 + 1] for k in [0, 1, 2]] AS below, {lessons}, CASE WHEN s = 0 THEN ('0x' || md5('lesson|' || id)[1:8])::BIGINT % 6 ELSE 1 END AS kind FROM x),
+u AS (SELECT t.*, {_list(V.LESSON_TYPES)}[kind + 1] AS lesson_type, {_list(V.LESSON_LEVELS)}[kind + 1] AS level, (SELECT g.a FROM generates g WHERE g.b = e.element) AS helper, (SELECT g.a FROM controls g WHERE g.b = e.element) AS obstacle FROM t JOIN e ON e.b = above[1])
+SELECT id, {_S}[s + 1] || {_B}[b + 1] AS day_name, {_S}[hs + 1] || {_B}[hb + 1] AS hour_name, lesson1, lesson2, lesson3, lesson4, array_to_string(above, ' ') AS above, array_to_string(below, ' ') AS below, '连茹' AS course, helper, obstacle, lesson_type, level,
+  '课体为' || lesson_type || '，' || {_list(V.LESSON_TEXTS)}[kind + 1] || '。' || {_when("level", V.LESSON_LUCK)} AS overall, '用神为' || above[1] || '，主事之神，代表所占之事的核心。' AS on_main, '原神为' || helper || '，生助用神，为有利因素。' AS on_helper, '忌神为' || obstacle || '，克制用神，为不利因素。' AS on_obstacle,
+  '初传' || above[1] || '，中传' || above[2] || '，末传' || above[3] || '，显示事情发展过程。' AS on_course, '根据用神' || above[1] || '的情况，事情发展趋势总体向好。' AS forecast, {_list([V.DAY_PART_TEXTS[k] for k in (3, 0, 1, 2, 3)])}[1 + (h >= 5)::INT + (h >= 11)::INT + (h >= 15)::INT + (h >= 19)::INT] AS time_advice FROM u"""
+
+
+def _purple(rows: str) -> str:
+    """The CTEs of stars and houses over rows (id, ts, gender); inside: which stars and transformations are in which house."""
+    known = PURPLE_STAR_RECORD.partition("full_of AS")[0].replace("SELECT event_id AS id,", "SELECT id, gender,").replace("FROM events)", f"FROM ({rows}))")
+    return known + "inside AS (SELECT h.id, h.house, x.name AS star, x.main FROM house h JOIN star x ON x.id = h.id AND x.place = h.position UNION ALL SELECT h.id, h.house, c.change, false FROM house h JOIN star x ON x.id = h.id AND x.place = h.position JOIN changed c ON c.star = x.name AND c.stem = " + _S + "[h.ys + 1])"
+
+
+_BORN_ORDERS = "SELECT o_orderkey AS id, o_orderdate AS ts, CASE WHEN o_custkey % 2 = 0 THEN '男' ELSE '女' END AS gender FROM orders"
+_BORN_EVENTS = "SELECT event_id AS id, ts, CASE WHEN user_id % 2 = 0 THEN '男' ELSE '女' END AS gender FROM events"
+_HOUSES = f"SELECT h.id, h.i::INT AS ord, h.house, h.position::INT AS position, h.name[2] AS branch, h.name[1] AS stem, {_list(V.BUREAUS)}[s.bureau + 1] AS bureau, {_list(V.LIFE_MASTERS)}[s.yb + 1] AS life_master, {_list(V.BODY_MASTERS)}[s.yb + 1] AS body_master FROM house h JOIN s ON s.id = h.id"
+_MAIN = [*V.PURPLE_GROUP, *V.TREASURY_GROUP]
+
+
+def _said(house: str, texts: list[tuple[str, str]], sep: str = "") -> str:
+    """The texts of the stars in a house, in the order of texts."""
+    cases = ", ".join(f"CASE WHEN list_contains({house}, '{s}') THEN {_quoted(t)} END" for s, t in texts)
+    return f"concat_ws('{sep}', {cases})"
+
+
+def _any(house: str, texts: list, sep: str = "") -> str:
+    cases = ", ".join(f"CASE WHEN list_has_any({house}, {_list(s)}) THEN {_quoted(t)} END" for s, t in texts)
+    return f"concat_ws('{sep}', {cases})"
+
+
+_NO_MAIN = lambda house: f"NOT list_has_any({house}, {_list(_MAIN)})"
+_CALLED = {"命宫": "life", "官禄": "office", "财帛": "money", "夫妻": "spouse", "疾厄": "illness"}
+_PURPLE_TEXTS = f"""{_purple(_BORN_ORDERS)},
+p AS (SELECT s.id, any_value(s.gender) AS gender, {", ".join(f"coalesce(list(star) FILTER (house = '{h}'), []) AS {c}" for h, c in _CALLED.items())} FROM s LEFT JOIN inside x ON x.id = s.id GROUP BY s.id),
+q AS (SELECT *, concat_ws('；', {", ".join(f"CASE WHEN list_contains(life, '{s}') THEN {_quoted(t)} END" for s, t in V.LIFE_SUGGESTIONS.items())}) AS first, len(list_filter({_list(list(V.LIFE_SUGGESTIONS))}, lambda s: list_contains(life, s))) AS n_first FROM p)
+SELECT id, {_said("life", [(s, f"{V.MAIN_STAR_TEXTS[s][0]}。性格特点：{V.MAIN_STAR_TEXTS[s][1]}。") for s in _MAIN])} || {_any("life", [(list(s), t) for s, t in V.LIFE_TEXTS])} AS life,
+  {_quoted(V.OFFICE_TEXTS[""])} || CASE WHEN {_NO_MAIN("office")} THEN {_quoted(V.OFFICE_TEXTS["none"])} ELSE '' END || {_said("office", [(s, V.OFFICE_TEXTS.get(s, f"{s}入官禄，")) for s in _MAIN] + [("化权", V.OFFICE_TEXTS["化权"])])} AS office,
+  {_quoted(V.MONEY_TEXTS[""])} || {_said("money", [(s, t) for s, t in V.MONEY_TEXTS.items() if s])} AS money,
+  {_quoted(V.SPOUSE_TEXTS[""])} || {_said("spouse", [("天同", V.SPOUSE_TEXTS["天同"])])} || CASE WHEN NOT list_contains(spouse, '太阴') THEN '' WHEN gender = '男' THEN {_quoted(V.SPOUSE_TEXTS["男"])} ELSE {_quoted(V.SPOUSE_TEXTS["女"])} END || {_said("spouse", [(s, V.SPOUSE_TEXTS[s]) for s in ("贪狼", "化科")])} AS spouse,
+  {_quoted(V.ILLNESS_TEXTS[""])} || CASE WHEN {_NO_MAIN("illness")} THEN {_quoted(V.ILLNESS_TEXTS["none"])} ELSE '' END || {_said("illness", [(s, V.ILLNESS_TEXTS[s]) for s in ("天同", "太阳", "化忌")])} AS illness,
+  concat_ws('、', NULLIF({_said("life", [(s, V.MAIN_STAR_TEXTS[s][1].split("、")[0]) for s in _MAIN], "、")}, ''), NULLIF({_any("life", [(list(s), t) for s, t in V.ADVANTAGES], "、")}, '')) AS advantages,
+  concat_ws('；', CASE WHEN list_contains(life, '化忌') THEN {_quoted(V.CHALLENGES[0])} END, CASE WHEN {_NO_MAIN("life")} THEN {_quoted(V.CHALLENGES[1])} END) AS challenges,
+  concat_ws('；', NULLIF(first, ''), CASE WHEN {_NO_MAIN("office")} THEN {_quoted(V.OFFICE_SUGGESTIONS[1])} ELSE {_quoted(V.OFFICE_SUGGESTIONS[0])} END, {_quoted(V.CLOSING_SUGGESTIONS[0])}, {_quoted(V.CLOSING_SUGGESTIONS[1])}, CASE WHEN n_first < 2 THEN {_quoted(V.CLOSING_SUGGESTIONS[2])} END) AS suggestions FROM q"""
+_PURPLE_READING = f"""{_purple(_BORN_ORDERS)},
+p AS (SELECT s.id, {", ".join(f"coalesce(list(star) FILTER (house = '{h}'), []) AS {c}" for h, c in _CALLED.items())}, 2 * count(star) FILTER (main AND house IN ('命宫', '官禄', '财帛')) + 3 * max(CASE WHEN house = '命宫' AND star IN ('文昌', '文曲', '左辅', '右弼', '天魁', '天钺') THEN 1 ELSE 0 END) AS n FROM s LEFT JOIN inside x ON x.id = s.id GROUP BY s.id)
+SELECT id, CASE WHEN list_contains(life, '紫微') THEN CASE WHEN list_contains(life, '天府') THEN '紫府同宫格' WHEN list_contains(life, '贪狼') THEN '紫贪同宫格' WHEN list_contains(life, '天相') THEN '紫相同宫格' WHEN list_contains(life, '七杀') THEN '紫杀同宫格' WHEN list_contains(life, '破军') THEN '紫破同宫格' ELSE '紫微独坐格' END
+  WHEN list_contains(life, '天府') THEN '天府坐命格' WHEN list_has_all(life, ['武曲', '天相']) THEN '武曲天相格' WHEN list_contains(life, '武曲') THEN '武曲坐命格' ELSE '特殊格局' END AS pattern, n::INT AS score, ((n >= 5)::INT + (n >= 10)::INT + (n >= 15)::INT)::INT AS tier, {_list(V.LIFE_TIERS)}[1 + (n >= 5)::INT + (n >= 10)::INT + (n >= 15)::INT] AS tier_text FROM p"""
+_TWELVE_TIME = "SELECT event_id AS id, hour(ts) AS h, n % 10 AS s, n % 12 AS b, (n % 10 * 2 + ((hour(ts) + 1) // 2) % 12) % 10 AS hs, ((hour(ts) + 1) // 2) % 12 AS hb FROM (SELECT *, date_diff('day', DATE '1900-01-01', ts::DATE) % 60 AS n FROM events)"
+_TWELVE_DRAWN = "SELECT event_id AS id, hour(ts) AS h, " + ", ".join(f"('0x' || md5('{c}|' || event_id)[1:8])::BIGINT % {n} AS {a}" for c, a, n in (("ds", "s", 10), ("db", "b", 12), ("hs", "hs", 10), ("hb", "hb", 12))) + " FROM events"
+_LUCK = dict(zip("木火土金水", zip(V.ELEMENT_COLOURS, V.ELEMENT_DIRECTIONS, strict=True), strict=True))
+_BOOK_ROWS = ", ".join(f"({k}, " + ", ".join(_quoted(x) for x in (b[0], b[1], b[2], b[3])) + f", {str(b[4]).lower()}, {_list(b[5].split())}, " + ", ".join(_quoted(x) for x in n) + ")" for k, (b, n) in enumerate(zip(V.BOOKS, V.BOOK_NOTES, strict=True)))
+_BOOK = f"WITH b(ord, book, title, author, category, core, keywords, dynasty, file_name, description) AS (VALUES {_BOOK_ROWS})"
+READINGS = {
+    "nine_palace_reading": _nine_reading(_NINE_EVENTS), "nine_palace_drawn_reading": _nine_reading(_DRAWN_NINE), "twelve_branch_lessons": _twelve_lessons(_TWELVE_TIME), "twelve_branch_drawn_lessons": _twelve_lessons(_TWELVE_DRAWN),
+    "purple_star_houses": f"{_purple(_BORN_EVENTS)} {_HOUSES}", "purple_star_house": f"{_purple(_BORN_EVENTS)} {_HOUSES} WHERE h.house = '财帛'", "purple_star_texts": _PURPLE_TEXTS, "purple_star_reading": _PURPLE_READING,
+    "purple_star_stars": f"{_purple(_BORN_ORDERS)} SELECT h.id, x.name AS star, h.house, c.change FROM house h JOIN star x ON x.id = h.id AND x.place = h.position LEFT JOIN changed c ON c.star = x.name AND c.stem = {_S}[h.ys + 1]",
+    "six_line_answers": f"SELECT f.id, significator AS wanted, n, state, on_kin AS kin_text, on_self AS self_text FROM ({_six_line_sql(_EVENT_LINES).rpartition('SELECT h.id, a.name')[0]} SELECT said.id, s.kin AS significator, s.n::INT AS n, s.state, on_kin, on_self FROM said JOIN state s ON s.id = said.id) f",
+    "four_pillar_elements": f"""SELECT id, wood AS n_wood, fire AS n_fire, earth AS n_earth, metal AS n_metal, water AS n_water, scarcest, favourable, unfavourable, personality, regexp_extract(health, '^[^\n]*') AS counts_text, CASE WHEN contains(health, '健康提醒：') THEN regexp_extract(health, '健康提醒：([^。]*)。', 1) ELSE '' END AS lacks, health,
+  '多使用' || {_when("scarcest", {k: v[0] for k, v in _LUCK.items()})} || '的物品，有助于增强运势；工作生活宜选择' || {_when("favourable", {k: v[1] for k, v in _LUCK.items()})} || '，有利于事业发展；{"；".join(V.PILLAR_SUGGESTIONS)}' AS suggestions, {_when("scarcest", {k: v[0] for k, v in _LUCK.items()})} AS colours, {_when("favourable", {k: v[1] for k, v in _LUCK.items()})} AS direction, {_when("gender", V.MARRIAGE)} AS marriage, {_quoted(V.CAREER)} AS career, {_quoted(V.WEALTH)} AS wealth FROM ({FOUR_PILLAR_RECORD})""",
+    "dreams_by_kind": f"SELECT word, keyword, good FROM (SELECT ['动物', '水', '数字', '', '颜色'][r_regionkey + 1] AS word FROM region) JOIN (VALUES {', '.join(f'({_quoted(d[0])}, {_quoted(d[1])}, {str(d[2]).lower()})' for d in V.DREAMS)}) AS d(keyword, kind, good) ON kind = word",
+    "signs_by_kind": f"WITH s AS (SELECT k::INT AS sign, {_SIGNS}[k] AS kind FROM range(1, 21) AS r(k)) SELECT word, sign, kind FROM (SELECT ['上签', '中下签', '7', '21', '20'][r_regionkey + 1] AS word FROM region) JOIN s ON kind = word OR sign = try_cast(word AS INT)",
+    "books_by_category": f"{_BOOK} SELECT category AS word, ord::INT AS ord, book, title, author, dynasty, file_name, description, core, array_to_string(keywords[1:3], ' ') AS keywords FROM b WHERE category IN (SELECT ['liuyao', 'ziwei', 'none', 'bazi', 'other'][r_regionkey + 1] FROM region)",
+    "book_search": f"{_BOOK} SELECT word, book, title FROM (SELECT ['六爻', '邵雍', '%', ' ', '太'][r_regionkey + 1] AS word FROM region) JOIN b ON word <> ' ' AND (contains(title, word) OR contains(author, word) OR contains(description, word) OR len(list_filter(keywords, lambda k: contains(k, word))) > 0)",
+}
+
+ORACLES = CALENDAR | ELEMENTS | SIX_LINES | PLUM | PILLARS | CHARTS | CATALOGS | READINGS
