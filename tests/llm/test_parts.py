@@ -229,3 +229,42 @@ def test_long_labelled_texts_are_read_from_all_over(spark):
     piece, n = toxicity.PIECE, toxicity.MOST_BYTES // toxicity.PIECE
     assert len(texts[2]) == n * piece + n - 1
     assert texts[2][:piece] == long[:piece].encode() and texts[2][-piece:] == long[-piece:].encode() and texts[2][40 * (piece + 1) :][:9] in long.encode()
+
+
+def test_evidence_and_threshold_of_toxicity_by_brute_force():
+    """Every window compressed anew by a compressor of its own, and the threshold tried at every place between two texts."""
+    import zstandard
+
+    rng = random.Random(12)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+    fine = [" ".join(word("abcdefgh") for _ in range(rng.randint(0, 60))).encode() for _ in range(240)]
+    toxic = [" ".join(rng.choice([word("abcdefgh"), "zounds", "wretch"]) for _ in range(60)).encode() for _ in range(80)]
+    lists = toxic[:40], fine[:120], toxic[40:], fine[120:]
+    model = toxicity.fit(*lists)
+
+    def length(content: bytes, window: bytes) -> int:
+        content = content.ljust(16)
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        p = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=toxicity.WINDOW, dict_size=len(content), write_checksum=False, write_content_size=False, write_dict_id=False)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(window))
+
+    def evidence(m, text: bytes) -> float:
+        starts = [k for k in range(0, len(text), toxicity.STEP) if k == 0 or k + toxicity.WINDOW - toxicity.STEP < len(text)]
+        gains = [max(0, length(m.ordinary, text[k : k + toxicity.WINDOW]) - length(m.toxic, text[k : k + toxicity.WINDOW]) - toxicity.PARSING) for k in starts] if text else []
+        return sum(gains) / len(gains) ** toxicity.BY_WINDOWS if gains else 0.0
+
+    texts = [b"", b"x", toxic[0], fine[0], toxic[3] + b" " + fine[5], *fine[20:26]]
+    found = toxicity.Scorer(model).evidence(*toxicity.joined(texts))
+    assert np.allclose(found, [evidence(model, t) for t in texts])
+    half = toxicity.PARTS // 2
+    parts = [(t[k::half], o[k::half]) for t, o in (lists[:2], lists[2:]) for k in range(half)]
+    tried = []
+    for k, (t, o) in enumerate(parts):
+        others = toxicity.dictionaries(*([x for j, q in enumerate(parts) if j != k for x in q[y]] for y in (0, 1)))
+        tried += [(evidence(others, x), y) for y, xs in ((True, t), (False, o)) for x in xs]
+    errors = lambda cut: sum((e > cut) != y for e, y in tried)
+    values = sorted({e for e, _ in tried})
+    best = min(errors(c) for c in [values[0] - 1, *((a + b) / 2 for a, b in zip(values[:-1], values[1:], strict=True)), values[-1] + 1])
+    assert errors(model.at) == best
+    scores = toxicity.Scorer(model).score(*toxicity.joined(texts))
+    assert all((s >= 0.7) == (e >= model.at) for s, e in zip(scores, found, strict=True))
