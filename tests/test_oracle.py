@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in "region part orders lineitem events documents conversations".split():
+    for name in "region customer part orders lineitem events documents conversations".split():
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
     return con
 
