@@ -165,10 +165,14 @@ def reading(charts: DataFrame) -> DataFrame:
 
 def lines(charts: DataFrame) -> DataFrame:
     """One row a line of each chart: id, position, solid, moving, branch, kin, spirit, role (self, answer or empty) and changed_solid (null without moving lines)."""
-    each = charts.select("id", "chart.self_line", "chart.answer_line", F.col("changed.lines").alias("then"), F.explode("chart.lines").alias("x"))
-    place = F.col("x.position")
-    role = F.when(place == F.col("self_line"), "世").when(place == F.col("answer_line"), "应").otherwise("")
-    return each.select("id", "x.*", role.alias("role"), F.get("then", place - 1)["solid"].alias("changed_solid"))
+    fields = ("position", "solid", "moving", "branch", "kin", "spirit")
+
+    def row(x: Column) -> Column:
+        role = F.when(x["position"] == F.col("chart.self_line"), "世").when(x["position"] == F.col("chart.answer_line"), "应").otherwise("")
+        return F.struct(*(x[f].alias(f) for f in fields), role.alias("role"), F.get("changed.lines", x["position"] - 1)["solid"].alias("changed_solid"))
+
+    # The rows are made as structs first: exploding the record's own array would compute the record once for each of its fields.
+    return charts.select("id", F.inline(F.transform("chart.lines", row)))
 
 
 def shown(lines: Column) -> Column:
