@@ -116,11 +116,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-#: Rows are dropped by a broadcast of their keys up to so many keys, and by a shuffle beyond.
-BROADCAST_KEYS = 1_000_000
+#: Rows are dropped by a broadcast of their keys up to so many bytes, and by a shuffle beyond; the rows are the same.
+BROADCAST_BYTES = 64 << 20
 
 
-def without(df: DataFrame, dropped: DataFrame, left: Column, right: Column) -> DataFrame:
+def without(df: DataFrame, dropped: DataFrame, left: Column, right: Column, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """df's rows whose key is not in dropped, a written table; null is a key like others."""
-    few = dropped.count() <= BROADCAST_KEYS
-    return df.join(F.broadcast(dropped) if few else dropped, left.eqNullSafe(right), "left_anti")
+    size = dropped.agg(F.sum(F.coalesce(F.octet_length(right.cast("string")), F.lit(0)) + 32)).first()[0] or 0
+    return df.join(F.broadcast(dropped) if size <= broadcast_bytes else dropped, left.eqNullSafe(right), "left_anti")

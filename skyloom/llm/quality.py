@@ -94,7 +94,11 @@ def host_verdicts(failed: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of docs, with its columns, that quality() keeps."""
+    """The rows of docs, with its columns, that quality() keeps.
+
+    Null, empty and short texts go; a null host is a host of its own.  Repeated rows and ids are judged each for itself,
+    columns of any names are kept as they are (they travel as one struct), and an empty table gives none.
+    """
     packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
     checked = written(failures(measures(packed, "id", "text", "host", ["__row"])), "measures")
     rejected = written(host_verdicts(checked, limit).where("host_rejected").select("host"), "hosts")
