@@ -54,7 +54,7 @@ def row_key() -> Column:
 
 @leaves
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents, and those of rejected hosts, go."""
+    """Rejected documents, and those of rejected hosts, go; so do null and empty texts, which have too few words.  Rows are judged one by one, whatever their ids; a null source is a host of its own; an empty table gives none."""
     return quality.accepted(docs)
 
 
@@ -77,7 +77,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @follows
 @leaves
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated rows go, each judged by its own text."""
+    """Contaminated rows go, each judged by its own text, also where rows share an id; a null text has no hits.  An empty table gives none."""
     found = decontamination.contamination(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     dropped = written(found.where("contaminated").select("id").distinct(), "dropped")
     return without(docs, dropped, row_key(), dropped["id"])
@@ -86,13 +86,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 @follows
 @leaves
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every reported span is masked; no document goes."""
+    """Every reported span is masked; no document goes.  Null texts stay null (n_chars, too), repeated rows and ids are masked each for itself, an empty table gives none."""
     return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 @follows
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' pieces in sequences."""
+    """The places of all documents' pieces in sequences; a null text is empty and has the one id that ends a document.  Rows that share an id are packed each for itself; an empty table gives none."""
     return packing.pack(docs, tokenizer_path())
 
 
