@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 SCHEMA = "seq long, type string, result string, date timestamp_ntz, details string"
 CAPACITY = 100
+#: How dates are written, to the microsecond, and read, with any fraction or none.
+WRITTEN, READ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]"
 
 
 def latest(log: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -20,11 +22,11 @@ def append(log: DataFrame, entries: DataFrame, capacity: int = CAPACITY) -> Data
 
 def save(log: DataFrame, path: str) -> None:
     """One JSON object a row."""
-    log.write.mode("overwrite").json(path)
+    log.write.mode("overwrite").option("timestampNTZFormat", WRITTEN).json(path)
 
 
 def load(spark, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).json(path)
+    return spark.read.schema(SCHEMA).option("timestampNTZFormat", READ).json(path)
 
 
 def clear(spark, path: str) -> None:

@@ -13,7 +13,7 @@ from ..functions.dialect import SPARK, Dialect
 from ..operators import charts as H
 from ..operators import history
 from ..operators import texts as X
-from . import records, twins
+from . import records, streams, twins
 
 AS_OF = 2024
 #: Sources: (table, query over it); t stands for the table.
@@ -141,9 +141,9 @@ def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {n: _query(n) for n in FORMULAS} | {"history_latest": history_latest} | records.QUERIES
+    return {n: _query(n) for n in FORMULAS} | {"history_latest": history_latest} | records.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by hand, none of it printed by the formulas."""
-    return twins.ORACLES | records.ORACLES | {"history_latest": "SELECT event_id AS seq, event_type AS type, ts AS date, props AS details FROM events ORDER BY ts DESC, event_id DESC LIMIT 100"}
+    return twins.ORACLES | records.ORACLES | streams.ORACLES | {"history_latest": "SELECT event_id AS seq, event_type AS type, ts AS date, props AS details FROM events ORDER BY ts DESC, event_id DESC LIMIT 100"}
