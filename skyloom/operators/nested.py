@@ -8,10 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def nest(rows: DataFrame, key: str, order: str, name: str = "lessons") -> DataFrame:
-    """One row a key with its rows as an array of structs, by `order`; rows of equal order by their other columns."""
+def nest(rows: DataFrame, key: str, order: str, name: str = "lessons", page: int | None = None) -> DataFrame:
+    """One row a key with its rows as an array of structs, by `order`; rows of equal order by their other columns.
+
+    A key's rows become one value, which suits groups of bounded size, as a catalog's categories are.  With `page` a key
+    has a row for each stretch of so many of a numeric `order` (column page, from 0), so that a key of very many rows is
+    many values; what is asked of all of a key is then summed over its pages.
+    """
     others = [c for c in rows.columns if c not in (key, order)]
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias(name))
+    keys = [F.col(key)] if page is None else [F.col(key), F.floor(F.col(order) / page).alias("page")]
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias(name))
 
 
 def _has(entry: Column, word: str, texts: list[str], lists: list[str]) -> Column:

@@ -395,13 +395,13 @@ UNION ALL SELECT event_id, 'user', 'BIGINT', user_id::VARCHAR FROM events WHERE
 
 # -- nested searches -------------------------------------------------------------------------------------------------
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row a conversation with its turns, and each turn's words as a list."""
+    """The turns of conversations, nested by conversation and hundreds of turns, with each turn's words as a list."""
     turns = table(spark, sf_dir, "conversations").withColumn("words", F.split("text", " "))
-    return nested.nest(turns, "conv_id", "turn", "turns")
+    return nested.nest(turns, "conv_id", "turn", "turns", page=100)
 
 
 def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns that have a word in their text or role, whatever its case, in the conversations' order."""
+    """The turns that have a word in their text or role, whatever its case, with their place among those of their page."""
     found = nested.search(_conversations(spark, sf_dir), "SCH", ["text", "role"], name="turns")
     return nested.flattened(found, "conv_id", "turns").select("conv_id", "place", "turn", "role", "text")
 
@@ -409,18 +409,20 @@ def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same in the entries of a list inside the turns: how many turns of a conversation, and which are the first and the last."""
     found = nested.search(_conversations(spark, sf_dir), "ich", [], ["words"], "turns")
-    return found.select("conv_id", F.size("turns").alias("n"), F.get("turns", F.lit(0))["turn"].alias("first"), F.element_at("turns", -1)["turn"].alias("last"))
+    return found.groupBy("conv_id").agg(F.sum(F.size("turns")).alias("n"), F.min(F.get("turns", F.lit(0))["turn"]).alias("first"), F.max(F.element_at("turns", -1)["turn"]).alias("last"))
 
 
 def conversation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns and words of each conversation, and its first turn that isn't the system's (an error if there were none)."""
-    table_of = _conversations(spark, sf_dir)
-    return nested.counts(table_of, "conv_id", "words", "turns").join(table_of.select("conv_id", nested.first_with("turns", lambda x: x["role"] != "system", "of another role")["turn"].alias("first_turn")), "conv_id")
+    """Turns and words of each conversation, and its first turn that isn't the system's (an error where a page has none)."""
+    pages = _conversations(spark, sf_dir)
+    first = nested.first_with("turns", lambda x: x["role"] != "system", "of another role")["turn"].alias("first_turn")
+    counted = nested.counts(pages.withColumn("k", F.struct("conv_id", first)), "k", "words", "turns").select("k.*", "n", "n_inner")
+    return counted.groupBy("conv_id").agg(F.sum("n").alias("n"), F.sum("n_inner").alias("n_inner"), F.min("first_turn").alias("first_turn"))
 
 
-CONVERSATION_SEARCH = "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS place, turn, role, text FROM conversations WHERE contains(lower(text), 'sch') OR contains(lower(role), 'sch')"
-CONVERSATION_WORD_SEARCH = "SELECT conv_id, count(*)::INT AS n, min(turn) AS first, max(turn) AS last FROM conversations WHERE len(list_filter(string_split(text, ' '), lambda w: contains(lower(w), 'ich'))) > 0 GROUP BY conv_id"
-CONVERSATION_COUNTS = "SELECT conv_id, count(*)::INT AS n, sum(len(string_split(text, ' ')))::INT AS n_inner, min(turn) FILTER (role <> 'system') AS first_turn FROM conversations GROUP BY conv_id"
+CONVERSATION_SEARCH = "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id, turn // 100 ORDER BY turn) - 1)::INT AS place, turn, role, text FROM conversations WHERE contains(lower(text), 'sch') OR contains(lower(role), 'sch')"
+CONVERSATION_WORD_SEARCH = "SELECT conv_id, count(*) AS n, min(turn) AS first, max(turn) AS last FROM conversations WHERE len(list_filter(string_split(text, ' '), lambda w: contains(lower(w), 'ich'))) > 0 GROUP BY conv_id"
+CONVERSATION_COUNTS = "SELECT conv_id, count(*) AS n, sum(len(string_split(text, ' ')))::BIGINT AS n_inner, min(turn) FILTER (role <> 'system') AS first_turn FROM conversations GROUP BY conv_id"
 
 # -- catalogs --------------------------------------------------------------------------------------------------------
 def good_omens(spark: SparkSession, sf_dir: str) -> DataFrame:

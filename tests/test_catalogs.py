@@ -58,6 +58,8 @@ def test_nested_searches(spark):
     assert hits("tWo", ["title"], ["points"]) == [("a", [1]), ("b", [2])] and hits("two", ["title"], []) == [("b", [2])]
     assert hits("%", ["title"], []) == [("c", [1])] and hits(" ", ["title"], []) == [] and hits("o", ["title"], []) == [("b", [1, 2])]
     assert sorted(map(tuple, nested.counts(table, "k", "points").collect())) == [("a", 1, 2), ("b", 2, 1), ("c", 1, 0)]
+    long = nested.nest(spark.createDataFrame([("k", n, "t") for n in range(95)], "k string, n int, title string"), "k", "n", page=10)
+    assert sorted((r["page"], [x["n"] for x in r["lessons"]]) for r in long.collect()) == [(p, list(range(10 * p, min(95, 10 * p + 10)))) for p in range(10)]
     first = lambda frame: frame.select("k", nested.first_with("lessons", lambda x: x["title"].isNotNull(), "with a title")["n"]).collect()
     assert sorted(map(tuple, first(table.where("k <> 'a'")))) == [("b", 1), ("c", 1)]
     with pytest.raises(Exception, match="no entry: with a title"):
