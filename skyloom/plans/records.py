@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shown_or_blank(column: str | Column) -> Column:
+    """A value as text, empty for null: what may be null is compared as text."""
+    return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
+
+
 def asked(key: Column) -> Column:
     return F.get(F.array(*map(F.lit, QUESTIONS)), F.pmod(key, F.lit(len(QUESTIONS))).cast("int"))
 
@@ -47,14 +52,14 @@ def six_line_number_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def six_line_coin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return six_lines.lines(six_lines.chart(six_lines.coin_cast(moments(spark, sf_dir))))
+    return six_lines.lines(six_lines.chart(six_lines.coin_cast(moments(spark, sf_dir)))).withColumn("changed_solid", shown_or_blank("changed_solid"))
 
 
 def six_line_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corrected mode: palace, self and answer lines by the eight palaces' generations, and the mutual hexagram, of all 64."""
     charts = six_lines.chart(six_lines.coin_cast(moments(spark, sf_dir)), corrected=True)
     of = lambda c: [F.col(f"{c}.{x}").alias(f"{c}_{x}") for x in ("name", "palace", "self_line", "answer_line", "mutual")]
-    return charts.select("id", *of("chart"), *of("changed"))
+    return charts.select("id", *of("chart"), *(shown_or_blank(f"changed.{x}").alias(f"changed_{x}") for x in ("name", "palace", "self_line", "answer_line", "mutual")))
 
 
 def _list(values) -> str:
@@ -117,13 +122,13 @@ FROM hexa h JOIN hexagram a ON a.bits = h.bits JOIN hexagram c ON c.bits = h.now
 
 
 SIX_LINE_COIN_LINES = f"""{_charted(_COIN_LINES)}
-SELECT id, p AS position, solid, moving, branch, kin, spirit, CASE p WHEN 6 THEN '世' WHEN 3 THEN '应' ELSE '' END AS role, CASE WHEN n_moving > 0 THEN solid <> moving END AS changed_solid FROM line"""
+SELECT id, p AS position, solid, moving, branch, kin, spirit, CASE p WHEN 6 THEN '世' WHEN 3 THEN '应' ELSE '' END AS role, CASE WHEN n_moving = 0 THEN '' WHEN solid <> moving THEN 'true' ELSE 'false' END AS changed_solid FROM line"""
 
 #: The eight palaces, made by turning lines of the doubled trigram, generation by generation.
 SIX_LINE_GENERATIONS = f"""{_charted(_COIN_LINES)},
 palace AS (SELECT xor(t.bits * 9, g.turned)::INT AS bits, t.t AS palace, g.self_line, CASE WHEN g.self_line > 3 THEN g.self_line - 3 ELSE g.self_line + 3 END AS answer_line FROM trigram t, (VALUES (0, 6), (1, 1), (3, 2), (7, 3), (15, 4), (31, 5), (23, 4), (16, 3)) AS g(turned, self_line)),
 full_of AS (SELECT h.bits, h.name, p.palace, p.self_line, p.answer_line, m.name AS mutual FROM hexagram h JOIN palace p ON p.bits = h.bits JOIN hexagram m ON m.bits = ((h.bits >> 2) & 7) * 8 + ((h.bits >> 1) & 7))
-SELECT h.id, a.name AS chart_name, a.palace AS chart_palace, a.self_line AS chart_self_line, a.answer_line AS chart_answer_line, a.mutual AS chart_mutual, c.name AS changed_name, c.palace AS changed_palace, c.self_line AS changed_self_line, c.answer_line AS changed_answer_line, c.mutual AS changed_mutual
+SELECT h.id, a.name AS chart_name, a.palace AS chart_palace, a.self_line AS chart_self_line, a.answer_line AS chart_answer_line, a.mutual AS chart_mutual, coalesce(c.name, '') AS changed_name, coalesce(c.palace, '') AS changed_palace, coalesce(c.self_line::VARCHAR, '') AS changed_self_line, coalesce(c.answer_line::VARCHAR, '') AS changed_answer_line, coalesce(c.mutual, '') AS changed_mutual
 FROM hexa h JOIN full_of a ON a.bits = h.bits LEFT JOIN full_of c ON c.bits = h.now AND h.n_moving > 0"""
 
 # -- nested records --------------------------------------------------------------------------------------------------
@@ -143,7 +148,7 @@ def _texts(array: str, *fields: str, sep: str = " ") -> Column:
 def four_pillar_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records.four_pillar_record(births(spark, sf_dir), 2024)
     return r.select("id", "gender", _texts("pillars", "stem", "branch", "stem_element", "branch_element", "polarity", "god", sep="").alias("pillars"), F.array_join(F.transform("pillars", lambda p: F.array_join(p["hidden"], "")), " ").alias("hidden"), _texts("luck", "name", "from_age", "to_year").alias("luck"),
-        F.col("year.name").alias("year_name"), F.col("year.age").alias("age"), F.col("year.decade").alias("decade"), "elements.wood", "elements.fire", "elements.earth", "elements.metal", "elements.water", "analysis.scarcest", "analysis.favourable", "analysis.unfavourable", "analysis.personality", "analysis.health")
+        F.col("year.name").alias("year_name"), F.col("year.age").alias("age"), shown_or_blank("year.decade").alias("decade"), "elements.wood", "elements.fire", "elements.earth", "elements.metal", "elements.water", "analysis.scarcest", "analysis.favourable", "analysis.unfavourable", "analysis.personality", "analysis.health")
 
 
 def four_pillar_decades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +200,7 @@ part AS (SELECT p.id, s.element FROM placed p JOIN stem s ON s.s = p.stem UNION
 n AS (SELECT id, count(*) FILTER (element = '木')::INT AS wood, count(*) FILTER (element = '火')::INT AS fire, count(*) FILTER (element = '土')::INT AS earth, count(*) FILTER (element = '金')::INT AS metal, count(*) FILTER (element = '水')::INT AS water FROM part GROUP BY id),
 few AS (SELECT *, CASE least(wood, fire, earth, metal, water) WHEN wood THEN '木' WHEN fire THEN '火' WHEN earth THEN '土' WHEN metal THEN '金' ELSE '水' END AS scarcest, '五行分布：木(' || wood || ') 火(' || fire || ') 土(' || earth || ') 金(' || metal || ') 水(' || water || ') ' AS shown,
   concat_ws('；', CASE WHEN wood = 0 THEN {{0}} END, CASE WHEN fire = 0 THEN {{1}} END, CASE WHEN earth = 0 THEN {{2}} END, CASE WHEN metal = 0 THEN {{3}} END, CASE WHEN water = 0 THEN {{4}} END) AS lacks FROM n)
-SELECT b.id, b.gender, t.pillars, t.hidden, d.luck, '甲辰' AS year_name, (2024 - year(b.ts))::INT AS age, d.decade, few.wood, few.fire, few.earth, few.metal, few.water, few.scarcest, (SELECT a FROM generates g WHERE g.b = few.scarcest) AS favourable, (SELECT a FROM controls g WHERE g.b = few.scarcest) AS unfavourable,
+SELECT b.id, b.gender, t.pillars, t.hidden, d.luck, '甲辰' AS year_name, (2024 - year(b.ts))::INT AS age, coalesce(d.decade::VARCHAR, '') AS decade, few.wood, few.fire, few.earth, few.metal, few.water, few.scarcest, (SELECT a FROM generates g WHERE g.b = few.scarcest) AS favourable, (SELECT a FROM controls g WHERE g.b = few.scarcest) AS unfavourable,
   '日主' || me.stem || me.element || '，' || CASE me.element WHEN '木' THEN {{5}} WHEN '火' THEN {{6}} WHEN '土' THEN {{7}} WHEN '金' THEN {{8}} ELSE {{9}} END AS personality, shown || chr(10) || CASE WHEN lacks = '' THEN {{10}} ELSE '健康提醒：' || lacks || '。' END || {{11}} AS health
 FROM births b JOIN me ON me.id = b.id JOIN few ON few.id = b.id JOIN (SELECT id, string_agg(t, '；' ORDER BY k) AS pillars, string_agg(hidden, ' ' ORDER BY k) AS hidden FROM told GROUP BY id) t ON t.id = b.id
 JOIN (SELECT id, string_agg(name || ' ' || age || ' ' || (year(ts) + age + 9), '；' ORDER BY i) AS luck, (min(i) FILTER (2024 BETWEEN year(ts) + age AND year(ts) + age + 9))::INT AS decade FROM decades GROUP BY id) d ON d.id = b.id""".format(*("'" + x + "'" for x in (*V.LACKS, *V.PERSONALITY, *V.HEALTH_TEXTS)))
@@ -333,7 +338,7 @@ def event_last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with its user's last purchase before it."""
     events = table(spark, sf_dir, "events")
     bought = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought"), F.col("event_id").alias("purchase"), F.col("value").alias("paid"))
-    return intervals.as_of(events.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "bought", ["purchase", "paid"], strict=True).drop("ts")
+    return intervals.as_of(events.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "bought", ["purchase", "paid"], strict=True).select("event_id", "user_id", shown_or_blank(F.date_format("bought", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("bought"), shown_or_blank("purchase").alias("purchase"), shown_or_blank(F.col("paid").cast("decimal(18,4)")).alias("paid"))
 
 
 def order_solar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,7 +361,7 @@ def orders_in_decades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The term of each month's early and late date; January's belong to the list's end.
 _TERMS = ", ".join(f"({(k // 2 + 1) % 12 + 1}, {d}, '{t}')" for k, (t, d) in enumerate(zip(V.SOLAR_TERMS, V.SOLAR_TERM_DAYS, strict=True)))
-EVENT_LAST_PURCHASE = "WITH p AS (SELECT user_id, ts AS bought, event_id AS purchase, value AS paid FROM events WHERE event_type = 'purchase') SELECT e.event_id, e.user_id, bought, purchase, paid FROM events e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts > p.bought"
+EVENT_LAST_PURCHASE = "WITH p AS (SELECT user_id, ts AS bought, event_id AS purchase, value AS paid FROM events WHERE event_type = 'purchase') SELECT e.event_id, e.user_id, coalesce(strftime(bought, '%Y-%m-%d %H:%M:%S.%f'), '') AS bought, coalesce(purchase::VARCHAR, '') AS purchase, coalesce(paid::DECIMAL(18, 4)::VARCHAR, '') AS paid FROM events e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts > p.bought"
 ORDER_SOLAR_TERMS = f"WITH t AS (SELECT make_timestamp(y, m, d, 0, 0, 0) AS begun, term FROM (VALUES {_TERMS}) AS x(m, d, term), range(1990, 2030) AS r(y)) SELECT o_orderkey, term, strftime(begun, '%Y-%m-%d') AS begun FROM orders ASOF JOIN t ON o_orderdate >= begun"
 ORDERS_IN_DECADES = "WITH " + _PILLARS.replace("births AS (SELECT event_id AS id, ts, CASE WHEN user_id % 2 = 0 THEN '男' ELSE '女' END AS gender,", "births AS (SELECT id, ts, gender,").replace("AS hb FROM events)", "AS hb FROM (SELECT c_custkey AS id, TIMESTAMP '1955-01-01' + to_days((c_custkey * 37 % 14000)::INT) + to_hours(c_custkey % 24) AS ts, CASE WHEN c_nationkey % 2 = 0 THEN '男' ELSE '女' END AS gender FROM customer))") + " SELECT o_orderkey, o_custkey, year(o_orderdate)::INT AS year, i::INT AS decade, name, (year(o_orderdate) - year(ts))::INT AS age FROM orders JOIN decades ON o_custkey = id AND year(o_orderdate) BETWEEN year(ts) + age AND year(ts) + age + 9"
 
@@ -374,22 +379,23 @@ def event_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed fields of mixed details, and the round trip to text."""
     of = details.field
     typed = [of("details", "$.k", "int").alias("k"), of("details", "$.user", "bigint").alias("user"), of("details", "$.at.type", "string").alias("type"), of("details", "$[0]", "string").alias("first"), of("details", "$[1]", "int").alias("second"), of("details", "$.at", "int").alias("not_a_number")]
-    return details.encoded(_mixed(spark, sf_dir).select("event_id", "details", "details_bad", *typed))
+    rows = details.encoded(_mixed(spark, sf_dir).select("event_id", "details", "details_bad", *typed))
+    return rows.select("event_id", "details_bad", *(shown_or_blank(c).alias(c) for c in rows.columns[3:]), shown_or_blank("details").alias("details"))
 
 
 def event_detail_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return details.kinds(_mixed(spark, sf_dir))
+    return details.kinds(_mixed(spark, sf_dir)).withColumn("shape", shown_or_blank("shape"))
 
 
 def event_detail_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a field of an object and an entry of a list."""
-    return details.fields(_mixed(spark, sf_dir), "event_id")
+    return details.fields(_mixed(spark, sf_dir), "event_id").withColumn("name", shown_or_blank("name"))
 
 
-EVENT_DETAILS = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN replace(props, ' ', '') WHEN 1 THEN '["a",' || user_id || ']' WHEN 2 THEN '{"at":{"type":"' || event_type || '"},"user":' || user_id || '}' END AS details, event_id % 4 = 3 AS details_bad, CASE WHEN event_id % 4 = 0 THEN (props ->> '$.k')::INT END AS k,
-  CASE WHEN event_id % 4 = 2 THEN user_id END AS user, CASE WHEN event_id % 4 = 2 THEN event_type END AS type, CASE WHEN event_id % 4 = 1 THEN 'a' END AS first, CASE WHEN event_id % 4 = 1 THEN user_id::INT END AS second, NULL::INT AS not_a_number FROM events"""
-EVENT_DETAIL_SHAPES = "SELECT CASE event_id % 4 WHEN 0 THEN 'OBJECT<k: BIGINT>' WHEN 1 THEN 'ARRAY<VARIANT>' WHEN 2 THEN 'OBJECT<at: OBJECT<type: STRING>, user: BIGINT>' END AS shape, count(*) AS n FROM events GROUP BY 1"
-EVENT_DETAIL_FIELDS = """SELECT event_id, 'k' AS name, 'BIGINT' AS kind, props ->> '$.k' AS value FROM events WHERE event_id % 4 = 0 UNION ALL SELECT event_id, NULL, 'STRING', '"a"' FROM events WHERE event_id % 4 = 1 UNION ALL SELECT event_id, NULL, 'BIGINT', user_id::VARCHAR FROM events WHERE event_id % 4 = 1
+EVENT_DETAILS = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN replace(props, ' ', '') WHEN 1 THEN '["a",' || user_id || ']' WHEN 2 THEN '{"at":{"type":"' || event_type || '"},"user":' || user_id || '}' ELSE '' END AS details, event_id % 4 = 3 AS details_bad, CASE WHEN event_id % 4 = 0 THEN props ->> '$.k' ELSE '' END AS k,
+  CASE WHEN event_id % 4 = 2 THEN user_id::VARCHAR ELSE '' END AS user, CASE WHEN event_id % 4 = 2 THEN event_type ELSE '' END AS type, CASE WHEN event_id % 4 = 1 THEN 'a' ELSE '' END AS first, CASE WHEN event_id % 4 = 1 THEN user_id::VARCHAR ELSE '' END AS second, '' AS not_a_number FROM events"""
+EVENT_DETAIL_SHAPES = "SELECT CASE event_id % 4 WHEN 0 THEN 'OBJECT<k: BIGINT>' WHEN 1 THEN 'ARRAY<VARIANT>' WHEN 2 THEN 'OBJECT<at: OBJECT<type: STRING>, user: BIGINT>' ELSE '' END AS shape, count(*) AS n FROM events GROUP BY 1"
+EVENT_DETAIL_FIELDS = """SELECT event_id, 'k' AS name, 'BIGINT' AS kind, props ->> '$.k' AS value FROM events WHERE event_id % 4 = 0 UNION ALL SELECT event_id, '', 'STRING', '"a"' FROM events WHERE event_id % 4 = 1 UNION ALL SELECT event_id, '', 'BIGINT', user_id::VARCHAR FROM events WHERE event_id % 4 = 1
 UNION ALL SELECT event_id, 'user', 'BIGINT', user_id::VARCHAR FROM events WHERE event_id % 4 = 2 UNION ALL SELECT event_id, 'at', 'OBJECT<type: STRING>', '{"type":"' || event_type || '"}' FROM events WHERE event_id % 4 = 2"""
 
 

@@ -61,7 +61,7 @@ def daily_memo_today(spark: SparkSession, sf_dir: str) -> DataFrame:
     today = events.agg(F.max("ts").cast("date").alias("day")).first()[0]
     drawn = memos.read(spark, place).where(F.col("day") == F.lit(today)).select(F.col("user").alias("of_user"), "sign")
     users = events.select(F.col("user_id").alias("user")).distinct()
-    return users.join(drawn, F.col("user") == F.col("of_user"), "left").select("user", F.col("sign").isNotNull().alias("drawn"), "sign", F.get(F.array(*map(F.lit, V.SIGN_TYPES)), F.col("sign") - 1).alias("kind"))
+    return users.join(drawn, F.col("user") == F.col("of_user"), "left").select("user", F.col("sign").isNotNull().alias("drawn"), F.coalesce("sign", F.lit(0)).alias("sign"), F.coalesce(F.get(F.array(*map(F.lit, V.SIGN_TYPES)), F.col("sign") - 1), F.lit("")).alias("kind"))
 
 
 def history_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,6 @@ ORACLES = {
     "history_stream": "SELECT event_id AS seq, event_type AS type, ts AS date, props AS details FROM events ORDER BY ts DESC, event_id DESC LIMIT 100",
     "history_by_user_stream": "SELECT user_id, count(*)::INT AS n, string_agg(event_id, ' ' ORDER BY ts DESC, event_id DESC) AS seqs FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 10 GROUP BY user_id",
     "daily_memo_stream": _MEMO,
-    "daily_memo_today": f"WITH m AS ({_MEMO}) SELECT u.user, sign IS NOT NULL AS drawn, sign, {_KINDS}[sign] AS kind FROM (SELECT DISTINCT user_id AS user FROM events) u LEFT JOIN m ON m.user = u.user AND m.day = (SELECT strftime(max(ts), '%Y-%m-%d') FROM events)",
+    "daily_memo_today": f"WITH m AS ({_MEMO}) SELECT u.user, sign IS NOT NULL AS drawn, coalesce(sign, 0)::INT AS sign, coalesce({_KINDS}[sign], '') AS kind FROM (SELECT DISTINCT user_id AS user FROM events) u LEFT JOIN m ON m.user = u.user AND m.day = (SELECT strftime(max(ts), '%Y-%m-%d') FROM events)",
     "history_round_trip": "SELECT event_id AS seq, ts AS date, event_type AS type, CAST(value AS DECIMAL(18, 4))::VARCHAR AS result, props AS details FROM events ORDER BY ts DESC, event_id DESC LIMIT 100",
 }
