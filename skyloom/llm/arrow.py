@@ -26,3 +26,15 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         end = min(end, n)
         yield first, end, whole[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+
+
+def releasing(run):
+    """run, a function over Arrow batches, which at a task's end gives memory that Arrow's pool has kept back to the system: a worker lives on, beside those of later stages."""
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return released

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketch
+from .arrow import releasing
 from .common import ship, written
 from .components import components
 
@@ -105,7 +106,7 @@ def nodes_and_sketch(docs: DataFrame, size: int) -> DataFrame:
             k = sketch.BLOCKS
             yield pa.RecordBatch.from_arrays([*(pa.nulls(k, f.type) for f in list(kinds)[:5]), pa.array(range(k), pa.int32()), pa.array(sketch.packed(counts), pa.binary())], names=kinds.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def prefixes(docs: DataFrame, frequencies: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -133,7 +134,7 @@ def prefixes(docs: DataFrame, frequencies: np.ndarray, size: int, percent: int)
                 columns = [h.view(np.int64), names[t], sizes[t].astype(np.int64), p.astype(np.int64), salts[rank[order][chosen]]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "node", "n", "pos", "salts"])
 
-    return docs.select("text").mapInArrow(run, "h long, node long, n long, pos long, salts int")
+    return docs.select("text").mapInArrow(releasing(run), "h long, node long, n long, pos long, salts int")
 
 
 def salts_of(frequencies: np.ndarray) -> np.ndarray:
@@ -205,7 +206,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, per
                 sets = [hashes[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "shingles"]).filter(pa.array(set_names(hashes, at) == part.column(0).to_numpy()))
 
-    sets = written(found.mapInArrow(own, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    sets = written(found.mapInArrow(releasing(own), "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     def check(batches):
         for batch in batches:
@@ -218,7 +219,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, per
 
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "shingles_a", "shingles_b")
-    return written(both.mapInArrow(check, "a long, b long"), "links")
+    return written(both.mapInArrow(releasing(check), "a long, b long"), "links")
 
 
 def with_root(rows: DataFrame, node: str, name: str, roots: DataFrame) -> DataFrame:
