@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
+#: Slices of operators whose arrays take tens of bytes for one of text, in workers that stand beside others.
+SMALL_BYTES = 1 << 20
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -28,13 +31,19 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         first = end
 
 
-def releasing(run):
-    """run, a function over Arrow batches, which at a task's end gives memory that Arrow's pool has kept back to the system: a worker lives on, beside those of later stages."""
+def releasing(run, tokens: bool = False):
+    """run, a function over Arrow batches, which at a task's end gives memory that Arrow's pool and the C library have kept back to the system: a worker lives on, beside those of later stages.  Transducers that earlier tasks have compiled go first, unless run works on tokens."""
 
     def released(batches):
+        from .bpe import forget
+
+        if not tokens:
+            forget()
         try:
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone
+                trim(0)
 
     return released

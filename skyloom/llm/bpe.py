@@ -14,6 +14,7 @@ run from it, all such lanes side by side, and the scan is made again.  Lanes of
 from __future__ import annotations
 
 import json
+import struct
 
 import numpy as np
 
@@ -22,6 +23,8 @@ LANE = 256
 SHIFT, BIAS = 6, 32
 #: Bytes that the table has room for at first, and the states beyond which it is compiled anew.
 COLUMNS, MOST_STATES = 128, 500_000
+#: The states that have a row of the table.  Later ones are met seldom and go on in few ways: their transitions are kept one by one.
+DENSE = 1 << 16
 SPECIAL = "<|endoftext|>"
 
 
@@ -33,6 +36,16 @@ def byte_chars() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def packed_key(suffix: bytes, starts) -> bytes:
+    """A state as bytes, a quarter of the room of nested tuples."""
+    return struct.pack(f"<H{3 * len(starts)}i", len(starts), *(x for s in starts for x in s)) + suffix
+
+
+def unpacked_key(key: bytes) -> tuple[bytes, list[tuple[int, int, int]]]:
+    ends = 2 + 12 * int.from_bytes(key[:2], "little")
+    return key[ends:], list(struct.iter_unpack("<3i", key[2:ends]))
+
+
 class Transducer:
     """Compiled from a tokenizer file with a byte-level BPE model (GPT-2's pre-token pattern, no normalizer)."""
 
@@ -59,12 +72,12 @@ class Transducer:
     # -- compilation -------------------------------------------------------------------------------------------
     def reset(self) -> None:
         """Forgets what was compiled."""
-        first = (b"", ((0, -1, 0),))
+        first = packed_key(b"", [(0, -1, 0)])
         self.states = {first: 0, None: 1}
         self.keys = [first, None]  # 1: not begun, until the first boundary of a lane
         self.pairs = {}
         self.column, self.byte = np.full(256, 255, np.uint8), []  # bytes get columns as they are met
-        self.table = np.full((4096, COLUMNS), -1, np.int32)
+        self.table, self.rare = np.full((min(4096, DENSE), COLUMNS), -1, np.int32), {}
         self.table[1] = (1 << SHIFT) | BIAS
         self.last = np.full(4096, -1, np.int32)
 
@@ -77,21 +90,23 @@ class Transducer:
         if len(self.byte) > self.table.shape[1]:
             wide = np.full((len(self.table), 256), -1, np.int32)
             wide[1] = self.table[1, 0]
-            wide[:, : self.table.shape[1]] = self.table
-            self.table = wide
+            before = self.table.shape[1]
+            wide[:, :before] = self.table
+            self.table, self.rare = wide, {i // before * 256 + i % before: to for i, to in self.rare.items()}
         return self.column[data]
 
     def stands(self, left: int, right: int) -> bool:
         """Whether left and right, or right alone where left is -1, encode to themselves."""
-        if (found := self.pairs.get((left, right))) is None:
+        pair = (left + 1) << 32 | right
+        if (found := self.pairs.get(pair)) is None:
             want = [right] if left < 0 else [left, right]
             text = "".join(self.chars[b] for i in want for b in self.bytes_of[i])
-            found = self.pairs[left, right] = [t.id for t in self.model.tokenize(text)] == want
+            found = self.pairs[pair] = [t.id for t in self.model.tokenize(text)] == want
         return found
 
     def step(self, state: int, byte: int) -> int:
         """Compiles one transition: the packed next state and change of the count."""
-        suffix, starts = self.keys[state]
+        suffix, starts = unpacked_key(self.keys[state])
         grown, cut = suffix + bytes([byte]), len(suffix)
         for n, left, more in starts:  # longest first
             token = self.tokens.get(grown[cut - n :])
@@ -101,19 +116,24 @@ class Transducer:
             raise ValueError("the vocabulary lacks a byte")
         change = more + 1
         kept = [(n + 1, left, more - change) for n, left, more in starts if grown[cut - n :] in self.begins]
-        key = (grown[len(grown) - kept[0][0] :] if kept else b"", (*kept, (0, token, 0)))
+        key = packed_key(grown[len(grown) - kept[0][0] :] if kept else b"", [*kept, (0, token, 0)])
         to = self.states.get(key)
         if to is None:
             to = self.states[key] = len(self.keys)
             self.keys.append(key)
-            if to >= len(self.table):
-                more = len(self.table) // 2
+            if len(self.table) <= to < DENSE:
+                more = min(len(self.table) // 2, DENSE - len(self.table))
                 self.table = np.concatenate([self.table, np.full((more, self.table.shape[1]), -1, np.int32)])
-                self.last = np.concatenate([self.last, np.full(more, -1, np.int32)])
+            if to >= len(self.last):
+                self.last = np.concatenate([self.last, np.full(len(self.last) // 2, -1, np.int32)])
             self.last[to] = token
         if not -BIAS <= change < BIAS:
             raise ValueError("a transition changes the count by too much")
-        self.table[state, self.column[byte]] = packed = (to << SHIFT) | (change + BIAS)
+        packed = (to << SHIFT) | (change + BIAS)
+        if state < DENSE:
+            self.table[state, self.column[byte]] = packed
+        else:
+            self.rare[state * self.table.shape[1] + int(self.column[byte])] = packed
         return packed
 
     # -- pre-tokens --------------------------------------------------------------------------------------------
@@ -227,18 +247,25 @@ class Transducer:
             # states' images only those of the newest are new, so a round adds about one a lane, and none where states have merged.
             fresh = np.unique(wanted[there[:-1] & ~known & (np.isin(np.arange(1, len(lanes)), first, invert=True))[:, None]])
 
+    def transitions(self, index: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """out, filled with the packed transitions at places (state * width + column); -1 where one isn't compiled."""
+        self.table.reshape(-1).take(index, out=out, mode="clip")
+        if len(index) and index.max() >= self.table.size:
+            far = np.flatnonzero(index >= self.table.size)
+            out[far] = [self.rare.get(i, -1) for i in index[far].tolist()]
+        return out
+
     def pass_over(self, read, goes_on, taken, state, steps: int) -> None:
-        index, flat, wide = np.empty(len(state), np.int32), self.table.reshape(-1), self.table.shape[1]
+        index, wide = np.empty(len(state), np.int32), self.table.shape[1]
         for k in range(steps):
             np.multiply(state, goes_on[k], out=state)
             np.multiply(state, wide, out=index)
             np.add(index, read[k], out=index)
-            got = flat.take(index, out=taken[k], mode="clip")
+            got = self.transitions(index, taken[k])
             if got.min() < 0:
                 for i in np.unique(index[got < 0]).tolist():
                     self.step(i // wide, self.byte[i % wide])
-                flat = self.table.reshape(-1)
-                flat.take(index, out=got, mode="clip")
+                self.transitions(index, got)
             np.right_shift(got, SHIFT, out=state)
 
     # -- texts -------------------------------------------------------------------------------------------------
@@ -299,6 +326,11 @@ class Transducer:
 _COMPILED: dict[str, Transducer] = {}
 
 
+def forget() -> None:
+    """Gives up this process's transducers; a later one is compiled anew."""
+    _COMPILED.clear()
+
+
 def transducer(path: str) -> Transducer:
     """The transducer of a file, one for a process: what one batch compiles serves the next."""
     if path not in _COMPILED:

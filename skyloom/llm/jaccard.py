@@ -91,13 +91,13 @@ def nodes_and_sketch(docs: DataFrame, size: int) -> DataFrame:
     kinds = to_arrow_schema(schema)
 
     def run(batches):
-        from .arrow import slices
+        from .arrow import SMALL_BYTES, slices
 
         counts = np.zeros(1 << sketch.BITS, np.int64)
         for batch in batches:
-            for first, end, data, offsets in slices(batch.column(2)):
+            for first, end, data, offsets in slices(batch.column(2), SMALL_BYTES):
                 hashes, at = shingle_sets(data, offsets, size)
-                counts += sketch.counted(hashes)
+                sketch.count(counts, hashes)
                 m, wide = end - first, PARITY // 64
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * wide), pa.array(parities(hashes, at).reshape(-1)))
                 found = [*(batch.column(k).slice(first, m) for k in (0, 1)), pa.array(np.diff(at)), pa.array(set_names(hashes, at)), lists, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
@@ -114,11 +114,11 @@ def prefixes(docs: DataFrame, frequencies: np.ndarray, size: int, percent: int)
     shared = docs.sparkSession.sparkContext.broadcast((frequencies, salts_of(frequencies)))
 
     def run(batches):
-        from .arrow import slices
+        from .arrow import SMALL_BYTES, slices
 
         rank_of, salts = shared.value
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
+            for _, _, data, offsets in slices(batch.column(0), SMALL_BYTES):
                 hashes, at = shingle_sets(data, offsets, size)
                 names = set_names(hashes, at)
                 sizes = np.diff(at)
@@ -197,10 +197,10 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, per
 
     def own(batches):
         """The sorted set of each node; drops other texts of a chance equal key."""
-        from .arrow import slices
+        from .arrow import SMALL_BYTES, slices
 
         for batch in batches:
-            for first, end, data, offsets in slices(batch.column(1)):
+            for first, end, data, offsets in slices(batch.column(1), SMALL_BYTES):
                 hashes, at = shingle_sets(data, offsets, size)
                 part = batch.slice(first, end - first)
                 sets = [hashes[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow import releasing
 from .common import ship, written
 
 SEQUENCE = 1024
@@ -27,12 +28,12 @@ def pieces_of(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     ship(docs.sparkSession)
 
     def run(batches):
-        from .arrow import slices
+        from .arrow import SMALL_BYTES, slices
         from .bpe import transducer
 
         machine = transducer(path)
         for batch in batches:
-            for first, end, data, offsets in slices(batch.column(1)):
+            for first, end, data, offsets in slices(batch.column(1), SMALL_BYTES):
                 ids, at = machine.ids(data, offsets)
                 rows, starts, lengths, crcs, totals = [], [], [], [], []
                 last = np.array([END_ID], "<u4")
@@ -50,7 +51,7 @@ def pieces_of(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.make_valid_utf8(F.col(text_col)).cast("binary").alias("text"))
     schema = T.StructType([source.schema["doc_id"], *[T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens")]])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(releasing(run, tokens=True), schema)
 
 
 def plan(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:

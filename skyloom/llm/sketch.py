@@ -13,8 +13,9 @@ def buckets(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def counted(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
-    return np.bincount(buckets(hashes, bits), minlength=1 << bits)
+def count(counts: np.ndarray, hashes: np.ndarray, bits: int = BITS) -> None:
+    """Adds the hashes to counts, in place: no second array of that size for a slice."""
+    np.add.at(counts, buckets(hashes, bits), 1)
 
 
 def packed(counts: np.ndarray) -> list[bytes]:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow import releasing
 from .common import ship
 
 
@@ -30,4 +31,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     source = docs.select(F.col(id_col).alias("id"), F.make_valid_utf8(F.col(text_col)).cast("binary").alias("text"))
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(releasing(run, tokens=True), schema)

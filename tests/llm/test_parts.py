@@ -268,3 +268,27 @@ def test_evidence_and_threshold_of_toxicity_by_brute_force():
     assert errors(model.at) == best
     scores = toxicity.Scorer(model).score(*toxicity.joined(texts))
     assert all((s >= 0.7) == (e >= model.at) for s, e in zip(scores, found, strict=True))
+
+
+def test_transducer_keeps_a_bounded_table(monkeypatch):
+    from skyloom.llm import bpe
+    from skyloom.llm.registry import tokenizer_path
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "DENSE", 64)
+    library, machine = Tokenizer.from_file(tokenizer_path()), bpe.Transducer(tokenizer_path())
+    draw = np.random.default_rng(5)
+    texts = ["".join(map(chr, draw.integers(32, 0x180, 400))) + " and the like, \u9f8d\u4e2d " * 3 for _ in range(8)]
+    for some in (texts[:3], texts):  # more than 128 different bytes: the table is widened once
+        raw = [t.encode() for t in some]
+        ids, at = machine.ids(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+    assert len(machine.keys) > 1000 and len(machine.table) <= 64
+
+
+def test_workers_give_transducers_up():
+    from skyloom.llm import arrow, bpe
+
+    bpe._COMPILED["x"] = None
+    assert list(arrow.releasing(iter, tokens=True)([1, 2])) == [1, 2] and "x" in bpe._COMPILED
+    assert list(arrow.releasing(iter)([1])) == [1] and not bpe._COMPILED
