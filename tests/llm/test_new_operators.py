@@ -111,6 +111,25 @@ def test_fitting_is_bounded(spark):
     assert sum(map(len, url_filter.fit_rows(rows, "allow", 300, 1000))) <= 1000
 
 
+def test_url_models_count_every_url(spark):
+    """More URLs of a verdict than were once read to fit."""
+    urls = [f"http://a.org/{k}" for k in range(14_500)] + [f"http://a.com/de/{k}" for k in range(40)] + ["http://b.net/x", "ftp://b.net/777", ""]
+    rows = {r["id"]: r["score"] for r in url_filter.filtered(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    folds = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "url string").select(url_filter.fold()).collect()]
+    models = [brute.op12_model([u.encode() for u, f in zip(urls, folds, strict=True) if host in u and f], url_filter.ORDER) for host in ("a.org", "a.com")]
+    for k in range(len(urls) - 3, len(urls)):
+        assert math.isclose(rows[k], brute.op12_score(urls[k].encode(), *models, url_filter.ORDER), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("model_bytes", [0, 40 * 500])
+def test_joined_orders_score_as_broadcast_ones(spark, model_bytes):
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(URLS + some_urls(300, 3) + some_urls(20, 3))], "page_id long, url string")
+    want, got = (sorted(url_filter.filtered(pages, **x).collect()) for x in ({}, {"model_bytes": model_bytes}))
+    assert [tuple(r)[:5] for r in got] == [tuple(r)[:5] for r in want]
+    assert np.allclose([r["score"] for r in got if r["score"] is not None], [r["score"] for r in want if r["score"] is not None], rtol=1e-9, atol=1e-12)
+    assert [r["score"] is None for r in got] == [r["score"] is None for r in want] and any(r["score"] for r in got)
+
+
 def test_threshold():
     assert url_filter.threshold_of({}) == url_filter.threshold_of({5: (3, 0)}) == url_filter.threshold_of({5: (0, 3)}) == 0
     assert url_filter.threshold_of({-50: (9, 0), 30: (0, 1), 80: (0, 4)}) == 0
