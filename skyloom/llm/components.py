@@ -23,10 +23,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds grow with the logarithm of the nodes; each is written to the shared folder.  Null ends are ignored.
     """
-    now = written(links.where("u <> v").select("u", "v").distinct(), "links")
-    state = None
+    now = written(links.where("u <> v").select("u", "v").distinct(), "links", links.count())
+    state = (now.count(), None)
     while True:
-        now = written(_star(_star(now, True), False), "stars")
+        now = written(_star(_star(now, True), False), "stars", state[0])
         # Settled: every link leads to a node that is no other's source, and a round changes neither number nor sum.
         row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == state:

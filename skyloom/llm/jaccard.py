@@ -189,9 +189,10 @@ def close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs (columns a, b: nodes) whose sets are within the limit; nodes: node, owner, owner_key."""
+    """Those of pairs (columns a, b: nodes; a written table) whose sets are within the limit; nodes: node, owner, owner_key."""
+    many = pairs.count()
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = written(ends.join(nodes, "node").select(F.col("node").alias("of_node"), F.col("owner").alias("of_doc"), F.col("owner_key").alias("of_key")), "needed")
+    needed = written(ends.join(nodes, "node").select(F.col("node").alias("of_node"), F.col("owner").alias("of_doc"), F.col("owner_key").alias("of_key")), "needed", 2 * many)
     weight = needed.agg(F.sum(F.coalesce(F.octet_length(F.col("of_doc").cast("string")), F.lit(0)) + 48)).first()[0] or 0
     found = docs.join(F.broadcast(needed) if weight <= BROADCAST_BYTES else needed, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_key"))).select("of_node", "text")
 
@@ -219,7 +220,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, per
 
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "shingles_a", "shingles_b")
-    return written(both.mapInArrow(releasing(check), "a long, b long"), "links")
+    return written(both.mapInArrow(releasing(check), "a long, b long"), "links", many)
 
 
 def with_root(rows: DataFrame, node: str, name: str, roots: DataFrame) -> DataFrame:

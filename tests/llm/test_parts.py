@@ -292,3 +292,14 @@ def test_workers_give_transducers_up():
     bpe._COMPILED["x"] = None
     assert list(arrow.releasing(iter, tokens=True)([1, 2])) == [1, 2] and "x" in bpe._COMPILED
     assert list(arrow.releasing(iter)([1])) == [1] and not bpe._COMPILED
+
+
+def test_known_small_tables_go_into_few_files(spark):
+    from skyloom.llm import common
+
+    links = spark.createDataFrame([(k, k // 2) for k in range(1, 200)], "u long, v long").repartition(97, "u")
+    table = common.written(links, "links", 199)
+    assert len(table.inputFiles()) <= spark.sparkContext.defaultParallelism < 97 and table.count() == 199
+    roots = {r["u"]: r["root"] for r in components(links.where("u <> 1")).collect()}
+    assert len(components(links).inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+    assert roots[199] == 1 and set(roots) == set(range(1, 200))
