@@ -34,7 +34,7 @@ FILE_ROWS = 1 << 16
 
 
 def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and survives lost executors.  rows: about so many come, for a table of a few numbers a row; partitions then go together into files of FILE_ROWS, a file for each core at least."""
+    """df as a Parquet table in the shared folder: cuts lineage, and survives lost executors.  rows: about so many come, of a few numbers each and from inputs no larger; partitions then go together into files of FILE_ROWS, a file for each core at least."""
     if rows is not None:
         df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(df.sparkSession)}/skyloom-{uuid.uuid4().hex}/{label}"
