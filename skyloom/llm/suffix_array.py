@@ -15,12 +15,10 @@ def smaller_types(s: np.ndarray) -> np.ndarray:
     n = len(s)
     out = np.ones(n, bool)
     if n > 1:
-        rises = s[1:] > s[:-1]
-        differs = np.flatnonzero(s[1:] != s[:-1])
-        after = np.searchsorted(differs, np.arange(n - 1))
-        known = after < len(differs)
-        out[:-1] = False
-        out[np.flatnonzero(known)] = rises[differs[after[known]]]
+        rises, differ = s[1:] > s[:-1], s[1:] != s[:-1]
+        differs = np.flatnonzero(differ)
+        after = np.cumsum(differ) - differ  # so many differences are before each place
+        out[:-1] = np.append(rises[differs], False)[after]
     return out
 
 
@@ -104,17 +102,25 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     a, b = sorted_lms[1:], sorted_lms[:-1]
     new = (name[a] != name[b]) | (size[a] != size[b])
     ranks = np.empty(len(lms), np.int64)
-    ranks[sorted_lms] = np.concatenate([[0], np.cumsum(new)])
-    reach = 1
-    while ranks.max() + 1 < len(lms) and 2 * reach < depth + 2:  # a substring has two symbols at least
-        second = np.full(len(lms), -1, np.int64)
-        second[:-reach] = ranks[reach:]
-        key = ranks * (len(lms) + 1) + second + 1
-        sorted_lms = np.argsort(key, kind="stable")
-        k = key[sorted_lms]
-        ranks[sorted_lms] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
+    ranks[sorted_lms] = np.maximum.accumulate(np.where(np.concatenate([[True], new]), np.arange(len(lms)), 0))
+    reach, tied = 1, sorted_lms  # those whose rank another one has too, by rank
+    while 2 * reach < depth + 2:  # a substring has two symbols at least
+        r = ranks[tied]
+        many = np.concatenate([[False], r[1:] == r[:-1]])
+        many[:-1] |= many[1:]
+        tied, r = tied[many], r[many]
+        if not len(tied):
+            break
+        key = r * (len(lms) + 1) + np.append(ranks, np.full(reach, -1))[tied + reach] + 1
+        turn = np.argsort(key)
+        tied, key, r = tied[turn], key[turn], r[turn]
+        # A rank counts those before it, so that ranks of others stay as they are.
+        place = np.arange(len(tied))
+        head = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), place, 0))
+        base = np.maximum.accumulate(np.where(np.concatenate([[True], r[1:] != r[:-1]]), place, 0))
+        ranks[tied] = r + head - base
         reach *= 2
-    return induced(s, smaller, lms[np.argsort(ranks, kind="stable")], symbols)
+    return induced(s, smaller, lms[np.argsort(ranks)], symbols)
 
 
 def permuted_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
